@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows and bytes of an Arrow batch between the JVM and Python, so that long texts can't fill a worker.
+BATCH_ROWS, BATCH_BYTES = 2000, "32m"
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; from here on Arrow batches of the session are kept small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's
     checkpoint folder. Where neither is set (tests, one machine) a temporary folder is set."""

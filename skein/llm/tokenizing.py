@@ -2,7 +2,7 @@
 
 Both vocabularies cut a text at white space before they merge, so a chunk's ids don't depend on
 its neighbours where a single space or newline stands between two other characters. Each chunk not
-yet seen goes through the library once; the memo is emptied when it is full."""
+yet seen goes through the library once; a full memo becomes the old one, from which chunks come back."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ import numpy as np
 _PAIR = re.compile(r"[\s᠎]{2}")
 _GAP = re.compile(r"(?<![\s᠎]) (?![\s᠎])")
 _CONTROL = re.compile(r"[\x1c-\x1f]")
+#: Characters beyond these may be normalised together with their neighbours: such texts go through the library whole.
+_UNSAFE = re.compile(r"[^\n\x20-\x7e\xa1-\xac\xae-\u012f\u0132-\u017f\u0410-\u044f\u4e00-\u9fff]")
 _PUNCTUATION = frozenset(".,;:!?")
 _ready: dict[str, MemoTokenizer] = {}
 
@@ -21,23 +23,52 @@ _ready: dict[str, MemoTokenizer] = {}
 class MemoTokenizer:
     """``encode(texts)``: each text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most, self.memo = most, {}
+        self.most, self.memo, self.old = most, {}, {}
         #: The kind that drops white space and normalises; the other keeps spaces with the words.
         self.drops_space = self.tokenizer.normalizer is not None
+        #: The same merges after a plain cut at spaces, for words of letters that need no normalising.
+        self.plain = Tokenizer.from_file(path)
+        spaces = pre_tokenizers.WhitespaceSplit() if self.drops_space else pre_tokenizers.Split(" ", "merged_with_next")
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([spaces, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        if self.drops_space:
+            self.plain.normalizer = normalizers.Sequence([])
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        #: Ids that end a word (first kind), or begin one with its space (second kind).
+        self.edge = np.array([x.endswith("</w>") if self.drops_space else x.startswith("\u0120") for x in names])
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone (second kind: each after one space), many to a call. Merges
+        never cross words, so the ids of joined words are cut again at the words' edges."""
+        lead = "" if self.drops_space else " "
+        parts = [words[i : i + 100] for i in range(0, len(words), 100)]
+        joined = [lead + " ".join(part) for part in parts]
+        out: list[bytes] = []
+        for part, e in zip(parts, self.plain.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            at = np.flatnonzero(self.edge[ids])
+            if len(at) != len(part):
+                out += self._ids([lead + w for w in part])
+                continue
+            cuts = (at + 1 if self.drops_space else np.append(at[1:], len(ids))) * 4
+            raw, begin = ids.tobytes(), 0
+            for end in cuts.tolist():
+                out.append(raw[begin:end])
+                begin = end
+        return out
+
     def _chunks(self, text: str) -> list[str]:
         """Keys of the memo: a chunk stands for itself after a space, ``\\n...`` for itself, ``\\0...`` for the rest of it."""
         if self.drops_space:
-            return [x for x in text.replace("\n", " ").split(" ") if x]
+            return [x for x in text.lower().replace("\n", " ").split(" ") if x]
         if not text:
             return []
         if text[0].isspace() or text[-1].isspace() or _PAIR.search(text):
@@ -67,17 +98,30 @@ class MemoTokenizer:
         return (lead, *parts) if lead else parts
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        whole = {i for i, t in enumerate(texts) if t and self.drops_space and _UNSAFE.search(t)}
+        if whole:
+            out = iter(self.encode([t for i, t in enumerate(texts) if i not in whole]))
+            own = dict(zip(whole, self._ids([texts[i] for i in whole]), strict=True))
+            return [own[i] if i in own else next(out) for i in range(len(texts))]
         chunked = [self._chunks(t or "") for t in texts]
         memo = self.memo
         new = set().union(*chunked).difference(memo) if chunked else set()
         if len(memo) + len(new) > self.most:
-            memo.clear()
-            new = set().union(*chunked)
+            self.old, self.memo = memo, {}
+            memo, new = self.memo, set().union(*chunked)
+        if new and self.old:
+            found = new.intersection(self.old)
+            memo.update((k, self.old[k]) for k in found)
+            new -= found
         if new:
-            parts = {k: self._parts(k) for k in new}
-            pieces = list({p for x in parts.values() for p in x})
+            base = {k: k[:-1] if k[-1:] in _PUNCTUATION and k[:-1].isalpha() else k for k in new}
+            words = [w for w in {w for w in base.values() if w.isalpha()} if w not in memo]
+            memo.update(zip(words, self._words(words), strict=True))
+            rest = {k: self._parts(k) for k, w in base.items() if not w.isalpha()}
+            pieces = list({p for x in rest.values() for p in x} | _PUNCTUATION)
             ids = dict(zip(pieces, self._ids(pieces), strict=True))
-            memo.update((k, b"".join([ids[p] for p in x])) for k, x in parts.items())
+            memo.update((k, b"".join([ids[p] for p in x])) for k, x in rest.items())
+            memo.update((k, memo[w] + ids[k[-1]]) for k, w in base.items() if w is not k and k not in rest)
         return [b"".join([memo[c] for c in x]) for x in chunked]
 
 
