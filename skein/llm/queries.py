@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_orc
+from . import decontaminate, langid, near_dedup, packing, secret_scan, substring_dedup, token_orc, topk, toxicity, url_reputation
 from .shared import new_path, read_table
 
+#: The rules that op3 is given.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def fold(doc_id: str, n: int) -> Column:
+    """crc32 of the id as text, modulo n: which rows are held out."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
+
 
 def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-orc")
@@ -15,9 +24,102 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.read_digests(spark, path)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(fold("doc_id", 5) != 0))
+    held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_reputation.judge_pages(read_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(fold("doc_id", 3) != 1))
+    held = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op5_packing)}
-ORACLES: dict[str, str] = {}
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(read_table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(read_table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_orc, op2_language_id, op3_url_reputation, op4_toxicity, op5_packing, op6_decontamination, op7_topk, op8_secret_scan, op9_substring_dedup, op10_near_dedup)}
+
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+rules(verdict, text, h, q) AS (VALUES
+  ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'), ('allow', 'www.example.com/en/', 'www.example.com', '/en/'),
+  ('block', 'net/es/', 'net', '/es/'), ('block', 'net/fr/', 'net', '/fr/')),
+urls AS (SELECT DISTINCT host, path FROM p),
+fit AS (
+  SELECT host, path, arg_max(text, length(text)) AS rule, arg_max(verdict, length(text)) AS verdict
+  FROM urls JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY host, path),
+m AS (
+  SELECT p.page_id, p.host, p.path, fit.rule, fit.verdict,
+    CASE WHEN length(p.host) - length(replace(p.host, '.', '')) >= 2 THEN regexp_extract(p.host, '([^.]*\\.[^.]*)$', 1) ELSE p.host END AS domain
+  FROM p LEFT JOIN fit ON p.host = fit.host AND p.path = fit.path),
+l AS (SELECT *, CASE WHEN contains(domain, '.') THEN regexp_replace(domain, '^[^.]*\\.', '') ELSE domain END AS suffix FROM m),
+h AS (SELECT host, count(*) FILTER (verdict = 'block') AS k, count(verdict) AS n FROM l GROUP BY host),
+d AS (SELECT domain, count(*) FILTER (verdict = 'block') AS k, count(verdict) AS n FROM l GROUP BY domain),
+s AS (SELECT suffix, count(*) FILTER (verdict = 'block') AS k, count(verdict) AS n FROM l GROUP BY suffix),
+r AS (SELECT count(*) FILTER (verdict = 'block') AS k, count(verdict) AS n FROM l),
+a AS (SELECT l.*, h.n AS hn, h.k AS hk, d.k AS dk, d.n AS dn, (s.k + 8.0::DOUBLE * ((r.k + 2.0::DOUBLE * 0.5) / (r.n + 2.0::DOUBLE))) / (s.n + 8.0::DOUBLE) AS ms
+  FROM l JOIN h USING (host) JOIN d USING (domain) JOIN s USING (suffix) CROSS JOIN r),
+b AS (SELECT *, (hk + 8.0::DOUBLE * ((dk + 8.0::DOUBLE * ms) / (dn + 8.0::DOUBLE))) / (hn + 8.0::DOUBLE) AS mean FROM a)
+SELECT page_id, host, path, rule,
+  coalesce(verdict, CASE WHEN mean - 1.645::DOUBLE * sqrt(mean * (1.0::DOUBLE - mean) / (hn + 9.0::DOUBLE)) >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM b
+"""
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score
+  FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+OP9_SQL = r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(len(w) - 34)) AS i FROM t WHERE len(w) >= 35),
+g AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i + 1, i + 35), ' ')) AS h FROM p),
+again AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS pos FROM g SEMI JOIN again USING (h)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM t),
+kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.pos) AS k, count(*) AS n FROM words ANTI JOIN gone ON words.doc_id = gone.doc_id AND words.pos = gone.pos GROUP BY words.doc_id)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM t LEFT JOIN kept ON t.doc_id = kept.doc_id
+"""
+
+#: Tokenizers, trained models, packing, decoding and linking have no SQL; tests hold them against plain versions.
+ORACLES = {"op3_url_reputation": OP3_SQL, "op7_topk": OP7_SQL, "op9_substring_dedup": OP9_SQL}

@@ -67,12 +67,12 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(col: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``most`` bytes each (or one row), to bound memory."""
+def slices(col: pa.Array, most: int = 4_000_000, rows: int = 500) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``most`` bytes (or one row) and ``rows`` rows each, to bound memory."""
     _, at = flat(col)
     i = 0
     while i < len(col):
-        j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
+        j = max(i + 1, min(i + rows, int(np.searchsorted(at, at[i] + most, "right")) - 1))
         yield i, j
         i = j
 
