@@ -31,18 +31,18 @@ def similar_pairs(rows: DataFrame, key: str, text: str, ratio: float) -> DataFra
     d >= (1 - t) * n edits are too many, so of the first n characters' cuts into floor((1 - t) * n) + 1
     pieces one must occur unchanged in the other text, near its place: pieces are the join keys."""
     longest = F.length(text)
-    r = rows.filter(longest > 0).select(F.col(key), F.col(text), longest.alias("n"))
+    r = rows.filter(longest > 0).select(F.col(key).alias("id"), F.col(text).alias("t"), longest.alias("n"))
     # A partner's length m is within [t n, n / t]; the edits allowed follow from the longer one.
     pieces = r.withColumn("m", F.explode(F.sequence(F.ceil(F.col("n") * ratio - 1e-9).cast("int"), F.floor(F.col("n") / ratio + 1e-9).cast("int"))))
     pieces = pieces.withColumn("k", F.floor((1 - ratio) * F.greatest("n", "m") + 1e-9).cast("int") + 1)
     short, long = pieces.filter("n <= m"), pieces.filter("n >= m")
     cut = lambda i: F.floor(i * F.col("n") / F.col("k")).cast("int")
-    left = short.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(F.col(key).alias("a"), F.col(text).alias("ta"), F.col("n").alias("na"), F.col("m").alias("nb"), "i", F.substr(F.col(text), cut(F.col("i")) + 1, cut(F.col("i") + 1) - cut(F.col("i"))).alias("piece"), "k")
+    left = short.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("n").alias("na"), F.col("m").alias("nb"), "i", F.substr(F.col("t"), cut(F.col("i")) + 1, cut(F.col("i") + 1) - cut(F.col("i"))).alias("piece"), "k")
     at = F.floor(F.col("i") * F.col("m") / F.col("k")).cast("int")
     size = F.floor((F.col("i") + 1) * F.col("m") / F.col("k")).cast("int") - at
     right = long.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     right = right.withColumn("at", F.explode(F.sequence(F.greatest(at - F.col("k") + 1, F.lit(0)), F.least(at + F.col("k") - 1, F.greatest(F.col("n") - size, F.lit(0))))))
-    right = right.select(F.col(key).alias("b"), F.col(text).alias("tb"), F.col("n").alias("nb"), F.col("m").alias("na"), "i", F.substr(F.col(text), F.col("at") + 1, size).alias("piece"))
+    right = right.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("n").alias("nb"), F.col("m").alias("na"), "i", F.substr(F.col("t"), F.col("at") + 1, size).alias("piece"))
     found = left.join(right, ["na", "nb", "i", "piece"]).filter("a != b").select(F.when(F.col("a") < F.col("b"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("a") < F.col("b"), F.col("b")).otherwise(F.col("a")).alias("b"), "ta", "tb")
     return found.dropDuplicates(["a", "b"]).filter(levenshtein_ratio(F.col("ta"), F.col("tb")) >= ratio - 1e-12).select("a", "b")
 

@@ -159,10 +159,11 @@ def map_filter_values(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT l_orderkey AS k, arg_max(l_extendedprice, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey) AS last_price FROM lineitem GROUP BY l_orderkey)
+WITH p AS (SELECT l_orderkey AS k, arg_max(l_extendedprice, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey) AS last_price FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, max(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY ALL) GROUP BY l_orderkey)
 SELECT o_orderkey, o_totalprice, last_price FROM orders LEFT JOIN p ON o_orderkey = k""")
 def left_lookup_join(t: Tables) -> DataFrame:
-    prices = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("last_price"), (F.col("l_linenumber") * F.lit(1000000000000) + F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("seq"))
+    lines = t.lineitem.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.max("l_extendedprice").alias("last_price"))
+    prices = lines.select(F.col("l_orderkey").alias("o_orderkey"), "last_price", (F.col("l_linenumber") * F.lit(1000000000000) + F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("seq"))
     return joins.left_lookup(t.orders.select("o_orderkey", "o_totalprice"), prices, ["o_orderkey"], ["last_price"], "seq")
 
 
