@@ -6,10 +6,11 @@ fills one fixed coordinate, so after 2t rounds none is empty, however small the
 agree with the chance of the sets' similarity, concentrated as for independent hashes. Bands of
 coordinates are bucket keys.
 
-Texts of equal shingle sets form one node. Buckets don't list all pairs: in some rounds one random
-member of a bucket is compared with the others, found links merge groups, and only then the pairs
-that are still in different groups are compared. Every pair that shares a bucket is so compared or already linked
-through others, and every link is confirmed on the full shingle sets."""
+Texts of equal shingle sets form one node. First one random member of each bucket is compared with
+the others, and found links merge groups. Of the buckets that still hold several groups, small ones
+list their pairs; large ones are cut into blocks, and a task compares two blocks by the matrix product
+of their shingle incidences, so that only links leave it. Every pair that shares a bucket is so
+compared or already linked through others, always on the full shingle sets."""
 
 from __future__ import annotations
 
@@ -147,7 +148,53 @@ def _pivots(members: DataFrame, turn: int) -> DataFrame:
     return members.join(drawn.select("key", F.col("p.node").alias("b"), F.col("p.n").alias("bn"), F.col("p.grp").alias("bg")), "key").filter("grp != bg").select(F.col("node").alias("a"), "b", "n", "bn")
 
 
-def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, t: int = 128, turns: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _block_links(table: pa.Table, words: int, percent: int, columns: int = 8192) -> pa.Table:
+    """The links between two blocks of one bucket (or within one), except those within a group."""
+    h, at = shingle_sets(pa.array([zlib.decompress(x).decode() for x in table.column("packed").to_pylist()], pa.large_string()), words)
+    node, grp, chunk = (table.column(c).to_numpy() for c in ("node", "grp", "chunk"))
+    lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+    row, (every, where, counts) = np.repeat(np.arange(len(node)), np.diff(at)), np.unique(h, return_inverse=True, return_counts=True)
+    use = counts[where] > 1  # others meet nowhere
+    row, where = row[use], where[use]
+    order = np.argsort(where, kind="stable")
+    row, where = row[order], where[order]
+    left, right = np.flatnonzero(chunk == lo), np.flatnonzero(chunk == hi)
+    place = np.zeros(len(node), np.int64)
+    place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+    common = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, len(every), columns):
+        i, j = np.searchsorted(where, [first, first + columns])
+        if i == j:
+            continue
+        r, c = row[i:j], where[i:j] - first
+        x = np.zeros((len(left), columns), np.float32)
+        y = x if lo == hi else np.zeros((len(right), columns), np.float32)
+        one, two = chunk[r] == lo, chunk[r] == hi
+        x[place[r[one]], c[one]] = 1
+        y[place[r[two]], c[two]] = 1
+        common += x @ y.T
+    n = np.diff(at)
+    both = n[left][:, None] + n[right][None, :] - common
+    linked = (100 * common.astype(np.int64) >= percent * both.astype(np.int64)) & (grp[left][:, None] != grp[right][None, :])
+    a, b = np.nonzero(linked)
+    return pa.table({"a": node[left[a]], "b": node[right[b]]})
+
+
+def _remaining_links(members: DataFrame, texts: DataFrame, words: int, percent: int, alike, small: int = 8, block: int = 256) -> DataFrame:
+    """Links between the groups of each bucket: pairs of buckets of up to ``small`` members, blocks of larger ones."""
+    sized = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "key")
+    few = sized.filter(F.col("c") <= small)
+    other = few.select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("grp").alias("bg"))
+    pairs = few.join(other, "key").filter("node < b and grp != bg").filter(alike).select(F.col("node").alias("a"), "b").distinct()
+    found = _verified(materialise(pairs, "pairs"), texts, words, percent)
+    many = sized.filter(F.col("c") > small).withColumn("k", F.ceil(F.col("c") / block).cast("int"))
+    many = many.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).join(texts, "node")
+    many = many.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("key", "node", "grp", "chunk", "packed", F.least("chunk", "to").alias("lo"), F.greatest("chunk", "to").alias("hi"))
+    blocks = many.groupBy("key", "lo", "hi").applyInArrow(lambda table: _block_links(table, words, percent), "a long, b long")
+    return found.unionByName(blocks).distinct()
+
+
+def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, t: int = 128, turns: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked whose sets of distinct ``words``-word shingles (A-Z lower-cased; fewer words:
@@ -169,25 +216,21 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, t: int = 128
     wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     texts = materialise(linked.select("node", "doc_id", "packed").join(wanted, ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "packed"), "texts")
     alike = F.least("n", "bn") * 100 >= F.greatest("n", "bn") * percent
-    links, groups, tried = None, None, None
+    links, groups = None, None
     for turn in range(turns + 1):
         now = members.withColumn("grp", F.col("node")) if groups is None else members.join(groups, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("grp"))
         if turn:
-            now = materialise(now, "members")
             # Only buckets that still hold several groups matter.
+            now = materialise(now, "members")
             several = now.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low != high").select("key")
             now = materialise(now.join(several, "key"), "members")
         if turn < turns:
             pairs = _pivots(now, turn).filter(alike)
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            found = _verified(materialise(pairs, "pairs"), texts, words, percent)
         else:
-            other = now.select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("grp").alias("bg"))
-            pairs = now.join(other, "key").filter("node < b and grp != bg").filter(alike).select(F.col("node").alias("a"), "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = materialise(_verified(pairs, texts, words, percent), "found")
+            found = _remaining_links(now, texts, words, percent, alike)
+        found = materialise(found, "found")
         if not found.limit(1).count():
             continue
         links = found if links is None else links.unionByName(found)
