@@ -1,9 +1,9 @@
 """Toxicity by a counterfactually regularised linear classifier on words and word stems.
 
 Features are the presence of a word or of a word's first 4, 5 or 6 bytes. Labelled sentences that
-mention a group are paired with a copy in which the mention is swapped for another of its kind, and
-the squared change of the score's logit is penalised: what the classifier learns can't rest on which
-group is named."""
+mention a group are paired with copies in which the mention is swapped: for another of its kind, and
+for a neutral word that has no features. The squared change of the score's logit is penalised, so
+what the classifier learns rests neither on which group is named nor on a group's being named."""
 
 from __future__ import annotations
 
@@ -71,7 +71,7 @@ class Model:
         return out
 
 
-def train(sets: list[np.ndarray], swapped: list[np.ndarray | None], y: np.ndarray, fairness: float, always: np.ndarray, max_features: int = 4096, min_docs: int = 3, min_z: float = 3.0, decay: float = 1e-3, steps: int = 400) -> Model:
+def train(sets: list[np.ndarray], swapped: list[list[np.ndarray]], y: np.ndarray, fairness: float, always: np.ndarray, max_features: int = 4096, min_docs: int = 3, min_z: float = 3.0, decay: float = 1e-3, steps: int = 400) -> Model:
     """Logistic regression on the presence of features that mark the label, classes weighed alike.
 
     A feature must occur in ``min_docs`` documents of label 1 and be commoner there by ``min_z``
@@ -96,8 +96,8 @@ def train(sets: list[np.ndarray], swapped: list[np.ndarray | None], y: np.ndarra
         return x
 
     x = matrix(sets)
-    pairs = [i for i, s in enumerate(swapped) if s is not None]
-    change = matrix([sets[i] for i in pairs]) - matrix([swapped[i] for i in pairs]) if pairs else np.zeros((0, len(codes)), np.float32)
+    pairs = [(i, s) for i, copies in enumerate(swapped) for s in copies]
+    change = matrix([sets[i] for i, _ in pairs]) - matrix([s for _, s in pairs]) if pairs else np.zeros((0, len(codes)), np.float32)
     each = np.where(y == 1, 0.5 / n1, 0.5 / n0).astype(np.float32)
     w, b = np.zeros(len(codes), np.float32), np.float32(0)
     m, v = np.zeros(len(codes) + 1, np.float32), np.zeros(len(codes) + 1, np.float32)
@@ -147,18 +147,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, fairness: floa
                         other = own.copy()
                         for at in named:
                             other[:, at] = known[int(own[0, at])][1]
-                        swaps.append(np.unique(other).tobytes())
+                        swaps.append([np.unique(other).tobytes(), np.unique(np.delete(own, named, axis=1)).tobytes()])
                     else:
-                        swaps.append(None)
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), pa.array(swaps, pa.binary()), b.column("y")], ["features", "swapped", "y"])
+                        swaps.append([])
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), pa.array(swaps, pa.list_(pa.binary())), b.column("y")], ["features", "swapped", "y"])
 
-    got = rows.mapInArrow(vectors, "features binary, swapped binary, y int").toArrow()  # at most 2 * max_docs rows
+    got = rows.mapInArrow(vectors, "features binary, swapped array<binary>, y int").toArrow()  # at most 2 * max_docs rows
     y = got.column("y").to_numpy()
     if len(set(y.tolist())) < 2:
         return None
-    as_codes = lambda raw: None if raw is None else np.frombuffer(raw, np.uint64)
+    as_codes = lambda raw: np.frombuffer(raw, np.uint64)
     always = np.unique(np.concatenate([c for c in code_of.values()] or [np.zeros(0, np.uint64)]))
-    return train([as_codes(r) for r in got.column("features").to_pylist()], [as_codes(r) for r in got.column("swapped").to_pylist()], y, fairness, always)
+    return train([as_codes(r) for r in got.column("features").to_pylist()], [[as_codes(r) for r in copies] for copies in got.column("swapped").to_pylist()], y, fairness, always)
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
