@@ -23,7 +23,7 @@ _ready: dict[str, MemoTokenizer] = {}
 class MemoTokenizer:
     """``encode(texts)``: each text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, most: int = 350_000):
+    def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
