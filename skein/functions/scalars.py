@@ -150,3 +150,59 @@ def containment(a: Column, b: Column) -> Column:
 def link_kind(target: Column) -> Column:
     """The first rule that fits a wiki link's target."""
     return F.when(target.startswith("http"), "external").when(target.startswith("src/"), "source").when(target.startswith("modules/"), "module").when(target.startswith("project/"), "project").when(target.startswith("schema/"), "schema").otherwise("name")
+
+
+def github_slug(path: Column) -> Column:
+    """``owner/repo`` of a module path on github.com, or on gopkg.in without its version; else null."""
+    direct = F.regexp_replace(F.regexp_extract(path, r"^github\.com/([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+?)(?:/|$|v\d+)", 1), r"\.git$", "")
+    mapped = F.regexp_extract(path, r"^gopkg\.in/([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+?)(?:\.v\d+)?$", 1)
+    return F.nullif(falsy_coalesce(direct, mapped), F.lit(""))
+
+
+def priority_get(urls: Column, keys: list[str]) -> Column:
+    """The first non-empty value of a map by the keys' order, else any other non-empty value (the least), else empty."""
+    rest = F.array_min(F.filter(F.map_values(urls), lambda v: v.isNotNull() & (v != "")))
+    return F.trim(F.coalesce(*[F.nullif(F.try_element_at(urls, F.lit(k)), F.lit("")) for k in keys], rest, F.lit("")))
+
+
+def version_count_score(versions: Column, released_ms: Column, now_ms: int) -> Column:
+    """Half a count of versions per hundred, half recency by the age in days as a fraction; no date counts as old."""
+    age = F.greatest((F.lit(now_ms) - released_ms) / 86_400_000, F.lit(0.0))
+    recency = F.when(released_ms.isNull(), 0.1).when(age <= 30, 0.3).when(age <= 365, 0.2).otherwise(0.1)
+    return F.least(versions / 100 * 0.5 + recency * 0.5, F.lit(1.0))
+
+
+def iso_from_ms(ms: Column) -> Column:
+    return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def runtime_compatibility(src_async: Column, dst_async: Column, src_safe: Column, dst_safe: Column) -> Column:
+    """1, less 0.5 for async onto sync and 0.2 where thread safety differs."""
+    return F.lit(1.0) - F.when(src_async & ~dst_async, 0.5).otherwise(0.0) - F.when(src_safe != dst_safe, 0.2).otherwise(0.0)
+
+
+def weighted_compatibility(io: Column, formats: Column, errors: Column, shape: Column, runtime: Column, license_score: Column) -> Column:
+    return io * 0.25 + formats * 0.25 + errors * 0.15 + shape * 0.15 + runtime * 0.10 + license_score * 0.10
+
+
+def return_transform(src: Column, dst: Column, same_lang: Column) -> Column:
+    """How a return value is carried over: identity, decode, encode, bridge or cast."""
+    s, d = F.trim(F.lower(src)), F.trim(F.lower(dst))
+    texts, raw = ("str", "string", "&str", "string?", "string!"), ("bytes", "vec<u8>", "byte[]")
+    return (
+        F.when(s == d, "identity").when(s.isin(*texts) & d.isin(*texts), "identity").when(F.contains(s, F.lit("json")) & F.contains(d, F.lit("json")), "identity")
+        .when(s.isin(*raw) & d.isin("str", "string"), "decode").when(s.isin("str", "string") & d.isin(*raw), "encode").when(~same_lang, "bridge").otherwise("cast")
+    )
+
+
+def direction_score(has_pair: Column, has_src: Column, has_dst: Column, has_strategy: Column, has_mappings: Column) -> Column:
+    """How clear an integration's direction is, from which parts of it are given."""
+    part = lambda c, w: F.when(c, F.lit(w)).otherwise(F.lit(0.0))
+    return F.least(part(has_pair, 0.3) + part(has_src, 0.2) + part(has_dst, 0.2) + part(has_strategy, 0.15) + part(has_mappings, 0.15), F.lit(1.0))
+
+
+def label_string(values: Column, labels: dict[str, str], drop: list[str]) -> Column:
+    """A map's entries by key as ``label value``, without null and dropped values, two spaces apart."""
+    table = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    kept = F.filter(F.array_sort(F.map_entries(values)), lambda e: e["value"].isNotNull() & ~e["value"].isin(*drop))
+    return F.array_join(F.transform(kept, lambda e: F.concat(F.coalesce(F.try_element_at(table, e["key"]), e["key"]), e["value"])), "  ")

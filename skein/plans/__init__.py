@@ -1 +1,5 @@
+"""The library's queries over the test tables."""
 
+from . import compatibility, queries
+
+__all__ = ["compatibility", "queries"]
