@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import roomy
 from .words import U, Words, mix, slices
 
 #: Positions marked 1 are hashed. Three masks of six positions each.
@@ -154,7 +155,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13, share
                     cols = list(zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(cols[0])), pa.array([block.ids[k] for k in cols[1]]), *(pa.array(c, pa.int64()) for c in cols[2:])], ["doc_id", "item_id", "first_word", "n_words", "n_matching"])
 
-        part = rows.mapInArrow(run, schema)
+        part = rows.mapInArrow(roomy(run), schema)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -170,5 +171,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_overlap: int =
                 keep[[row for row, *_ in hits(b.column(text_col), sent.value, min_overlap, share)]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(roomy(run), docs.schema)
     return docs

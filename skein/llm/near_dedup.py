@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialise
+from .shared import materialise, roomy
 from .words import U, mix, shingle_sets, slices
 
 FULL = U(2**64 - 1)
@@ -96,7 +96,7 @@ def _profile(docs: DataFrame, words: int, t: int, r: int) -> DataFrame:
                 packed = [zlib.compress(x.encode(), 1) if c else b"" for x, c in zip(part.to_pylist(), n, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(node), bands, pa.array(packed, pa.binary())], ["doc_id", "n_shingles", "node", "bands", "packed"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, bands array<long>, packed binary")
+    return docs.mapInArrow(roomy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, bands array<long>, packed binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -122,7 +122,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("pa")), "a")
-    return left.join(texts.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
+    return left.join(texts.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b").select("a", "b", "pa", "pb").mapInArrow(roomy(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

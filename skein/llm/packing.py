@@ -97,16 +97,16 @@ class Packer:
             self.close(window)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = 1024, max_open: int = 4096, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = 1024, max_open: int = 4096, with_ids: bool = True, memo_words: int = 700_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packs every whole text's ids and ``end_id`` into sequences of at most ``size`` tokens: one row per piece.
 
     Null or empty text: the end id alone. Null or repeated ids are packed like others. ``max_open``
-    bounds the windows that a task keeps open. An empty table gives no rows. Other columns are not
+    bounds the windows that a task keeps open, ``memo_words`` what its tokenizer remembers. An empty table gives no rows. Other columns are not
     read. ``with_ids`` adds each piece's ids as little-endian 32-bit integers."""
     fields = [*FIELDS, IDS] if with_ids else FIELDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, packer = memo_tokenizer(tokenizer_path), Packer(size, max_open)
+        tokenizer, packer = memo_tokenizer(tokenizer_path, memo_words), Packer(size, max_open)
         first, end = TaskContext.get().partitionId() * PER_TASK, np.array([end_id], "<u4").tobytes()
 
         def out() -> pa.RecordBatch:

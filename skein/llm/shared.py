@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,6 +26,30 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def make_room() -> None:
+    """Gives back memory that this process no longer needs. A worker serves one operator after the
+    other: at its start an operator drops the tokenizers that an earlier one kept."""
+    if tokenizing := sys.modules.get("skein.llm.tokenizing"):
+        tokenizing.forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def roomy(fn: Callable) -> Callable:
+    """``fn`` over a task's batches, with memory given back before and after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
+        yield from fn(batches)
+        make_room()
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's
     checkpoint folder. Where neither is set (tests, one machine) a temporary folder is set."""

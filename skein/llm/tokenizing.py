@@ -17,7 +17,7 @@ _CONTROL = re.compile(r"[\x1c-\x1f]")
 #: Characters beyond these may be normalised together with their neighbours: such texts go through the library whole.
 _UNSAFE = re.compile(r"[^\n\x20-\x7e\xa1-\xac\xae-\u012f\u0132-\u017f\u0410-\u044f\u4e00-\u9fff]")
 _PUNCTUATION = frozenset(".,;:!?")
-_ready: dict[str, MemoTokenizer] = {}
+_ready: dict[tuple[str, int], MemoTokenizer] = {}
 
 
 class MemoTokenizer:
@@ -125,11 +125,15 @@ class MemoTokenizer:
         return [b"".join([memo[c] for c in x]) for x in chunked]
 
 
-def memo_tokenizer(path: str) -> MemoTokenizer:
-    """The process's tokenizer for this file."""
-    if path not in _ready:
-        _ready[path] = MemoTokenizer(path)
-    return _ready[path]
+def memo_tokenizer(path: str, most: int = 700_000) -> MemoTokenizer:
+    """The process's tokenizer for this file, which remembers at most twice ``most`` chunks."""
+    if (path, most) not in _ready:
+        _ready[path, most] = MemoTokenizer(path, most)
+    return _ready[path, most]
+
+
+def forget() -> None:
+    _ready.clear()
 
 
 def groups(texts: list, most: int = 2_000_000):

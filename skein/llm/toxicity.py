@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_and_text
+from .shared import id_and_text, make_room, roomy
 from .words import U, Words, slices
 
 #: Group mentions that may be swapped for one another, by kind.
@@ -71,17 +71,25 @@ class Model:
         return out
 
 
-def train(sets: list[np.ndarray], swapped: list[list[np.ndarray]], y: np.ndarray, fairness: float, always: np.ndarray, max_features: int = 4096, min_docs: int = 3, min_z: float = 3.0, decay: float = 1e-3, steps: int = 400) -> Model:
+def train(sets: list[np.ndarray], swapped: list[list[np.ndarray]], y: np.ndarray, fairness: float, always: np.ndarray, max_features: int = 2048, min_docs: int = 3, min_z: float = 3.0, decay: float = 1e-3, steps: int = 400) -> Model:
     """Logistic regression on the presence of features that mark the label, classes weighed alike.
 
     A feature must occur in ``min_docs`` documents of label 1 and be commoner there by ``min_z``
     standard errors; ``always`` (codes of group mentions) takes part regardless. ``fairness`` weighs
     the mean squared logit change over the swapped copies."""
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    every, inverse = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    k1 = np.bincount(inverse[y[row] == 1], minlength=len(every))
-    k0 = np.bincount(inverse[y[row] == 0], minlength=len(every))
+    def documents_with(label: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(np.concatenate([np.zeros(0, np.uint64), *(s for s, v in zip(sets, y, strict=True) if v == label)]), return_counts=True)
+
+    # Only what occurs with label 1 can mark it.
+    every, k1 = documents_with(1)
+    others, k = documents_with(0)
+    k0 = np.zeros(len(every), np.int64)
+    at = np.searchsorted(every, others)
+    same = at < len(every)
+    same[same] = every[at[same]] == others[same]
+    k0[at[same]] = k[same]
+    del others, k
     p = (k1 + k0 + 1) / (n1 + n0 + 2)
     z = (k1 / n1 - k0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
     good = np.flatnonzero((k1 >= min_docs) & (z >= min_z))
@@ -113,7 +121,7 @@ def train(sets: list[np.ndarray], swapped: list[list[np.ndarray]], y: np.ndarray
     return Model(codes, w.astype(np.float64), float(b)).ready()
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, fairness: float = 1.0, identity_terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, fairness: float = 1.0, identity_terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """Learns from ``labels`` (id, 0/1) of ``docs``. None where a class has no document.
 
     Null labels and texts are left out; of several labels of an id the highest counts. ``max_docs``
@@ -152,13 +160,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, fairness: floa
                         swaps.append([])
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), pa.array(swaps, pa.list_(pa.binary())), b.column("y")], ["features", "swapped", "y"])
 
-    got = rows.mapInArrow(vectors, "features binary, swapped array<binary>, y int").toArrow()  # at most 2 * max_docs rows
+    got = rows.mapInArrow(roomy(vectors), "features binary, swapped array<binary>, y int").toArrow()  # at most 2 * max_docs rows
     y = got.column("y").to_numpy()
     if len(set(y.tolist())) < 2:
         return None
-    as_codes = lambda raw: np.frombuffer(raw, np.uint64)
+    as_codes = lambda raw: np.frombuffer(raw.as_buffer(), np.uint64)  # noqa: E731  without a copy
     always = np.unique(np.concatenate([c for c in code_of.values()] or [np.zeros(0, np.uint64)]))
-    return train([as_codes(r) for r in got.column("features").to_pylist()], [[as_codes(r) for r in copies] for copies in got.column("swapped").to_pylist()], y, fairness, always)
+    model = train([as_codes(r) for r in got.column("features")], [[as_codes(r) for r in copies.values] if len(copies.values) else [] for copies in got.column("swapped")], y, fairness, always)
+    del got
+    make_room()
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,7 +185,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.7, id_col:
             p = np.zeros(b.num_rows) if m is None else 1 / (1 + np.exp(-np.clip(m.logits(b.column("text")), -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    return rows.mapInArrow(roomy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
 def reject_toxic(docs: DataFrame, model: Model | None, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
@@ -188,4 +199,4 @@ def reject_toxic(docs: DataFrame, model: Model | None, threshold: float = 0.7, t
             p = 1 / (1 + np.exp(-np.clip(sent.value.logits(b.column(text_col)), -30, 30)))
             yield b.filter(pa.array(p < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(roomy(run), docs.schema)

@@ -67,7 +67,7 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def slices(col: pa.Array, most: int = 4_000_000, rows: int = 500) -> Iterator[tuple[int, int]]:
+def slices(col: pa.Array, most: int = 2_000_000, rows: int = 500) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` bytes (or one row) and ``rows`` rows each, to bound memory."""
     _, at = flat(col)
     i = 0
