@@ -33,8 +33,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 1024 tokens, with their ids."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    """The pieces of all documents in sequences of at most 1024 tokens, with their ids. The tokenizer
+    remembers fewer words than by default, as its workers have served the other stages."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, memo_words=250_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("decontamination", drop_benchmark), ("secrets", redact_secrets), ("packing", pack)]
