@@ -1,9 +1,10 @@
 """Benchmark decontamination by spaced-seed hashes.
 
 A seed is a fixed mask over consecutive words; only the positions it selects are hashed, so a hit
-survives substitutions at the others. Hashes of the benchmark's words are joined with those of the
-documents inside each task; around a hit the document and the item are compared word by word along
-the same alignment, and an overlap counts if it is long enough with few substitutions."""
+survives substitutions at the others. The masks are chosen so that every overlap that counts has a
+hit. Hashes of the benchmark's words are joined with those of the documents inside each task; around
+a hit the document and the item are compared word by word along the same alignment, and an overlap
+counts if it is long enough with few substitutions."""
 
 from __future__ import annotations
 
@@ -19,12 +20,22 @@ from pyspark.sql import functions as F
 from .shared import roomy
 from .words import U, Words, mix, slices
 
-#: Positions marked 1 are hashed. Three masks of six positions each.
-MASKS = ("1101100101", "1011010011", "111011001")
-SPAN = max(map(len, MASKS))
 BITS = 22
 
 
+def masks(lengths: range, share: float) -> tuple[str, ...]:
+    """Masks (1: hashed) of which one fits onto matching words in every range of these lengths whose share agrees.
+
+    k substitutions leave k + 1 runs, the longest of at least ceil((n - k) / (k + 1)) words. Where all n
+    that allow no more than the least such run r fill every run exactly, all runs are longer somewhere
+    or two runs of r words stand one word apart."""
+    can = [(n, int((1 - share) * n + 1e-9)) for n in lengths]
+    r = min(-(-(n - k) // (k + 1)) for n, k in can)
+    if r > 0 and all(k and n - k == r * (k + 1) for n, k in can if -(-(n - k) // (k + 1)) == r):
+        return "1" * (r + 1), "1" * r + "0" + "1" * r
+    return ("1" * max(r, 1),)
+
+
 def _seed(hashes: np.ndarray, mask: str) -> np.ndarray:
     """The mask's hash at each start from which it fits into the array (of several texts in a row)."""
     n = len(hashes) - len(mask) + 1
@@ -58,13 +69,14 @@ def _lower(col: pa.Array) -> pa.Array:
     return pc.utf8_lower(col.cast(pa.large_string()))
 
 
-def make_block(ids: list, texts: list[str]) -> Block:
+def make_block(ids: list, texts: list[str], min_overlap: int, share: float) -> Block:
     w = Words(_lower(pa.array(texts, pa.large_string())), alnum=True)
-    masks = list(MASKS)
+    every: list[str] = []
     seeds, item, pos = [], [], []
+    long = masks(range(min_overlap, 2 * min_overlap), share)  # longer ranges have a part of such a length that agrees as well
     for n, (a, b) in enumerate(zip(w.rows[:-1], w.rows[1:], strict=True)):
-        own = MASKS if b - a >= SPAN else ["1" * int(b - a)]  # short items: all of their words
-        masks += [m for m in own if m not in masks]
+        own = long if b - a > min_overlap else masks(range(b - a, b - a + 1), share)
+        every += [m for m in own if m not in every]
         for m in own:
             h = _seed(w.hash[a:b], m)
             seeds.append(h)
@@ -74,10 +86,10 @@ def make_block(ids: list, texts: list[str]) -> Block:
     order = np.argsort(seeds, kind="stable")
     bits = np.zeros(1 << BITS, bool)
     bits[(seeds & U((1 << BITS) - 1)).astype(np.int64)] = True
-    return Block(ids, w.rows, w.hash, seeds[order], item[order], pos[order], masks, bits)
+    return Block(ids, w.rows, w.hash, seeds[order], item[order], pos[order], every, bits)
 
 
-def blocks(benchmark: DataFrame, min_words: int, block_chars: int, id_col: str, text_col: str) -> list[Block]:
+def blocks(benchmark: DataFrame, min_overlap: int, share: float, min_words: int, block_chars: int, id_col: str, text_col: str) -> list[Block]:
     """The benchmark in blocks of about ``block_chars`` characters, which bounds what is sent at once."""
     items = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -87,20 +99,34 @@ def blocks(benchmark: DataFrame, min_words: int, block_chars: int, id_col: str,
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).distinct().collect()
         long = [r for r in sorted(part, key=lambda r: (str(r.item_id), r.text)) if np.diff(Words(_lower(pa.array([r.text])), alnum=True).rows)[0] >= min_words]
         if long:
-            out.append(make_block([r.item_id for r in long], [r.text for r in long]))
+            out.append(make_block([r.item_id for r in long], [r.text for r in long], min_overlap, share))
     return out
 
 
 def _longest(match: np.ndarray, share: float) -> tuple[int, int]:
-    """The longest range in which at least ``share`` of positions match, cut to matches at its ends."""
+    """The longest range that begins and ends with matches and in which at least ``share`` of positions match."""
+    if not match.any():
+        return 0, 0
     steps = np.where(match, 1 - share, -share)
     p = np.concatenate([[0.0], np.cumsum(steps)]) + 1e-9 * np.arange(len(match) + 1)
-    low = np.minimum.accumulate(p)
-    begin = np.searchsorted(-low, -p, side="left")
-    j = int(np.argmax(np.arange(len(p)) - begin))
-    i = int(begin[j])
-    hit = np.flatnonzero(match[i:j])
-    return (i + int(hit[0]), i + int(hit[-1]) + 1) if len(hit) else (0, 0)
+    low = np.minimum.accumulate(np.where(match, p[:-1], np.inf))
+    begin = np.searchsorted(-low, -p[1:], side="left")
+    j = int(np.argmax(np.where(match, np.arange(1, len(p)) - begin, 0)))
+    return int(begin[j]), j + 1
+
+
+def _agreeing(at: np.ndarray, n: np.ndarray, own: np.ndarray, where: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """How many of ``n`` words from ``at`` in ``own`` equal those from ``where`` in ``words``, for each row."""
+    out, ends = np.zeros(len(n), np.int64), np.cumsum(n)
+    i = 0
+    while i < len(n):
+        before = ends[i] - n[i]
+        j = max(i + 1, int(np.searchsorted(ends, before + (1 << 21), "right")))  # bounded memory
+        k = np.arange(ends[j - 1] - before) - np.repeat(ends[i:j] - n[i:j] - before, n[i:j])
+        same = own[np.repeat(at[i:j], n[i:j]) + k] == words[np.repeat(where[i:j], n[i:j]) + k]
+        out[i:j] = np.bincount(np.repeat(np.arange(j - i), n[i:j]), same, j - i)
+        i = j
+    return out
 
 
 def hits(col: pa.Array, block: Block, min_overlap: int, share: float) -> Iterator[tuple[int, int, int, int, int]]:
@@ -121,30 +147,38 @@ def hits(col: pa.Array, block: Block, min_overlap: int, share: float) -> Iterato
                 p = np.repeat(at, n)
                 found.append(np.stack([row_of[p], block.item[k], p - w.rows[row_of[p]] - block.pos[k]], axis=1))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for row, item, shift in np.unique(np.concatenate(found), axis=0).tolist() if found else []:
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+        row, item, shift = pairs.T
+        size, begin = np.diff(block.at)[item], np.maximum(0, -shift)
+        n = np.minimum(size, np.diff(w.rows)[row] - shift) - begin
+        least = np.minimum(min_overlap, size)
+        agree = _agreeing(w.rows[row] + shift + begin, n, w.hash, block.at[item] + begin, block.words)
+        for row, item, shift in pairs[(n >= least) & (agree >= share * least - 1e-9)].tolist():
             own = w.hash[w.rows[row] : w.rows[row + 1]]
             words = block.words[block.at[item] : block.at[item + 1]]
             a, b = max(0, -shift), min(len(words), len(own) - shift)
             match = own[shift + a : shift + b] == words[a:b]
-            x, y = _longest(match, share)
-            if y - x >= min(min_overlap, len(words)) and y - x > best.get((row, item), (0, 0, 0))[1]:
-                best[row, item] = (shift + a + x, y - x, int(match[x:y].sum()))
-        for (row, item), what in best.items():
-            yield (i + row, item, *what)
+            x, y = _longest(match, share) if len(words) > min_overlap else (0, len(words))
+            new = y - x, int(match[x:y].sum()), shift + a + x
+            if y - x >= min(min_overlap, len(words)) and new[:2] > best.get((row, item), (0, 0))[:2]:
+                best[row, item] = new
+        for (row, item), (size, matching, first) in best.items():
+            yield (i + row, item, first, size, matching)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13, share: float = 0.8, min_words: int = 5, block_chars: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Contaminated documents only, one row per document and item: doc_id, item_id, first_word, n_words, n_matching.
 
-    An overlap has at least ``min_overlap`` words (or the whole of a shorter item), of which ``share``
-    agree. Words are runs of letters and digits in lower case. Items with fewer than ``min_words``
+    An overlap is a range of at least ``min_overlap`` words that begins and ends with words that agree, or
+    the whole of an item that has no more words, whatever its ends; ``share`` of its words agree. None is
+    missed. The longest is given, of those the one with most words that agree. Words are runs of letters and digits in lower case. Items with fewer than ``min_words``
     words and null texts match nothing; repeated rows are reported each. Whole texts are searched,
     against the benchmark in blocks; every block meets every document. Empty tables give no rows."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema[item_id_col].dataType.simpleString()}, first_word long, n_words long, n_matching long"
     out = None
-    for block in blocks(benchmark, min_words, block_chars, item_id_col, item_text_col):
+    for block in blocks(benchmark, min_overlap, share, min_words, block_chars, item_id_col, item_text_col):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -162,7 +196,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13, share
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13, share: float = 0.8, min_words: int = 5, block_chars: int = 2_000_000, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that :func:`overlaps` wouldn't report."""
-    for block in blocks(benchmark, min_words, block_chars, item_id_col, item_text_col):
+    for block in blocks(benchmark, min_overlap, share, min_words, block_chars, item_id_col, item_text_col):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

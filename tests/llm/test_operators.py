@@ -247,6 +247,41 @@ def test_decontamination_finds_passages_and_spares_clean_texts(spark):
     assert decontaminate.overlaps(docs, bench.limit(0)).count() == 0 and decontaminate.overlaps(docs.limit(0), bench).count() == 0
 
 
+def substituted(n, share=0.8):
+    """Every pattern of matches over n words with as many substitutions as the share allows."""
+    for gone in itertools.combinations(range(n), int((1 - share) * n + 1e-9)):
+        yield np.array([i not in gone for i in range(n)])
+
+
+def test_decontamination_seeds_hit_every_pattern():
+    hit = lambda m, ones: any(m[i:][[j for j, c in enumerate(ones) if c == "1"]].all() for i in range(len(m) - len(ones) + 1))
+    long = decontaminate.masks(range(13, 26), 0.8)
+    for n in range(13, 22):
+        assert all(any(hit(m, ones) for ones in long) for m in substituted(n)), n
+    for n in range(1, 14):
+        for share in (0.8, 0.7, 1.0):
+            assert all(any(hit(m, ones) for ones in decontaminate.masks(range(n, n + 1), share)) for m in substituted(n, share)), (n, share)
+
+
+def test_decontamination_finds_every_substitution():
+    for n in (5, 6, 7, 8, 9, 10, 11, 12, 13, 15, 16):
+        item = [f"w{i}" for i in range(40 if n > 13 else n)]
+        block = decontaminate.make_block([1], [" ".join(item)], 13, 0.8)
+        patterns = [m for m in substituted(n) if n <= 13 or m[0] and m[-1]]
+        texts = [" ".join(["a", "b", *[x if ok else "zzz" for x, ok in zip(item[:n], m, strict=True)], "c"]) for m in patterns]
+        assert [r[:5] for r in decontaminate.hits(pa.array(texts), block, 13, 0.8)] == [(i, 0, 2, n, int(m.sum())) for i, m in enumerate(patterns)], n
+        once_more = [" ".join(["b", *[x if ok and i != int(np.argmax(m)) else "zzz" for i, (x, ok) in enumerate(zip(item[:n], m, strict=True))], "c"]) for m in patterns if n <= 13]
+        assert not list(decontaminate.hits(pa.array(once_more, pa.string()), block, 13, 0.8))
+
+
+def test_longest_overlap_is_exact():
+    rnd = np.random.default_rng(2)
+    for _ in range(300):
+        m = rnd.random(rnd.integers(1, 40)) < 0.75
+        x, y = decontaminate._longest(m, 0.8)
+        assert y - x == max([j - i for i in range(len(m)) for j in range(i + 1, len(m) + 1) if m[i] and m[j - 1] and m[i:j].mean() >= 0.8 - 1e-9], default=0)
+
+
 def test_longest_overlap_equals_brute_force():
     rnd = np.random.default_rng(1)
     for _ in range(200):
