@@ -544,8 +544,8 @@ def mapping_score(t: Tables) -> DataFrame:
 
 @query()
 def greedy_match(t: Tables) -> DataFrame:
-    small = t.part.filter("p_partkey < 2000").select("p_brand", "p_partkey", "p_name", "p_type")
-    src, dst = small.filter("p_partkey % 2 = 0"), small.filter("p_partkey % 2 = 1")
+    parts = t.part.select("p_brand", "p_partkey", "p_name", "p_type")
+    src, dst = parts.filter("p_partkey % 2 = 0"), parts.filter("p_partkey % 2 = 1")
     return matching.greedy_match(matching.similarity_pairs(src, dst, ["p_brand"], "p_name", "p_partkey"), ["p_brand"], "src", "dst", "similarity")
 
 

@@ -108,6 +108,22 @@ def test_greedy_match_takes_sources_in_order(spark):
     assert sorted((r.g, r.s, r.d) for r in got.collect()) == [("g", 1, 1), ("g", 3, 2)]
 
 
+def test_greedy_match_query_takes_all_parts(spark, tmp_path):
+    names = ["small ring", "red_bolt", "red bolts", "ring", "widget", "zzz"]
+    parts = [(1990 + i, f"b{i % 3}", names[i * i % 5 if i % 4 else i % 6], "t") for i in range(40)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    pairs = [(a[1], a[0], b[0], a[2], b[2]) for a in parts for b in parts if a[1] == b[1] and a[0] % 2 == 0 and b[0] % 2 == 1]
+    scored = spark.createDataFrame(pairs, "g string, s long, d long, x string, y string").withColumn("score", S.name_similarity(F.col("x"), F.col("y"))).collect()
+    want, done, taken = [], set(), set()
+    for r in sorted(scored, key=lambda r: (r.s, -r.score, r.d)):
+        if r.score >= 0.3 and r.s not in done and r.d not in taken:
+            done.add(r.s)
+            taken.add(r.d)
+            want.append((r.s, r.d))
+    got = sorted((r.src, r.dst) for r in library.QUERIES["greedy_match"](spark, str(tmp_path)).collect())
+    assert got == sorted(want) and max(s for s, _ in got) >= 2000
+
+
 def test_heading_chain_is_a_stack(spark):
     df = spark.createDataFrame([("f", "# A\n### B\n## C\n### D\n# <!-- t -->\n# E\n## F")], "path string, content string")
     assert [r.chain for r in extract.headings(df).orderBy("pos").collect()] == [["A"], ["A", "B"], ["A", "C"], ["A", "C", "D"], ["E"], ["E", "F"]]
