@@ -1,11 +1,12 @@
 """Exact top-k inner products by sequential reads of sorted lists, without random access.
 
-Each task holds a block of vectors and, for each component, that component's list sorted by value.
-Lists are read in steps from the end that a query's sign prefers. What has been read gives every
-vector a lower and an upper score bound: unread components count as the list's far end or as the last
-value read. A query stops when no vector outside its k best can have a higher upper bound than their
-lowest lower bound; only the vectors that can still qualify then get their final scores. The bounds
-of all vectors and queries at one depth are matrix products over the values read so far."""
+Each task holds a block of vectors and, for each component, that component's list of rows sorted by
+value. For a query all lists are read side by side, a step at a time, from the end that the sign of
+the query's component prefers. What has been read gives every vector an upper score bound: a
+component not read yet counts as the last value read from its list. After each step the best placed
+vectors get their final scores; the k-th best final score so far, in this block or an earlier one,
+is a lower bound of what qualifies. Reading stops when few vectors, or none, can still reach it, and
+only those get their final scores."""
 
 from __future__ import annotations
 
@@ -19,9 +20,10 @@ from pyspark.sql.window import Window
 
 from .shared import materialise
 
-#: Shares of the lists that are read before the bounds are looked at again.
-DEPTHS = (0.25, 0.6)
-EXACT = float(2**53)
+#: The shares of the lists up to which the steps read.
+DEPTHS = (0.3, 0.45, 0.55, 0.65, 0.75, 0.85, 0.95, 1.0)
+#: Integers from here on aren't exact as floats; scores are kept within the range of long.
+EXACT, LONG = float(2**53), 2**63
 
 
 def _matrix(col: pa.Array, width: int) -> np.ndarray:
@@ -36,42 +38,72 @@ def _matrix(col: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Integer inner products; beyond 2**53 in Python's integers."""
-    if x.size and q.size and np.abs(x).max() * np.abs(q).max() * x.shape[1] >= EXACT:
-        return np.array([[sum(int(a) * int(b) for a, b in zip(r, s, strict=True)) for r in x] for s in q], dtype=object)
-    return (q @ x.T).astype(np.int64)
-
-
-def nra(x: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray) -> list[np.ndarray]:
-    """For each query the rows of ``x`` that may be among its k best: a superset of them, few if the bounds bite.
-
-    ``floor``: for each query a score that k vectors read earlier have reached; lower ones can't qualify."""
-    n = len(x)
-    order = np.sort(x, axis=0)
-    low, high = order[0], order[-1]
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
-    # Depth 0: only the lists' ends are known.
-    active = np.flatnonzero(up @ high + down @ low >= floor)
-    for depth in DEPTHS:
-        if not len(active) or n <= 4 * k:
-            break
-        t = int(n * depth)
-        from_top, from_bottom = order[n - t], order[t - 1]  # the last values read
-        top, bottom = x >= from_top, x <= from_bottom
-        a, b = up[active], down[active]
-        lower = a @ np.where(top, x, low).T + b @ np.where(bottom, x, high).T
-        upper = a @ np.where(top, x, from_top).T + b @ np.where(bottom, x, from_bottom).T
-        bar = np.maximum(np.partition(lower, n - k, axis=1)[:, n - k], floor[active])
-        able = upper >= bar[:, None]
-        few = able.sum(axis=1) <= max(4 * k, n // 8)
-        for i in np.flatnonzero(few):
-            out[active[i]] = np.flatnonzero(able[i])
-        active = active[~few]
-    for i in active:  # read to the end: every score is known
-        out[i] = np.arange(n)
-    return out
+def _large(x: np.ndarray, q: np.ndarray) -> bool:
+    """Whether products may leave the range in which floats hold integers."""
+    return bool(x.size and q.size) and float(np.abs(x).max()) * float(np.abs(q).max()) * x.shape[1] >= EXACT
+
+
+def _scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Integer inner products of rows with one query; large ones in Python's integers, kept within the range of long."""
+    if _large(x, q):
+        return np.array([min(max(sum(int(a) * int(b) for a, b in zip(r, q, strict=True)), -LONG), LONG - 1) for r in x], np.int64)
+    return (x @ q).astype(np.int64)
+
+
+class Lists:
+    """A block of vectors with its sorted lists: ``order[i, j]`` is the row that holds the i-th least value of component j."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, (self.n, self.d) = x, x.shape
+        self.order = np.argsort(x, axis=0, kind="stable").astype(np.int32)
+        self.values = np.take_along_axis(x, self.order, axis=0)
+        self.read = np.zeros((self.n, self.d), bool)
+
+    def search(self, q: np.ndarray, k: int, floor: int | None, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Rows that may be among the query's k best, their final scores, and the share of the lists read.
+
+        ``floor``: a score that k vectors of earlier blocks have reached; ``skip``: rows that are no candidates."""
+        n, used = self.n, np.flatnonzero(q)  # a component of 0 adds nothing
+        alive, done = np.flatnonzero(~skip), np.zeros(n, bool)
+        if _large(self.x, q) or not len(used):  # bounds wouldn't be exact; or all scores are 0
+            return alive, _scores(self.x[alive], q), 1.0
+        up, down = used[q[used] > 0], used[q[used] < 0]
+        columns, weight = np.concatenate([up, down]), np.concatenate([q[up], q[down]])
+        self.read[:] = False
+        known, at, rows, scores = np.zeros(n), 0, [], []
+        if floor is not None and weight @ np.concatenate([self.values[-1, up], self.values[0, down]]) < floor:
+            return alive[:0], np.zeros(0, np.int64), 0.0
+        for depth in DEPTHS:
+            to = max(at + 1, int(n * depth)) if at < n else n
+            new = np.concatenate([self.order[n - to : n - at, up], self.order[at:to, down]], axis=1)
+            values = np.concatenate([self.values[n - to : n - at, up], self.values[at:to, down]], axis=1)
+            known += np.bincount(new.ravel(), (values * weight).ravel(), n)
+            self.read.ravel()[(new * self.d + columns).ravel()] = True
+            at = to
+            last = weight * np.concatenate([self.values[n - at, up], self.values[at - 1, down]])
+            upper = known[alive] + last.sum() - self.read[np.ix_(alive, columns)] @ last
+            if floor is not None:
+                able = upper >= floor
+                alive, upper = alive[able], upper[able]
+            if at == n:
+                break
+            # The best placed get their final scores, which may raise the floor.
+            best = alive[np.argpartition(upper, len(alive) - 2 * k)[len(alive) - 2 * k :]] if len(alive) > 2 * k else alive
+            best = best[~done[best]]
+            if len(best):
+                done[best] = True
+                rows.append(best)
+                scores.append(_scores(self.x[best], q))
+                top = np.concatenate(scores)
+                if len(top) >= k:
+                    reached = int(np.partition(top, len(top) - k)[len(top) - k])
+                    floor = reached if floor is None else max(floor, reached)
+                    alive = alive[upper >= floor]
+            if len(alive) <= 4 * k:
+                break
+        rest = alive[~done[alive]]
+        rows, scores = np.concatenate([*rows, rest]), np.concatenate([*scores, _scores(self.x[rest], q)])
+        return rows, scores, at / n
 
 
 def scaled(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -89,7 +121,7 @@ def top_k(vectors: DataFrame, k: int = 10, is_query: F.Column | None = None, id_
     is no candidate; of repeated query ids the least vector asks. Fewer candidates give fewer rows; ties go to
     the smaller id. Vectors of other lengths count as padded with zeros. Queries are taken in blocks
     of about ``queries_at_once``, each sent to all tasks; every block is held against all rows.
-    Empty tables give no rows."""
+    Scores beyond the range of long count as its end. Empty tables give no rows."""
     spark = vectors.sparkSession
     rows = scaled(vectors, id_col, vector_col, scale)
     asked = rows.filter(F.col("vec_id") % 100 == 0 if is_query is None else is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -109,30 +141,18 @@ def top_k(vectors: DataFrame, k: int = 10, is_query: F.Column | None = None, id_
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
             best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)  # scores and ids, best first
-            floor = np.full(len(ids), -np.inf)
             for b in batches:
                 for i in range(0, b.num_rows, rows_at_once):
                     part = b.slice(i, rows_at_once)
-                    x, vec = _matrix(part.column("v"), q.shape[1]), part.column("vec_id").to_numpy()
-                    found = nra(x, q, k + 1, floor)  # one more, for the query itself
-                    full = _exact(x, q) if sum(map(len, found)) * 4 > len(q) * len(x) else None
-                    for j, rows_ in enumerate(found):
-                        rows_ = rows_[vec[rows_] != ids[j]]
-                        if not len(rows_):
-                            continue
-                        new = full[j, rows_] if full is not None else _exact(x[rows_], q[j : j + 1])[0]
-                        score, vid = np.concatenate([best[j][0], new]), np.concatenate([best[j][1], vec[rows_]])
-                        if len(score) > k:
-                            if score.dtype != object and len(score) > 8 * k:
-                                keep = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
-                                score, vid = score[keep], vid[keep]
+                    lists, vec = Lists(_matrix(part.column("v"), q.shape[1])), part.column("vec_id").to_numpy()
+                    for j in range(len(ids)):
+                        found, new, _ = lists.search(q[j], k, int(best[j][0][-1]) if len(best[j][0]) == k else None, vec == ids[j])
+                        if len(found):
+                            score, vid = np.concatenate([best[j][0], new]), np.concatenate([best[j][1], vec[found]])
                             keep = np.lexsort((vid, -score))[:k]
-                            score, vid = score[keep], vid[keep]
-                        best[j] = score, vid
-                        if len(score) == k:
-                            floor[j] = score.min()
+                            best[j] = score[keep], vid[keep]
             if sum(len(s) for s, _ in best):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(s) for s, _ in best])), pa.array(np.concatenate([v for _, v in best])), pa.array([int(s) for one, _ in best for s in one], pa.int64())], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(s) for s, _ in best])), pa.array(np.concatenate([v for _, v in best])), pa.array(np.concatenate([s for s, _ in best]))], ["query_id", "vec_id", "score"])
 
         found = rows.mapInArrow(search, "query_id long, vec_id long, score long")
         merged = found if merged is None else merged.unionByName(found)
