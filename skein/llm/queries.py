@@ -86,15 +86,23 @@ m AS (
     CASE WHEN length(p.host) - length(replace(p.host, '.', '')) >= 2 THEN regexp_extract(p.host, '([^.]*\\.[^.]*)$', 1) ELSE p.host END AS domain
   FROM p LEFT JOIN fit ON p.host = fit.host AND p.path = fit.path),
 l AS (SELECT *, CASE WHEN contains(domain, '.') THEN regexp_replace(domain, '^[^.]*\\.', '') ELSE domain END AS suffix FROM m),
-h AS (SELECT host, count(*) FILTER (verdict = 'block') AS k, count(verdict) AS n FROM l GROUP BY host),
-d AS (SELECT domain, count(*) FILTER (verdict = 'block') AS k, count(verdict) AS n FROM l GROUP BY domain),
-s AS (SELECT suffix, count(*) FILTER (verdict = 'block') AS k, count(verdict) AS n FROM l GROUP BY suffix),
-r AS (SELECT count(*) FILTER (verdict = 'block') AS k, count(verdict) AS n FROM l),
-a AS (SELECT l.*, h.n AS hn, h.k AS hk, d.k AS dk, d.n AS dn, (s.k + 8.0::DOUBLE * ((r.k + 2.0::DOUBLE * 0.5) / (r.n + 2.0::DOUBLE))) / (s.n + 8.0::DOUBLE) AS ms
-  FROM l JOIN h USING (host) JOIN d USING (domain) JOIN s USING (suffix) CROSS JOIN r),
-b AS (SELECT *, (hk + 8.0::DOUBLE * ((dk + 8.0::DOUBLE * ms) / (dn + 8.0::DOUBLE))) / (hn + 8.0::DOUBLE) AS mean FROM a)
+h AS (SELECT host, domain, suffix, count(*) FILTER (verdict = 'block') AS k, count(verdict) AS n FROM l GROUP BY ALL),
+d AS (SELECT domain, suffix, sum(k)::BIGINT AS k, sum(n)::BIGINT AS n FROM h GROUP BY ALL),
+s AS (SELECT suffix, sum(k)::BIGINT AS k, sum(n)::BIGINT AS n FROM d GROUP BY ALL),
+r AS (SELECT sum(k)::BIGINT AS k, sum(n)::BIGINT AS n FROM s),
+units AS (SELECT 'host' AS level, domain AS parent, k, n FROM h WHERE n > 0 UNION ALL SELECT 'domain', suffix, k, n FROM d WHERE n > 0 UNION ALL SELECT 'suffix', '', k, n FROM s WHERE n > 0),
+own AS (
+  SELECT level, sum(n)::DOUBLE AS np, count(*) AS m, sum(k * (1.0::DOUBLE - k::DOUBLE / n)) AS w, sum(k::DOUBLE / n * k) - sum(k)::DOUBLE * sum(k)::DOUBLE / sum(n)::DOUBLE AS b, sum(n * n)::DOUBLE / sum(n)::DOUBLE AS nn
+  FROM units GROUP BY level, parent),
+total AS (SELECT level, sum(np) AS n, sum(m) AS m, count(*) AS g, sum(b) AS b, sum(w) AS w, sum(nn) AS nn FROM own GROUP BY level),
+ms AS (SELECT level, b / (m - g) AS b, w / (n - m) AS w, (n - nn) / (m - g) AS size FROM total WHERE m > g AND n > m),
+fit_ms AS (SELECT level, round(least(greatest(coalesce(1.0::DOUBLE / greatest((b - w) / nullif(b + (size - 1) * w, 0.0::DOUBLE), 1e-9::DOUBLE) - 1, 1000.0::DOUBLE), 1.0::DOUBLE), 1000.0::DOUBLE), 6) AS s FROM ms),
+st AS (SELECT coalesce(max(s) FILTER (level = 'host'), 8.0::DOUBLE) AS sh, coalesce(max(s) FILTER (level = 'domain'), 8.0::DOUBLE) AS sd, coalesce(max(s) FILTER (level = 'suffix'), 8.0::DOUBLE) AS ss FROM fit_ms),
+a AS (SELECT l.*, h.n AS hn, h.k AS hk, d.k AS dk, d.n AS dn, st.*, (s.k - d.k + ss * ((r.k - s.k + 2.0::DOUBLE * 0.5) / (r.n - s.n + 2.0::DOUBLE))) / (s.n - d.n + ss) AS ms
+  FROM l JOIN h USING (host) JOIN d ON d.domain = l.domain JOIN s ON s.suffix = l.suffix CROSS JOIN r CROSS JOIN st),
+b AS (SELECT *, (hk + sh * ((dk - hk + sd * ms) / (dn - hn + sd))) / (hn + sh) AS mean FROM a)
 SELECT page_id, host, path, rule,
-  coalesce(verdict, CASE WHEN mean - 1.645::DOUBLE * sqrt(mean * (1.0::DOUBLE - mean) / (hn + 9.0::DOUBLE)) >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(verdict, CASE WHEN mean - 1.645::DOUBLE * sqrt(mean * (1.0::DOUBLE - mean) / (hn + sh + 1.0::DOUBLE)) >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM b
 """
 
