@@ -2,14 +2,15 @@
 
 A seed is a fixed mask over consecutive words; only the positions it selects are hashed, so a hit
 survives substitutions at the others. The masks are chosen so that every overlap that counts has a
-hit. Hashes of the benchmark's words are joined with those of the documents inside each task; around
-a hit the document and the item are compared word by word along the same alignment, and an overlap
-counts if it is long enough with few substitutions."""
+hit. The seeds of the benchmark's items are a table, and so are those of the documents, joined by
+hash; a bitmap of bounded size keeps most document seeds that the benchmark lacks out of the join.
+Around the hits a document and an item are compared word by word along the same alignment, and an
+overlap counts if it is long enough with few substitutions. Nothing but the bitmap and the masks in
+use comes to the driver."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +18,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import roomy
+from .shared import materialise, roomy
 from .words import U, Words, mix, slices
 
-BITS = 22
+#: Least and most bits of the bitmap; in between it has some 64 for each seed of the benchmark.
+LEAST_BITS, MOST_BITS = 1 << 22, 1 << 27
+#: Rows of one of Spark's bitmap aggregates.
+_BUCKET = 32768
 
 
 def masks(lengths: range, share: float) -> tuple[str, ...]:
@@ -51,56 +55,63 @@ def hash_of(mask: str) -> int:
     return (int("1" + mask, 2) * 0xD6E8FEB86659FD93) & (2**64 - 1)
 
 
-@dataclass
-class Block:
-    """A bounded part of the benchmark: its words' hashes and its seeds, sorted."""
+def _lower(col: pa.Array) -> pa.Array:
+    return pc.utf8_lower(col.cast(pa.large_string()))
 
-    ids: list
-    at: np.ndarray
-    words: np.ndarray
-    seeds: np.ndarray
-    item: np.ndarray
-    pos: np.ndarray
-    masks: list[str]
-    bits: np.ndarray
 
+def item_masks(n_words: int, min_overlap: int, share: float) -> tuple[str, ...]:
+    """The masks of an item: of a longer one those that hit every overlap, of a short one those that hit it as a whole."""
+    # Longer ranges have a part of such a length that agrees as well.
+    return masks(range(min_overlap, 2 * min_overlap), share) if n_words > min_overlap else masks(range(n_words, n_words + 1), share)
 
-def _lower(col: pa.Array) -> pa.Array:
-    return pc.utf8_lower(col.cast(pa.large_string()))
 
+def item_seeds(items: DataFrame, min_overlap: int, share: float, min_words: int) -> DataFrame:
+    """(item, seed, pos, mask): every seed of every item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            low = _lower(b.column("text"))
+            for i, j in slices(low):
+                w, keys = Words(low.slice(i, j - i), alnum=True), b.column("item").slice(i, j - i).to_pylist()
+                for key, a, z in zip(keys, w.rows[:-1].tolist(), w.rows[1:].tolist(), strict=True):
+                    for m in item_masks(z - a, min_overlap, share) if z - a >= max(1, min_words) else ():
+                        h = _seed(w.hash[a:z], m)
+                        yield pa.RecordBatch.from_arrays([pa.array([key] * len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(np.arange(len(h), dtype=np.int32)), pa.array([m] * len(h))], ["item", "seed", "pos", "mask"])
+
+    return items.select("item", "text").mapInArrow(run, "item long, seed long, pos int, mask string")
 
-def make_block(ids: list, texts: list[str], min_overlap: int, share: float) -> Block:
-    w = Words(_lower(pa.array(texts, pa.large_string())), alnum=True)
-    every: list[str] = []
-    seeds, item, pos = [], [], []
-    long = masks(range(min_overlap, 2 * min_overlap), share)  # longer ranges have a part of such a length that agrees as well
-    for n, (a, b) in enumerate(zip(w.rows[:-1], w.rows[1:], strict=True)):
-        own = long if b - a > min_overlap else masks(range(b - a, b - a + 1), share)
-        every += [m for m in own if m not in every]
-        for m in own:
-            h = _seed(w.hash[a:b], m)
-            seeds.append(h)
-            item.append(np.full(len(h), n))
-            pos.append(np.arange(len(h)))
-    seeds, item, pos = (np.concatenate([np.zeros(0, t), *x]) for t, x in ((np.uint64, seeds), (np.int64, item), (np.int64, pos)))
-    order = np.argsort(seeds, kind="stable")
-    bits = np.zeros(1 << BITS, bool)
-    bits[(seeds & U((1 << BITS) - 1)).astype(np.int64)] = True
-    return Block(ids, w.rows, w.hash, seeds[order], item[order], pos[order], every, bits)
-
-
-def blocks(benchmark: DataFrame, min_overlap: int, share: float, min_words: int, block_chars: int, id_col: str, text_col: str) -> list[Block]:
-    """The benchmark in blocks of about ``block_chars`` characters, which bounds what is sent at once."""
-    items = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-int(total) // block_chars))
-    out = []
-    for k in range(n):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).distinct().collect()
-        long = [r for r in sorted(part, key=lambda r: (str(r.item_id), r.text)) if np.diff(Words(_lower(pa.array([r.text])), alnum=True).rows)[0] >= min_words]
-        if long:
-            out.append(make_block([r.item_id for r in long], [r.text for r in long], min_overlap, share))
-    return out
+
+def bitmap(seeds: DataFrame) -> np.ndarray:
+    """Bits (of bytes, lowest first) at the seeds modulo their number, which has a limit."""
+    bits = min(max(LEAST_BITS, 1 << (64 * max(1, seeds.count()) - 1).bit_length()), MOST_BITS)
+    at = F.pmod("seed", F.lit(bits)) + 1
+    rows = seeds.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()  # at most MOST_BITS / _BUCKET rows
+    out = np.zeros((bits // _BUCKET, _BUCKET // 8), np.uint8)
+    for r in rows:
+        out[r.bucket - 1] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
+def document_seeds(rows: DataFrame, use: list[str], wanted: np.ndarray) -> DataFrame:
+    """(doc, seed, at): the seeds of whole texts whose bit is set."""
+    sent = rows.sparkSession.sparkContext.broadcast(wanted)  # of limited size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for b in batches:
+            low = _lower(b.column("text"))
+            for i, j in slices(low):
+                w = Words(low.slice(i, j - i), alnum=True)
+                row, keys = w.row_of(), b.column("doc").slice(i, j - i).to_numpy()
+                left = np.repeat(w.rows[1:], np.diff(w.rows)) - np.arange(len(w.hash))  # words from here to the row's end
+                for m in use:
+                    h = _seed(w.hash, m)
+                    k = (h & U(len(bits) * 8 - 1)).astype(np.int64)
+                    at = np.flatnonzero((bits[k >> 3] >> (k & 7).astype(np.uint8)) & 1)
+                    at = at[left[at] >= len(m)]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[row[at]]), pa.array(h[at].view(np.int64)), pa.array((at - w.rows[row[at]]).astype(np.int32))], ["doc", "seed", "at"])
+
+    return rows.select("doc", "text").mapInArrow(roomy(run), "doc long, seed long, at int")
 
 
 def _longest(match: np.ndarray, share: float) -> tuple[int, int]:
@@ -129,81 +140,61 @@ def _agreeing(at: np.ndarray, n: np.ndarray, own: np.ndarray, where: np.ndarray,
     return out
 
 
-def hits(col: pa.Array, block: Block, min_overlap: int, share: float) -> Iterator[tuple[int, int, int, int, int]]:
-    """(row, item, first word in the document, words, matching words): the longest overlap of each pair."""
-    low = _lower(col)
+def verify(texts: pa.Array, items: pa.Array, shifts: pa.ListArray, min_overlap: int, share: float) -> Iterator[tuple[int, int, int, int]]:
+    """(row, first word, words, matching words) of each row whose text and item overlap in one of the alignments ``shifts``
+    (the item's first word stands at that word of the text): the longest overlap."""
+    low = _lower(texts)
     for i, j in slices(low):
-        w = Words(low.slice(i, j - i), alnum=True)
-        row_of, found = w.row_of(), []
-        left = np.repeat(w.rows[1:], np.diff(w.rows)) - np.arange(len(w.hash))  # words from here to the row's end
-        for m in block.masks:
-            h = _seed(w.hash, m)
-            at = np.flatnonzero(block.bits[(h & U((1 << BITS) - 1)).astype(np.int64)])
-            at = at[left[at] >= len(m)]
-            a, b = np.searchsorted(block.seeds, h[at], "left"), np.searchsorted(block.seeds, h[at], "right")
-            n = b - a
-            if n.sum():
-                k = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                p = np.repeat(at, n)
-                found.append(np.stack([row_of[p], block.item[k], p - w.rows[row_of[p]] - block.pos[k]], axis=1))
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
-        row, item, shift = pairs.T
-        size, begin = np.diff(block.at)[item], np.maximum(0, -shift)
+        w, v = Words(low.slice(i, j - i), alnum=True), Words(_lower(items.slice(i, j - i)), alnum=True)
+        some = shifts.slice(i, j - i)
+        row, shift = pc.list_parent_indices(some).to_numpy().astype(np.int64), pc.list_flatten(some).to_numpy().astype(np.int64)
+        size, begin = np.diff(v.rows)[row], np.maximum(0, -shift)
         n = np.minimum(size, np.diff(w.rows)[row] - shift) - begin
         least = np.minimum(min_overlap, size)
-        agree = _agreeing(w.rows[row] + shift + begin, n, w.hash, block.at[item] + begin, block.words)
-        for row, item, shift in pairs[(n >= least) & (agree >= share * least - 1e-9)].tolist():
-            own = w.hash[w.rows[row] : w.rows[row + 1]]
-            words = block.words[block.at[item] : block.at[item + 1]]
-            a, b = max(0, -shift), min(len(words), len(own) - shift)
-            match = own[shift + a : shift + b] == words[a:b]
+        agree = _agreeing(w.rows[row] + shift + begin, n, w.hash, v.rows[row] + begin, v.hash)
+        best: dict[int, tuple[int, int, int]] = {}
+        use = np.flatnonzero((n >= least) & (agree >= share * least - 1e-9))
+        for r, s in sorted(zip(row[use].tolist(), shift[use].tolist(), strict=True)):
+            own, words = w.hash[w.rows[r] : w.rows[r + 1]], v.hash[v.rows[r] : v.rows[r + 1]]
+            a, b = max(0, -s), min(len(words), len(own) - s)
+            match = own[s + a : s + b] == words[a:b]
             x, y = _longest(match, share) if len(words) > min_overlap else (0, len(words))
-            new = y - x, int(match[x:y].sum()), shift + a + x
-            if y - x >= min(min_overlap, len(words)) and new[:2] > best.get((row, item), (0, 0))[:2]:
-                best[row, item] = new
-        for (row, item), (size, matching, first) in best.items():
-            yield (i + row, item, first, size, matching)
+            new = y - x, int(match[x:y].sum()), s + a + x
+            if y - x >= min(min_overlap, len(words)) and new[:2] > best.get(r, (0, 0))[:2]:
+                best[r] = new
+        for r, (size, matching, first) in best.items():
+            yield i + r, first, size, matching
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13, share: float = 0.8, min_words: int = 5, block_chars: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13, share: float = 0.8, min_words: int = 1, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Contaminated documents only, one row per document and item: doc_id, item_id, first_word, n_words, n_matching.
 
     An overlap is a range of at least ``min_overlap`` words that begins and ends with words that agree, or
     the whole of an item that has no more words, whatever its ends; ``share`` of its words agree. None is
-    missed. The longest is given, of those the one with most words that agree. Words are runs of letters and digits in lower case. Items with fewer than ``min_words``
-    words and null texts match nothing; repeated rows are reported each. Whole texts are searched,
-    against the benchmark in blocks; every block meets every document. Empty tables give no rows."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema[item_id_col].dataType.simpleString()}, first_word long, n_words long, n_matching long"
-    out = None
-    for block in blocks(benchmark, min_overlap, share, min_words, block_chars, item_id_col, item_text_col):
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block = sent.value
-            for b in batches:
-                found = list(hits(b.column("text"), block, min_overlap, share))
-                if found:
-                    cols = list(zip(*found, strict=True))
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(cols[0])), pa.array([block.ids[k] for k in cols[1]]), *(pa.array(c, pa.int64()) for c in cols[2:])], ["doc_id", "item_id", "first_word", "n_words", "n_matching"])
-
-        part = rows.mapInArrow(roomy(run), schema)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13, share: float = 0.8, min_words: int = 5, block_chars: int = 2_000_000, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    missed. The longest is given, of those the one with most words that agree, of those the first. Words are runs of letters
+    and digits in lower case. Items with fewer than ``min_words`` words or none, and null texts, match nothing; repeated
+    documents are reported each, repeated items once. Whole texts are searched. Empty tables give no rows."""
+    items = benchmark.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("text is not null").distinct().withColumn("item", F.xxhash64("item_id", "text"))
+    seeds = materialise(item_seeds(items, min_overlap, share, min_words), "seeds")
+    use = sorted(r.mask for r in seeds.select("mask").distinct().collect())  # a few for each length up to min_overlap
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null").withColumn("doc", F.xxhash64("doc_id", "text"))
+    hits = document_seeds(rows, use, bitmap(seeds)).join(seeds.select("seed", "item", "pos"), "seed")
+    pairs = hits.groupBy("doc", "item").agg(F.collect_set(F.col("at") - F.col("pos")).alias("shifts"))
+    pairs = pairs.join(items.select("item", "item_id", F.col("text").alias("item_text")), "item")
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, first_word long, n_words long, n_matching long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = list(verify(b.column("text"), b.column("item_text"), b.column("shifts"), min_overlap, share))
+            if found:
+                at, *cols = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at)) for c in ("doc_id", "item_id")), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", "item_id", "first_word", "n_words", "n_matching"])
+
+    return rows.join(pairs, "doc").select("doc_id", "text", "item_id", "item_text", "shifts").mapInArrow(roomy(run), schema)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns, that :func:`overlaps` wouldn't report."""
-    for block in blocks(benchmark, min_overlap, share, min_words, block_chars, item_id_col, item_text_col):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keep = np.ones(b.num_rows, bool)
-                keep[[row for row, *_ in hits(b.column(text_col), sent.value, min_overlap, share)]] = False
-                yield b.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(roomy(run), docs.schema)
-    return docs
+    key = F.struct(F.col(id_col), F.xxhash64(F.col(text_col).cast("string")))
+    found = overlaps(docs.select(key.alias("key"), F.col(text_col).alias("text")), benchmark, id_col="key", **options).select(F.col("doc_id").alias("found")).distinct()
+    return docs.join(found, key.eqNullSafe(F.col("found")), "left_anti")
