@@ -19,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .shared import materialise, roomy
+from .shared import discard, materialise, roomy
 from .words import U, mix, shingle_sets, slices
 
 FULL = U(2**64 - 1)
@@ -80,7 +80,7 @@ def band_keys(sketch: np.ndarray, r: int) -> np.ndarray:
 
 
 def _profile(docs: DataFrame, words: int, t: int, r: int) -> DataFrame:
-    """doc_id, n_shingles, node (a hash of the set), bands and the compressed text."""
+    """doc_id, h (a hash of the text), n_shingles, node (a 64-bit hash of the set), bands and the compressed text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -94,9 +94,10 @@ def _profile(docs: DataFrame, words: int, t: int, r: int) -> DataFrame:
                 keys = band_keys(sketches(h, at, t), r).view(np.int64)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.ravel()))
                 packed = [zlib.compress(x.encode(), 1) if c else b"" for x, c in zip(part.to_pylist(), n, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(node), bands, pa.array(packed, pa.binary())], ["doc_id", "n_shingles", "node", "bands", "packed"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("h").slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(node), bands, pa.array(packed, pa.binary())], ["doc_id", "h", "n_shingles", "node", "bands", "packed"])
 
-    return docs.mapInArrow(roomy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, bands array<long>, packed binary")
+    rows = docs.withColumn("h", F.xxhash64("text"))
+    return rows.mapInArrow(roomy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, n_shingles long, node long, bands array<long>, packed binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -134,22 +135,31 @@ def components(links: DataFrame) -> DataFrame:
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        step = labels.select("node", "label").join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         of = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         new = materialise(step.join(of, "label", "left").select("node", "was", F.least("label", "next").alias("label")), "labels")
+        discard(labels)
         if not new.filter("label != was").limit(1).count():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+            discard(both)
+            return new
+        labels = new
 
 
-def _pivots(members: DataFrame, turn: int) -> DataFrame:
+def _by_key(rows: DataFrame, per_key: DataFrame, hot: list[int]) -> DataFrame:
+    """A join with a table of one row per key. ``hot`` keys, fewer than 64, are sent to all tasks, so their rows stay where they are."""
+    is_hot = F.col("key").isin(hot)
+    return rows.join(per_key, "key") if not hot else rows.filter(~is_hot).join(per_key.filter(~is_hot), "key").unionByName(rows.filter(is_hot).join(F.broadcast(per_key.filter(is_hot)), "key"))
+
+
+def _pivots(members: DataFrame, turn: int, hot: list[int]) -> DataFrame:
     """Pairs of each bucket's member drawn for this turn with its members of other groups."""
     drawn = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "grp")).alias("p"), F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low != high")
-    return members.join(drawn.select("key", F.col("p.node").alias("b"), F.col("p.n").alias("bn"), F.col("p.grp").alias("bg")), "key").filter("grp != bg").select(F.col("node").alias("a"), "b", "n", "bn")
+    drawn = drawn.select("key", F.col("p.node").alias("b"), F.col("p.n").alias("bn"), F.col("p.grp").alias("bg"))
+    return _by_key(members, drawn, hot).filter("grp != bg").select(F.col("node").alias("a"), "b", "n", "bn")
 
 
 def _block_links(table: pa.Table, words: int, percent: int, columns: int = 8192) -> pa.Table:
-    """The links between two blocks of one bucket (or within one), except those within a group."""
+    """Of the links between two blocks of one bucket (or within one) as many as connect the same groups."""
     h, at = shingle_sets(pa.array([zlib.decompress(x).decode() for x in table.column("packed").to_pylist()], pa.large_string()), words)
     node, grp, chunk = (table.column(c).to_numpy() for c in ("node", "grp", "chunk"))
     lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
@@ -177,12 +187,26 @@ def _block_links(table: pa.Table, words: int, percent: int, columns: int = 8192)
     both = n[left][:, None] + n[right][None, :] - common
     linked = (100 * common.astype(np.int64) >= percent * both.astype(np.int64)) & (grp[left][:, None] != grp[right][None, :])
     a, b = np.nonzero(linked)
-    return pa.table({"a": node[left[a]], "b": node[right[b]]})
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.get(x, x)) != x:
+            root[x] = root.get(y, y)
+            x = y
+        return x
 
+    keep = []
+    for n, (x, y) in enumerate(zip(grp[left[a]].tolist(), grp[right[b]].tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            root[x] = y
+            keep.append(n)
+    return pa.table({"a": node[left[a[keep]]], "b": node[right[b[keep]]]})
 
-def _remaining_links(members: DataFrame, texts: DataFrame, words: int, percent: int, alike, small: int = 8, block: int = 256) -> DataFrame:
+
+def _remaining_links(members: DataFrame, texts: DataFrame, words: int, percent: int, alike, hot: list[int], small: int = 8, block: int = 512) -> DataFrame:
     """Links between the groups of each bucket: pairs of buckets of up to ``small`` members, blocks of larger ones."""
-    sized = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "key")
+    sized = _by_key(members, members.groupBy("key").agg(F.count(F.lit(1)).alias("c")), hot)
     few = sized.filter(F.col("c") <= small)
     other = few.select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("grp").alias("bg"))
     pairs = few.join(other, "key").filter("node < b and grp != bg").filter(alike).select(F.col("node").alias("a"), "b").distinct()
@@ -194,58 +218,87 @@ def _remaining_links(members: DataFrame, texts: DataFrame, words: int, percent:
     return found.unionByName(blocks).distinct()
 
 
-def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, t: int = 128, turns: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
-
-    Documents are linked whose sets of distinct ``words``-word shingles (A-Z lower-cased; fewer words:
-    their whole sequence) satisfy 100 * intersection >= percent * union; component_id is the smallest
-    doc_id that links reach; kept marks that document. Null or empty texts and those without words
-    have no shingles and no links. Rows with a null id form no groups: their component_id is null and they are kept.
-    Rows that repeat an id are judged each by its own text. An empty table gives no rows. Other
-    columns are not read."""
+def _judged(docs: DataFrame, words: int, percent: int, t: int, turns: int, id_col: str, text_col: str) -> DataFrame:
+    """:func:`near_groups` with h, a hash of each row's text, and stays: whether it is its group's least (doc_id, h)."""
     spark = docs.sparkSession
     r = rows_per_band(t, percent / 100)
     kind = docs.schema[id_col].dataType
     rows = materialise(_profile(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), words, t, r), "profile")
     linked = rows.filter("n_shingles > 0 and doc_id is not null")
-    nodes = linked.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = linked.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     nodes = materialise(nodes, "nodes")
     keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared_keys = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    members = materialise(keyed.join(shared_keys, "key").select("key", "node", "n"), "members")
-    wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-    texts = materialise(linked.select("node", "doc_id", "packed").join(wanted, ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "packed"), "texts")
+    shared_keys = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "keys")
+    total = shared_keys.agg(F.sum("c")).first()[0] or 0
+    hot = [x.key for x in shared_keys.filter(F.col("c") * 64 > total).collect()]  # fewer than 64
+    members = materialise(_by_key(keyed, shared_keys, hot).select("key", "node", "n"), "members")
+    discard(shared_keys)
+    wanted = members.select("node").distinct().join(nodes.select("node", "first"), "node")
+    texts = materialise(linked.select("node", F.struct("doc_id", "h").alias("first"), "packed").join(wanted, ["node", "first"]).dropDuplicates(["node"]).select("node", "packed"), "texts")
     alike = F.least("n", "bn") * 100 >= F.greatest("n", "bn") * percent
     links, groups = None, None
     for turn in range(turns + 1):
         now = members.withColumn("grp", F.col("node")) if groups is None else members.join(groups, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("grp"))
         if turn:
             # Only buckets that still hold several groups matter.
-            now = materialise(now, "members")
-            several = now.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low != high").select("key")
-            now = materialise(now.join(several, "key"), "members")
+            placed = materialise(now, "placed")
+            several = placed.groupBy("key").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low != high").select("key")
+            now = materialise(_by_key(placed, several, hot), "members")
+            discard(placed)
         if turn < turns:
-            pairs = _pivots(now, turn).filter(alike)
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            found = _verified(materialise(pairs, "pairs"), texts, words, percent)
+            pairs = _pivots(now, turn, hot).filter(alike)
+            pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+            found = materialise(_verified(pairs, texts, words, percent), "found")
+            discard(pairs)
         else:
-            found = _remaining_links(now, texts, words, percent, alike)
-        found = materialise(found, "found")
+            found = materialise(_remaining_links(now, texts, words, percent, alike, hot), "found")
+        if turn:
+            discard(now)
         if not found.limit(1).count():
             continue
         links = found if links is None else links.unionByName(found)
-        groups = components(links)
+        groups = components(links).select("node", "label")
+    discard(members, texts)
     if groups is None:
         groups = spark.createDataFrame([], "node long, label long")
-    placed = nodes.select("node", "doc_id").join(groups, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
-    least = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_node = placed.join(least, "label").select("node", "component_id")
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(of_node, "node", "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast(kind)).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose document is its group's smallest id, or in no group; all columns stay."""
-    gone = near_groups(docs, id_col=id_col, **options).filter("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    placed = nodes.select("node", "first").join(groups, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
+    least = placed.groupBy("label").agg(F.min("first").alias("least"))
+    of_node = placed.join(least, "label").select("node", "least")
+    out = rows.select("doc_id", "h", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(of_node, "node", "left")
+    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast(kind)).otherwise(F.coalesce("least.doc_id", "doc_id"))
+    stays = F.col("doc_id").isNull() | F.col("least").isNull() | ((F.col("doc_id") == F.col("least.doc_id")) & (F.col("h") == F.col("least.h")))
+    return out.select("doc_id", "h", "n_shingles", component.alias("component_id"), stays.alias("stays")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, t: int = 128, turns: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Documents are linked whose sets of distinct ``words``-word shingles (A-Z lower-cased; fewer words:
+    their whole sequence; shingles as 64-bit hashes) satisfy 100 * intersection >= percent * union; component_id is the smallest
+    doc_id that links reach; kept marks that document. Null or empty texts and those without words
+    have no shingles and no links. Rows with a null id form no groups: their component_id is null and they are kept.
+    Rows that repeat an id are judged each by its own text. An empty table gives no rows. Other
+    columns are not read."""
+    return _judged(docs, words, percent, t, turns, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, t: int = 128, turns: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs``, with all columns, of each group of :func:`near_groups`: that of the smallest id, and of rows
+    that repeat this id the one whose text has the least hash; equal rows count once. Rows in no group all stay."""
+    judged = _judged(docs, words, percent, t, turns, id_col, text_col)
+    key = F.struct(F.col(id_col), F.xxhash64(F.col(text_col).cast("string")))
+    of = F.struct("doc_id", "h").alias("__of")
+    gone = judged.filter("not stays").select(of).distinct()
+    twice = judged.filter("stays and n_shingles > 0 and doc_id is not null").groupBy("doc_id", "h").count().filter("count > 1").select(of)
+    return _once(docs, key, gone, materialise(twice, "twice"))
+
+
+def _once(docs: DataFrame, key: Column, gone: DataFrame, twice: DataFrame) -> DataFrame:
+    """``docs`` without the rows of ``gone``, and one of each of ``twice``."""
+    same = key.eqNullSafe(F.col("__of"))
+    left = docs.join(gone, same, "left_anti")
+    if not twice.limit(1).count():
+        return left
+    one = left.join(twice, same, "left_semi")
+    n = F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))
+    return left.join(twice, same, "left_anti").unionByName(one.select("*", n.alias("__of")).filter("__of = 1").select(*docs.columns))

@@ -12,8 +12,6 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 
 #: Rows and bytes of an Arrow batch between the JVM and Python, so that long texts can't fill a worker.
 BATCH_ROWS, BATCH_BYTES = 2000, "32m"
@@ -31,6 +29,8 @@ def make_room() -> None:
     other: at its start an operator drops the tokenizers that an earlier one kept."""
     if tokenizing := sys.modules.get("skein.llm.tokenizing"):
         tokenizing.forget()
+    if words := sys.modules.get("skein.llm.words"):
+        words.forget()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -51,10 +51,12 @@ def roomy(fn: Callable) -> Callable:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's
-    checkpoint folder. Where neither is set (tests, one machine) a temporary folder is set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint
+    folder. Where neither is set, a local session gets a temporary folder; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -68,28 +70,16 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     """Writes a table into the shared folder and reads it again: its lineage ends there."""
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """For small tables: a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], list], fields: list[T.StructField], keep: list[str] | None = None) -> DataFrame:
-    """Runs ``fn`` on each Arrow batch; the arrays it returns become ``fields`` after the columns
-    ``keep`` (all by default). A kept column that has the name of a new one is replaced."""
-    new = {f.name for f in fields}
-    kept = [c for c in (df.columns if keep is None else keep) if c not in new]
-    schema = T.StructType([df.schema[c] for c in kept] + fields)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + fn(b), [*kept, *(f.name for f in fields)])
-
-    return df.mapInArrow(run, schema)
+def discard(*tables: DataFrame) -> None:
+    """Deletes what :func:`materialise` wrote, once nothing will read it again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -42,6 +42,12 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
+def forget() -> None:
+    """Drops the powers that long texts made grow."""
+    for base in [b for b, (up, _) in _powers.items() if len(up) > 1 << 21]:
+        del _powers[base]
+
+
 def sums(values: np.ndarray, base: int) -> np.ndarray:
     """Prefix sums of values[i] * base**i, with a leading 0."""
     out = np.zeros(len(values) + 1, U)
@@ -55,10 +61,11 @@ def ranges_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
 
 
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A string column's UTF-8 bytes and the offsets of its rows; null reads as empty."""
+    """A string or binary column's bytes and the offsets of its rows; null reads as empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    col = col.cast(pa.large_string())
+    if col.type not in (pa.large_string(), pa.large_binary()):
+        col = col.cast(pa.large_string())
     if col.null_count:
         col = col.fill_null("")
     _, offsets, data = col.buffers()
