@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shared import id_and_text
-from .tokenizing import groups, memo_tokenizer
+from .tokenizing import AT_ONCE, chunk_tokenizer, with_end
+from .words import slices
 
-SCHEMA = "doc_id long, file_no int, file_start long, n_tokens long, ids array<int>"
+def _schema(kind: str) -> str:
+    return f"doc_id {kind}, file_no int, file_start long, n_tokens long, ids array<int>"
 
 
 def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = 64 << 20, row_index_stride: int = 1000, bloom_fpp: float = 0.01, compression: str = "zstd") -> None:
@@ -33,25 +35,21 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
     rows = id_and_text(docs, id_col, text_col).repartitionByRange(F.col("doc_id"), h).sortWithinPartitions(F.col("doc_id"), h)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, file_no, start = memo_tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
+        tokenizer, file_no, start = chunk_tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts, doc_ids = batch.column("text").to_pylist(), batch.column("doc_id")
-            for i, j in groups(texts):
-                ids = [x + end for x in tokenizer.encode(texts[i:j])]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                at = np.concatenate([[0], np.cumsum(n)])
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(i, j - i), pa.array(np.full(j - i, file_no, np.int32)), pa.array(start + at[:-1]), pa.array(n), lists], ["doc_id", "file_no", "file_start", "n_tokens", "ids"])
+            for i, j in slices(batch.column("text"), AT_ONCE, batch.num_rows):
+                ids, at = with_end(*tokenizer.encode(batch.column("text").slice(i, j - i)), end_id)
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.view("<i4")))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.full(j - i, file_no, np.int32)), pa.array(start + at[:-1]), pa.array(np.diff(at)), lists], ["doc_id", "file_no", "file_start", "n_tokens", "ids"])
                 start += int(at[-1])
 
     options = {"orc.stripe.size": stripe_bytes, "orc.create.index": True, "orc.row.index.stride": row_index_stride, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": bloom_fpp, "compression": compression}
-    rows.mapInArrow(encode, SCHEMA).write.options(**options).orc(path)
+    rows.mapInArrow(encode, _schema(rows.schema["doc_id"].dataType.simpleString())).write.options(**options).orc(path)
 
 
 def read_token_orc(spark: SparkSession, path: str) -> DataFrame:
     """The stored rows; filters on doc_id reach the files' statistics and Bloom filters."""
-    return spark.read.schema(SCHEMA).orc(path)
+    return spark.read.orc(path)
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
@@ -78,5 +76,6 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
             n = np.diff(at) // 4
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("file_no"), b.column("file_start"), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "file_no", "file_start", "n_tokens", "ids_crc32"])
 
-    rows = read_token_orc(spark, path).select("doc_id", "file_no", "file_start", "ids").mapInArrow(digest, "doc_id long, file_no int, file_start long, n_tokens long, ids_crc32 long")
+    rows = read_token_orc(spark, path).select("doc_id", "file_no", "file_start", "ids")
+    rows = rows.mapInArrow(digest, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, file_no int, file_start long, n_tokens long, ids_crc32 long")
     return rows.join(F.broadcast(file_starts(spark, path)), "file_no").select("doc_id", (F.col("before") + F.col("file_start")).alias("start"), "n_tokens", "ids_crc32")
