@@ -126,3 +126,34 @@ TRANSITIONS = {
     "needs_review": ["succeeded", "failed"],
     "skipped": [],
 }
+
+# Names under which languages are asked for.
+LANGUAGE_ALIASES = {
+    "python": "python", "py": "python", "pypi": "python",
+    "javascript": "javascript", "js": "javascript", "node": "javascript", "npm": "javascript",
+    "rust": "rust", "rs": "rust", "crates": "rust",
+    "java": "java", "kotlin": "kotlin", "kt": "kotlin",
+    "c": "c_cpp", "cpp": "c_cpp", "c_cpp": "c_cpp", "vcpkg": "c_cpp",
+    "php": "php", "composer": "php", "packagist": "php",
+    "go": "go", "golang": "go", "golang.org": "go", "pkg.go.dev": "go",
+}
+
+# Licenses of the score table; those whose code others may share in full; sources that other targets share by half.
+FULL_LICENSES = ["MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "BSD-3-Clause", "BSD-2-Clause", "CC0-1.0", "Unlicense", ""]
+SHARING_LICENSES = ["GPL-3.0", "GPL-2.0", "LGPL-3.0", "CC0-1.0", "Unlicense"]
+WEAK_SOURCES = ["GPL-3.0", "GPL-2.0", ""]
+
+# Fixed values: (ecosystem, confidence, marker files, the file named if present, the file named otherwise).
+ECOSYSTEM_MARKERS = [
+    ("python", 0.9, ["pyproject.toml", "requirements.txt", "setup.py"], "pyproject.toml", "requirements.txt"),
+    ("javascript", 0.95, ["package.json"], "package.json", "package.json"),
+    ("rust", 0.95, ["Cargo.toml"], "Cargo.toml", "Cargo.toml"),
+    ("java/kotlin", 0.9, ["pom.xml", "build.gradle", "build.gradle.kts"], "pom.xml", "build.gradle"),
+    ("c_cpp", 0.7, ["CMakeLists.txt", "Makefile", "vcpkg.json"], "CMakeLists.txt", "Makefile"),
+]
+
+# Words that are no symbols.
+RESERVED_WORDS = ["if", "for", "while", "return", "import"]
+
+# Folders that section ids may begin with.
+SECTION_PREFIXES = ["lat.md/", "docs/modules/", "docs/project/", "docs/"]

@@ -2,60 +2,11 @@
 
 from __future__ import annotations
 
-import ast
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Fixed values: (kind, pattern, group of the name) of each language's declarations.
-DECLARATIONS = {
-    "javascript": [
-        ("function", r"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+(?:\*\s+)?(\w+)\s*\(", 1),
-        ("arrow_function", r"(?:export\s+)?(?:async\s+)?const\s+(\w+)\s*[=:]\s*(?:async\s+)?\(", 1),
-        ("class", r"(?:export\s+)?class\s+(\w+)\s*(?:extends\s+(\w+))?\s*(?:implements\s+(\w+))?", 1),
-        ("interface", r"(?:export\s+)?interface\s+(\w+)\s*(?:extends\s+[\w,\s]+)?", 1),
-        ("type", r"(?:export\s+)?type\s+(\w+)\s*=", 1),
-    ],
-    "rust": [
-        ("function", r"pub\s+(?:unsafe\s+)?fn\s+(\w+)\s*\(([^)]*)\)\s*(?:->\s*([^{]+))?", 1),
-        ("struct", r"pub\s+struct\s+(\w+)\s*(\{|[;])", 1),
-        ("enum", r"pub\s+enum\s+(\w+)\s*(\{|[;])", 1),
-        ("trait", r"pub\s+trait\s+(\w+)\s*(?::\{)?", 1),
-    ],
-    "java": [
-        ("class", r"(?:public\s+)?(?:abstract\s+)?(?:final\s+)?class\s+(\w+)", 1),
-        ("interface", r"(?:public\s+)?(?:abstract\s+)?(?:final\s+)?@?interface\s+(\w+)", 1),
-        ("enum", r"(?:public\s+)?(?:abstract\s+)?(?:final\s+)?enum\s+(\w+)", 1),
-        ("method", r"(?:public|protected|private|static|final|abstract|synchronized|native)\s+(?:static\s+)?(?:final\s+)?(?:abstract\s+)?(?:[\w<>\[\],\s]+)\s+(\w+)\s*\(([^)]*)\)\s*(?:throws\s+[\w,\s]+)?\s*(?:\{|;)", 1),
-        ("field", r"(?:public|protected|private|static|final)\s+(?:static\s+)?(?:final\s+)?([\w<>\[\]]+)\s+([A-Z]\w+)\s*(?:=|\s*;)", 2),
-    ],
-    "kotlin": [
-        ("function", r"(?:suspend\s+)?fun\s+(\w+)\s*\(([^)]*)\)\s*(?::\s*([^{]+))?", 1),
-        ("class", r"(?:data\s+|sealed\s+|open\s+)?(?:class|object|enum class)\s+(\w+)", 1),
-        ("interface", r"interface\s+(\w+)", 1),
-        ("property", r"(?:val|var)\s+(\w+)\s*(?::\s*([^=]+))?\s*=", 1),
-    ],
-    "c_cpp": [
-        ("function", r"(?:static\s+)?(?:inline\s+)?(?:void|int|char|size_t|bool|float|double|uint\d+_t|int\d+_t|char\*|const\s+[\w\s]+\*?)\s+(\w+)\s*\(([^)]*)\)\s*\{", 1),
-        ("typedef", r"typedef\s+(?:struct|union|enum)\s+\w+\s*\{[^}]*\}\s*(\w+);", 1),
-        ("struct", r"struct\s+(\w+)\s*\{", 1),
-    ],
-    "go": [
-        ("function", r"(?m)^func\s+([A-Z]\w*)\s*\(", 1),
-        ("method", r"(?m)^func\s+\([^)]+\)\s+([A-Z]\w*)\s*\(", 1),
-        ("type", r"(?m)^type\s+([A-Z]\w*)\s+", 1),
-    ],
-    "php": [
-        ("class", r"(?:abstract\s+|final\s+)?class\s+(\w+)", 1),
-        ("interface", r"interface\s+(\w+)", 1),
-        ("trait", r"trait\s+(\w+)", 1),
-        ("function", r"function\s+(\w+)\s*\(", 1),
-        ("enum", r"enum\s+(\w+)", 1),
-    ],
-}
+# The marks of headings, annotations and links.
 HEADING, ANNOTATION, WIKI_LINK = r"(?m)^(#{1,6})[ \t]+(.+)$", r"[#/]{1,2}\s*@lat:\s*\[\[([^\]]+)\]\]", r"\[\[([^\]]+)\]\]"
 
 
@@ -63,30 +14,10 @@ def matches(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def declarations(files: DataFrame, language: str, path: str = "path", text: str = "content") -> DataFrame:
-    """path, kind, name, ordinal (within its kind) of each declaration; kinds in order, then offsets. Null texts give none."""
-    kinds = DECLARATIONS[language]
-    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("kind_order"), matches(F.col(text), p, g).alias("names")) for n, (k, p, g) in enumerate(kinds)])
-    one = files.select(path, F.explode(each).alias("d")).select(path, "d.kind", "d.kind_order", F.posexplode("d.names").alias("ordinal", "name"))
-    return one.select(path, "kind", "kind_order", "ordinal", "name")
-
-
-def python_declarations(files: DataFrame, path: str = "path", text: str = "content") -> DataFrame:
-    """Functions, async functions and classes by Python's own parser; a file that doesn't parse gives one error row."""
-    kinds = {ast.FunctionDef: "function", ast.AsyncFunctionDef: "async_function", ast.ClassDef: "class"}
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for p, source in zip(f[path], f[text], strict=True):
-                try:
-                    found = [(p, kinds[type(n)], n.name, n.lineno) for n in ast.walk(ast.parse(source or "")) if type(n) in kinds]
-                except (SyntaxError, ValueError, RecursionError):
-                    found = [(p, "error", "PARSE_ERROR", 0)]
-                out += found
-            yield pd.DataFrame(out, columns=["path", "kind", "name", "line"])
-
-    return files.select(path, text).mapInPandas(run, "path string, kind string, name string, line long")
+def section_id(path: Column, chain: Column, short: bool = False) -> Column:
+    """A heading's id: the document's path (``short``: its name) without ``.md``, and the chain, joined by ``#``."""
+    base = F.regexp_replace(path, r"\.md$", "")
+    return F.concat_ws("#", F.element_at(F.split(base, "/"), -1) if short else base, F.array_join(chain, "#"))
 
 
 def headings(files: DataFrame, path: str = "path", text: str = "content") -> DataFrame:

@@ -27,26 +27,27 @@ def top1_lateral(left: DataFrame, right: DataFrame, key: str, order: list[Column
 
 
 def lookup_default(rows: DataFrame, rules: DataFrame, keys: list[str], defaults: dict[str, Column]) -> DataFrame:
-    """Rule columns by exact keys, with defaults where no rule fits. ``rules`` is a constant table."""
-    joined = rows.join(F.broadcast(rules), keys, "left")
+    """Rule columns by exact keys, with defaults where no rule fits. A rule table that is small enough is sent by Spark itself."""
+    joined = rows.join(rules, keys, "left")
     return joined.select(*rows.columns, *(F.coalesce(F.col(c), d).alias(c) for c, d in defaults.items()))
 
 
-def contains_join(needles: DataFrame, haystacks: DataFrame, needle: str, text: str, gram: int = 3) -> DataFrame:
-    """Pairs in which the text contains the needle, case ignored.
+def contains_join(needles: DataFrame, haystacks: DataFrame, needle: str, text: str, gram: int = 3, case: bool = False) -> DataFrame:
+    """Pairs in which the text contains the needle; with ``case``, in the same case.
 
     Not a nested loop: a needle's first characters are joined with the distinct character sequences
     of that length in the text, and only those pairs are compared. Null and empty needles match
     nothing. Needles shorter than ``gram`` are joined by their own length."""
-    n = needles.filter(F.length(needle) > 0).withColumn("_key", F.lower(F.substring(needle, 1, gram)))
-    low = F.lower(F.col(text))
+    same = (lambda c: F.col(c)) if case else F.lower
+    n = needles.filter(F.length(needle) > 0).withColumn("_key", F.substring(same(needle), 1, gram))
+    low = same(text)
 
     def grams(size: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(size)))
 
     keys = [grams(size) for size in range(1, gram + 1)]
     t = haystacks.filter(F.length(text) > 0).withColumn("_key", F.explode(F.array_distinct(F.concat(*keys))))
-    return n.join(t, "_key").filter(F.contains(F.lower(text), F.lower(needle))).drop("_key")
+    return n.join(t, "_key").filter(F.contains(same(text), same(needle))).drop("_key")
 
 
 def exact_else_partial(queries: DataFrame, index: DataFrame, wanted: str, name: str, seq: str) -> DataFrame:
@@ -72,15 +73,16 @@ def without_prefix(rows: DataFrame, prefixes: DataFrame, path: str, prefix: str)
     return rows.join(covered, path, "left_anti")
 
 
-def first_gap(subjects: DataFrame, gaps: str, requirements: list[str], status: Column, key: str) -> DataFrame:
-    """Every (subject, requirement) with the status of the first gap, in array order, whose text contains
-    the requirement or is contained in it (case ignored; an empty text fits all); else missing.
+def coverage(gaps: DataFrame, key: str, text: str, seq: str, status: str, requirements: list[str], normal) -> DataFrame:
+    """Every (subject, requirement) with the status of the subject's first gap, by ``seq``, whose text contains the
+    requirement or is contained in it (case ignored; an empty text fits all); else missing.
 
-    ``gaps`` is an array of (requirement, status) structs; the requirements are a short fixed list."""
-    grid = subjects.select(key, gaps, F.explode(F.array(*map(F.lit, requirements))).alias("requirement"))
-    low = F.lower("requirement")
-    fits = F.filter(F.col(gaps), lambda g: F.contains(F.lower(g["requirement"]), low) | F.contains(low, F.lower(g["requirement"])))
-    return grid.select(key, "requirement", F.coalesce(status(F.try_element_at(fits, F.lit(1))["status"]), F.lit("missing")).alias("status"))
+    The requirements are a short fixed list: a gap gives a row for each that it fits, and the first is an aggregate, so no subject's gaps are gathered."""
+    low = F.lower(text)
+    fits = F.filter(F.array(*map(F.lit, requirements)), lambda r: F.contains(low, F.lower(r)) | F.contains(F.lower(r), low))
+    hit = gaps.select(key, seq, status, F.explode(fits).alias("requirement")).groupBy(key, "requirement").agg(F.min_by(status, seq).alias("_s"))
+    grid = gaps.select(key).distinct().select(key, F.explode(F.array(*map(F.lit, requirements))).alias("requirement"))
+    return grid.join(hit, [key, "requirement"], "left").select(key, "requirement", F.coalesce(normal(F.col("_s")), F.lit("missing")).alias("status"))
 
 
 def reverse_index(marks: DataFrame, sections: DataFrame, key: str, place: list[str]) -> DataFrame:

@@ -62,3 +62,25 @@ def similarity_pairs(src: DataFrame, dst: DataFrame, on: list[str], name: str, k
     d = dst.select(*on, F.col(key).alias("dst"), F.col(name).alias("dst_name"))
     return src.select(*on, F.col(key).alias("src"), F.col(name).alias("src_name")).join(d, on).withColumn("similarity", name_similarity(F.col("src_name"), F.col("dst_name")))
 
+
+
+def match_params(src: Column, dst: Column, least: float = 0.6) -> Column:
+    """How the parameters of one function (an array of names) are given to another: structs (src_name, dst_name, transform), those of equal names
+    first, then the others in order, each with the most similar free name (of equals the first) if that is above ``least``, else ``#MISSING``."""
+    src, dst = F.array_distinct(src), F.array_distinct(dst)
+    pair = lambda s, d, t: F.struct(s.alias("src_name"), d.alias("dst_name"), t.alias("transform"))
+    same = F.filter(src, lambda s: F.array_contains(dst, s))
+    state = F.struct(F.array_except(dst, same).alias("free"), F.transform(same, lambda s: pair(s, s, F.lit("identity"))).alias("out"), F.array().cast("array<struct<src_name:string,dst_name:string,transform:string>>").alias("missing"))
+
+    def step(acc: Column, s: Column) -> Column:
+        ranked = F.array_sort(F.transform(acc["free"], lambda d, i: F.struct((-name_similarity(s, d)).alias("c"), i.alias("i"), d.alias("d"))))
+        best = F.try_element_at(F.filter(ranked, lambda r: -r["c"] > least), F.lit(1))
+        found = pair(s, best["d"], F.when(best["c"] <= -1.0, "identity").otherwise("rename"))
+        return F.struct(
+            F.when(best.isNull(), acc["free"]).otherwise(F.array_remove(acc["free"], best["d"])).alias("free"),
+            F.when(best.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], found)).alias("out"),
+            F.when(best.isNull(), F.array_append(acc["missing"], pair(s, F.lit("#MISSING"), F.lit("unwrap")))).otherwise(acc["missing"]).alias("missing"),
+        )
+
+    done = F.aggregate(F.array_except(src, same), state, step)
+    return F.concat(done["out"], done["missing"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,10 +13,36 @@ def top_per_group(rows: DataFrame, group: list[str], order: list[Column], k: int
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col(rank) <= k)
 
 
+def positions(rows: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:
+    """Numbers all rows from 1 in a total order, without one task that sees them all.
+
+    Rows are dealt by ranges of the order; a row's number is its place in its range after the sizes of
+    the ranges before, which are one row each. The ranges are written to the shared folder once, as they must not be drawn anew in between."""
+    dealt = checkpointed(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    # One row for each range: as many as there are tasks.
+    return dealt.join(F.broadcast(before.select("_range", "_before")), "_range").withColumn(name, (own + F.col("_before")).cast("bigint")).drop("_range", "_before")
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """A reliable checkpoint in ``spark.checkpoint.dir``; only a local session may do without that setting."""
+    spark = rows.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return rows.checkpoint()
+
+
 def evidence_ranking(rows: DataFrame, confidence: str, evidence: str, tie: list[Column]) -> DataFrame:
     """Score 0.6 confidence + 0.4 min(evidence / 20, 1), two decimals half to even; ranks without gaps, one row per subject."""
     score = F.bround(F.col(confidence) * 0.6 + F.least(F.col(evidence) / 20, F.lit(1.0)) * 0.4, 2)
-    return rows.withColumn("score", score).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.desc(confidence), *tie)))
+    return positions(rows.withColumn("score", score), [F.desc("score"), F.desc(confidence), *tie], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def filter_or_all(rows: DataFrame, wanted: Column) -> DataFrame:

@@ -1,5 +1,5 @@
 """The library's queries over the test tables."""
 
-from . import compatibility, queries
+from . import compatibility, packages, queries, sources
 
-__all__ = ["compatibility", "queries"]
+__all__ = ["compatibility", "packages", "queries", "sources"]

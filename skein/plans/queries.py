@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import constants as C
 from ..functions import scalars as S
@@ -66,7 +65,7 @@ def evidence_ranking(t: Tables) -> DataFrame:
 
 @query("SELECT s_suppkey, s_name, s_acctbal, row_number() OVER (ORDER BY s_acctbal, s_suppkey)::INTEGER AS pos FROM supplier")
 def stable_sort(t: Tables) -> DataFrame:
-    return t.supplier.select("s_suppkey", "s_name", "s_acctbal", F.row_number().over(Window.orderBy("s_acctbal", "s_suppkey")).alias("pos"))
+    return ranking.positions(t.supplier.select("s_suppkey", "s_name", "s_acctbal"), [F.asc("s_acctbal"), F.asc("s_suppkey")]).withColumn("pos", F.col("pos").cast("int"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15")
@@ -231,18 +230,16 @@ _REQS = ["Brand#1", "brand#12 economy", "PROMO", "no such thing"]
 
 
 @query(f"""
-WITH g AS (SELECT s_nationkey AS k, l_partkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY l_partkey) AS pos FROM (SELECT DISTINCT s_nationkey, l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)),
-gaps AS (SELECT k, pos, lower(p_brand || ' ' || p_type) AS req, CASE WHEN p_size < 15 THEN ' Yes ' WHEN p_size < 35 THEN 'partially' ELSE 'no' END AS st FROM g JOIN part ON p_partkey = l_partkey WHERE pos <= 20),
+WITH gaps AS (SELECT DISTINCT s_nationkey AS k, l_partkey AS pos, lower(p_brand || ' ' || p_type) AS req, CASE WHEN p_size < 15 THEN ' Yes ' WHEN p_size < 35 THEN 'partially' ELSE 'no' END AS st FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey),
 reqs(requirement) AS (VALUES {_values([(r,) for r in _REQS])}),
 hit AS (SELECT k, requirement, arg_min(st, pos) AS st FROM gaps, reqs WHERE contains(req, lower(requirement)) OR contains(lower(requirement), req) GROUP BY ALL)
 SELECT n.k AS s_nationkey, requirement, CASE lower(trim(coalesce(st, ''))) WHEN 'yes' THEN 'supported' WHEN 'partially' THEN 'partial' ELSE 'missing' END AS status
 FROM (SELECT DISTINCT k FROM gaps) n CROSS JOIN reqs LEFT JOIN hit USING (k, requirement)""")
 def coverage_theta_first(t: Tables) -> DataFrame:
     pairs = t.lineitem.join(t.supplier.withColumnRenamed("s_suppkey", "l_suppkey"), "l_suppkey").select("s_nationkey", "l_partkey").distinct()
-    first = ranking.top_per_group(pairs, ["s_nationkey"], [F.asc("l_partkey")], 20, "pos")
     st = F.when(F.col("p_size") < 15, " Yes ").when(F.col("p_size") < 35, "partially").otherwise("no")
-    gaps = first.join(t.part.withColumnRenamed("p_partkey", "l_partkey"), "l_partkey").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("pos", F.concat_ws(" ", "p_brand", "p_type").alias("requirement"), st.alias("status")))).alias("gaps"))
-    return joins.first_gap(gaps, "gaps", _REQS, S.normalize_status, "s_nationkey")
+    gaps = pairs.join(t.part.withColumnRenamed("p_partkey", "l_partkey"), "l_partkey").select("s_nationkey", F.col("l_partkey").alias("pos"), F.concat_ws(" ", "p_brand", "p_type").alias("gap"), st.alias("status"))
+    return joins.coverage(gaps, "s_nationkey", "gap", "pos", "status", _REQS, S.normalize_status)
 
 
 @query("""
@@ -274,23 +271,24 @@ def match_cardinality(t: Tables) -> DataFrame:
     return joins.match_cardinality(t.spark.createDataFrame([(x,) for x in _WANTED], "wanted string"), t.part, "wanted", "p_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
+@query("SELECT c_custkey, c_name FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON c_custkey = o_custkey")
 def anti_orphans(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey", "c_name").join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Customers without a pending order; all have orders of some kind."""
+    return t.customer.select("c_custkey", "c_name").join(t.orders.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 @query("""
-WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS path FROM pages), x AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]*/[a-z]*)', 1) AS prefix FROM pages WHERE page_id % 7 = 0)
+WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS path FROM pages), x AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]*/[a-z]*)', 1) AS prefix FROM pages WHERE contains(url, '?'))
 SELECT page_id, path FROM p WHERE NOT EXISTS (SELECT 1 FROM x WHERE p.path = x.prefix OR starts_with(p.path, x.prefix || '/'))""")
 def prefix_theta_anti(t: Tables) -> DataFrame:
     rows = t.pages.select("page_id", F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1).alias("path"))
-    prefixes = t.pages.filter("page_id % 7 = 0").select(F.regexp_extract("url", "^[a-z]+://([^/?#]*/[a-z]*)", 1).alias("prefix"))
+    prefixes = t.pages.filter("contains(url, '?')").select(F.regexp_extract("url", "^[a-z]+://([^/?#]*/[a-z]*)", 1).alias("prefix"))
     return joins.without_prefix(rows, prefixes, "path", "prefix").select("page_id", "path")
 
 
-@query("SELECT n.word, p.p_partkey FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS word FROM part WHERE p_partkey < 40) n JOIN part p ON contains(lower(p.p_name), lower(n.word))")
+@query("SELECT n.word, p.p_partkey FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS word FROM part) n JOIN part p ON contains(lower(p.p_name), lower(n.word))")
 def contains_join(t: Tables) -> DataFrame:
-    words = t.part.filter("p_partkey < 40").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("word")).distinct()
+    words = t.part.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("word")).distinct()
     return joins.contains_join(words, t.part.select("p_partkey", "p_name"), "word", "p_name").select("word", "p_partkey")
 
 
@@ -313,8 +311,9 @@ def exact_dedup_sha256(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT arg_min(p_name, p_partkey) AS p_name, min(p_partkey) AS p_partkey, max(p_retailprice) AS best, coalesce(string_agg(p_brand, ',' ORDER BY p_partkey) FILTER (WHERE n > 1), '') AS also
-FROM (SELECT *, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS n FROM part) GROUP BY lower(p_name)""")
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS n FROM part), also AS (SELECT lower(p_name) AS k, p_brand, min(p_partkey) AS first FROM n WHERE n > 1 GROUP BY ALL),
+g AS (SELECT lower(p_name) AS k, arg_min(p_name, p_partkey) AS p_name, min(p_partkey) AS p_partkey, max(p_retailprice) AS best FROM part GROUP BY 1)
+SELECT p_name, p_partkey, best, coalesce((SELECT string_agg(p_brand, ',' ORDER BY first) FROM also WHERE also.k = g.k), '') AS also FROM g""")
 def alias_dedup(t: Tables) -> DataFrame:
     rows = t.part.select("p_partkey", "p_name", "p_brand", F.col("p_retailprice").alias("best"))
     return dedup.alias_dedup(rows, F.lower("p_name"), "p_partkey", "best", "p_brand").select("p_name", "p_partkey", "best", F.array_join("also", ",").alias("also"))
@@ -336,15 +335,29 @@ def fuzzy_title_dedup(t: Tables) -> DataFrame:
     return dedup.fuzzy_dedup(t.part.select("p_partkey", "p_name"), "p_name", "p_partkey")
 
 
-@query()
+def _greedy(rows: str, name: str, ratio: float, same: str = "true") -> str:
+    """Steps of a recursion over ``rows`` (k, txt, g) in the order of k: ``{name}`` has the k of the rows that stay."""
+    return f"""{name}_o AS (SELECT k, txt, g, row_number() OVER (ORDER BY k) AS i FROM {rows}),
+{name}_r(i, kept) AS (SELECT 0::BIGINT, []::STRUCT(k BIGINT, txt VARCHAR, g VARCHAR)[] UNION ALL
+  SELECT o.i, CASE WHEN len(list_filter(kept, lambda y: {same} AND 1 - levenshtein(y.txt, o.txt) / greatest(length(y.txt), length(o.txt))::DOUBLE >= {ratio} - 1e-12)) = 0 THEN list_append(kept, {{'k': o.k, 'txt': o.txt, 'g': o.g}}) ELSE kept END FROM {name}_r JOIN {name}_o o ON o.i = {name}_r.i + 1),
+{name} AS (SELECT y.k AS k FROM (SELECT unnest(arg_max(kept, i)) AS y FROM {name}_r))"""
+
+
+@query(f"""
+WITH RECURSIVE x AS (SELECT p_name AS txt, p_brand AS g, min(p_partkey) AS k FROM part GROUP BY ALL), {_greedy("x", "stay", 0.75, "y.g = o.g")}
+SELECT p_partkey, p_name, p_brand FROM part JOIN stay ON k = p_partkey""")
 def fuzzy_author_dedup(t: Tables) -> DataFrame:
     return dedup.fuzzy_dedup(t.part.select("p_partkey", "p_name", "p_brand"), "p_name", "p_partkey", 0.75, ["p_brand"])
 
 
-@query()
+@query(f"""
+WITH RECURSIVE h AS (SELECT min(p_partkey) AS k FROM part GROUP BY p_name, p_brand, p_type), d AS (SELECT min(p_partkey) AS k FROM part JOIN h ON k = p_partkey GROUP BY CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand || p_size::VARCHAR END, CASE WHEN p_size % 3 = 0 THEN p_partkey END),
+x AS (SELECT p_name AS txt, '' AS g, min(p_partkey) AS k FROM part JOIN d ON k = p_partkey GROUP BY 1), {_greedy("x", "one", 0.85)}, z AS (SELECT p_name AS txt, p_brand AS g, p_partkey AS k FROM part JOIN one ON k = p_partkey), {_greedy("z", "two", 0.75, "y.g = o.g")}
+SELECT p_partkey, p_name, p_brand FROM part JOIN two ON k = p_partkey""")
 def dedup_pipeline(t: Tables) -> DataFrame:
-    rows = t.part.select("p_partkey", "p_name", "p_brand", F.sha2(F.concat_ws("|", "p_name", "p_brand", "p_type"), 256).alias("hash"))
-    return dedup.dedup_pipeline(rows, "p_partkey", "hash", "p_name", "p_brand").drop("hash")
+    doi = F.when(F.col("p_size") % 3 != 0, F.concat("p_brand", "p_size"))
+    rows = t.part.select("p_partkey", "p_name", "p_brand", F.sha2(F.concat_ws("|", "p_name", "p_brand", "p_type"), 256).alias("hash"), doi.alias("doi"))
+    return dedup.dedup_pipeline(rows, "p_partkey", "hash", "p_name", "p_brand", "doi").drop("hash", "doi")
 
 
 @query("SELECT DISTINCT trim(regexp_extract(url, '://([^?#]*)', 1)) AS slug FROM pages WHERE contains(regexp_extract(url, '://([^?#]*)', 1), '/')")
@@ -399,8 +412,7 @@ def conditional_counts(t: Tables) -> DataFrame:
 
 @query("SELECT l_orderkey, count(*) AS n_lines, count(DISTINCT l_partkey) AS n_parts FROM lineitem GROUP BY 1")
 def nested_sizes(t: Tables) -> DataFrame:
-    g = t.lineitem.groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("parts"))
-    return g.select("l_orderkey", F.size("parts").cast("long").alias("n_lines"), F.size(F.array_distinct("parts")).cast("long").alias("n_parts"))
+    return t.lineitem.groupBy("l_orderkey").agg(F.count("l_partkey").alias("n_lines"), F.count_distinct("l_partkey").alias("n_parts"))
 
 
 @query("""SELECT c_custkey, coalesce(string_agg(o_orderkey::VARCHAR || '=' || o_orderstatus, ', ' ORDER BY o_orderkey), 'no gap data') AS summary FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
@@ -444,15 +456,23 @@ def severity_counts(t: Tables) -> DataFrame:
     return g.withColumn("exit_code", F.when(F.col("errors") > 0, 2).when(F.col("warnings") > 0, 1).otherwise(0))
 
 
-@query("SELECT p_brand, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS members FROM part GROUP BY 1")
+@query("SELECT p_brand, p_partkey // 500 AS piece, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS members FROM part GROUP BY ALL")
 def group_collect(t: Tables) -> DataFrame:
-    return t.part.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda x: x.cast("string")), ",").alias("members"))
+    """Members by group, in pieces of 500 keys each: no list grows with the table."""
+    rows = t.part.withColumn("piece", F.floor(F.col("p_partkey") / 500))
+    return rows.groupBy("p_brand", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda x: x.cast("string")), ",").alias("members"))
 
 
-@query("SELECT source, sha256(string_agg(sha256(coalesce(text, '')), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
+@query("""WITH p AS (SELECT source, doc_id // 1000 AS piece, sha256(string_agg(sha256(coalesce(text, '')), '' ORDER BY doc_id)) AS h FROM documents GROUP BY ALL)
+SELECT source, sha256(string_agg(h, '' ORDER BY piece)) AS digest FROM p GROUP BY source""")
 def ordered_hash_agg(t: Tables) -> DataFrame:
-    g = t.documents.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")))).alias("a"))
-    return g.select("source", F.sha2(F.array_join(F.transform("a", lambda x: x["h"]), ""), 256).alias("digest"))
+    """A digest of each source's digests of 1000 ids each, so that no task holds a hot source's documents."""
+    def digest(rows: DataFrame, keys: list[str], order: str, h: Column) -> DataFrame:
+        g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, h.alias("h")))).alias("a"))
+        return g.select(*keys, F.sha2(F.array_join(F.transform("a", lambda x: x["h"]), ""), 256).alias("digest"))
+
+    pieces = digest(t.documents.withColumn("piece", F.floor(F.col("doc_id") / 1000)), ["source", "piece"], "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return digest(pieces, ["source"], "piece", F.col("digest"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, concat_ws('; ', CASE WHEN l_discount > 0.08 THEN 'discount' END, CASE WHEN l_tax = 0 THEN 'no tax' END, CASE WHEN l_quantity > 45 THEN 'bulk' END) AS warnings FROM lineitem""")
@@ -520,13 +540,13 @@ _FUNCS = ["json_dumps", "load", "get_user", "SaveAll", "flatMap", "open_file", "
 
 @query(f"""
 WITH k(role, ord, w) AS (VALUES {", ".join(f"('{r}', {i}, '{w}')" for i, (r, ws) in enumerate(C.ROLE_KEYWORDS.items()) for w in ws)}),
-n AS (SELECT DISTINCT [{_in(_FUNCS)}][(p_partkey % 10)::INTEGER + 1] AS name FROM part),
+n AS (SELECT DISTINCT [{_in(_FUNCS)}][(p_partkey % 10)::INTEGER + 1] || '_' || replace(p_name, ' ', '_') AS name FROM part),
 s AS (SELECT name, role, ord, max(CASE WHEN lower(name) = w THEN 0.95::DOUBLE WHEN starts_with(lower(name), w || '_') OR ends_with(lower(name), '_' || w) THEN 0.85::DOUBLE WHEN contains(lower(name), '_' || w || '_') THEN 0.75::DOUBLE ELSE 0.6::DOUBLE END) AS c
   FROM n JOIN k ON contains(lower(name), w) GROUP BY ALL),
 b AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY c DESC, ord) AS r FROM s)
 SELECT n.name, coalesce(role, 'unknown') AS role, coalesce(c, 0.0::DOUBLE) AS confidence FROM n LEFT JOIN b ON b.name = n.name AND r = 1""")
 def keyword_role(t: Tables) -> DataFrame:
-    n = t.part.select(F.element_at(F.array(*map(F.lit, _FUNCS)), (F.col("p_partkey") % 10 + 1).cast("int")).alias("name")).distinct()
+    n = t.part.select(F.concat_ws("_", F.element_at(F.array(*map(F.lit, _FUNCS)), (F.col("p_partkey") % 10 + 1).cast("int")), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("name")).distinct()
     return n.withColumn("r", matching.role(F.col("name"))).select("name", "r.role", "r.confidence")
 
 
@@ -542,7 +562,13 @@ def mapping_score(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", score.alias("score"), S.confidence_label(score, sl == "").alias("label"))
 
 
-@query()
+@query("""
+WITH RECURSIVE n AS (SELECT p_brand AS b, p_partkey AS k, p_name AS name, p_type, regexp_replace(lower(p_name), '[_-]', '', 'g') AS x FROM part),
+p AS (SELECT s.b, s.k AS src, s.name AS src_name, d.k AS dst, d.name AS dst_name, CASE WHEN s.x = d.x THEN 1.0::DOUBLE WHEN contains(s.x, d.x) OR contains(d.x, s.x) THEN 0.85::DOUBLE ELSE 1 - levenshtein(s.x, d.x) / greatest(length(s.x), length(d.x))::DOUBLE END AS similarity FROM n s JOIN n d ON s.b = d.b WHERE s.k % 2 = 0 AND d.k % 2 = 1),
+o AS (SELECT b, src, list(dst ORDER BY similarity DESC, dst) AS able, row_number() OVER (PARTITION BY b ORDER BY src) AS i FROM p WHERE similarity >= 0.3 GROUP BY b, src),
+g(b, i, used, src, dst) AS (SELECT DISTINCT b, 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT FROM o UNION ALL
+  SELECT b, i, CASE WHEN d IS NULL THEN used ELSE list_append(used, d) END, src, d FROM (SELECT g.b, o.i, g.used, o.src, list_filter(o.able, lambda x: NOT list_contains(g.used, x))[1] AS d FROM g JOIN o ON o.b = g.b AND o.i = g.i + 1))
+SELECT b AS p_brand, p.src, src_name, p.dst, dst_name, similarity FROM g JOIN p USING (b, src, dst)""")
 def greedy_match(t: Tables) -> DataFrame:
     parts = t.part.select("p_brand", "p_partkey", "p_name", "p_type")
     src, dst = parts.filter("p_partkey % 2 = 0"), parts.filter("p_partkey % 2 = 1")
@@ -653,33 +679,35 @@ def text_quality_flags(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", *extract.text_flags(F.col("text")))
 
 
-_CODE = ["pub fn run(x: i32) -> u8 { }\npub struct Job;\n", "export class A extends B {}\nconst go = (x) => x\nfunction add(a) {}\n", "func Run(a int) {\n}\ntype Job struct {\n", "fun main() {}\ndata class P(val x: Int)\nval y = 3\n"]
-
-
-@query()
-def symbol_extraction(t: Tables) -> DataFrame:
-    n = (F.col("doc_id") % len(_CODE)).cast("int")
-    files = t.documents.select(F.col("doc_id").cast("string").alias("path"), F.element_at(F.array(*map(F.lit, _CODE)), n + 1).alias("content"))
-    out = None
-    for language in ("rust", "javascript", "go", "kotlin"):
-        one = extract.declarations(files, language).withColumn("language", F.lit(language))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-@query()
+@query("""
+WITH h AS (SELECT page_id, '# ' || regexp_extract(html, '<title>([^<]*)</title>', 1) || chr(10) || '### Deep' || chr(10) || 'text' || chr(10) || '## ' || regexp_extract(html, '<h1>([^<]*)</h1>', 1) || chr(10) || '<!-- x -->' || chr(10) || '# End' || chr(10) AS c FROM pages),
+m AS (SELECT page_id, unnest(list_zip(regexp_extract_all(c, '(?m)^(#{1,6})[ \\t]+(.+)$', 1), regexp_extract_all(c, '(?m)^(#{1,6})[ \\t]+(.+)$', 2))) AS m, unnest(range(len(regexp_extract_all(c, '(?m)^(#{1,6})[ \\t]+(.+)$', 1)))) AS pos FROM h),
+r AS (SELECT page_id, pos, length(m[1]) AS level, trim(m[2]) AS title FROM m WHERE trim(m[2]) <> '')
+SELECT page_id::VARCHAR AS path, pos::INTEGER AS pos, level::INTEGER AS level, title, array_to_string((SELECT list(a.title ORDER BY a.pos) FROM r a WHERE a.page_id = r.page_id AND a.pos <= r.pos AND a.level <= r.level AND (a.pos = r.pos OR a.level < r.level) AND NOT EXISTS (SELECT 1 FROM r b WHERE b.page_id = r.page_id AND b.pos > a.pos AND b.pos <= r.pos AND b.level <= a.level)), ' > ') AS chain,
+ 'docs/' || page_id::VARCHAR || '#' || array_to_string((SELECT list(a.title ORDER BY a.pos) FROM r a WHERE a.page_id = r.page_id AND a.pos <= r.pos AND a.level <= r.level AND (a.pos = r.pos OR a.level < r.level) AND NOT EXISTS (SELECT 1 FROM r b WHERE b.page_id = r.page_id AND b.pos > a.pos AND b.pos <= r.pos AND b.level <= a.level)), '#') AS section_id FROM r""")
 def heading_chain(t: Tables) -> DataFrame:
-    text = F.concat(F.lit("# "), F.col("lang"), F.lit("\n### Deep\ntext\n## "), F.col("source"), F.lit("\n<!-- x -->\n# End\n"))
-    return extract.headings(t.documents.select(F.col("doc_id").cast("string").alias("path"), text.alias("content")))
+    """Headings of Markdown made of each page's title and heading."""
+    first = lambda tag: F.regexp_extract("html", f"<{tag}>([^<]*)</{tag}>", 1)
+    text = F.concat(F.lit("# "), first("title"), F.lit("\n### Deep\ntext\n## "), first("h1"), F.lit("\n<!-- x -->\n# End\n"))
+    h = extract.headings(t.pages.select(F.col("page_id").cast("string").alias("path"), text.alias("content")))
+    return h.select("path", "pos", "level", "title", F.array_join("chain", " > ").alias("chain"), extract.section_id(F.concat(F.lit("docs/"), "path", F.lit(".md")), F.col("chain")).alias("section_id"))
 
 
-@query("SELECT doc_id::VARCHAR AS path, n AS line, 'mod' || (doc_id % 9)::VARCHAR || '#Part' AS section_id FROM documents, (VALUES (2), (3)) v(n)")
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, '') || chr(10) || '# @lat: [[mod' || (doc_id % 9)::VARCHAR || '#Part ]]' || chr(10) || '// @lat: [[a]] # @lat: [[b]]', chr(10))) AS l, unnest(range(len(string_split(coalesce(text, '') || chr(10) || 'x' || chr(10) || 'y', chr(10))))) AS n FROM documents)
+SELECT doc_id::VARCHAR AS path, (n + 1)::INTEGER AS line, trim(regexp_extract(l, '[#/]{1,2}\\s*@lat:\\s*\\[\\[([^\\]]+)\\]\\]', 1)) AS section_id FROM l WHERE trim(regexp_extract(l, '[#/]{1,2}\\s*@lat:\\s*\\[\\[([^\\]]+)\\]\\]', 1)) <> ''""")
 def line_annotations(t: Tables) -> DataFrame:
-    mark = F.concat(F.lit("@lat: [[mod"), (F.col("doc_id") % 9).cast("string"), F.lit("#Part ]]"))
-    text = F.concat(F.lit("import x\n# "), mark, F.lit("\n// "), mark, F.lit(" # "), mark, F.lit("\nend"))
+    """Annotations behind each document's own text."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n# @lat: [[mod"), (F.col("doc_id") % 9).cast("string"), F.lit("#Part ]]\n// @lat: [[a]] # @lat: [[b]]"))
     return extract.line_annotations(t.documents.select(F.col("doc_id").cast("string").alias("path"), text.alias("content")))
 
 
+@query("SELECT page_id::VARCHAR AS path, (i - 1)::INTEGER AS pos, trim(x) AS target FROM (SELECT page_id, unnest(regexp_extract_all(replace(html, '<p>', '[[') || '[[end]]', '\\[\\[([^\\]]+)\\]\\]', 1)) AS x, unnest(range(1, len(regexp_extract_all(replace(html, '<p>', '[[') || '[[end]]', '\\[\\[([^\\]]+)\\]\\]', 1)) + 1)) AS i FROM pages)")
+def wiki_links(t: Tables) -> DataFrame:
+    html = F.concat(F.replace("html", F.lit("<p>"), F.lit("[[")), F.lit("[[end]]"))
+    return extract.wiki_links(t.pages.select(F.col("page_id").cast("string").alias("path"), html.alias("content")))
+
+
 @query("""SELECT o_custkey, '<gpx version="1.1"><trk><trkseg>' || string_agg(printf('<trkpt lat="%.8f" lon="%.8f">', o_custkey / 8.0::DOUBLE, o_orderkey / 16.0::DOUBLE) || CASE WHEN o_orderstatus <> 'P' THEN printf('<ele>%.1f</ele>', o_orderkey / 2.0::DOUBLE) ELSE '' END || '</trkpt>', '' ORDER BY o_orderkey) || '</trkseg></trk></gpx>' AS gpx FROM orders GROUP BY 1""")
 def track_to_xml(t: Tables) -> DataFrame:
     p = t.orders.select("o_custkey", "o_orderkey", (F.col("o_custkey") / 8).alias("lat"), (F.col("o_orderkey") / 16).alias("lon"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey") / 2).alias("ele"))

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.constants import TRANSITIONS
+from ..operators.dedup import dedup_pipeline
 
 
 def dedup_stream(stream: DataFrame, keys: list[str], event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
@@ -24,12 +27,18 @@ def windowed_counts(stream: DataFrame, event_time: str, group: str, width: str =
     return stream.withWatermark(event_time, delay).groupBy(F.window(event_time, width), group).agg(F.count(F.lit(1)).alias("n"))
 
 
-def transition_stream(stream: DataFrame, key: str, status: str, allowed: dict[str, list[str]] = TRANSITIONS, first: str = "pending") -> DataFrame:
+def transition_stream(stream: DataFrame, key: str, status: str, allowed: dict[str, list[str]] = TRANSITIONS, first: str = "pending", forget_after_ms: int | None = None) -> DataFrame:
     """Each row with its key's former state, whether the move is allowed, and the retries so far.
 
-    State is one status and one count per key. Rows of a batch are taken in its ``seq`` order."""
+    State is one status and one count per key, forgotten where a key has had no row for ``forget_after_ms`` (a later row then begins anew);
+    without it, state is kept for ever. Rows of a batch are taken in their ``seq`` order."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        columns = ["key", "seq", "was", "status", "legal", "attempts"]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=columns)
+            return
         was, attempts = state.get if state.exists else (first, 0)
         rows = pd.concat(list(frames)).sort_values("seq")
         out = []
@@ -38,7 +47,29 @@ def transition_stream(stream: DataFrame, key: str, status: str, allowed: dict[st
             out.append((k[0], int(seq), was, now, now == was or now in allowed.get(was, []), attempts))
             was = now
         state.update((was, int(attempts)))
-        yield pd.DataFrame(out, columns=["key", "seq", "was", "status", "legal", "attempts"])
+        if forget_after_ms is not None:
+            state.setTimeoutDuration(forget_after_ms)
+        yield pd.DataFrame(out, columns=columns)
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(step, f"key {kind}, seq long, was string, status string, legal boolean, attempts long", "was string, attempts long", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if forget_after_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return stream.groupBy(key).applyInPandasWithState(step, f"key {kind}, seq long, was string, status string, legal boolean, attempts long", "was string, attempts long", "append", timeout)
+
+
+def reset_kept(spark: SparkSession, path: str, schema: StructType) -> None:
+    """Begins anew: nothing has been kept yet."""
+    spark.createDataFrame([], schema).withColumn("batch", F.lit(-1).cast("long")).write.mode("overwrite").partitionBy("batch").parquet(path)
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
+
+
+def dedup_batches(stream: DataFrame, kept_path: str, seq: str, hash_col: str, title: str, author: str, doi: str | None = None) -> DataStreamWriter:
+    """A writer that sends each batch through all dedup layers, fuzzy ones too, against the rows that earlier batches kept.
+
+    What a batch keeps is a folder of its own, so a batch that is run again replaces its own rows alone. :func:`reset_kept` comes first."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        kept = batch.sparkSession.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(kept_path).filter(F.col("batch") != number)
+        new = dedup_pipeline(batch, seq, hash_col, title, author, doi, kept)
+        new.write.mode("overwrite").parquet(f"{kept_path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(each)

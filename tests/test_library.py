@@ -1,7 +1,9 @@
 """The library's queries against their SQL, and operators without SQL against plain Python."""
 
+import hashlib
 import math
 import os
+import random
 from decimal import Decimal
 
 import duckdb
@@ -10,9 +12,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from skein.functions import scalars as S
-from skein.operators import dedup, extract, joins, matching, ranking, state
+from skein.operators import dedup, extract, integrity, joins, matching, ranking, state, symbols
 from skein.plans import queries as library
-from skein.sources import readers
+from skein.sources import readers, sinks
 from skein.streaming import streams
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -135,17 +137,119 @@ def test_heading_chain_is_a_stack(spark):
     ("java", "public class A {\n public int run(int x) {}\n static final int MAX = 3;\n}", [("class", "A"), ("method", "run"), ("field", "MAX")]),
     ("kotlin", "fun main() {}\ndata class P(val x: Int)\nval y = 3", [("function", "main"), ("class", "P"), ("property", "x")]),
     ("c_cpp", "static int f(int a) {\n}\nstruct S {\n};", [("function", "f"), ("struct", "S")]),
-    ("go", "func Run(a int) {\n}\nfunc (s *S) Do() {\n}\ntype Job struct {", [("function", "Run"), ("method", "Do"), ("type", "Job")]),
+    ("go", "func Run(a int) {\n}\nfunc (s *S) Do() {\n}\ntype Job struct {", [("function", "Run"), ("method", "Do"), ("struct", "Job")]),
     ("php", "final class A {}\ninterface I {}\nfunction f() {}", [("class", "A"), ("interface", "I"), ("function", "f")]),
 ])
 def test_declarations(spark, language, text, want):
     df = spark.createDataFrame([("f", text), ("null", None)], "path string, content string")
-    assert [(r.kind, r.name) for r in extract.declarations(df, language).orderBy("kind_order", "ordinal").collect()] == want
+    got = symbols.symbols(df, language).orderBy("rule", "ordinal").collect()
+    assert [(r.kind, r.name) for r in got] == [("error", "PARSE_ERROR"), *want]
+    assert not any(r.probed for r in got) and all(r.signature and r.path in r.source for r in got)
 
 
 def test_python_declarations(spark):
-    df = spark.createDataFrame([("a", "class A:\n  def f(self): pass\nasync def g(): pass"), ("b", "def ("), ("c", None)], "path string, content string")
-    assert sorted((r.path, r.kind, r.name) for r in extract.python_declarations(df).collect()) == [("a", "async_function", "g"), ("a", "class", "A"), ("a", "function", "f"), ("b", "error", "PARSE_ERROR")]
+    df = spark.createDataFrame([("a", 'class A(B, C):\n  def f(self, x: int = 3) -> str:\n    """Says."""\nasync def g(y: int): pass'), ("b", "def ("), ("c", None), ("d", "")], "path string, content string")
+    got = sorted((r.path, r.kind, r.name, r.signature, r.source, r.doc_available) for r in symbols.symbols(df, "python").collect() if r.path == "a" or r.kind != "error")
+    assert got == [("a", "async_function", "g", "async def g(y)", "a:4", False), ("a", "class", "A", "class A(B, C)", "a:1", False), ("a", "function", "f", "def f(self, x: int) -> str", "a:2", True)]
+    assert sorted(r.path for r in symbols.symbols(df, "python").filter("kind = 'error'").collect()) == ["b", "c"]
+
+
+def test_symbol_rows_in_full(spark):
+    """Signatures, namespaces, documentation and rules that look beyond a match."""
+    texts = {
+        "javascript": "export async function  load(a,\n b) { return 1 } // tail\n",
+        "kotlin": "fun go( a: Int ) : List<\n String> {\n", "rust": "pub struct\n  Job {", "java": "@interface Note\nstatic final List<String> names = x;\nstatic final List<String> Names = x;\nprivate int A;",
+        "php": "namespace A\\B;\n/** Says Alpha. */\nclass Alpha { function inner() {} }\nclass Beta {\n}\n  function outer() {}\nconst X = 1;\ndefine( 'größe', 2);\nenum Kind: int {}",
+        "go": "/* Doc */\nfunc Run(x int) error {\nvar Größe = 1\n// x\n\ntype T struct {\nfunc run() {",
+    }
+    rows = {k: [(r.kind, r.name, r.signature, r.doc_available) for r in symbols.symbols(spark.createDataFrame([("d/f", v)], "path string, content string"), k).orderBy("rule", "ordinal").collect()] for k, v in texts.items()}
+    assert rows["javascript"] == [("function", "load", "export async function  load(a,", False)]
+    assert rows["kotlin"] == [("function", "go", "fun go(a: Int): List<\n String>", False)] and rows["rust"] == [("struct", "Job", "pub struct\n  Job;", False)]
+    assert rows["java"] == [("interface", "Note", "@interface Note", False), ("field", "Names", "List<String> Names", False)]
+    assert rows["php"] == [("class", "A\\B\\Alpha", "class Alpha", True), ("class", "A\\B\\Beta", "class Beta", True), ("function", "outer", "function outer(...)", False), ("constant", "größe", "define('größe', ...)", False), ("class_constant", "X", "const X =", False), ("enum", "A\\B\\Kind", "enum Kind", False)]
+    assert rows["go"] == [("function", "Run", "func Run(x int) error {", True), ("variable", "Größe", "var Größe = 1", False), ("struct", "T", "type T struct {", False)]
+    loose = symbols.loose_symbols(spark.createDataFrame([("f", "def alpha(x)\n  if y\nclass Beta\nreturn 1\nzeta(\n")], "path string, content string"))
+    assert {r.symbol for r in loose.collect()} == {"alpha", "Beta", "zeta"}
+
+
+def params_by_loops(src, dst, similarity):
+    src, free = list(dict.fromkeys(src)), [d for d in dict.fromkeys(dst) if d not in src]
+    out = [(s, s, "identity") for s in src if s in dst]
+    missing = []
+    for s in [s for s in src if s not in dst]:
+        best = max(((similarity[s, d], -i, d) for i, d in enumerate(free) if similarity[s, d] > 0.6), default=None)
+        if best:
+            free.remove(best[2])
+            out.append((s, best[2], "identity" if best[0] >= 1 else "rename"))
+        else:
+            missing.append((s, "#MISSING", "unwrap"))
+    return out + missing
+
+
+def test_param_matches_equal_loops(spark):
+    names = ["path", "file_path", "filePath", "mode", "open_mode", "url", "URL", "time_out", "timeout", "x", "pathname"]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string").withColumn("s", S.name_similarity(F.col("a"), F.col("b")))
+    similarity = {(r.a, r.b): r.s for r in pairs.collect()}
+    rnd = random.Random(5)
+    rows = [([rnd.choice(names) for _ in range(rnd.randint(0, 5))], [rnd.choice(names) for _ in range(rnd.randint(0, 5))]) for _ in range(200)]
+    got = spark.createDataFrame(rows, "a array<string>, b array<string>").coalesce(1).select(matching.match_params(F.col("a"), F.col("b")).alias("m")).collect()
+    assert [[tuple(x) for x in r.m] for r in got] == [params_by_loops(a, b, similarity) for a, b in rows]
+
+
+def test_fingerprint_query_reads_bytes_of_whole_texts(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: r.fingerprint for r in library.QUERIES["fingerprint"](spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        raw = None if r.text is None else r.text.encode()
+        assert got[r.doc_id] == (None if raw is None or r.source is None else hashlib.sha256(raw[:4096] + str(len(raw)).encode() + r.source.encode()).hexdigest())
+
+
+def test_positions_number_all_rows(spark):
+    df = spark.createDataFrame([(i * 37 % 101, i) for i in range(101)] + [(None, 500)], "a long, b long").repartition(5)
+    assert [(r.a, r.pos) for r in ranking.positions(df, [F.asc("a"), F.asc("b")]).orderBy("pos").collect()] == [(None, 1), *((i, i + 2) for i in range(101))]
+    assert ranking.positions(df.limit(0), [F.asc("a")]).count() == 0
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long")
+    sinks.write_json(rows, f"{tmp_path}/j", ["k"])
+    assert sorted(tuple(r) for r in spark.read.json(f"{tmp_path}/j").select("k", "v").collect()) == [("a", 1), ("b", 2)]
+    sinks.write_skeleton(spark, rows, f"{tmp_path}/s")
+    sinks.write_skeleton(spark, rows.limit(0), f"{tmp_path}/s")
+    assert spark.read.json(f"{tmp_path}/s").count() == 2
+    sinks.write_skeleton(spark, rows.limit(1), f"{tmp_path}/s", force=True)
+    assert spark.read.json(f"{tmp_path}/s").count() == 1
+    cache = spark.createDataFrame([("a", "x", 50.0, 10.0), ("b", "y", 500.0, 10.0), ("c", "z", 9e9, 0.0)], "key string, data string, expires double, created_at double")
+    new = sinks.cache_set(cache, spark.createDataFrame([("b", "n"), ("b", "m"), ("d", "q")], "key string, data string"), 100.0, 60)
+    assert sorted((r.key, r.data, r.expires) for r in new.collect()) == [("a", "x", 50.0), ("b", "n", 160.0), ("c", "z", 9e9), ("d", "q", 160.0)]
+    assert sorted(r.key for r in sinks.cache_purge(new, 100.0, 95).collect()) == ["b", "d"]
+    readers.write_kv(spark, new.withColumn("version", F.lit(1)), f"{tmp_path}/kv")
+    readers.write_kv(spark, new.limit(1).withColumn("version", F.lit(2)), f"{tmp_path}/kv")
+    assert readers.read_kv(spark, f"{tmp_path}/kv").count() == 1
+
+
+def test_markdown_walk(spark, tmp_path):
+    for name in ("docs/a.md", "docs/archive/b.md", "docs/c.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("# Top\n[[modules/x]] and [[ http://y ]]")
+    files = readers.source_files(spark, str(tmp_path), [".md"], ["archive"])
+    assert [(r.target, r.pos) for r in extract.wiki_links(files).orderBy("pos").collect()] == [("modules/x", 0), ("http://y", 1)]
+    assert [r.title for r in extract.headings(files).collect()] == ["Top"]
+
+
+def test_dedup_layers_and_what_earlier_calls_kept(spark):
+    rows = [(1, "h1", "d1", "alpha beta gamma", "ann"), (2, "h1", "d2", "other text here", "bob"), (3, "h3", "d1", "third thing said", "cat"), (4, "", "", "alpha beta gamm", "dan"), (5, None, None, "quite a different one", "eve"), (6, "h6", "d6", "quite a diffrnt 1", "eve")]
+    df = spark.createDataFrame(rows, "k long, h string, d string, t string, a string")
+    run = lambda x, kept=None: sorted(r.k for r in dedup.dedup_pipeline(x, "k", "h", "t", "a", "d", kept).collect())
+    assert run(df) == [1, 5]
+    later = spark.createDataFrame([(7, "h7", "d1", "x y z", "x"), (8, "h8", "", "alpha beta gammas", "y"), (9, "h9", "", "new words only", "z")], df.schema)
+    assert run(later) == [7, 8, 9] and run(later, df.filter("k in (1, 5)")) == [9]
+
+
+def test_strict_severity(spark):
+    df = spark.createDataFrame([("a", "warning"), ("b", "error"), ("b", "warning"), ("c", "info")], "g string, severity string")
+    code = lambda strict: {r.g: r.exit_code for r in integrity.severity(df, ["g"], strict).collect()}
+    assert code(False) == {"a": 1, "b": 2, "c": 0} and code(True) == {"a": 2, "b": 2, "c": 0}
 
 
 def test_transitions_follow_the_table(spark):
@@ -198,3 +302,34 @@ def test_streams(spark, tmp_path):
     assert len(finish(streams.dedup_stream(stream(), ["k", "seq"]), "distinct_rows")) == 3
     got = finish(streams.transition_stream(streams.dedup_stream(stream(), ["k", "seq"]), "k", "s"), "moves")
     assert sorted((r.key, r.status, r.legal, r.attempts) for r in got) == [("a", "queued", True, 0), ("a", "retrying", False, 1), ("b", "queued", True, 0)]
+
+
+def test_dedup_layers_across_batches(spark, tmp_path):
+    """Batch by batch against what was kept, fuzzy layers too; after a reset all begins anew."""
+    schema = "k long, h string, t string, a string"
+    batches = [[(1, "h1", "alpha beta gamma", "ann"), (2, "h1", "more", "bob")], [(3, "h3", "alpha beta gamm", "x"), (4, "h4", "something else", "y")], [(5, "h1", "z", "z"), (6, "h6", "something elsa", "w")]]
+
+    def run(name):
+        streams.reset_kept(spark, f"{tmp_path}/kept", spark.createDataFrame([], schema).schema)
+        for n, rows in enumerate(batches):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+            stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/{name}")
+            streams.dedup_batches(stream, f"{tmp_path}/kept", "k", "h", "t", "a").option("checkpointLocation", f"{tmp_path}/c-{name}").trigger(availableNow=True).start().awaitTermination(120)
+        return sorted(r.k for r in spark.read.parquet(f"{tmp_path}/kept").collect())
+
+    assert run("one") == run("two") == [1, 4]
+
+
+def test_windows_watermarks_and_forgetting(spark, tmp_path):
+    rows = [("a", "2024-01-01 00:10:00", 1), ("a", "2024-01-01 00:10:00", 1), ("a", "2024-01-01 00:50:00", 2), ("b", "2024-01-01 05:00:00", 3)]
+    spark.createDataFrame(rows, "k string, t string, seq long").selectExpr("k", "cast(t as timestamp) t", "seq", "'queued' s").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema("k string, t timestamp, seq long, s string").parquet(f"{tmp_path}/in")
+
+    def finish(df, name, mode="append"):
+        df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start().awaitTermination(120)
+        return spark.table(name).collect()
+
+    counts = finish(streams.windowed_counts(stream(), "t", "k"), "window_counts", "complete")
+    assert sorted((r.k, str(r.window.start)[11:], r.n) for r in counts) == [("a", "00:00:00", 3), ("b", "05:00:00", 1)]
+    assert len(finish(streams.dedup_stream(stream(), ["k", "t"], "t"), "dedup_marked")) == 3
+    assert len(finish(streams.transition_stream(stream(), "k", "s", forget_after_ms=1000), "forgetful")) == 4
