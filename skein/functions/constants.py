@@ -157,3 +157,6 @@ RESERVED_WORDS = ["if", "for", "while", "return", "import"]
 
 # Folders that section ids may begin with.
 SECTION_PREFIXES = ["lat.md/", "docs/modules/", "docs/project/", "docs/"]
+
+# Languages by file extension.
+EXTENSIONS = {".py": "python", ".js": "javascript", ".ts": "javascript", ".tsx": "javascript", ".jsx": "javascript", ".rs": "rust", ".java": "java", ".kt": "kotlin", ".kts": "kotlin", ".c": "c_cpp", ".cpp": "c_cpp", ".h": "c_cpp", ".hpp": "c_cpp"}

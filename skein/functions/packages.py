@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import ECOSYSTEM_MARKERS, FULL_LICENSES, LANGUAGE_ALIASES, P0_CATEGORIES, P0_KEYWORDS, P1_CATEGORIES, P1_KEYWORDS, SHARING_LICENSES, WEAK_SOURCES
+from .constants import ECOSYSTEM_MARKERS, EXTENSIONS, FULL_LICENSES, LANGUAGE_ALIASES, P0_CATEGORIES, P0_KEYWORDS, P1_CATEGORIES, P1_KEYWORDS, SHARING_LICENSES, WEAK_SOURCES
 from .scalars import _steps, version_count_score
 
 #: What a number is multiplied by before it is cut to an integer, and other scores of the registries.
@@ -206,3 +206,41 @@ def ecosystems(files: Column) -> Column:
 def text_checks(text: Column, raw: Column) -> list[Column]:
     """Whether bytes are valid UTF-8, and whether a text holds Unicode non-characters."""
     return [F.is_valid_utf8(raw.cast("string")).alias("is_utf8"), text.rlike(r"[\x{FDD0}-\x{FDEF}\x{FFFE}\x{FFFF}]").alias("has_noncharacter")]
+
+
+def repo_slug(url: Column) -> Column:
+    """The last part of a repository's address or of a local path, of letters, digits, ``-`` and ``_``; nothing left: ``repo``. Local paths keep their name as it is."""
+    bare = F.regexp_replace(F.trim(url), r"\.git$", "")
+    local = ~F.contains(bare, F.lit("://")) & (bare.startswith("/") | bare.rlike(r"^[A-Za-z]:\\"))
+    own = F.when(F.contains(bare, F.lit("@")) & F.contains(bare, F.lit(":")), F.element_at(F.split(bare, ":"), -1)).otherwise(bare)
+    slug = F.regexp_replace(F.element_at(F.split(own, "/"), -1), "[^a-zA-Z0-9_-]", "")
+    return F.when(local, F.element_at(F.split(F.regexp_replace(bare, "/+$", ""), "/"), -1)).otherwise(F.when(slug == "", "repo").otherwise(slug))
+
+
+def clone_url(url: Column) -> Column:
+    """An address in the form in which it can be cloned; ``owner/repo`` stands for the usual host."""
+    u = F.trim(url)
+    short = F.contains(u, F.lit("/")) & ~u.startswith("http")
+    return F.when(u.endswith(".git") | u.startswith("git@"), u).when(short, F.concat(F.lit("https://github.com/"), u, F.lit(".git"))).when(u.startswith("https://"), F.concat(u, F.lit(".git"))).otherwise(u)
+
+
+def natural_key(text: Column) -> Column:
+    """A key in whose order numbers within texts count by value (of up to 20 digits)."""
+    parts = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, 20, "0")).otherwise(x)), "")
+
+
+def baseline_hash(text: Column) -> Column:
+    """The last commit hash in back quotes, else the last one that stands alone, else empty."""
+    last = lambda pattern: F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lit(-1))
+    return F.coalesce(last("`([a-f0-9]{7,40})`"), last(r"\b([a-f0-9]{7,40})\b"), F.lit(""))
+
+
+def true_flags(flags: Column) -> Column:
+    """The sorted keys of a map of JSON values whose value is literally true."""
+    return F.array_sort(F.map_keys(F.map_filter(flags, lambda k, v: v == "true")))
+
+
+def language_of_file(path: Column) -> Column:
+    """The language of a file's extension, or null; names that only begin with a point have none."""
+    return _lookup(EXTENSIONS, F.regexp_extract(path, r"[^/.](\.[^./]*)$", 1))

@@ -93,6 +93,7 @@ def dedup_pipeline(rows: DataFrame, seq: str, hash_col: str, title: str, author:
     out = first_per_key(rows, F.col(hash_col), seq)
     if doi:
         out = first_per_key(out, F.col(doi), seq)
-    out = fuzzy_dedup(out, title, seq, 0.85)
+    # A fuzzy layer reads its rows in several jobs.
+    out = checkpointed(fuzzy_dedup(checkpointed(out), title, seq, 0.85))
     out = fuzzy_dedup(out, title, seq, 0.75, [author])
     return out if kept is None else out.filter("_new = 1").drop("_new")

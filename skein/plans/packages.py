@@ -367,3 +367,70 @@ def param_matches(t: Tables) -> DataFrame:
     lists = F.array(*[F.array(*map(F.lit, x)).cast("array<string>") for x in _PARAMS])
     at = lambda c: F.element_at(lists, (c % len(_PARAMS) + 1).cast("int"))
     return t.part.select("p_partkey", F.to_json(matching.match_params(at(F.col("p_partkey")), at(F.floor(F.col("p_partkey") / len(_PARAMS))))).alias("params"))
+
+
+_URLS = ["https://github.com/acme/tool", "https://github.com/org/repo.git", "git@github.com:user/project.git", "/path/to/my-repo/", "acme/too.l", "https://x.org/%%", " http://x.org/a.b "]
+
+
+@query(f"""SELECT p_partkey, ['tool', 'repo', 'project', 'my-repo', 'tool', 'repo', 'ab'][i] AS slug, ['https://github.com/acme/tool.git', 'https://github.com/org/repo.git', 'git@github.com:user/project.git', 'https://github.com//path/to/my-repo/.git', 'https://github.com/acme/too.l.git', 'https://x.org/%%.git', 'http://x.org/a.b'][i] AS clone
+FROM (SELECT p_partkey, (p_partkey % {len(_URLS)})::INTEGER + 1 AS i FROM part)""")
+def repo_slugs(t: Tables) -> DataFrame:
+    url = _pick(_URLS, F.col("p_partkey"))
+    return t.part.select("p_partkey", P.repo_slug(url).alias("slug"), P.clone_url(url).alias("clone"))
+
+
+@query("""
+WITH h AS (SELECT o_custkey, o_orderkey, 'handoff-' || (o_orderkey % 1000)::VARCHAR || '.md' AS path, (o_orderkey % 1000) * 100000000 + o_orderkey AS nth FROM orders)
+SELECT o_custkey, arg_max(path, nth) AS newest, CASE WHEN arg_max(o_orderkey, nth) % 3 = 0 THEN 'abc' || lpad((arg_max(o_orderkey, nth))::VARCHAR, 7, '0') WHEN arg_max(o_orderkey, nth) % 3 = 1 THEN 'fade1234' ELSE '' END AS baseline FROM h GROUP BY 1""")
+def newest_baseline(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    text = F.when(k % 3 == 0, F.concat(F.lit("see `0000000` and `abc"), F.lpad(k.cast("string"), 7, "0"), F.lit("` or fade1234"))).when(k % 3 == 1, "word fade1234 end").otherwise("none here")
+    rows = t.orders.select("o_custkey", F.concat(F.lit("handoff-"), (k % 1000).cast("string"), F.lit(".md")).alias("path"), k.alias("k"), text.alias("text"))
+    last = rows.groupBy("o_custkey").agg(F.max_by(F.struct("path", "text"), F.struct(P.natural_key(F.col("path")), "k")).alias("n"))
+    return last.select("o_custkey", F.col("n.path").alias("newest"), P.baseline_hash(F.col("n.text")).alias("baseline"))
+
+
+@query("""
+WITH r AS (SELECT *, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INTEGER AS position FROM orders WHERE o_custkey % 9 <> 0)
+SELECT o_custkey, position, o_totalprice AS price, o_orderstatus AS type, 'air' || (o_orderkey % 3)::VARCHAR AS airline, o_orderkey * 2 AS emission, 'A' || (o_orderkey % 5)::VARCHAR AS from_code, printf('%02d:%02d', o_orderkey % 24, o_orderkey % 60) AS departs FROM r WHERE o_orderpriority NOT LIKE '1%'""")
+def flight_rows(t: Tables) -> DataFrame:
+    """Positional payloads made of each customer's orders; some report an error, some rows have no price."""
+    s = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    k = F.col("o_orderkey")
+    leg = F.concat(F.lit("[0,0,0,"), s(F.concat(F.lit("A"), k % 5)), F.lit(',"n","m","B",0,['), k % 24, F.lit(","), k % 60, F.lit("],0,[1,2],90]"))
+    flight = F.concat(F.lit("["), s(F.col("o_orderstatus")), F.lit(',["air'), k % 3, F.lit('"],['), leg, F.lit("],0,0,0,0,0,0,0,0,0,0,0,0,0,0,0,0,0,0,0,[0,0,0,0,0,0,0,"), k * 2, F.lit(",7]]"))
+    price = F.when(F.col("o_orderpriority").startswith("1"), F.lit("[[]]")).otherwise(F.concat(F.lit("[[null,"), F.col("o_totalprice").cast("string"), F.lit("]]")))
+    g = t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", F.concat(F.lit("["), flight, F.lit(","), price, F.lit("]")).alias("x")))).alias("a"))
+    ok = F.concat(F.lit("AF({key: 1, data:[0,0,0,[["), F.array_join(F.transform("a", lambda y: y["x"]), ","), F.lit("]],0],sideChannel: {}})"))
+    body = F.when(F.col("o_custkey") % 9 == 0, "AF({data:[], errorHasStatus: true, x: 1})").otherwise(ok)
+    f = R.flights(g.select("o_custkey", body.alias("body")), "o_custkey", "body")
+    first = F.col("legs")[0]
+    return f.select("o_custkey", "position", "price", "type", F.col("airlines")[0].alias("airline"), "emission", first["from_code"].alias("from_code"), P.clock(first["departs"]).alias("departs"))
+
+
+@query("""
+WITH seg AS (SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1)::INTEGER AS position, 'G' || (l_partkey % 5)::VARCHAR AS code, (l_suppkey % 7)::VARCHAR AS from_station, l_returnflag AS to_station FROM lineitem),
+p AS (SELECT 'G' || (p_partkey % 5)::VARCHAR AS code, (p_size % 7)::VARCHAR AS from_station, 'A' AS to_station, arg_max(p_retailprice, p_partkey) AS price FROM part GROUP BY ALL)
+SELECT l_orderkey, position, code, from_station, to_station, price FROM seg LEFT JOIN p USING (code, from_station, to_station)""")
+def transfer_segment_prices(t: Tables) -> DataFrame:
+    seg = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.concat(F.lit("G"), F.col("l_partkey") % 5).alias("code"), (F.col("l_suppkey") % 7).cast("string").alias("from_station"), F.col("l_returnflag").alias("to_station"))
+    transfers = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(seg)).alias("segments"))
+    prices = t.part.select(F.concat(F.lit("G"), F.col("p_partkey") % 5).alias("code"), (F.col("p_size") % 7).cast("string").alias("from_station"), F.lit("A").alias("to_station"), F.col("p_retailprice").alias("price"), F.col("p_partkey").alias("seq"))
+    return R.transfer_prices(transfers, prices, "l_orderkey", "segments")
+
+
+@query("""SELECT o_custkey, coalesce(string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) FILTER (o_orderkey % 2 = 1), '') AS flags FROM (SELECT o_custkey, o_orderstatus, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL) GROUP BY 1""")
+def true_flags(t: Tables) -> DataFrame:
+    n = t.orders.groupBy("o_custkey", "o_orderstatus").agg(F.max("o_orderkey").alias("k"))
+    value = F.when(F.col("k") % 2 == 1, "true").when(F.col("k") % 4 == 0, "1").otherwise('"true"')
+    m = n.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("o_orderstatus", value.alias("v")))).alias("m"))
+    return m.select("o_custkey", F.array_join(P.true_flags(F.col("m")), ",").alias("flags"))
+
+
+_ENDS = ["a.py", "b.tsx", "src/c.rs", "d.kts", "e.hpp", "README", ".py", "x.tar.gz"]
+
+
+@query("""SELECT o_custkey, coalesce(string_agg(DISTINCT l, ',' ORDER BY l), '') AS languages FROM (SELECT o_custkey, ['python', 'javascript', 'rust', 'kotlin', 'c_cpp', NULL, NULL, NULL][(o_orderkey % 8)::INTEGER + 1] AS l FROM orders) GROUP BY 1""")
+def language_census(t: Tables) -> DataFrame:
+    found = t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_set(P.language_of_file(_pick(_ENDS, F.col("o_orderkey"))))).alias("l"))
+    return found.select("o_custkey", F.array_join("l", ",").alias("languages"))

@@ -184,3 +184,24 @@ def route_points(snapshots: DataFrame, route: str, body: str) -> DataFrame:
     parsed = snapshots.select(F.col(route), F.from_json(F.col(body), schema).alias("a")).filter("a.code = 0")
     title = S.falsy_coalesce(F.col("a.data.summary.title"), F.concat(F.lit("route-"), F.col(route).cast("string")))
     return parsed.select(route, title.alias("title"), F.posexplode("a.data.routeInfo.tracks").alias("position", "p")).select(route, "title", "position", F.col("p.latitude").alias("lat"), F.col("p.longitute").alias("lon"), F.col("p.altitude").alias("ele"))
+
+
+def flights(snapshots: DataFrame, key: str, body: str) -> DataFrame:
+    """Flights of a positional payload: what stands between ``data:`` and the last comma is a JSON array whose fields are known by place.
+
+    Rows that lack a price are left out, and so are payloads that don't parse or report an error."""
+    at = lambda c, path: F.get_json_object(c, path)
+    data = F.regexp_extract(F.col(body), r"(?s)data:(.*),[^,]*$", 1)
+    rows = snapshots.select(F.col(key), data.alias("d")).filter(~F.col("d").endswith("errorHasStatus: true"))
+    rows = rows.select(F.col(key), F.posexplode(F.from_json(at(F.col("d"), "$[3][0]"), "array<string>")).alias("position", "k"))
+    k = F.col("k")
+    out = rows.select(key, "position", at(k, "$[1][0][1]").try_cast("double").alias("price"), at(k, "$[0][0]").alias("type"), F.from_json(at(k, "$[0][1]"), "array<string>").alias("airlines"), F.from_json(at(k, "$[0][2]"), "array<string>").alias("legs"), at(k, "$[0][22][7]").try_cast("bigint").alias("emission"), at(k, "$[0][22][8]").try_cast("bigint").alias("typical_emission"))
+    leg = lambda x: F.struct(at(x, "$[3]").alias("from_code"), at(x, "$[6]").alias("to_code"), F.from_json(at(x, "$[8]"), "array<int>").alias("departs"), at(x, "$[11]").cast("int").alias("minutes"))
+    return out.filter("price is not null and legs is not null").withColumn("legs", F.transform("legs", leg))
+
+
+def transfer_prices(transfers: DataFrame, prices: DataFrame, key: str, segments: str) -> DataFrame:
+    """Each segment of each transfer, in order, with the price of its (code, from, to), or null; of repeated prices the last by ``seq``."""
+    from_to = ["code", "from_station", "to_station"]
+    rows = transfers.select(F.col(key), F.posexplode(segments).alias("position", "s")).select(key, "position", *[F.col(f"s.{c}").alias(c) for c in from_to])
+    return rows.join(prices.groupBy(*from_to).agg(F.max_by("price", "seq").alias("price")), from_to, "left").select(key, "position", *from_to, "price")
