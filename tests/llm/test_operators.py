@@ -92,6 +92,52 @@ def test_token_orc_round_trip_and_lookup(spark):
     assert token_orc.read_digests(spark, empty).count() == 0
 
 
+def test_token_files_hold_stripes_indexes_and_bloom_filters(spark):
+    """What a lookup skips by: several stripes a file, row indexes, and Bloom filters on the id alone."""
+    path = new_path(spark, "orc")
+    rnd = random.Random(1)  # the writer looks at a stripe's size every 5,000 rows
+    texts = [" ".join(rnd.choice(string.ascii_lowercase) + str(rnd.random()) for _ in range(5)) for _ in range(12_000)]
+    token_orc.write_token_orc(docs_of(spark, texts).coalesce(1), path, WORD_BPE, end_id=2, stripe_bytes=200_000, row_index_stride=1000)
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    stripes, kinds = 0, set()
+    for f in spark.read.orc(path).inputFiles():
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000
+        rows = reader.rows()
+        for stripe in reader.getStripes():
+            stripes += 1
+            kinds |= {(s.getKind().toString(), s.getColumn()) for s in rows.readStripeFooter(stripe).getStreamsList()}
+        rows.close()
+    assert stripes > len(spark.read.orc(path).inputFiles())
+    assert {c for k, c in kinds if k == "BLOOM_FILTER_UTF8"} == {1} and {c for k, c in kinds if k == "ROW_INDEX"} >= {1, 4}
+
+
+def test_repeated_null_and_text_ids_and_very_long_texts(spark):
+    """Rows that repeat an id, or have none, or hold a million characters, have results of their own in every operator that reads texts."""
+    long = "word one, two. " * 80_000 + "password = hunter2xx"
+    rows = [("a", "x y z"), ("a", "x y z"), ("a", "other"), (None, "x y z"), (None, None), ("b", ""), ("c", long), ("d", long)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    ids = [np.append(x, 2) for x in plain_ids(WORD_BPE, [t for _, t in rows])]
+    path = new_path(spark, "orc")
+    token_orc.write_token_orc(docs, path, WORD_BPE, end_id=2)
+    got = token_orc.read_digests(spark, path).orderBy("start").collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == sorted((str(d), len(x), crc(x)) for (d, _), x in zip(rows, ids, strict=True))
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got]])[:-1].tolist()
+    packed = packing.pack(docs, WORD_BPE, 2).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in packed} == {d: sum(len(x) for (e, _), x in zip(rows, ids, strict=True) if e == d) for d, _ in rows}
+    spans = sorted((str(r.doc_id), r.spans) for r in secret_scan.find_secrets(docs).collect())
+    assert [x for x in spans if x[1]] == [(d, f"assign:{len(long) - 20}:{len(long)}") for d in "cd"] and len(spans) == len(rows)
+    model = langid.fit(spark.createDataFrame(language_rows(1, 100), "doc_id long, text string, lang string"))
+    assert sorted(str(r.doc_id) for r in langid.predict(docs, model).collect()) == sorted(str(d) for d, _ in rows)
+    want = sorted((str(d), n, gone) for (d, _), (n, gone, _) in zip(rows, repeats([t for _, t in rows], 35), strict=True))
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs).collect()) == want
+    near = sorted((str(r.doc_id), r.component_id, r.kept) for r in near_dedup.near_groups(docs).collect())
+    assert near == sorted([("a", "a", True)] * 3 + [("None", None, True)] * 2 + [("b", "b", True), ("c", "c", True), ("d", "c", False)])
+    outcomes = spark.createDataFrame([("h.net", 1)] * 2, "host string, bad int")
+    pages = spark.createDataFrame([(1, "http://h.net/"), (1, "http://h.net/"), (None, "http://h.net/")], "page_id long, url string")
+    assert url_reputation.judge(pages, outcomes, []).count() == 3
+
+
 def check_packing(rows, ids, size):
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
