@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import U, Words, slices
+from .words import SPACE, U, Words, slices
 
 #: What a row between blocks holds: answers to a block's hashes, a request for passages, or passages.
 ANSWER, REQUEST, PASSAGES = 0, 1, 2
@@ -39,38 +40,47 @@ class Reference:
         for chunk in texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]:
             for i, j in slices(chunk):
                 w = Words(chunk.slice(i, j - i))
-                keep = np.zeros(len(w.raw) + 1, bool)
-                keep[w.ends] = True  # what follows a word stands for one space
-                inside = np.zeros(len(w.raw) + 1, np.int8)
-                np.add.at(inside, w.starts, 1)
-                np.add.at(inside, w.ends, -1)
-                inside = np.cumsum(inside, dtype=np.int8) > 0
-                keep |= inside
-                place = np.cumsum(keep) - keep
-                out = np.append(w.raw, np.uint8(32))
-                out[~inside] = 32
-                canon.append(out[keep])
-                size = w.ends - w.starts
-                starts.append(place[w.starts] + n_bytes)
-                ends.append(place[w.starts] + size + n_bytes)
+                inside = ~SPACE[w.raw]
+                keep = inside.copy()
+                keep[1:] |= inside[:-1]  # what follows a word stands for one space
+                out = w.raw[keep]
+                out[SPACE[out]] = 32
+                place = (np.cumsum(keep) - keep)[w.starts]
+                canon.append(out)
+                starts.append(place + n_bytes)
+                ends.append(place + (w.ends - w.starts) + n_bytes)
                 h, ok = w.windows(k)
                 hashes.append(w.hash)
                 windows.append(h)
                 at.append(np.flatnonzero(ok) + n_words)
                 rows.append(w.rows[1:] + n_words)
-                n_bytes += len(canon[-1])
+                n_bytes += len(out)
                 n_words += len(w.hash)
         join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
         self.canon, self.hash, self.rows = join(canon, np.uint8).tobytes(), join(hashes, np.uint64), np.concatenate(rows)
-        self.starts, self.ends, self.at = join(starts, np.int64), join(ends, np.int64), join(at, np.int64)
-        #: Distinct hashes in order, how often each occurs, and the windows in that order (of equals, by position).
-        windows = join(windows, np.uint64)
-        self.order = np.argsort(windows, kind="stable")
-        windows = windows[self.order]
+        self.starts, self.ends, self.at, self.windows = join(starts, np.int64), join(ends, np.int64), join(at, np.int64), join(windows, np.uint64)
+
+    @cached_property
+    def order(self) -> np.ndarray:
+        """The windows by hash, of equals by position."""
+        return np.argsort(self.windows, kind="stable")
+
+    @cached_property
+    def first(self) -> np.ndarray:
+        """Where in ``order`` each distinct hash begins."""
+        windows = self.windows[self.order]
         new = np.ones(len(windows), bool)
         new[1:] = windows[1:] != windows[:-1]
-        self.first = np.flatnonzero(new)
-        self.distinct, self.counts = windows[self.first], np.diff(np.append(self.first, len(windows)))
+        return np.flatnonzero(new)
+
+    @cached_property
+    def distinct(self) -> np.ndarray:
+        return self.windows[self.order[self.first]]
+
+    @cached_property
+    def counts(self) -> np.ndarray:
+        """How often each distinct hash occurs."""
+        return np.diff(np.append(self.first, len(self.windows)))
 
     def text(self, start: int, end: int) -> bytes:
         """The words from ``start`` up to ``end``."""
@@ -153,7 +163,13 @@ def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *edges.tolist()], [*edges.tolist(), len(keys)], strict=True)) if len(keys) else []
 
 
-def _answer(table: pa.Table) -> dict[str, list]:
+def _between(rows: list[tuple]) -> pa.Table:
+    """Rows (block, kind, part, data, who) as a table."""
+    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.int32()] * 3 + [pa.binary()] * 2, strict=True)], ["block", "kind", "part", "data", "who"])
+
+
+def _answer(table: pa.Table) -> list[tuple]:
     """One hash range: what each block is told, and which passages it asks of which block."""
     blocks = table.column("block").to_numpy()
     each = [np.frombuffer(x, np.uint64) for x in table.column("data").to_pylist()]
@@ -170,22 +186,16 @@ def _answer(table: pa.Table) -> dict[str, list]:
     follows[follows == first[group] + size] -= size[follows == first[group] + size]  # behind the last comes the first
     several = np.zeros(len(h), bool)
     several[order] = size > 1
-    out = {"block": [], "kind": [], "other": [], "part": [], "data": []}
-
-    def add(to: int, kind: int, other: int, data: bytes) -> None:
-        for key, x in zip(out, (to, kind, other, int(table.column("part")[0].as_py()), data), strict=True):
-            out[key].append(x)
-
-    at = 0
+    part, at, out = int(table.column("part")[0].as_py()), 0, []
     for to, n in zip(blocks.tolist(), sizes, strict=True):
-        add(to, ANSWER, -1, _bits((several | again)[at : at + n]))
+        out.append((to, ANSWER, part, _bits((several | again)[at : at + n]), b""))
         at += n
     wants = np.flatnonzero((size > 1) & ~again[order])
     asks, has = b[wants], b[follows[wants]]
-    by_pair = np.lexsort((asks, has))
-    wants, asks, has = wants[by_pair], asks[by_pair], has[by_pair]
-    for i, j in _runs(has * (int(blocks.max()) + 1) + asks):
-        add(int(has[i]), REQUEST, int(asks[i]), h[wants[i:j]].tobytes())
+    by_block = np.argsort(has, kind="stable")
+    wants, asks, has = wants[by_block], asks[by_block], has[by_block]
+    # One row for each block that is asked, whoever asks.
+    out += [(int(has[i]), REQUEST, part, h[wants[i:j]].tobytes(), asks[i:j].astype("<i4").tobytes()) for i, j in _runs(has)]
     return out
 
 
@@ -210,10 +220,7 @@ def remove_repeats(docs: DataFrame, k: int = 35, block_chars: int = 6_000_000, r
     blocks, ranges = max(1, -(-chars // block_chars)), max(1, -(-chars // (7 * range_windows)))  # about 7 bytes a word
     kind = rows.schema["doc_id"].dataType.simpleString()
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64)), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    between = "block int, kind int, other int, part int, data binary"
-
-    def table_of(out: dict[str, list]) -> pa.Table:
-        return pa.table([pa.array(out[c], pa.binary() if c == "data" else pa.int32()) for c in ("block", "kind", "other", "part", "data")], ["block", "kind", "other", "part", "data"])
+    between = "block int, kind int, part int, data binary, who binary"
 
     def index(table: pa.Table) -> pa.Table:
         own, block = Reference(table.column("text"), k), table.column("block")[0].as_py()
@@ -225,17 +232,12 @@ def remove_repeats(docs: DataFrame, k: int = 35, block_chars: int = 6_000_000, r
         })
 
     def serve(table: pa.Table, requests: pa.Table) -> pa.Table:
-        out = {"block": [], "kind": [], "other": [], "part": [], "data": []}
-        if len(requests) and len(table):
-            own, block = Reference(table.column("text"), k), table.column("block")[0].as_py()
-            asks = requests.column("other").to_numpy()
-            order = np.argsort(asks, kind="stable")
-            data = requests.column("data")
-            for i, j in _runs(asks[order]):
-                passages = _serve(own, np.concatenate([np.frombuffer(data[int(n)].as_py(), np.uint64) for n in order[i:j]]))
-                for key, x in zip(out, (int(asks[order[i]]), PASSAGES, block, -1, passages), strict=True):
-                    out[key].append(x)
-        return table_of(out)
+        if not len(requests) or not len(table):
+            return _between([])
+        own = Reference(table.column("text"), k)
+        who, hashes = (np.concatenate([np.frombuffer(x, t) for x in requests.column(c).to_pylist()]) for c, t in (("who", "<i4"), ("data", np.uint64)))
+        order = np.argsort(who, kind="stable")
+        return _between([(int(who[order[i]]), PASSAGES, -1, _serve(own, hashes[order[i:j]]), b"") for i, j in _runs(who[order])])
 
     def factor(table: pa.Table, told: pa.Table) -> pa.Table:
         own, told = Reference(table.column("text"), k), told.to_pylist()
@@ -262,7 +264,7 @@ def remove_repeats(docs: DataFrame, k: int = 35, block_chars: int = 6_000_000, r
         return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(np.diff(own.rows)), "n_removed": pa.array(np.diff(lost)), "kept_sha256" if digest else "kept": last.cast(pa.string()), "n_factors": pa.array(np.diff(n_factors))})
 
     asked = dealt.groupBy("block").applyInArrow(index, "part int, block int, data binary, again binary").repartition(ranges, "part")
-    told = asked.groupBy("part").applyInArrow(lambda table: table_of(_answer(table)), between)
+    told = asked.groupBy("part").applyInArrow(lambda table: _between(_answer(table)), between)
     by_block = lambda df: df.repartition(blocks, "block").groupBy("block")
     passages = dealt.groupBy("block").cogroup(by_block(told.filter(F.col("kind") == REQUEST))).applyInArrow(serve, between)
     told = told.filter(F.col("kind") == ANSWER).unionByName(passages)

@@ -11,8 +11,8 @@ U = np.uint64
 #: Odd multipliers of the two polynomial hashes (over bytes, over words), and of their second family.
 BYTE_BASE, WORD_BASE, WORD_BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _MASK = 2**64 - 1
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 _TABLE = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64) | U(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -94,7 +94,7 @@ class Words:
         raw, at = flat(col)
         if lower:
             raw = _LOWER[raw]
-        n, inside = len(raw), (_ALNUM[raw] if alnum else ~_SPACE[raw])
+        n, inside = len(raw), (_ALNUM[raw] if alnum else ~SPACE[raw])
         before, after = np.zeros(n, bool), np.zeros(n, bool)
         before[1:], after[:-1] = inside[:-1], inside[1:]
         edges = at[(at > 0) & (at < n)]
