@@ -27,6 +27,8 @@ from .shared import discard, materialise, roomy
 from .words import U, mix, shingle_sets, slices
 
 FULL = U(2**64 - 1)
+#: A band key is hot from this part of all band keys' rows on.
+HOT = 256
 _SEED = [int(x) for x in np.random.default_rng(99).integers(1, 2**63, 4096)]
 
 
@@ -146,7 +148,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _by_key(rows: DataFrame, per_key: DataFrame, hot: list[int]) -> DataFrame:
-    """A join with a table of one row per key. ``hot`` keys, fewer than 64, are sent to all tasks, so their rows stay where they are."""
+    """A join with a table of one row per key. ``hot`` keys, fewer than ``HOT``, are sent to all tasks, so their rows stay where they are."""
     is_hot = F.col("key").isin(hot)
     return rows.join(per_key, "key") if not hot else rows.filter(~is_hot).join(per_key.filter(~is_hot), "key").unionByName(rows.filter(is_hot).join(F.broadcast(per_key.filter(is_hot)), "key"))
 
@@ -230,7 +232,7 @@ def _judged(docs: DataFrame, words: int, percent: int, t: int, turns: int, id_co
     keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
     shared_keys = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "keys")
     total = shared_keys.agg(F.sum("c")).first()[0] or 0
-    hot = [x.key for x in shared_keys.filter(F.col("c") * 64 > total).collect()]  # fewer than 64
+    hot = [x.key for x in shared_keys.filter(F.col("c") * HOT > total).collect()]  # fewer than HOT
     members = materialise(_by_key(keyed, shared_keys, hot).select("key", "node", "n"), "members")
     discard(shared_keys)
     wanted = members.select("node").distinct().join(nodes.select("node", "first"), "node")
