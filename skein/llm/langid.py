@@ -106,13 +106,14 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], steps: int = 150, deca
     return Model(langs, code, w, b, (trust / trust.sum(axis=1, keepdims=True) * code.shape[1]).astype(np.float32))
 
 
-def fit(labelled: DataFrame, max_docs: int = 4000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+def fit(labelled: DataFrame, max_docs: int = 4000, max_languages: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Learns from rows of (id, text, language) whose language and text aren't null.
 
     ``max_docs`` bounds the sample, spread evenly over the languages (about, and at most twice that
-    in all): rows enter by a hash of their id and text. Their whole texts are read. No rows: None."""
+    in all): rows enter by a hash of their id and text. Their whole texts are read. Of more than ``max_languages``
+    languages the commonest are learnt. No rows: None."""
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     if not counts:
         return None
     langs = sorted(counts)

@@ -224,6 +224,17 @@ def test_language_id_held_out_accuracy_and_odd_rows(spark):
     assert {r.lang_pred for r in langid.predict(df.limit(3), one).collect()} == {"aa"}
 
 
+def test_language_id_on_the_tables(spark):
+    """Held-out documents of the given tables, by the query's own folds."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fold = "crc32(cast(cast(doc_id as string) as binary)) % 5"
+    model = langid.fit(docs.filter(f"{fold} != 0"))
+    got = langid.predict(docs, model).join(docs.filter(f"{fold} = 0 and lang is not null").select("doc_id", "lang"), "doc_id").filter("lang_pred != 'und'").collect()
+    accuracy = np.mean([r.lang == r.lang_pred for r in got])
+    assert len(got) > 100 and accuracy > 0.9, accuracy
+    assert langid.fit(docs.filter("lang is not null"), max_languages=1).langs == [docs.groupBy("lang").count().filter("lang is not null").orderBy(F.desc("count")).first().lang]
+
+
 def toxic_rows(seed, n):
     rnd = random.Random(seed)
     plain = [f"word{i}" for i in range(200)]
