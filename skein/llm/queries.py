@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, near_dedup, packing, secret_scan, substring_dedup, token_orc, topk, toxicity, url_reputation
+from . import decontaminate, filter_audit, langid, near_dedup, packing, secret_scan, substring_dedup, token_orc, topk, toxicity, url_reputation
 from .shared import new_path, read_table
 
 #: The rules that op3 is given.
@@ -59,14 +59,18 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(read_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op2_language_id, op3_url_reputation, op4_toxicity, op5_packing, op6_decontamination, op7_topk, op8_secret_scan, op9_substring_dedup, op10_near_dedup)}
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_orc, op2_language_id, op3_url_reputation, op4_toxicity, op5_packing, op6_decontamination, op7_topk, op8_secret_scan, op9_substring_dedup, op10_near_dedup, op13_filter_audit)}
 
 OP3_SQL = """
 WITH p AS (
@@ -129,5 +133,22 @@ SELECT t.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS
 FROM t LEFT JOIN kept ON t.doc_id = kept.doc_id
 """
 
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+b AS (SELECT doc_id, part,
+    [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS f FROM w),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+g AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM b LEFT JOIN l USING (doc_id) GROUP BY part, f),
+x(i, c) AS (VALUES (1, 'A'), (2, 'B'), (3, 'C'), (4, 'D'), (5, 'E')),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT filter_order, o, unnest([1, 2, 3, 4, 5]) AS step FROM o),
+r AS (SELECT g.*, filter_order, step, o[step] AS i, f[o[step]] AS fails, len(list_filter(o[:step - 1], lambda j: f[j])) > 0 AS gone, len(list_filter(f, lambda y: y)) AS n_fails FROM g CROSS JOIN s),
+a AS (SELECT part, filter_order, step, i,
+    coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails AND n_fails = 1), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, i))::BIGINT AS shapley FROM a
+"""
+
 #: Tokenizers, trained models, packing, decoding and linking have no SQL; tests hold them against plain versions.
-ORACLES = {"op3_url_reputation": OP3_SQL, "op7_topk": OP7_SQL, "op9_substring_dedup": OP9_SQL}
+ORACLES = {"op3_url_reputation": OP3_SQL, "op7_topk": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op13_filter_audit": OP13_SQL}
