@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, filter_audit, langid, near_dedup, packing, secret_scan, substring_dedup, token_orc, topk, toxicity, url_reputation
+from . import conversation_repair, decontaminate, filter_audit, langid, near_dedup, packing, secret_scan, substring_dedup, token_orc, topk, toxicity, url_reputation
 from .shared import new_path, read_table
 
 #: The rules that op3 is given.
@@ -66,11 +66,16 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(read_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read_table(spark, sf_dir, "conversations")
+    return conversation_repair.digests(conversations, conversation_repair.damage(conversations))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op2_language_id, op3_url_reputation, op4_toxicity, op5_packing, op6_decontamination, op7_topk, op8_secret_scan, op9_substring_dedup, op10_near_dedup, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_token_orc, op2_language_id, op3_url_reputation, op4_toxicity, op5_packing, op6_decontamination, op7_topk, op8_secret_scan, op9_substring_dedup, op10_near_dedup, op12_conversation_repair, op13_filter_audit)}
 
 OP3_SQL = """
 WITH p AS (
@@ -133,6 +138,42 @@ SELECT t.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS
 FROM t LEFT JOIN kept ON t.doc_id = kept.doc_id
 """
 
+#: The cheapest edits by a recursion over each conversation's rows; a state of the role pattern is a struct of cost and edits so far.
+OP12_SQL = r"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT) AS codes FROM conversations),
+k AS (SELECT o.*, xor(list_reduce(list_concat([4294967295], codes), lambda c, b: xor(c // 256, t[xor(c & 255, b) + 1])), 4294967295) % 20 AS kind FROM o, tab),
+m AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE kind <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text), copy) AS pos FROM m),
+q AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+    right(rtrim(text, e' \t\n\x0b\x0c\r'), 1) NOT IN ('.', '!', '?') AS late, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM p),
+n AS (SELECT *, NOT blank AND again AS duplicate, NOT blank AND NOT again AND late AS truncated, before IS NOT NULL AND before || role[1] NOT IN ('su', 'ua', 'au') AS illegal FROM q),
+ids AS (SELECT conv_id AS id, dense_rank() OVER (ORDER BY conv_id) AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal, count(*) AS n FROM n GROUP BY conv_id),
+f AS (SELECT c, pos, blank OR duplicate AS gone, truncated::BIGINT AS t, role[1] AS role FROM n JOIN ids ON conv_id IS NOT DISTINCT FROM id),
+r(c, i, x, s, u, a) AS (
+  SELECT c, 0::BIGINT, {'c': 0::BIGINT, 'a': ''}, NULL::STRUCT(c BIGINT, a VARCHAR), NULL::STRUCT(c BIGINT, a VARCHAR), NULL::STRUCT(c BIGINT, a VARCHAR) FROM (SELECT DISTINCT c FROM f)
+  UNION ALL
+  SELECT c, pos, {'c': x.c + 3, 'a': x.a || 'D'},
+    list_min([{'c': s.c + 3, 'a': s.a || 'D'}, CASE WHEN NOT gone AND role = 's' THEN {'c': x.c + t, 'a': x.a || 'K'} END].list_filter(lambda y: y.c IS NOT NULL)),
+    list_min([{'c': u1.c + 3, 'a': u1.a || 'D'}, CASE WHEN NOT gone AND role = 'u' THEN {'c': v.c + t, 'a': v.a || 'K'} WHEN NOT gone THEN {'c': v.c + 2 + t, 'a': v.a || 'R'} END].list_filter(lambda y: y.c IS NOT NULL)),
+    list_min([{'c': a1.c + 3, 'a': a1.a || 'D'}, CASE WHEN NOT gone AND role = 'a' THEN {'c': u1.c + t, 'a': u1.a || 'K'} WHEN NOT gone THEN {'c': u1.c + 2 + t, 'a': u1.a || 'R'} END].list_filter(lambda y: y.c IS NOT NULL))
+  FROM (SELECT f.*, x, s, u1, a1, list_min([x, s, a1].list_filter(lambda y: y.c IS NOT NULL)) AS v FROM (SELECT r.c, r.i, x, s,
+      list_min([u, {'c': x.c + 2, 'a': x.a || 'I'}, {'c': s.c + 2, 'a': s.a || 'I'}, {'c': a.c + 2, 'a': a.a || 'I'}].list_filter(lambda y: y.c IS NOT NULL)) AS u1,
+      list_min([a, {'c': u.c + 2, 'a': u.a || 'I'}, {'c': x.c + 4, 'a': x.a || 'II'}, {'c': s.c + 4, 'a': s.a || 'II'}].list_filter(lambda y: y.c IS NOT NULL)) AS a1 FROM r) z
+    JOIN f ON f.c = z.c AND f.pos = z.i + 1)),
+e AS (SELECT c, list_min([x, a, {'c': u.c + 2, 'a': u.a || 'I'}, {'c': s.c + 4, 'a': s.a || 'II'}].list_filter(lambda y: y.c IS NOT NULL)) AS w FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY i DESC) AS last FROM r) WHERE last = 1),
+l AS (SELECT c, unnest(string_split(w.a, '')) AS edit, unnest(range(length(w.a))) AS place FROM e WHERE w.a <> ''),
+j AS (SELECT *, count(*) FILTER (edit <> 'I') OVER (PARTITION BY c ORDER BY place) AS pos FROM l),
+y AS (SELECT j.c, place, edit, CASE WHEN edit <> 'I' THEN n.role END AS role, CASE WHEN edit <> 'I' THEN n.text ELSE '' END AS text FROM j JOIN ids USING (c) LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM id AND n.pos = j.pos WHERE edit <> 'D'),
+h AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY place) - (first(edit = 'K' AND role[1] = 's') OVER (PARTITION BY c ORDER BY place))::BIGINT AS nth FROM y),
+d AS (SELECT c, string_agg(CASE WHEN edit = 'K' THEN role WHEN nth % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, e'\n' ORDER BY place) AS lines FROM h GROUP BY c)
+SELECT id AS conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(w.c, 0)::BIGINT AS cost, coalesce(w.a, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM ids LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM id LEFT JOIN e ON e.c = ids.c LEFT JOIN d ON d.c = ids.c
+"""
+
 OP13_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
@@ -151,4 +192,4 @@ SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, uniq
 """
 
 #: Tokenizers, trained models, packing, decoding and linking have no SQL; tests hold them against plain versions.
-ORACLES = {"op3_url_reputation": OP3_SQL, "op7_topk": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op13_filter_audit": OP13_SQL}
+ORACLES = {"op3_url_reputation": OP3_SQL, "op7_topk": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op12_conversation_repair": OP12_SQL, "op13_filter_audit": OP13_SQL}

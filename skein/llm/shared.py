@@ -7,11 +7,14 @@ import gc
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows and bytes of an Arrow batch between the JVM and Python, so that long texts can't fill a worker.
 BATCH_ROWS, BATCH_BYTES = 2000, "32m"
@@ -85,3 +88,21 @@ def discard(*tables: DataFrame) -> None:
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs, so extra or clashing ones never matter."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    """A schema as Arrow has it."""
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """A task's rows one by one."""
+    for b in batches:
+        yield from b.to_pylist()
+
+
+def chunks_of(rows: Iterable[tuple], schema: pa.Schema, most: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of at most ``most``."""
+    rows = iter(rows)
+    while held := list(islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
