@@ -13,7 +13,8 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +31,19 @@ ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
 LEAST = (6, 20, 24)
 #: What a text must hold, for a linear-time engine, before the patterns are tried on it.
 NEEDS = (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]""", r"AKIA[A-Z0-9]{16}", r"[0-9a-f]{24}")
-NEEDS_DECODING = r"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|[A-Za-z0-9+/_-]{16}"
+NEEDS_DECODING = r"\x1f|%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|[A-Za-z0-9+/_-]{16}"
 URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 UNICODE_ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})")
 #: A base64 run may go on over single line breaks, indented or not.
 BASE64 = tuple(re.compile(rf"[{x}]{{16,}}+(?:\r?\n[\x20\t]*[{x}]++)*+={{0,2}}") for x in ("A-Za-z0-9+/", "A-Za-z0-9_-"))
-LINE, HIDES = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(NEEDS_DECODING)
-#: Decompressed layers are scanned in pieces of about so many bytes; those that can't be cut at a byte marked in APART overlap.
-PIECE, OVERLAP = 1 << 20, 1 << 16
+LINE, HIDES = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(NEEDS_DECODING + r"|BZh[1-9]1AY&SY|7zXZ|x[\x01\x5e\x9c\xda]")
+#: How compressed data begin: gzip, bzip2 and xz in any layer, zlib, of two bytes, in all but the text itself.
+PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
+PACKED_HIDDEN = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|x[\x01\x5e\x9c\xda]")
+BYTES = re.compile("[\x00-\xff]+")
+#: Decompressed content is scanned in pieces of about so many bytes, cut behind a byte marked in APART; where so many have none, pieces overlap.
+PIECE, STRETCH, OVERLAP = 1 << 20, 1 << 24, 1 << 16
 APART = np.array([not re.match(rb"""[A-Za-z0-9+/_.=\-"'\x20\t\r\n:%\\]""", bytes([c])) for c in range(256)])
 PRINTABLE = bytes(c for c in range(256) if 32 <= c < 127 or c in (9, 10, 13) or c >= 128)
 
@@ -86,6 +91,10 @@ def _url(run: str) -> list[tuple[str, int, int]]:
     return [(c, 3 * a, 3 * b) for c, a, b in _utf8(bytes.fromhex(run.replace("%", "")))]
 
 
+def _url_bytes(run: str) -> list[tuple[str, int, int]]:
+    return [(chr(c), 3 * i, 3 * i + 3) for i, c in enumerate(bytes.fromhex(run.replace("%", "")))]
+
+
 def _unicode(run: str) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     for m in UNICODE_ONE.finditer(run):
@@ -145,21 +154,88 @@ def _inflate(raw: bytes) -> Iterator[tuple[bytes, int]]:
             at += 1
 
 
-def _pieces(parts: Iterator[bytes]) -> Iterator[bytes]:
-    """Parts joined to pieces of bounded size, cut behind bytes that no secret, escape or base64 run holds.
-    Where some megabytes have none, pieces overlap."""
-    held = b""
+def _stream(parts: Iterator[bytes], step: int = 1 << 12) -> Iterator[bytes]:
+    """The content of all compressed members in a row of a stream that comes in parts; of a damaged member all that
+    comes before the damage. Memory is that of a part, however much it unpacks to."""
+    held = b"".join(islice(parts, 1))
+    while len(held) < 6 and (more := next(parts, None)) is not None:
+        held += more
+    while (d := _decompressor(held[:6])) is not None:
+        while not d.eof:
+            if not held:
+                if (held := next(parts, None)) is None:
+                    return
+                continue
+            before = d.copy() if hasattr(d, "copy") else None
+            more, held = held[:step], held[step:]
+            try:
+                while more or getattr(d, "needs_input", True) is False:
+                    yield d.decompress(more, PIECE)
+                    if d.eof:
+                        break
+                    more = getattr(d, "unconsumed_tail", b"")
+            except (zlib.error, OSError, ValueError, lzma.LZMAError, EOFError):
+                if before is not None and step > 1:
+                    yield from _last_words(before, more)
+                return
+        held = (d.unused_data + held).lstrip(b"\0")
+        while len(held) < 6 and (more := next(parts, None)) is not None:
+            held = (held + more).lstrip(b"\0")
+
+
+def _last_words(d, damaged: bytes) -> Iterator[bytes]:
+    """What bytes give, one by one, up to the one that is damaged."""
+    try:
+        for i in range(len(damaged)):
+            yield d.decompress(damaged[i : i + 1])
+    except zlib.error:
+        return
+
+
+def _skipped(parts: Iterator[bytes], n: int) -> Iterator[bytes]:
+    """A stream without its first ``n`` bytes."""
     for part in parts:
+        if n < len(part):
+            yield part[n:]
+        n = max(0, n - len(part))
+
+
+def _pieces(parts: Iterator[bytes]) -> Iterator[tuple[int, bytes]]:
+    """Parts joined to pieces, each with its place, cut behind bytes that no secret, escape or base64 run holds.
+    Stretches that have none are kept whole up to ``STRETCH`` bytes; beyond, pieces overlap."""
+    held, at = bytearray(), 0
+    for part in parts:
+        new = len(held)
         held += part
         if len(held) >= PIECE:
-            apart = np.flatnonzero(APART[np.frombuffer(held, np.uint8)])
-            if len(apart):
-                yield held[: int(apart[-1]) + 1]
-                held = held[int(apart[-1]) + 1 :]
-            elif len(held) >= 4 * PIECE:
-                yield held
-                held = held[-OVERLAP:]
-    yield held
+            apart = np.flatnonzero(APART[np.frombuffer(bytes(held[new:]), np.uint8)]) + new
+            cut = int(apart[-1]) + 1 if len(apart) else 0
+            if cut or len(held) >= STRETCH:
+                yield at, bytes(held[: cut or len(held)])
+                gone = cut or len(held) - OVERLAP
+                at += gone
+                del held[:gone]
+    yield at, bytes(held)
+
+
+def _unpacked(content: Callable[[], Iterator[bytes]], chain: frozenset[int] = frozenset()) -> Iterator[tuple[bytes, bool]]:
+    """The pieces of a content, and those of all that is compressed in it, at any depth and place, each with whether
+    it begins a content. Content that has itself inside ends there."""
+    tail, opened = b"", set()
+    for i, (at, piece) in enumerate(_pieces(content())):
+        if not i:
+            if hash(piece) in chain:
+                return
+            chain |= {hash(piece)}
+        yield piece, i == 0
+        inside = [at - len(tail) + m.start() for m in PACKED_HIDDEN.finditer(tail + piece)]
+        if not i and _decompressor(piece[:6]) is not None and inside[:1] != [0]:
+            inside.insert(0, 0)
+        for p in inside:
+            if p not in opened:
+                opened.add(p)
+                yield from _unpacked(lambda p=p: _stream(_skipped(content(), p)), chain)
+        tail = piece[-9:]
 
 
 def _readable(raw: bytes) -> bool:
@@ -207,8 +283,7 @@ def _base64_layers(text: str, starts: np.ndarray, ends: np.ndarray) -> Iterator[
                         elif end == len(raw):
                             single.add(a)
                         s, e = starts[at[a]], close if to >= len(body) else ends[at[to - 1]]
-                        for i, piece in enumerate(_pieces(iter(parts) if size <= PIECE else (x for x, _ in _inflate(raw)))):
-                            yield piece.decode("latin-1"), np.broadcast_to(s, len(piece)), np.broadcast_to(e, len(piece)), i == 0 and _readable(piece)
+                        yield from _content(lambda parts=parts, size=size, raw=raw: iter(parts) if size <= PIECE else (x for x, _ in _inflate(raw)), s, e)
                 if joined and a % 4 in phases:  # already read from an earlier line on
                     continue
                 if joined:
@@ -218,11 +293,36 @@ def _base64_layers(text: str, starts: np.ndarray, ends: np.ndarray) -> Iterator[
                 yield raw.decode("latin-1"), starts[at[a + k * 4 // 3]], ends[at[a + np.minimum(-(-(k + 1) * 4 // 3), b - a) - 1]], _readable(raw)
 
 
-def _layers(text: str, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray, bool]]:
+def _content(content: Callable[[], Iterator[bytes]], s: int, e: int) -> Iterator[tuple[str, np.ndarray, np.ndarray, bool]]:
+    """Layers of what compressed data between ``s`` and ``e`` hold: any byte depends on all of them."""
+    for piece, first in _unpacked(content):
+        yield piece.decode("latin-1"), np.broadcast_to(s, len(piece)), np.broadcast_to(e, len(piece)), first and _readable(piece)
+
+
+def _packed_layers(text: str, starts: np.ndarray, ends: np.ndarray, pattern: re.Pattern, first: int = 0) -> Iterator[tuple[str, np.ndarray, np.ndarray, bool]]:
+    """What compressed data in a layer hold whose characters stand for bytes."""
+    for run in BYTES.finditer(text):
+        raw, to = run[0].encode("latin-1"), first
+        for m in pattern.finditer(raw):
+            if m.start() < to:  # a member that follows another, which has been read
+                continue
+            size = end = 0
+            for part, end in _inflate(raw[m.start() :]):
+                size += len(part)
+            if size:
+                to = m.start() + (end or len(raw) - m.start())
+                rest = raw[m.start() :]
+                yield from _content(lambda rest=rest: (x for x, _ in _inflate(rest)), starts[run.start() + m.start()], ends[run.start() + to - 1])
+
+
+def _layers(text: str, starts: np.ndarray, ends: np.ndarray, packed: re.Pattern = PACKED_HIDDEN) -> Iterator[tuple[str, np.ndarray, np.ndarray, bool]]:
     for run, chars in ((URL_RUN, _url), (UNICODE_RUN, _unicode)):
         new = _unescape(text, starts, ends, run, chars)
         if new is not None:
             yield *new, True
+            as_bytes = _unescape(text, starts, ends, run, _url_bytes) if run is URL_RUN else new
+            yield from _packed_layers(*as_bytes, PACKED_HIDDEN)
+    yield from _packed_layers(text, starts, ends, packed, 1)  # what a base64 run begins with is opened there
     yield from _base64_layers(text, starts, ends)
 
 
@@ -238,7 +338,7 @@ def scan(text: str, base: list[tuple[int, int, int]] | None = None) -> tuple[lis
     so that decompression bombs cost time but no memory."""
     base = find(text) if base is None else base
     first = text, np.arange(len(text)), np.arange(1, len(text) + 1)
-    spans, seen, layers, work = set(base), {_place(*first)}, 0, [_layers(*first)]
+    spans, seen, layers, work = set(base), {_place(*first)}, 0, [_layers(*first, PACKED)]
     while work:
         new = next(work[-1], None)
         if new is None:
