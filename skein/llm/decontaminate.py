@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, roomy
+from .shared import fresh, materialise, roomy
 from .words import U, Words, mix, slices
 
 #: Least and most bits of the bitmap; in between it has some 64 for each seed of the benchmark.
@@ -194,7 +194,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13, share
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that :func:`overlaps` wouldn't report."""
+    """The rows of ``docs``, all columns whatever their names, that :func:`overlaps` wouldn't report. Rows of null text stay."""
+    name = fresh("found", docs)
     key = F.struct(F.col(id_col), F.xxhash64(F.col(text_col).cast("string")))
-    found = overlaps(docs.select(key.alias("key"), F.col(text_col).alias("text")), benchmark, id_col="key", **options).select(F.col("doc_id").alias("found")).distinct()
-    return docs.join(found, key.eqNullSafe(F.col("found")), "left_anti")
+    found = overlaps(docs.select(key.alias("key"), F.col(text_col).alias("text")), benchmark, id_col="key", **options).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, key.eqNullSafe(F.col(name)), "left_anti")

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import roomy
+from .shared import fresh, roomy
 
 #: Rows that are packed together; memory is a few bytes of each, whatever the number of parts.
 PACKED_ROWS = 200_000
@@ -117,9 +117,10 @@ def repeats_earlier(docs: DataFrame, digest: str, id_col: str = "doc_id") -> Dat
 
     The first id of each digest is an aggregate; rows are joined to it by digest and id together, so that
     a text with a third of all copies is spread like any other."""
-    first = docs.groupBy(F.col(digest).alias("__digest")).agg(F.min(id_col).alias("__first"))
-    joined = docs.join(first, (F.col(digest) == F.col("__digest")) & (F.col(id_col) == F.col("__first")), "left")
-    return joined.withColumn("repeated", F.col("__digest").isNull() & F.col(id_col).isNotNull()).drop("__digest", "__first")
+    d, f = fresh("d", docs), fresh("f", docs)
+    first = docs.groupBy(F.col(digest).alias(d)).agg(F.min(id_col).alias(f))
+    joined = docs.join(first, (F.col(digest) == F.col(d)) & (F.col(id_col) == F.col(f)), "left")
+    return joined.withColumn("repeated", F.col(d).isNull() & F.col(id_col).isNotNull()).drop(d, f)
 
 
 def text_filters(text: Column) -> dict[str, Column]:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import discard, materialise, roomy
+from .shared import discard, fresh, materialise, roomy
 from .words import U, mix, shingle_sets, slices
 
 FULL = U(2**64 - 1)
@@ -286,21 +286,23 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, t: int = 128
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, t: int = 128, turns: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs``, with all columns, of each group of :func:`near_groups`: that of the smallest id, and of rows
-    that repeat this id the one whose text has the least hash; equal rows count once. Rows in no group all stay."""
+    that repeat this id the one whose text has the least hash; equal rows count once. Rows in no group all stay, those of
+    null or empty text among them; the columns of ``docs`` may have any names."""
     judged = _judged(docs, words, percent, t, turns, id_col, text_col)
     key = F.struct(F.col(id_col), F.xxhash64(F.col(text_col).cast("string")))
-    of = F.struct("doc_id", "h").alias("__of")
+    name = fresh("of", docs)
+    of = F.struct("doc_id", "h").alias(name)
     gone = judged.filter("not stays").select(of).distinct()
     twice = judged.filter("stays and n_shingles > 0 and doc_id is not null").groupBy("doc_id", "h").count().filter("count > 1").select(of)
-    return _once(docs, key, gone, materialise(twice, "twice"))
+    return _once(docs, key, name, gone, materialise(twice, "twice"))
 
 
-def _once(docs: DataFrame, key: Column, gone: DataFrame, twice: DataFrame) -> DataFrame:
-    """``docs`` without the rows of ``gone``, and one of each of ``twice``."""
-    same = key.eqNullSafe(F.col("__of"))
+def _once(docs: DataFrame, key: Column, name: str, gone: DataFrame, twice: DataFrame) -> DataFrame:
+    """``docs`` without the rows of ``gone``, and one of each of ``twice``; both have the column ``name``."""
+    same = key.eqNullSafe(F.col(name))
     left = docs.join(gone, same, "left_anti")
     if not twice.limit(1).count():
         return left
     one = left.join(twice, same, "left_semi")
     n = F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))
-    return left.join(twice, same, "left_anti").unionByName(one.select("*", n.alias("__of")).filter("__of = 1").select(*docs.columns))
+    return left.join(twice, same, "left_anti").unionByName(one.select("*", n.alias(name)).filter(F.col(name) == 1).drop(name))

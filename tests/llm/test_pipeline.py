@@ -72,6 +72,18 @@ def test_stages_on_empty_and_odd_documents(spark, tmp_path):
                 assert docs.count() == len(rows)
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (None, None, None)]
+    names = ["found", "of", "__of", "_key", "Found", "h", "d", "seed", "key", "stays", "component"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'s' AS source", "1L AS n_chars", *(f"lang AS {n}" for n in names if n != "Found"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert sorted(map(str, out.select("found", "_key").collect())) == sorted(map(str, out.select("lang", "lang").toDF("found", "_key").collect()))
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+    assert sorted((r.doc_id is None, r.found) for r in docs.collect()) == [(False, "x"), (True, None)]
+
+
 def test_registered_queries():
     names = set(entry.queries())
-    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
