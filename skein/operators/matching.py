@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import LICENSE_CATEGORIES, REUSE_RULES, ROLE_KEYWORDS
 from ..functions.scalars import name_similarity
+from .ranking import checkpointed
 
 
 def role(name: Column) -> Column:
@@ -37,31 +37,36 @@ def reuse_mode(source: Column, target: Column) -> Column:
     return F.coalesce(F.try_element_at(table, pair), F.lit("reference_only"))
 
 
-def greedy_match(scored: DataFrame, group: list[str], src: str, dst: str, score: str, least: float = 0.3) -> DataFrame:
-    """Within each group: sources in order take the best unused target that scores at least ``least``;
-    of equal scores the first target. ``src`` and ``dst`` are order numbers. A group is one pair of
-    libraries, whose size is bounded by their interfaces."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        f = frame[frame[score] >= least].sort_values([src, score, dst], ascending=[True, False, True], kind="stable")
-        done = set()
-        for row in f.itertuples(index=False):
-            s, d = getattr(row, src), getattr(row, dst)
-            if s not in done and d not in taken:
-                done.add(s)
-                taken.add(d)
-                out.append(row)
-        return pd.DataFrame(out, columns=frame.columns)
-
-    return scored.groupBy(*group).applyInPandas(run, scored.schema)
-
-
-def similarity_pairs(src: DataFrame, dst: DataFrame, on: list[str], name: str, key: str) -> DataFrame:
-    """Every pair within a group of libraries with its name similarity."""
-    d = dst.select(*on, F.col(key).alias("dst"), F.col(name).alias("dst_name"))
-    return src.select(*on, F.col(key).alias("src"), F.col(name).alias("src_name")).join(d, on).withColumn("similarity", name_similarity(F.col("src_name"), F.col("dst_name")))
-
+def greedy_match(scored: DataFrame, group: list[str], src: str, dst: str, score: str, least: float = 0.3, rounds: list[int] | None = None) -> DataFrame:
+    """Within each group: sources in order take the best unused target that scores at least ``least``; of equal scores the
+    first target. ``src`` and ``dst`` are order numbers, a pair of which is scored once; null groups
+    are a group.
+
+    Taking turns in order is the same as deferred acceptance where all targets prefer earlier sources: every source asks
+    its best target left, a target holds the earliest that asks, and pairs of later sources with a held target are
+    struck off; once nobody is turned away, everybody has what turns would have given. All of it is grouped by source or by
+    target, so a group of any size spreads over all tasks. Each round is cut by a reliable checkpoint; ``rounds``
+    gets how many were turned away in each. Rounds are as many as the longest row of sources that want the same targets."""
+    g = "_group"  # equal where its parts are equal or both null
+    left = checkpointed(scored.filter(F.col(score) >= least).withColumn(g, F.struct(*group)))
+    while True:
+        best = F.min(F.struct((-F.col(score)).alias("s"), F.col(dst).alias("d")))
+        asked = checkpointed(left.groupBy(g, src).agg(best.alias("_best")).select(g, src, F.col("_best.d").alias(dst)))
+        n = asked.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct(g, dst)).alias("held")).first()
+        if rounds is not None:
+            rounds.append(n.n - n.held)
+        if n.n == n.held:
+            return left.join(asked, [g, src, dst], "left_semi").select(*scored.columns)
+        held = asked.groupBy(g, dst).agg(F.min(src).alias("_holder"))
+        left = checkpointed(left.join(held, [g, dst], "left").filter(F.col("_holder").isNull() | (F.col(src) <= F.col("_holder"))).select(*left.columns))
+
+
+def similarity_pairs(src: DataFrame, dst: DataFrame, on: list[str], name: str, key: str, parts: int = 16) -> DataFrame:
+    """Every pair within a group of libraries with its name similarity. A group's sources are dealt to ``parts`` parts, each
+    of which meets all the group's targets, so that one large group is no single task."""
+    s = src.select(*on, F.col(key).alias("src"), F.col(name).alias("src_name"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("_part"))
+    d = dst.select(*on, F.col(key).alias("dst"), F.col(name).alias("dst_name"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    return s.join(d, [*on, "_part"]).drop("_part").withColumn("similarity", name_similarity(F.col("src_name"), F.col("dst_name")))
 
 
 def match_params(src: Column, dst: Column, least: float = 0.6) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import scalars as S
-from ..operators import dedup, extract, joins, matching, ranking, state
+from ..operators import dedup, extract, folds, joins, matching, ranking, state
 from ..sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -456,23 +456,14 @@ def severity_counts(t: Tables) -> DataFrame:
     return g.withColumn("exit_code", F.when(F.col("errors") > 0, 2).when(F.col("warnings") > 0, 1).otherwise(0))
 
 
-@query("SELECT p_brand, p_partkey // 500 AS piece, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS members FROM part GROUP BY ALL")
+@query("SELECT p_brand, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS members FROM part GROUP BY p_brand")
 def group_collect(t: Tables) -> DataFrame:
-    """Members by group, in pieces of 500 keys each: no list grows with the table."""
-    rows = t.part.withColumn("piece", F.floor(F.col("p_partkey") / 500))
-    return rows.groupBy("p_brand", "piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda x: x.cast("string")), ",").alias("members"))
+    return folds.ordered_join(t.part.select("p_brand", "p_partkey"), ["p_brand"], ["p_partkey"], "p_partkey")
 
 
-@query("""WITH p AS (SELECT source, doc_id // 1000 AS piece, sha256(string_agg(sha256(coalesce(text, '')), '' ORDER BY doc_id)) AS h FROM documents GROUP BY ALL)
-SELECT source, sha256(string_agg(h, '' ORDER BY piece)) AS digest FROM p GROUP BY source""")
+@query("SELECT source, sha256(string_agg(sha256(coalesce(text, '')), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
 def ordered_hash_agg(t: Tables) -> DataFrame:
-    """A digest of each source's digests of 1000 ids each, so that no task holds a hot source's documents."""
-    def digest(rows: DataFrame, keys: list[str], order: str, h: Column) -> DataFrame:
-        g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, h.alias("h")))).alias("a"))
-        return g.select(*keys, F.sha2(F.array_join(F.transform("a", lambda x: x["h"]), ""), 256).alias("digest"))
-
-    pieces = digest(t.documents.withColumn("piece", F.floor(F.col("doc_id") / 1000)), ["source", "piece"], "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return digest(pieces, ["source"], "piece", F.col("digest"))
+    return folds.ordered_digest(t.documents.select("source", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")), ["source"], ["doc_id"], "h")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, concat_ws('; ', CASE WHEN l_discount > 0.08 THEN 'discount' END, CASE WHEN l_tax = 0 THEN 'no tax' END, CASE WHEN l_quantity > 45 THEN 'bulk' END) AS warnings FROM lineitem""")

@@ -1,5 +1,6 @@
 """The library's queries against their SQL, and operators without SQL against plain Python."""
 
+import collections
 import hashlib
 import math
 import os
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from skein.functions import scalars as S
-from skein.operators import dedup, extract, integrity, joins, matching, ranking, state, symbols
+from skein.operators import dedup, extract, folds, integrity, joins, matching, ranking, state, symbols
 from skein.plans import queries as library
 from skein.sources import readers, sinks
 from skein.streaming import streams
@@ -110,6 +111,43 @@ def test_greedy_match_takes_sources_in_order(spark):
     assert sorted((r.g, r.s, r.d) for r in got.collect()) == [("g", 1, 1), ("g", 3, 2)]
 
 
+def test_deferred_acceptance_equals_turns_and_spreads_one_group(spark):
+    rnd = random.Random(3)
+    pairs = {(g, s, d): rnd.choice([0.1, 0.3, 0.5, 0.5, 0.8, 1.0]) for g in ("a", None) for s in range(25) for d in range(20) if rnd.random() < 0.7}
+    df = spark.createDataFrame([(*k, x, "n") for k, x in pairs.items()], "g string, s long, d long, x double, note string").repartition(4)
+    rounds = []
+    got = {(r.g, r.s): r.d for r in matching.greedy_match(df, ["g"], "s", "d", "x", rounds=rounds).collect()}
+    want = {}
+    for g in ("a", None):
+        taken = set()
+        for s in range(25):
+            able = [(-x, d) for (h, t, d), x in pairs.items() if h == g and t == s and x >= 0.3 and d not in taken]
+            if able:
+                want[g, s] = min(able)[1]
+                taken.add(min(able)[1])
+    assert got == want and rounds[-1] == 0 and len(rounds) > 2 and sum(rounds) >= 50 - len(want)
+    one = spark.createDataFrame([(i, f"name{i % 97}") for i in range(600)], "p_partkey long, p_name string").withColumn("p_brand", F.lit("b"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spread = matching.similarity_pairs(one.filter("p_partkey % 2 = 0"), one.filter("p_partkey % 2 = 1").hint("merge"), ["p_brand"], "p_name", "p_partkey").withColumn("t", F.spark_partition_id()).groupBy("t").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(spread) == 4 and sum(r["count"] for r in spread) == 300 * 300 and max(r["count"] for r in spread) < 60_000
+
+
+def test_folds_over_whole_groups(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["hot"] * 8 + ["x", "", None]), rnd.choice([None, *range(4000)]), rnd.choice([None, "", "a", "é", "long" * 9])) for _ in range(6000)] + [("x", 5, "same")] * 3
+    df = spark.createDataFrame([(*r, "n") for r in rows], "g string, k long, v string, _run string").repartition(5)
+    want = collections.defaultdict(list)
+    for g, k, v in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "")):
+        want[g].append(v or "")
+    digests = {r.g: r.digest for r in folds.ordered_digest(df, ["g"], ["k"], "v").collect()}
+    assert digests == {g: hashlib.sha256("".join(v).encode()).hexdigest() for g, v in want.items()}
+    assert {r.g: r.members for r in folds.ordered_join(df, ["g"], ["k"], "v").collect()} == {g: ",".join(v) for g, v in want.items()}
+    assert folds.ordered_digest(df.limit(0), ["g"], ["k"], "v").count() == 0
+
+
 def test_greedy_match_query_takes_all_parts(spark, tmp_path):
     names = ["small ring", "red_bolt", "red bolts", "ring", "widget", "zzz"]
     parts = [(1990 + i, f"b{i % 3}", names[i * i % 5 if i % 4 else i % 6], "t") for i in range(40)]
