@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,15 +28,21 @@ def positions(rows: DataFrame, order: list[Column], name: str = "pos") -> DataFr
 
 def checkpointed(rows: DataFrame) -> DataFrame:
     """A reliable checkpoint in ``spark.checkpoint.dir``; only a local session may do without that setting."""
-    spark = rows.sparkSession
+    shared_folder(rows.sparkSession)
+    return rows.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder, which a
+    local session is given if it has none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
     if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
-    return rows.checkpoint()
+    return folder
 
 
 def evidence_ranking(rows: DataFrame, confidence: str, evidence: str, tie: list[Column]) -> DataFrame:

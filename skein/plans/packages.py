@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,9 @@ from ..functions import constants as C
 from ..functions import packages as P
 from ..functions import scalars as S
 from ..operators import dedup, matching, ranking
+from ..sources import answers, sinks
 from ..sources import registries as R
-from ..sources import sinks
-from .queries import Tables, _any, _in, query
+from .queries import ORACLES, Tables, _any, _in, query
 
 AS_OF, NOW_MS = "2024-02-01", 1706745600000  # the same instant
 
@@ -23,41 +25,57 @@ def _snapshots(rows: DataFrame, key: str, seq: str, items: str, item: Column, **
     return g.select(key, F.concat(F.lit(f'{{"{items}":['), F.array_join(F.transform("a", lambda y: y["x"]), ","), F.lit("]"), rest, F.lit("}")).alias("body"))
 
 
+#: A registry answers one request with some tens of rows: a brand's parts are asked for in pages of 1000 keys.
+_ASKED = "asked AS (SELECT * REPLACE (p_brand || '/' || (p_partkey // 1000)::VARCHAR AS p_brand) FROM part)"
+
+
+def _asked(t: Tables) -> DataFrame:
+    return t.part.withColumn("p_brand", F.concat_ws("/", "p_brand", F.floor(F.col("p_partkey") / 1000).cast("string")))
+
+
 _PLACE = "(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::INTEGER AS position, count(*) OVER (PARTITION BY p_brand) AS n"
 
 
+def _npm_answers(t: Tables) -> DataFrame:
+    date = F.when(F.col("p_size") % 7 != 0, F.concat(F.date_format(F.date_sub(F.lit(AS_OF).cast("date"), F.col("p_size") * 20), "yyyy-MM-dd"), F.lit("T00:00:00.500Z")))
+    package = F.struct(F.col("p_name").alias("name"), F.concat(F.lit("1."), "p_size").alias("version"), F.lower("p_type").alias("description"), date.alias("date"), F.lit("MIT").alias("license"), F.struct(F.concat(F.lit("https://npm/"), "p_partkey").alias("npm")).alias("links"))
+    detail = F.struct(F.struct((F.col("p_size") / 50.0).alias("popularity"), (F.col("p_retailprice").cast("long") * 1000).alias("downloads")).alias("detail"))
+    return _snapshots(_asked(t), "p_brand", "p_partkey", "objects", F.struct(package.alias("package"), detail.alias("score")))
+
+
 @query(f"""
-WITH r AS (SELECT *, {_PLACE}, trunc(p_size / 50.0::DOUBLE * 10000)::BIGINT AS stars, trunc(p_retailprice)::BIGINT * 1000 AS dl, CASE WHEN p_size % 7 = 0 THEN 999 ELSE p_size * 20 END AS days FROM part)
+WITH {_ASKED}, r AS (SELECT *, {_PLACE}, trunc(p_size / 50.0::DOUBLE * 10000)::BIGINT AS stars, trunc(p_retailprice)::BIGINT * 1000 AS dl, CASE WHEN p_size % 7 = 0 THEN 999 ELSE p_size * 20 END AS days FROM asked)
 SELECT p_brand, position, p_name AS name, '1.' || p_size::VARCHAR AS version, lower(p_type) AS description, 'https://npm/' || p_partkey::VARCHAR AS registry_url, stars, dl AS downloads,
  CASE WHEN p_size % 7 = 0 THEN '' ELSE strftime(DATE '2024-02-01' - (p_size * 20)::INTEGER, '%Y-%m-%d') || 'T00:00:00.500Z' END AS last_commit, 'MIT' AS license_name,
  round((least(stars / 10000::DOUBLE * 0.4::DOUBLE + least(dl / 1000000.0::DOUBLE, 1.0::DOUBLE) * 0.3::DOUBLE + CASE WHEN days <= 30 THEN 0.3::DOUBLE WHEN days <= 365 THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END * 0.3::DOUBLE, 1.0::DOUBLE))::DECIMAL(18, 10), 4)::DOUBLE AS score, n >= 20 AS has_more FROM r""")
 def npm_rows(t: Tables) -> DataFrame:
-    date = F.when(F.col("p_size") % 7 != 0, F.concat(F.date_format(F.date_sub(F.lit(AS_OF).cast("date"), F.col("p_size") * 20), "yyyy-MM-dd"), F.lit("T00:00:00.500Z")))
-    package = F.struct(F.col("p_name").alias("name"), F.concat(F.lit("1."), "p_size").alias("version"), F.lower("p_type").alias("description"), date.alias("date"), F.lit("MIT").alias("license"), F.struct(F.concat(F.lit("https://npm/"), "p_partkey").alias("npm")).alias("links"))
-    detail = F.struct(F.struct((F.col("p_size") / 50.0).alias("popularity"), (F.col("p_retailprice").cast("long") * 1000).alias("downloads")).alias("detail"))
-    return R.npm(_snapshots(t.part, "p_brand", "p_partkey", "objects", F.struct(package.alias("package"), detail.alias("score"))), "p_brand", "body", AS_OF)
+    return R.npm(_npm_answers(t), "p_brand", "body", AS_OF)
+
+
+def _crates_answers(t: Tables) -> DataFrame:
+    doc, home = (F.when(F.col("p_size") % 3 == k, F.concat(F.lit(f"https://{w}/"), "p_partkey")).otherwise("") for k, w in ((0, "docs"), (1, "home")))
+    item = F.struct(F.col("p_name").alias("name"), F.col("p_size").cast("string").alias("max_version"), F.col("p_type").alias("description"), doc.alias("documentation"), home.alias("homepage"), (F.col("p_partkey") * 400).alias("downloads"), (F.col("p_size") * 10).alias("recent_downloads"))
+    return _snapshots(_asked(t), "p_brand", "p_partkey", "crates", item, meta=F.struct((F.col("n") + 1).alias("total")))
 
 
 @query(f"""
-WITH r AS (SELECT *, {_PLACE} FROM part)
+WITH {_ASKED}, r AS (SELECT *, {_PLACE} FROM asked)
 SELECT p_brand, position, p_name AS name, p_size::VARCHAR AS version, p_type AS description, CASE WHEN p_size % 3 = 0 THEN 'https://docs/' || p_partkey::VARCHAR WHEN p_size % 3 = 1 THEN 'https://home/' || p_partkey::VARCHAR ELSE 'https://crates.io/crates/' || p_name END AS registry_url,
  0::BIGINT AS stars, p_partkey * 400 AS downloads, '' AS last_commit, '' AS license_name, round((least(p_partkey * 400 / 1e6::DOUBLE * 0.5::DOUBLE + p_size * 10 / 1e4::DOUBLE * 0.5::DOUBLE, 1.0::DOUBLE))::DECIMAL(18, 10), 4)::DOUBLE AS score, n + 1 > n AS has_more FROM r""")
 def crates_rows(t: Tables) -> DataFrame:
-    doc, home = (F.when(F.col("p_size") % 3 == k, F.concat(F.lit(f"https://{w}/"), "p_partkey")).otherwise("") for k, w in ((0, "docs"), (1, "home")))
-    item = F.struct(F.col("p_name").alias("name"), F.col("p_size").cast("string").alias("max_version"), F.col("p_type").alias("description"), doc.alias("documentation"), home.alias("homepage"), (F.col("p_partkey") * 400).alias("downloads"), (F.col("p_size") * 10).alias("recent_downloads"))
-    return R.crates(_snapshots(t.part, "p_brand", "p_partkey", "crates", item, meta=F.struct((F.col("n") + 1).alias("total"))), "p_brand", "body")
+    return R.crates(_crates_answers(t), "p_brand", "body")
 
 
-def _maven_snapshots(t: Tables) -> DataFrame:
+def _maven_answers(t: Tables) -> DataFrame:
     released = F.when(F.col("p_size") % 5 != 0, F.lit(NOW_MS) - F.col("p_size").cast("long") * 20 * 86_400_000)
     ids = F.concat_ws(":", F.lower(F.replace("p_brand", F.lit("#"), F.lit("."))), F.replace("p_name", F.lit(" "), F.lit("-")))
     item = F.struct(ids.alias("id"), F.col("p_type").alias("g"), F.when(F.col("p_size") % 4 == 0, "").otherwise(F.when(F.col("p_size") % 6 == 1, "x-kt").otherwise("lib")).alias("a"), F.col("p_size").cast("string").alias("latestVersion"), F.col("p_size").cast("long").alias("versionCount"), released.alias("timestamp"))
-    g = _snapshots(t.part, "p_brand", "p_partkey", "docs", item, numFound=F.col("n"))
+    g = _snapshots(_asked(t), "p_brand", "p_partkey", "docs", item, numFound=F.col("n"))
     return g.select("p_brand", F.concat(F.lit('{"response":'), "body", F.lit("}")).alias("body"))
 
 
-_MAVEN = """
-r AS (SELECT *, lower(replace(p_brand, '#', '.')) || ':' || replace(p_name, ' ', '-') AS id, CASE WHEN p_size % 4 = 0 THEN '' WHEN p_size % 6 = 1 THEN 'x-kt' ELSE 'lib' END AS a, CASE WHEN p_size % 5 <> 0 THEN 1706745600000 - p_size::BIGINT * 20 * 86400000 END AS ms FROM part),
+_MAVEN = f"""
+{_ASKED}, r AS (SELECT *, lower(replace(p_brand, '#', '.')) || ':' || replace(p_name, ' ', '-') AS id, CASE WHEN p_size % 4 = 0 THEN '' WHEN p_size % 6 = 1 THEN 'x-kt' ELSE 'lib' END AS a, CASE WHEN p_size % 5 <> 0 THEN 1706745600000 - p_size::BIGINT * 20 * 86400000 END AS ms FROM asked),
 f AS (SELECT *, least(p_size / 100::DOUBLE * 0.5::DOUBLE + CASE WHEN ms IS NULL THEN 0.1::DOUBLE WHEN p_size * 20 <= 30 THEN 0.3::DOUBLE WHEN p_size * 20 <= 365 THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END * 0.5::DOUBLE, 1.0::DOUBLE) AS s,
   contains(lower(id || ' ' || p_type || ' ' || a), 'kotlin') OR contains(lower(id || ' ' || p_type || ' ' || a), 'kt') AS kt FROM r)"""
 _MAVEN_ROW = """id AS name, p_size::VARCHAR AS version, CASE WHEN a = '' THEN id ELSE p_type || ':' || a END AS description, 'https://search.maven.org/artifact/' || replace(id, ':', '/') || '/' || p_size::VARCHAR || '/jar' AS registry_url, p_size::BIGINT AS stars, 0::BIGINT AS downloads,
@@ -66,61 +84,132 @@ _MAVEN_ROW = """id AS name, p_size::VARCHAR AS version, CASE WHEN a = '' THEN id
 
 @query(f"WITH {_MAVEN} SELECT p_brand, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::INTEGER AS position, {_MAVEN_ROW}, round(s, 4) AS score, false AS has_more FROM f")
 def maven_rows(t: Tables) -> DataFrame:
-    return R.maven(_maven_snapshots(t), "p_brand", "body", NOW_MS)
+    return R.maven(_maven_answers(t), "p_brand", "body", NOW_MS)
 
 
-@query(f"""WITH {_MAVEN}, p AS (SELECT *, (row_number() OVER (PARTITION BY p_brand ORDER BY kt DESC, p_partkey) - 1)::INTEGER AS position, count(*) OVER (PARTITION BY p_brand) AS n FROM f)
-SELECT p_brand, position, {_MAVEN_ROW}, round(CASE WHEN kt THEN least(s + 0.2::DOUBLE, 1.0::DOUBLE) ELSE s END, 4) AS score, n > least(n, 20) AS has_more FROM p WHERE position < 20""")
+@query(f"""WITH {_MAVEN}, c AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nth, count(*) OVER (PARTITION BY p_brand) AS n FROM f),
+p AS (SELECT *, (row_number() OVER (PARTITION BY p_brand ORDER BY kt DESC, p_partkey) - 1)::INTEGER AS position FROM c WHERE nth <= 15)
+SELECT p_brand, position, {_MAVEN_ROW}, round(CASE WHEN kt THEN least(s + 0.2::DOUBLE, 1.0::DOUBLE) ELSE s END, 4) AS score, n > least(n, 5) AS has_more FROM p WHERE position < 5""")
 def kotlin_rows(t: Tables) -> DataFrame:
-    return R.maven(_maven_snapshots(t), "p_brand", "body", NOW_MS, kotlin_first=True)
+    return R.maven(_maven_answers(t), "p_brand", "body", NOW_MS, kotlin_first=True, limit=5)
 
 
-@query("""
-WITH f AS (SELECT p_brand, replace(p_name, ' ', '-') AS port, min(p_partkey) AS first FROM part WHERE p_size % 5 <> 0 GROUP BY ALL), p AS (SELECT *, (row_number() OVER (PARTITION BY p_brand ORDER BY first) - 1)::INTEGER AS position, count(*) OVER (PARTITION BY p_brand) AS k FROM f),
-n AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1), v AS (SELECT replace(p_name, ' ', '-') AS port, min(p_size::VARCHAR) AS version FROM part WHERE p_size % 2 = 0 GROUP BY 1)
-SELECT p_brand, position, port AS name, coalesce(version, '') AS version, 'https://github.com/microsoft/vcpkg/tree/master/ports/' || port AS registry_url, 0.5::DOUBLE AS score, n > least(k, 20) AS has_more FROM p JOIN n USING (p_brand) LEFT JOIN v USING (port) WHERE position < 20""")
-def vcpkg_rows(t: Tables) -> DataFrame:
+def _vcpkg_answers(t: Tables) -> DataFrame:
     port = F.replace("p_name", F.lit(" "), F.lit("-"))
     item = F.struct(F.concat(F.when(F.col("p_size") % 5 != 0, "ports/").otherwise("docs/"), port, F.lit("/vcpkg.json")).alias("path"))
-    versions = t.part.filter("p_size % 2 = 0").select(port.alias("port"), F.col("p_size").cast("string").alias("version"))
-    return R.vcpkg(_snapshots(t.part, "p_brand", "p_partkey", "items", item, total_count=F.col("n")), "p_brand", "body", versions)
+    return _snapshots(_asked(t), "p_brand", "p_partkey", "items", item, total_count=F.col("n"))
 
 
 @query(f"""
-WITH r AS (SELECT *, {_PLACE}, p_size * p_size AS stars, p_partkey * 4000 AS dl FROM part)
+WITH {_ASKED}, f AS (SELECT p_brand, replace(p_name, ' ', '-') AS port, min(p_partkey) AS first FROM asked WHERE p_size % 5 <> 0 GROUP BY ALL), p AS (SELECT *, (row_number() OVER (PARTITION BY p_brand ORDER BY first) - 1)::INTEGER AS position, count(*) OVER (PARTITION BY p_brand) AS k FROM f),
+n AS (SELECT p_brand, count(*) AS n FROM asked GROUP BY 1), v AS (SELECT replace(p_name, ' ', '-') AS port, min(p_size::VARCHAR) AS version FROM part WHERE p_size % 2 = 0 GROUP BY 1)
+SELECT p_brand, position, port AS name, coalesce(version, '') AS version, 'https://github.com/microsoft/vcpkg/tree/master/ports/' || port AS registry_url, 0.5::DOUBLE AS score, n > least(k, 20) AS has_more FROM p JOIN n USING (p_brand) LEFT JOIN v USING (port) WHERE position < 20""")
+def vcpkg_rows(t: Tables) -> DataFrame:
+    versions = t.part.filter("p_size % 2 = 0").select(F.replace("p_name", F.lit(" "), F.lit("-")).alias("port"), F.col("p_size").cast("string").alias("version"))
+    return R.vcpkg(_vcpkg_answers(t), "p_brand", "body", versions)
+
+
+def _packagist_answers(t: Tables) -> DataFrame:
+    item = F.struct(F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.concat(F.lit("https://packagist/"), "p_name").alias("url"), (F.col("p_size") * F.col("p_size")).alias("favers"), (F.col("p_partkey") * 4000).alias("downloads"), F.when(F.col("p_size") % 3 != 1, F.col("p_size") % 3 == 0).alias("abandoned"), F.lit("MIT").alias("license"))
+    return _snapshots(_asked(t), "p_brand", "p_partkey", "results", item)
+
+
+@query(f"""
+WITH {_ASKED}, r AS (SELECT *, {_PLACE}, p_size * p_size AS stars, p_partkey * 4000 AS dl FROM asked)
 SELECT p_brand, position, p_name AS name, '' AS version, p_type AS description, 'https://packagist/' || p_name AS registry_url, stars::BIGINT AS stars, dl AS downloads, '' AS last_commit, 'MIT' AS license_name,
  least(CASE WHEN stars > 1000 THEN 0.4::DOUBLE WHEN stars > 100 THEN 0.3::DOUBLE WHEN stars > 10 THEN 0.2::DOUBLE WHEN stars > 1 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN dl > 10000000 THEN 0.3::DOUBLE WHEN dl > 1000000 THEN 0.25::DOUBLE WHEN dl > 100000 THEN 0.2::DOUBLE WHEN dl > 1000 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END
  + CASE WHEN p_size % 3 = 0 THEN 0.0::DOUBLE ELSE 0.3::DOUBLE END, 1.0::DOUBLE) AS score, n >= 20 AS has_more FROM r""")
 def packagist_rows(t: Tables) -> DataFrame:
-    item = F.struct(F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.concat(F.lit("https://packagist/"), "p_name").alias("url"), (F.col("p_size") * F.col("p_size")).alias("favers"), (F.col("p_partkey") * 4000).alias("downloads"), F.when(F.col("p_size") % 3 != 1, F.col("p_size") % 3 == 0).alias("abandoned"), F.lit("MIT").alias("license"))
-    return R.packagist(_snapshots(t.part, "p_brand", "p_partkey", "results", item), "p_brand", "body")
+    return R.packagist(_packagist_answers(t), "p_brand", "body")
 
 
-@query("""
-WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nth, CASE WHEN p_size % 4 = 0 THEN 0 ELSE p_size * 30 END AS stars, CASE WHEN p_size % 9 = 0 THEN 999 ELSE p_size * 20 END AS days FROM part),
+def _repository_answers(t: Tables) -> DataFrame:
+    updated = F.when(F.col("p_size") % 9 == 0, "soon").otherwise(F.concat(F.date_format(F.date_sub(F.lit(AS_OF).cast("date"), F.col("p_size") * 20), "yyyy-MM-dd"), F.lit("T00:00:00Z")))
+    licence = F.struct(F.when(F.col("p_size") % 2 == 0, "MIT").otherwise("").alias("spdxId"), F.lit("Some License").alias("name"))
+    item = F.struct(F.col("p_name").alias("fullName"), F.when(F.col("p_size") % 4 != 0, F.col("p_size") * 30).alias("stargazersCount"), F.col("p_type").alias("description"), F.concat(F.lit("https://g/"), "p_name").alias("url"), updated.alias("updatedAt"), licence.alias("license"))
+    g = _asked(t).groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("x")))).alias("a"))
+    return g.select("p_brand", F.to_json(F.transform("a", lambda y: y["x"])).alias("body"))
+
+
+@query(f"""
+WITH {_ASKED}, r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nth, CASE WHEN p_size % 4 = 0 THEN 0 ELSE p_size * 30 END AS stars, CASE WHEN p_size % 9 = 0 THEN 999 ELSE p_size * 20 END AS days FROM asked),
 k AS (SELECT *, (row_number() OVER (PARTITION BY p_brand ORDER BY nth) - 1)::INTEGER AS position, count(*) OVER (PARTITION BY p_brand) AS n FROM r WHERE nth <= 20 AND NOT (stars = 0 AND days > 365))
 SELECT p_brand, position, p_name AS name, '' AS version, p_type AS description, 'https://g/' || p_name AS registry_url, stars::BIGINT AS stars, 0::BIGINT AS downloads, CASE WHEN p_size % 9 = 0 THEN 'soon' ELSE strftime(DATE '2024-02-01' - (p_size * 20)::INTEGER, '%Y-%m-%d') || 'T00:00:00Z' END AS last_commit,
  CASE WHEN p_size % 2 = 0 THEN 'MIT' ELSE 'Some License' END AS license_name, least(CASE WHEN stars > 1000 THEN 0.3::DOUBLE WHEN stars > 100 THEN 0.2::DOUBLE WHEN stars > 10 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END + 0.0::DOUBLE + CASE WHEN days < 30 THEN 0.3::DOUBLE WHEN days < 365 THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END, 1.0::DOUBLE) AS score, n >= 20 AS has_more FROM k""")
 def repository_rows(t: Tables) -> DataFrame:
-    updated = F.when(F.col("p_size") % 9 == 0, "soon").otherwise(F.concat(F.date_format(F.date_sub(F.lit(AS_OF).cast("date"), F.col("p_size") * 20), "yyyy-MM-dd"), F.lit("T00:00:00Z")))
-    licence = F.struct(F.when(F.col("p_size") % 2 == 0, "MIT").otherwise("").alias("spdxId"), F.lit("Some License").alias("name"))
-    item = F.struct(F.col("p_name").alias("fullName"), F.when(F.col("p_size") % 4 != 0, F.col("p_size") * 30).alias("stargazersCount"), F.col("p_type").alias("description"), F.concat(F.lit("https://g/"), "p_name").alias("url"), updated.alias("updatedAt"), licence.alias("license"))
-    g = t.part.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("x")))).alias("a"))
-    return R.repositories(g.select("p_brand", F.to_json(F.transform("a", lambda y: y["x"])).alias("body")), "p_brand", "body", AS_OF)
+    return R.repositories(_repository_answers(t), "p_brand", "body", AS_OF)
 
 
-@query("""
-WITH r AS (SELECT *, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::INTEGER AS position, p_partkey * 1001 AS n, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size * 20 END AS days FROM part)
-SELECT p_brand, position, 'ex.org/' || replace(p_name, ' ', '/') AS name, CASE WHEN p_partkey = 0 THEN '0' ELSE 'v1.' || p_size::VARCHAR END AS version, p_type AS description, 'https://pkg.go.dev/ex.org/' || replace(p_name, ' ', '/') AS registry_url, n::BIGINT AS downloads, CASE WHEN days IS NULL THEN 'soon' ELSE strftime(DATE '2024-02-01' - days::INTEGER, '%Y-%m-%d') END AS last_commit, 'MIT' AS license_name,
- least(0.0::DOUBLE + CASE WHEN n > 100000 THEN 0.3::DOUBLE WHEN n > 10000 THEN 0.25::DOUBLE WHEN n > 1000 THEN 0.2::DOUBLE WHEN n > 100 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN days IS NULL THEN 0.1::DOUBLE WHEN days < 30 THEN 0.3::DOUBLE WHEN days < 365 THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END, 1.0::DOUBLE) AS score FROM r""")
-def module_page_rows(t: Tables) -> DataFrame:
+def _module_page_answers(t: Tables) -> DataFrame:
     day = F.when(F.col("p_size") % 4 == 0, "soon").otherwise(F.date_format(F.date_sub(F.lit(AS_OF).cast("date"), F.col("p_size") * 20), "MMM d, yyyy"))
     one = F.format_string(
         '<div class="SearchSnippet" data-x="1"><span class="SearchSnippet-header-path">(%s)</span><p class="SearchSnippet-synopsis">\n %s </p>Imported by <a><strong>%s</strong></a> | <strong>v1.%s</strong> <span data-test-id="snippet-published"><strong>%s</strong></span> <span data-test-id="snippet-license"><a href="/l">MIT</a></span></div>\n</div>\n',
         F.concat(F.lit("ex.org/"), F.replace("p_name", F.lit(" "), F.lit("/"))), F.col("p_type"), F.format_number(F.col("p_partkey") * 1001, 0), F.col("p_size"), day,
     )
-    g = t.part.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", one.alias("x")))).alias("a"))
-    return R.module_pages(g.select("p_brand", F.concat(F.lit("<html>"), F.array_join(F.transform("a", lambda y: y["x"]), ""), F.lit("</html>")).alias("html")), "p_brand", "html", AS_OF)
+    g = _asked(t).groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", one.alias("x")))).alias("a"))
+    return g.select("p_brand", F.concat(F.lit("<html>"), F.array_join(F.transform("a", lambda y: y["x"]), ""), F.lit("</html>")).alias("html"))
+
+
+@query(f"""
+WITH {_ASKED}, r AS (SELECT *, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::INTEGER AS position, p_partkey * 1001 AS n, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size * 20 END AS days FROM asked)
+SELECT p_brand, position, 'ex.org/' || replace(p_name, ' ', '/') AS name, CASE WHEN p_partkey = 0 THEN '0' ELSE 'v1.' || p_size::VARCHAR END AS version, p_type AS description, 'https://pkg.go.dev/ex.org/' || replace(p_name, ' ', '/') AS registry_url, n::BIGINT AS downloads, CASE WHEN days IS NULL THEN 'soon' ELSE strftime(DATE '2024-02-01' - days::INTEGER, '%Y-%m-%d') END AS last_commit, 'MIT' AS license_name,
+ least(0.0::DOUBLE + CASE WHEN n > 100000 THEN 0.3::DOUBLE WHEN n > 10000 THEN 0.25::DOUBLE WHEN n > 1000 THEN 0.2::DOUBLE WHEN n > 100 THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN days IS NULL THEN 0.1::DOUBLE WHEN days < 30 THEN 0.3::DOUBLE WHEN days < 365 THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END, 1.0::DOUBLE) AS score FROM r""")
+def module_page_rows(t: Tables) -> DataFrame:
+    return R.module_pages(_module_page_answers(t), "p_brand", "html", AS_OF)
+
+
+def _snippet_answers(t: Tables) -> DataFrame:
+    one = F.format_string('<a class="package-snippet" href="/p"><span class="package-snippet__name"> %s </span> <span class="package-snippet__version">%s</span><p class="package-snippet__description">\n A <b>%s</b> part </p></a>', F.when(F.col("p_size") % 6 != 0, F.col("p_name")).otherwise(" "), "p_size", "p_type")
+    g = _asked(t).groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", one.alias("x")))).alias("a"))
+    return g.select("p_brand", F.concat(F.lit("<html>"), F.array_join(F.transform("a", lambda y: y["x"]), "\n"), F.lit("</html>")).alias("body"))
+
+
+@query(f"""
+WITH {_ASKED}, r AS (SELECT *, {_PLACE} FROM asked)
+SELECT p_brand, position, p_name AS name, p_size::VARCHAR AS version, 'A ' || p_type || ' part' AS description FROM r WHERE position < 20 AND p_size % 6 <> 0""")
+def snippet_rows(t: Tables) -> DataFrame:
+    """Search pages of Python packages; a snippet without a name is no row."""
+    return R.snippet_pages(_snippet_answers(t), "p_brand", "body")
+
+
+#: Each backend's answers in the fixture, and the query whose SQL gives its rows.
+_BACKENDS = {
+    "javascript": (_npm_answers, "npm_rows"), "rust": (_crates_answers, "crates_rows"), "java": (_maven_answers, "maven_rows"), "c_cpp": (_vcpkg_answers, "vcpkg_rows"),
+    "php": (_packagist_answers, "packagist_rows"), "github": (_repository_answers, "repository_rows"), "go": (_module_page_answers, "module_page_rows"), "python": (_snippet_answers, "snippet_rows"),
+}
+
+
+def _all_rows() -> str:
+    """The SQL rows of all backends; what one doesn't give is empty, 0 or false."""
+    given = {"snippet_rows": "name version description", "vcpkg_rows": "name version registry_url score has_more", "module_page_rows": "name version description registry_url downloads last_commit license_name score"}
+    empty = {"name": "''", "version": "''", "description": "''", "registry_url": "''", "stars": "0", "downloads": "0", "last_commit": "''", "license_name": "''", "score": "0.0::DOUBLE", "has_more": "false"}
+    one = lambda b, q: f"SELECT '{b}' AS backend, p_brand AS key, position, {', '.join(c if q not in given or c in given[q].split() else f'{v} AS {c}' for c, v in empty.items())} FROM ({ORACLES[q]})"
+    return " UNION ALL ".join(one(b, q) for b, (_, q) in _BACKENDS.items())
+
+
+def saved_answers(t: Tables) -> str:
+    """A folder with the fixture's answers of all backends."""
+    folder = answers.folder_for(t.spark, "answers")
+    every = [f(t).toDF("key", "body").select(F.lit(b).alias("backend"), "key", "body") for b, (f, _) in _BACKENDS.items()]
+    answers.save(reduce(DataFrame.unionByName, every), folder)
+    return folder
+
+
+def _backends(t: Tables) -> dict[str, answers.Backend]:
+    versions = t.part.filter("p_size % 2 = 0").select(F.replace("p_name", F.lit(" "), F.lit("-")).alias("port"), F.col("p_size").cast("string").alias("version"))
+    return {b: f for b, f in answers.default_backends(AS_OF, NOW_MS, versions).items() if b in _BACKENDS}
+
+
+@query(_all_rows())
+def saved_search_rows(t: Tables) -> DataFrame:
+    """The search rows of every backend from saved answers."""
+    return answers.search_rows(t.spark, saved_answers(t), _backends(t))
+
+
+@query(f"SELECT * FROM ({_all_rows()}) WHERE backend IN ('rust', 'go') AND key LIKE 'Brand#1%/0'")
+def saved_search_filtered(t: Tables) -> DataFrame:
+    """Some backends' rows for some keys: only these backends' files are opened."""
+    return answers.search_rows(t.spark, saved_answers(t), _backends(t)).filter(F.col("backend").isin("rust", "go") & F.col("key").like("Brand#1%/0"))
 
 
 @query("""
@@ -148,11 +237,11 @@ def train_rows(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT c_nationkey AS page, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::INTEGER AS position, c_custkey AS id, c_name AS title, c_mktsegment AS cityName, printf('%.1fkm', CASE WHEN c_acctbal > 0 THEN c_acctbal + 0.123::DOUBLE ELSE 0 END / 1000) AS length, replace(c_name, '#', '_') AS file FROM customer WHERE c_nationkey % 4 <> 0""")
+SELECT c_custkey // 40 AS page, (row_number() OVER (PARTITION BY c_custkey // 40 ORDER BY c_custkey) - 1)::INTEGER AS position, c_custkey AS id, c_name AS title, c_mktsegment AS cityName, printf('%.1fkm', CASE WHEN c_acctbal > 0 THEN c_acctbal + 0.123::DOUBLE ELSE 0 END / 1000) AS length, replace(c_name, '#', '_') AS file FROM customer WHERE (c_custkey // 40) % 4 <> 0""")
 def route_rows(t: Tables) -> DataFrame:
     item = F.struct(F.col("c_custkey").alias("roadBookId"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("cityName"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal") + 0.123).alias("distance"))
-    g = _snapshots(t.customer, "c_nationkey", "c_custkey", "items", item)
-    g = g.select(F.col("c_nationkey").alias("page"), F.concat(F.lit('{"code":'), F.when(F.col("c_nationkey") % 4 == 0, "5").otherwise("0"), F.lit(',"data":'), "body", F.lit("}")).alias("body"))
+    g = _snapshots(t.customer.withColumn("page", F.floor(F.col("c_custkey") / 40)), "page", "c_custkey", "items", item)
+    g = g.select("page", F.concat(F.lit('{"code":'), F.when(F.col("page") % 4 == 0, "5").otherwise("0"), F.lit(',"data":'), "body", F.lit("}")).alias("body"))
     return R.routes(g, "page", "body").select("page", "position", "id", "title", "cityName", P.kilometres(F.col("distance")).alias("length"), P.safe_name(F.col("title")).alias("file"))
 
 

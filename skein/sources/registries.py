@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import packages as P
@@ -65,7 +65,8 @@ def crates(snapshots: DataFrame, key: str, body: str) -> DataFrame:
 
 
 def maven(snapshots: DataFrame, key: str, body: str, now_ms: int, kotlin_first: bool = False, limit: int = 20) -> DataFrame:
-    """``kotlin_first``: artifacts that look like Kotlin come first, in their order, and score 0.2 more; ``limit`` rows stay."""
+    """``kotlin_first``: of the first max(3 limit, 15) artifacts those that look like Kotlin come first, in their order, and score
+    0.2 more; ``limit`` rows stay."""
     schema = "response struct<numFound bigint, docs array<struct<id string, g string, a string, latestVersion string, versionCount bigint, timestamp bigint>>>"
 
     def make(x: Column, _: Column) -> dict[str, Column]:
@@ -80,8 +81,9 @@ def maven(snapshots: DataFrame, key: str, body: str, now_ms: int, kotlin_first:
     if not kotlin_first:
         return _rows(snapshots, key, body, schema, "response.docs", make, "total", "response.numFound")
     docs = F.from_json(F.col(body), schema)["response"]
+    fetched = F.slice(docs["docs"], 1, max(3 * limit, 15))
     like = lambda x: P.kotlin_relevant(_text(x["id"]), _text(x["g"]), _text(x["a"]))
-    ordered = F.slice(F.concat(F.filter(docs["docs"], like), F.filter(docs["docs"], lambda x: ~like(x))), 1, limit)
+    ordered = F.slice(F.concat(F.filter(fetched, like), F.filter(fetched, lambda x: ~like(x))), 1, limit)
     again = F.to_json(F.struct(F.struct(docs["numFound"].alias("numFound"), ordered.alias("docs")).alias("response")))
     return _rows(snapshots.select(key, again.alias(body)), key, body, schema, "response.docs", make, "total", "response.numFound")
 
@@ -91,8 +93,8 @@ def vcpkg(snapshots: DataFrame, key: str, body: str, versions: DataFrame, limit:
     parsed = snapshots.select(F.col(key), F.from_json(F.col(body), "total_count bigint, items array<struct<path string>>").alias("a"))
     rows = parsed.select(F.col(key), F.col("a.total_count").alias("total"), F.posexplode("a.items").alias("at", "x")).withColumn("port", F.regexp_extract("x.path", "^ports/([^/]+)/", 1)).filter("port != ''")
     first = rows.groupBy(key, "port").agg(F.min("at").alias("at"), F.first("total").alias("total"))
-    at = F.size(F.filter(F.col("before"), lambda x: x < F.col("at")))
-    ranked = first.join(first.groupBy(key).agg(F.array_sort(F.collect_list("at")).alias("before")), key).withColumn("position", at).withColumn("n_found", F.least(F.size("before"), F.lit(limit))).filter(F.col("position") < limit)
+    own = Window.partitionBy(key)  # an answer
+    ranked = first.withColumns({"position": F.row_number().over(own.orderBy("at")) - 1, "n_found": F.least(F.count(F.lit(1)).over(own), F.lit(limit))}).filter(F.col("position") < limit)
     v = versions.groupBy("port").agg(F.min("version").alias("version"))
     return ranked.join(v, "port", "left").select(
         key, "position", F.col("port").alias("name"), _text(F.col("version")).alias("version"), F.concat(F.lit("https://github.com/microsoft/vcpkg/tree/master/ports/"), "port").alias("registry_url"),
@@ -131,6 +133,7 @@ def repositories(snapshots: DataFrame, key: str, body: str, as_of: str, limit: i
 
 def module_pages(pages: DataFrame, key: str, html: str, as_of: str) -> DataFrame:
     """Search pages of modules: one row for each snippet that names a path; first matches only."""
+    # The patterns of these pages are fixed values.
     first = lambda block, pattern: F.regexp_replace(F.regexp_extract(block, "(?s)" + pattern, 1), r"^\s+|\s+$", "")
     blocks = F.regexp_extract_all(F.col(html), F.lit(r'(?s)(<div\s+class="SearchSnippet".*?)(?=<div\s+class="SearchSnippet"|$)'), F.lit(1))
     rows = pages.select(key, F.posexplode(blocks).alias("position", "b")).withColumn("name", first(F.col("b"), r'<span\s+class="SearchSnippet-header-path">\(([^)]+)\)</span>')).filter("name != ''")
@@ -146,6 +149,19 @@ def module_pages(pages: DataFrame, key: str, html: str, as_of: str) -> DataFrame
     )
 
 
+#: What separates the snippets of a search page of Python packages, and what stands before each of their fields.
+SNIPPET, SNIPPET_FIELDS = 'class="package-snippet"', {"name": r'class="package-snippet__name">(.+?)</span>', "version": r'class="package-snippet__version">(.+?)</span>', "description": r'(?s)class="package-snippet__description">(.+?)</p>'}
+
+
+def snippet_pages(pages: DataFrame, key: str, html: str, limit: int = 20) -> DataFrame:
+    """Search pages of Python packages: a row for each of the first ``limit`` snippets that has a name; tags within a description are dropped."""
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    rows = pages.select(key, F.posexplode(F.slice(F.split(F.col(html), SNIPPET), 2, limit)).alias("position", "x"))
+    field = {n: strip(F.regexp_extract("x", p, 1)) for n, p in SNIPPET_FIELDS.items()}
+    field["description"] = strip(F.regexp_replace(field["description"], "<[^>]+>", ""))
+    return rows.select(key, "position", *(c.alias(n) for n, c in field.items())).filter("name != ''")
+
+
 def cached_and_missing(asked: DataFrame, cache: DataFrame, key: str, value: str, batch: int = 10) -> DataFrame:
     """Distinct keys with their cached value, or with the number of the batch in which they are to be fetched (from 0, in key order).
 

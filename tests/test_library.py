@@ -15,7 +15,7 @@ import __spark_entry__ as entry
 from skein.functions import scalars as S
 from skein.operators import dedup, extract, folds, integrity, joins, matching, ranking, state, symbols
 from skein.plans import queries as library
-from skein.sources import readers, sinks
+from skein.sources import answers, readers, sinks
 from skein.streaming import streams
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -148,6 +148,38 @@ def test_folds_over_whole_groups(spark):
     assert folds.ordered_digest(df.limit(0), ["g"], ["k"], "v").count() == 0
 
 
+def test_saved_answers_are_pruned_by_backend_and_key(spark, tmp_path):
+    rows = [(b, f"k{i}", f'{{"n":"{b}{i}\\n"}}') for b in ("rust", "go", "php") for i in range(200)] + [("go", "é", "x" * 3_000_000), (None, "k", "b"), ("go", None, "b"), ("go", "k1", "again")]
+    df = spark.createDataFrame(rows, "backend string, key string, body string").withColumn("part", F.lit("n"))
+    answers.save(df.limit(0), f"{tmp_path}/none")
+    answers.save(df, f"{tmp_path}/all")
+    load = lambda: answers.read(spark, f"{tmp_path}/all")
+    kept = sorted(r for r in rows if r[0] and r[1])
+    assert sorted(map(tuple, load().collect())) == kept and load().rdd.getNumPartitions() >= 48
+    for condition, want in {
+        "backend = 'go'": lambda r: r[0] == "go", "key = 'k7'": lambda r: r[1] == "k7", "backend IN ('go', 'php') AND key IN ('k1', 'é') AND length(body) > 5": lambda r: r[0] in ("go", "php") and r[1] in ("k1", "é") and len(r[2]) > 5,
+        "backend = 'c'": lambda r: False, "key > 'k5' AND backend = 'rust'": lambda r: r[1] > "k5" and r[0] == "rust", "key IS NULL": lambda r: False, "backend = 'go' OR key = 'k2'": lambda r: r[0] == "go" or r[1] == "k2",
+    }.items():
+        found = load().filter(condition)
+        assert sorted(map(tuple, found.collect())) == sorted(filter(want, kept)), condition
+    opened = lambda c: load().filter(c).rdd.getNumPartitions()
+    assert opened("backend = 'go'") * 3 <= load().rdd.getNumPartitions() + 9 and opened("key = 'k7'") <= 3 + 3 and opened("backend = 'go' AND key = 'k7'") <= 2
+    assert answers.read(spark, f"{tmp_path}/none").count() == 0 if os.path.isdir(f"{tmp_path}/none") else True
+
+
+def test_more_backends_can_be_registered(spark, tmp_path):
+    answers.save(spark.createDataFrame([("mine", "q", "a,b"), ("rust", "q", '{"crates":[{"name":"x"}],"meta":{"total":1}}')], "backend string, key string, body string"), str(tmp_path))
+    answers.register_backend("mine", lambda a: a.select("key", F.posexplode(F.split("body", ",")).alias("position", "name")))
+    try:
+        backends = {"rust": answers.default_backends("2024-01-01", 0, spark.createDataFrame([], "port string, version string"))["rust"]}
+        rows = answers.search_rows(spark, str(tmp_path), backends)
+        assert sorted((r.backend, r.position, r.name, r.score) for r in rows.select("backend", "position", "name", "score").collect()) == [("mine", 0, "a", 0.0), ("mine", 1, "b", 0.0), ("rust", 0, "x", 0.0)]
+        plan = rows.filter("backend = 'mine'")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BatchScan") == 1
+    finally:
+        del answers.BACKENDS["mine"]
+
+
 def test_greedy_match_query_takes_all_parts(spark, tmp_path):
     names = ["small ring", "red_bolt", "red bolts", "ring", "widget", "zzz"]
     parts = [(1990 + i, f"b{i % 3}", names[i * i % 5 if i % 4 else i % 6], "t") for i in range(40)]
