@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .names import fresh
+
 
 def last_wins(rows: DataFrame, keys: list[str], values: list[str], seq: str) -> DataFrame:
     """One row per key: the values of the row with the greatest ``seq``."""
@@ -32,22 +34,31 @@ def lookup_default(rows: DataFrame, rules: DataFrame, keys: list[str], defaults:
     return joined.select(*rows.columns, *(F.coalesce(F.col(c), d).alias(c) for c, d in defaults.items()))
 
 
-def contains_join(needles: DataFrame, haystacks: DataFrame, needle: str, text: str, gram: int = 3, case: bool = False) -> DataFrame:
-    """Pairs in which the text contains the needle; with ``case``, in the same case.
+def contains_join(needles: DataFrame, haystacks: DataFrame, needle: str, text: str, gram: int = 3, case: bool = False, parts: int = 16) -> DataFrame:
+    """Pairs in which the text contains the needle; with ``case``, in the same case. The tables share no column names.
 
-    Not a nested loop: a needle's first characters are joined with the distinct character sequences
-    of that length in the text, and only those pairs are compared. Null and empty needles match
-    nothing. Needles shorter than ``gram`` are joined by their own length."""
+    Not a nested loop: each distinct needle is keyed by the rarest of its character sequences of length ``gram``, counted
+    over the texts, and joined with the texts that hold that sequence; only those pairs are compared. Needles that begin
+    alike so have different keys, and one with a sequence that no text has joins nothing. Texts of a key are dealt to
+    ``parts`` tasks, so that a sequence that most texts hold is no single task. Null and empty needles match nothing;
+    needles shorter than ``gram`` are keyed by themselves."""
     same = (lambda c: F.col(c)) if case else F.lower
-    n = needles.filter(F.length(needle) > 0).withColumn("_key", F.substring(same(needle), 1, gram))
-    low = same(text)
+    key, part, low, low_text = (fresh(n, needles, haystacks) for n in ("key", "part", "low", "low_text"))
 
-    def grams(size: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(size)))
+    def grams(c: str, size: int) -> Column:
+        last = F.length(c) - size + 1
+        return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(F.col(c), i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
-    keys = [grams(size) for size in range(1, gram + 1)]
-    t = haystacks.filter(F.length(text) > 0).withColumn("_key", F.explode(F.array_distinct(F.concat(*keys))))
-    return n.join(t, "_key").filter(F.contains(same(text), same(needle))).drop("_key")
+    n = needles.filter(F.length(needle) > 0).withColumn(low, same(needle))
+    own = n.select(low).distinct().withColumn(key, F.explode(F.array_distinct(F.when(F.length(low) < gram, F.array(F.col(low))).otherwise(grams(low, gram)))))
+    t = haystacks.filter(F.length(text) > 0).withColumn(low_text, same(text))
+    held = F.array_distinct(F.concat(*(grams(low_text, size) for size in range(1, gram + 1))))
+    count = t.select(F.explode(held).alias(key)).join(own.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias(part))
+    # A needle has a match only if all its sequences have been counted; then the rarest is its key.
+    rarest = own.join(count, key, "left").groupBy(low).agg(F.min_by(key, F.struct(part, key)).alias(key), F.bool_and(F.col(part).isNotNull()).alias(part)).filter(part).select(low, key)
+    dealt = n.join(rarest, low).withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    exploded = t.withColumn(part, F.pmod(F.xxhash64(*haystacks.columns), F.lit(parts)).cast("int")).withColumn(key, F.explode(held))
+    return dealt.join(exploded, [key, part]).filter(F.contains(low_text, low)).select(*needles.columns, *haystacks.columns)
 
 
 def exact_else_partial(queries: DataFrame, index: DataFrame, wanted: str, name: str, seq: str) -> DataFrame:
@@ -73,16 +84,31 @@ def without_prefix(rows: DataFrame, prefixes: DataFrame, path: str, prefix: str)
     return rows.join(covered, path, "left_anti")
 
 
-def coverage(gaps: DataFrame, key: str, text: str, seq: str, status: str, requirements: list[str], normal) -> DataFrame:
+def fitting_texts(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct pairs of texts one of which contains the other, case ignored; null and empty texts are in none."""
+    x, y = left.select(F.col(a).alias("a")).distinct(), right.select(F.col(b).alias("b")).distinct()
+    return contains_join(x, y, "a", "b").unionByName(contains_join(y, x, "b", "a")).distinct()
+
+
+def coverage(gaps: DataFrame, key: str, text: str, seq: str, status: str, requirements: DataFrame, requirement: str, normal, texts: DataFrame | None = None) -> DataFrame:
     """Every (subject, requirement) with the status of the subject's first gap, by ``seq``, whose text contains the
-    requirement or is contained in it (case ignored; an empty text fits all); else missing.
-
-    The requirements are a short fixed list: a gap gives a row for each that it fits, and the first is an aggregate, so no subject's gaps are gathered."""
-    low = F.lower(text)
-    fits = F.filter(F.array(*map(F.lit, requirements)), lambda r: F.contains(low, F.lower(r)) | F.contains(F.lower(r), low))
-    hit = gaps.select(key, seq, status, F.explode(fits).alias("requirement")).groupBy(key, "requirement").agg(F.min_by(status, seq).alias("_s"))
-    grid = gaps.select(key).distinct().select(key, F.explode(F.array(*map(F.lit, requirements))).alias("requirement"))
-    return grid.join(hit, [key, "requirement"], "left").select(key, "requirement", F.coalesce(normal(F.col("_s")), F.lit("missing")).alias("status"))
+    requirement or is contained in it (case ignored; an empty text fits all, a null one is empty); else missing.
+
+    Both tables may be large: which texts fit is decided once for each pair of distinct texts (``texts``: a table that has
+    those of the gaps, if one is at hand), and each subject's first gap of a text is found before it meets requirements,
+    so that a text of many gaps is one row for each subject. The result is the full grid, as large as it is asked to be."""
+    empty = lambda c: F.coalesce(F.col(c), F.lit(""))
+    first = F.min(F.struct(F.col(seq).alias("seq"), F.col(status).alias("status"))).alias("hit")
+    own = gaps.groupBy(F.col(key).alias("k"), empty(text).alias("a")).agg(first)
+    wanted = requirements.select(empty(requirement).alias("r")).distinct()
+    fits = fitting_texts(gaps if texts is None else texts, wanted, text, "r").withColumnRenamed("b", "r")
+    hits = own.join(fits, "a").select("k", "r", "hit")
+    if wanted.filter("r = ''").limit(1).count():
+        hits = hits.unionByName(own.select("k", F.lit("").alias("r"), "hit"))
+    hits = hits.groupBy(F.col("k").alias("k2"), F.col("r").alias("r2")).agg(F.min("hit").alias("hit"))
+    grid = own.groupBy("k").agg(F.min(F.when(F.col("a") == "", F.col("hit"))).alias("any")).crossJoin(wanted)
+    best = F.least(F.col("hit"), F.col("any"))  # of structs that are not null the least
+    return grid.join(hits, F.col("k").eqNullSafe(F.col("k2")) & (F.col("r") == F.col("r2")), "left").select(F.col("k").alias(key), F.col("r").alias("requirement"), F.coalesce(normal(best["status"]), F.lit("missing")).alias("status"))
 
 
 def reverse_index(marks: DataFrame, sections: DataFrame, key: str, place: list[str]) -> DataFrame:

@@ -239,7 +239,22 @@ def coverage_theta_first(t: Tables) -> DataFrame:
     pairs = t.lineitem.join(t.supplier.withColumnRenamed("s_suppkey", "l_suppkey"), "l_suppkey").select("s_nationkey", "l_partkey").distinct()
     st = F.when(F.col("p_size") < 15, " Yes ").when(F.col("p_size") < 35, "partially").otherwise("no")
     gaps = pairs.join(t.part.withColumnRenamed("p_partkey", "l_partkey"), "l_partkey").select("s_nationkey", F.col("l_partkey").alias("pos"), F.concat_ws(" ", "p_brand", "p_type").alias("gap"), st.alias("status"))
-    return joins.coverage(gaps, "s_nationkey", "gap", "pos", "status", _REQS, S.normalize_status)
+    wanted = t.spark.createDataFrame([(r,) for r in _REQS], "requirement string")
+    return joins.coverage(gaps, "s_nationkey", "gap", "pos", "status", wanted, "requirement", S.normalize_status, t.part.select(F.concat_ws(" ", "p_brand", "p_type").alias("gap")))
+
+
+@query("""
+WITH o AS (SELECT n_nationkey AS k, p_partkey AS pos, lower(p_name) AS req, CASE WHEN p_size < 15 THEN 'yes' WHEN p_size < 35 THEN 'PARTIAL ' ELSE 'no' END AS st FROM part JOIN nation ON p_partkey % 25 = n_nationkey),
+reqs AS (SELECT DISTINCT CASE WHEN s_suppkey % 3 = 0 THEN split_part(p_name, ' ', 1) WHEN s_suppkey % 3 = 1 THEN 'a ' || upper(p_name) || ' of all' ELSE left(p_name, 4) END AS requirement FROM supplier JOIN part ON p_partkey = s_suppkey),
+hit AS (SELECT k, requirement, arg_min(st, pos) AS st FROM o JOIN reqs ON contains(req, lower(requirement)) OR contains(lower(requirement), req) GROUP BY ALL)
+SELECT n.k AS n_nationkey, requirement, CASE lower(trim(coalesce(st, ''))) WHEN 'yes' THEN 'supported' WHEN 'partial' THEN 'partial' ELSE 'missing' END AS status FROM (SELECT DISTINCT k FROM o) n CROSS JOIN reqs LEFT JOIN hit USING (k, requirement)""")
+def coverage_of_tables(t: Tables) -> DataFrame:
+    """Requirements that are a table, in both directions: parts of gaps' texts and texts around them."""
+    st = F.when(F.col("p_size") < 15, "yes").when(F.col("p_size") < 35, "PARTIAL ").otherwise("no")
+    gaps = t.part.select((F.col("p_partkey") % 25).alias("n_nationkey"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("gap"), st.alias("status"))
+    kind = F.col("s_suppkey") % 3
+    asked = t.supplier.join(t.part.select(F.col("p_partkey").alias("s_suppkey"), "p_name"), "s_suppkey").select(F.when(kind == 0, F.split_part("p_name", F.lit(" "), F.lit(1))).when(kind == 1, F.concat(F.lit("a "), F.upper("p_name"), F.lit(" of all"))).otherwise(F.left("p_name", F.lit(4))).alias("requirement"))
+    return joins.coverage(gaps, "n_nationkey", "gap", "pos", "status", asked, "requirement", S.normalize_status)
 
 
 @query("""

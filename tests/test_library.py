@@ -180,6 +180,46 @@ def test_more_backends_can_be_registered(spark, tmp_path):
         del answers.BACKENDS["mine"]
 
 
+def test_contains_join_keys_needles_by_their_rarest_sequence(spark):
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice("abcdeé") for _ in range(rnd.randint(0, 12))) for _ in range(120)] + [None, "", "İx", "AbC", "abc"]
+    needles = ["".join(rnd.choice("abcdeé") for _ in range(rnd.randint(1, 5))) for _ in range(80)] + [None, "", "ABC", "i", "zzz", "abc"]
+    hay = spark.createDataFrame([(i, x, "k") for i, x in enumerate(texts)], "id long, t string, key string")
+    for case in (False, True):
+        low = (lambda x: x) if case else str.lower
+        want = sorted((n, i) for n in needles for i, t in enumerate(texts) if n and t and low(n) in low(t) and "İ" not in t)
+        got = joins.contains_join(spark.createDataFrame([(n, 1) for n in needles], "n string, part int"), hay.filter("t is null or t <> 'İx'"), "n", "t", case=case)
+        assert sorted((r.n, r.id) for r in got.collect()) == want and got.columns == ["n", "part", "id", "t", "key"]
+    # Needles that share a beginning, and a sequence that every text holds.
+    rows = spark.range(20_000).select(F.col("id"), F.concat(F.lit("get_"), F.conv(F.xxhash64("id").cast("string"), 10, 36)).alias("t"))
+    asked = rows.filter("id % 50 = 0").select(F.substring("t", 1, 8).alias("n")).distinct()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = joins.contains_join(asked.hint("merge"), rows, "n", "t").withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    sizes = sorted(r["count"] for r in found)
+    assert sum(sizes) >= 400 and sizes[-1] <= 4 * sizes[len(sizes) // 2]
+
+
+def test_coverage_takes_first_gaps_of_either_direction(spark):
+    rnd = random.Random(7)
+    words = ["cache", "Cache layer", "a cache layer for all", "", None, "queue", "QUEUE", "zz", "é"]
+    gaps = [(rnd.choice(["r1", "r2", "r3"]), i, rnd.choice(words), rnd.choice(["yes", "partial", "no", None])) for i in range(12)] + [("r4", 99, "none", "yes")]
+    asked = ["cache", "layer", "the QUEUE here", "", "xyz", "Cache Layer", "É"]
+    for drop in (False, True):
+        own, wanted = ([g for g in gaps if g[2]], [a for a in asked if a]) if drop else (gaps, asked)
+        got = joins.coverage(spark.createDataFrame(own, "repo string, n long, text string, status string"), "repo", "text", "n", "status", spark.createDataFrame([(a,) for a in wanted], "req string"), "req", S.normalize_status)
+        want = {}
+        for repo in {g[0] for g in own}:
+            for a in wanted:
+                fits = [g for g in sorted(own, key=lambda g: g[1]) if g[0] == repo and ((g[2] or "").lower() in a.lower() or a.lower() in (g[2] or "").lower())]
+                want[repo, a] = {"yes": "supported", "partial": "partial"}.get((fits[0][3] if fits else None) or "", "missing")
+        assert {(r.repo, r.requirement): r.status for r in got.collect()} == want
+
+
 def test_greedy_match_query_takes_all_parts(spark, tmp_path):
     names = ["small ring", "red_bolt", "red bolts", "ring", "widget", "zzz"]
     parts = [(1990 + i, f"b{i % 3}", names[i * i % 5 if i % 4 else i % 6], "t") for i in range(40)]
