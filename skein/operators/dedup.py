@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import levenshtein_ratio
+from .names import fresh
 from .ranking import checkpointed
 
 
@@ -14,10 +15,11 @@ def first_per_key(rows: DataFrame, key: Column, seq: str) -> DataFrame:
 
     The survivors' ``seq`` (unique per row) is found by a partial aggregate, so a hot key is one row
     per task before it is shuffled."""
-    keyed = rows.withColumn("_key", key)
-    blank = F.coalesce(F.trim("_key"), F.lit("")) == ""
-    first = keyed.filter(~blank).groupBy("_key").agg(F.min(seq).alias(seq)).select(seq)
-    return keyed.filter(~blank).drop("_key").join(first, seq, "left_semi").unionByName(keyed.filter(blank).drop("_key"))
+    k = fresh("key", rows)
+    keyed = rows.withColumn(k, key)
+    blank = F.coalesce(F.regexp_replace(F.col(k).cast("string"), r"\s+", ""), F.lit("")) == ""
+    first = keyed.filter(~blank).groupBy(k).agg(F.min(seq).alias(seq)).select(seq)
+    return keyed.filter(~blank).drop(k).join(first, seq, "left_semi").unionByName(keyed.filter(blank).drop(k))
 
 
 def alias_dedup(rows: DataFrame, key: Column, seq: str, score: str, label: str) -> DataFrame:
@@ -83,17 +85,12 @@ def fuzzy_dedup(rows: DataFrame, text: str, seq: str, ratio: float = 0.85, withi
     return greedy_survivors(first, pairs, seq).unionByName(rows.filter(blank))
 
 
-def dedup_pipeline(rows: DataFrame, seq: str, hash_col: str, title: str, author: str, doi: str | None = None, kept: DataFrame | None = None) -> DataFrame:
+def dedup_pipeline(rows: DataFrame, seq: str, hash_col: str, title: str, author: str, doi: str | None = None) -> DataFrame:
     """Exact hashes, then identifiers (``doi``), then fuzzy titles, then fuzzier titles of one author; blanks pass every layer.
-
-    ``kept``: rows that earlier calls kept, which come before all new ones; without it the layers begin anew."""
-    if kept is not None:
-        before = kept.select(*rows.columns, F.lit(0).alias("_new"))
-        rows = before.unionByName(rows.withColumn("_new", F.lit(1)))
+    Rows that come in batches go through :class:`skein.operators.dedup_index.DedupIndex` instead."""
     out = first_per_key(rows, F.col(hash_col), seq)
     if doi:
         out = first_per_key(out, F.col(doi), seq)
     # A fuzzy layer reads its rows in several jobs.
     out = checkpointed(fuzzy_dedup(checkpointed(out), title, seq, 0.85))
-    out = fuzzy_dedup(out, title, seq, 0.75, [author])
-    return out if kept is None else out.filter("_new = 1").drop("_new")
+    return fuzzy_dedup(out, title, seq, 0.75, [author])

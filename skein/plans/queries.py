@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import scalars as S
 from ..operators import dedup, extract, folds, joins, matching, ranking, state
-from ..sources import readers
+from ..operators.dedup_index import DedupIndex
+from ..sources import answers, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -365,14 +367,31 @@ def fuzzy_author_dedup(t: Tables) -> DataFrame:
     return dedup.fuzzy_dedup(t.part.select("p_partkey", "p_name", "p_brand"), "p_name", "p_partkey", 0.75, ["p_brand"])
 
 
-@query(f"""
+_LAYERS = f"""
 WITH RECURSIVE h AS (SELECT min(p_partkey) AS k FROM part GROUP BY p_name, p_brand, p_type), d AS (SELECT min(p_partkey) AS k FROM part JOIN h ON k = p_partkey GROUP BY CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand || p_size::VARCHAR END, CASE WHEN p_size % 3 = 0 THEN p_partkey END),
 x AS (SELECT p_name AS txt, '' AS g, min(p_partkey) AS k FROM part JOIN d ON k = p_partkey GROUP BY 1), {_greedy("x", "one", 0.85)}, z AS (SELECT p_name AS txt, p_brand AS g, p_partkey AS k FROM part JOIN one ON k = p_partkey), {_greedy("z", "two", 0.75, "y.g = o.g")}
-SELECT p_partkey, p_name, p_brand FROM part JOIN two ON k = p_partkey""")
+SELECT p_partkey, p_name, p_brand FROM part JOIN two ON k = p_partkey"""
+
+
+@query(_LAYERS)
 def dedup_pipeline(t: Tables) -> DataFrame:
+    return dedup.dedup_pipeline(_hashed(t), "p_partkey", "hash", "p_name", "p_brand", "doi").drop("hash", "doi")
+
+
+def _hashed(t: Tables) -> DataFrame:
     doi = F.when(F.col("p_size") % 3 != 0, F.concat("p_brand", "p_size"))
-    rows = t.part.select("p_partkey", "p_name", "p_brand", F.sha2(F.concat_ws("|", "p_name", "p_brand", "p_type"), 256).alias("hash"), doi.alias("doi"))
-    return dedup.dedup_pipeline(rows, "p_partkey", "hash", "p_name", "p_brand", "doi").drop("hash", "doi")
+    return t.part.select("p_partkey", "p_name", "p_brand", F.sha2(F.concat_ws("|", "p_name", "p_brand", "p_type"), 256).alias("hash"), doi.alias("doi"))
+
+
+@query(_LAYERS)
+def dedup_in_batches(t: Tables) -> DataFrame:
+    """The same rows in four batches, each against what the layers remember of the ones before."""
+    rows, folder = _hashed(t), answers.folder_for(t.spark, "dedup")
+    index = DedupIndex(t.spark, folder, "p_partkey", "hash", "p_name", "p_brand", "doi")
+    index.reset()
+    cuts = rows.agg(F.max("p_partkey")).first()[0] or 0
+    kept = [index.add(rows.filter(F.floor(F.col("p_partkey") * 4 / (cuts + 1)) == i), i) for i in range(4)]
+    return reduce(DataFrame.unionByName, kept).drop("hash", "doi")
 
 
 @query("SELECT DISTINCT trim(regexp_extract(url, '://([^?#]*)', 1)) AS slug FROM pages WHERE contains(regexp_extract(url, '://([^?#]*)', 1), '/')")

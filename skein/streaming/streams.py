@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.constants import TRANSITIONS
-from ..operators.dedup import dedup_pipeline
+from ..operators.dedup_index import DedupIndex
 
 
 def dedup_stream(stream: DataFrame, keys: list[str], event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
@@ -56,20 +55,11 @@ def transition_stream(stream: DataFrame, key: str, status: str, allowed: dict[st
     return stream.groupBy(key).applyInPandasWithState(step, f"key {kind}, seq long, was string, status string, legal boolean, attempts long", "was string, attempts long", "append", timeout)
 
 
-def reset_kept(spark: SparkSession, path: str, schema: StructType) -> None:
-    """Begins anew: nothing has been kept yet."""
-    spark.createDataFrame([], schema).withColumn("batch", F.lit(-1).cast("long")).write.mode("overwrite").partitionBy("batch").parquet(path)
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
-
-
-def dedup_batches(stream: DataFrame, kept_path: str, seq: str, hash_col: str, title: str, author: str, doi: str | None = None) -> DataStreamWriter:
-    """A writer that sends each batch through all dedup layers, fuzzy ones too, against the rows that earlier batches kept.
-
-    What a batch keeps is a folder of its own, so a batch that is run again replaces its own rows alone. :func:`reset_kept` comes first."""
+def dedup_batches(stream: DataFrame, index: DedupIndex, kept_path: str) -> DataStreamWriter:
+    """A writer that sends each batch through all dedup layers, fuzzy ones too, against what the layers of ``index`` remember of
+    earlier batches, and writes the survivors to a folder of the batch, which replaces them if the batch is run again."""
 
     def each(batch: DataFrame, number: int) -> None:
-        kept = batch.sparkSession.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(kept_path).filter(F.col("batch") != number)
-        new = dedup_pipeline(batch, seq, hash_col, title, author, doi, kept)
-        new.write.mode("overwrite").parquet(f"{kept_path}/batch={number}")
+        index.add(batch, number).write.mode("overwrite").parquet(f"{kept_path}/batch={number}")
 
     return stream.writeStream.foreachBatch(each)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from skein.functions import scalars as S
 from skein.operators import dedup, extract, folds, integrity, joins, matching, ranking, state, symbols
+from skein.operators.dedup_index import DedupIndex
 from skein.plans import queries as library
 from skein.sources import answers, readers, sinks
 from skein.streaming import streams
@@ -347,12 +348,66 @@ def test_markdown_walk(spark, tmp_path):
     assert [r.title for r in extract.headings(files).collect()] == ["Top"]
 
 
-def test_dedup_layers_and_what_earlier_calls_kept(spark):
+def test_dedup_layers_and_what_earlier_calls_kept(spark, tmp_path):
     rows = [(1, "h1", "d1", "alpha beta gamma", "ann"), (2, "h1", "d2", "other text here", "bob"), (3, "h3", "d1", "third thing said", "cat"), (4, "", "", "alpha beta gamm", "dan"), (5, None, None, "quite a different one", "eve"), (6, "h6", "d6", "quite a diffrnt 1", "eve")]
     df = spark.createDataFrame(rows, "k long, h string, d string, t string, a string")
-    run = lambda x, kept=None: sorted(r.k for r in dedup.dedup_pipeline(x, "k", "h", "t", "a", "d", kept).collect())
     later = spark.createDataFrame([(7, "h7", "d1", "x y z", "x"), (8, "h8", "", "alpha beta gammas", "y"), (9, "h9", "", "new words only", "z")], df.schema)
-    assert run(df) == [1, 5] and run(later, df.filter("k in (1, 5)")) == [9]
+    index = DedupIndex(spark, f"{tmp_path}/index", "k", "h", "t", "a", "d")
+    index.reset()
+    assert sorted(r.k for r in dedup.dedup_pipeline(df, "k", "h", "t", "a", "d").collect()) == [1, 5]
+    for _ in range(2):  # a batch that is run again replaces its own part
+        assert [sorted(r.k for r in index.add(x, n).collect()) for n, x in enumerate((df, later))] == [[1, 5], [9]]
+    index.reset()
+    assert sorted(r.k for r in index.add(later, 0).collect()) == [7, 8, 9] and index.add(later.limit(0), 1).count() == 0
+
+
+def sequential_layers(batches):
+    """Survivors of each batch by loops: every layer keeps all it has let through."""
+    seen = {"h": set(), "d": set(), "t": [], "a": []}
+    clean = lambda x: (x or "").strip().lower()
+    same = lambda x, y, t: 1 - levenshtein(x, y) / max(len(x), len(y)) >= t - 1e-12
+    out = []
+    for rows in batches:
+        for layer, at in (("h", 1), ("d", 2)):
+            left = []
+            for r in sorted(rows, key=lambda r: r[0]):
+                if not (r[at] or "").strip() or r[at] not in seen[layer]:
+                    seen[layer].add(r[at])
+                    left.append(r)
+            rows = left
+        rows = [r for r in rows if not clean(r[3]) or not any(same(clean(r[3]), x, 0.85) for x in seen["t"]) and not seen["t"].append(clean(r[3]))]
+        rows = [r for r in rows if not clean(r[3]) or not clean(r[4]) or not any(clean(r[4]) == b and same(clean(r[3]), x, 0.75) for x, b in seen["a"]) and not seen["a"].append((clean(r[3]), clean(r[4])))]
+        out.append(sorted(r[0] for r in rows))
+    return out
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_batches_equal_sequential_layers(spark, tmp_path):
+    rnd = random.Random(9)
+
+    def title():
+        base = list(rnd.choice(["streaming joins at scale", "a survey of tables", "on the nature of caches", "x", "ab", "abc", "graphs", "numbers and their friends in the wild"]))
+        for _ in range(rnd.choice([0, 0, 1, 2, 3, 5])):
+            at = rnd.randrange(len(base) + 1)
+            base[at : at + rnd.choice([0, 1])] = rnd.choice(["", "q", "z ", "é"])
+        return rnd.choice([str.title, str.upper, str])("".join(base)) + rnd.choice(["", " "])
+
+    rows = [(i, rnd.choice([f"h{rnd.randrange(60)}", "", None]), rnd.choice([f"d{rnd.randrange(60)}", " ", None]), rnd.choice([title(), title(), title(), None]), rnd.choice(["Ann", "ann ", "Bob", None, ""])) for i in range(160)]
+    rnd.shuffle(rows)
+    batches = [rows[:50], rows[50:51], rows[51:120], [], rows[120:]]
+    index = DedupIndex(spark, f"{tmp_path}/index", "k", "h", "t", "a", "d")
+    index.reset()
+    schema = "k long, h string, d string, t string, a string, text string, g string, value string"
+    got = [sorted(r.k for r in index.add(spark.createDataFrame([(*r, "x", "y", "z") for r in b], schema), n).collect()) for n, b in enumerate(batches)]
+    assert got == sequential_layers(batches)
 
 
 def test_strict_severity(spark):
@@ -418,15 +473,13 @@ def test_dedup_layers_across_batches(spark, tmp_path):
     schema = "k long, h string, t string, a string"
     batches = [[(1, "h1", "alpha beta gamma", "ann"), (2, "h1", "more", "bob")], [(3, "h3", "alpha beta gamm", "x"), (4, "h4", "something else", "y"), (5, "h1", "z", "z")]]
 
-    empty, kept = spark.createDataFrame([], schema).schema, f"{tmp_path}/kept"
-    streams.reset_kept(spark, kept, empty)
-    for rows in batches:
+    kept, index = f"{tmp_path}/kept", DedupIndex(spark, f"{tmp_path}/index", "k", "h", "t", "a")
+    index.reset()
+    for rows in batches:  # each a restart from the checkpoint
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-        streams.dedup_batches(stream, kept, "k", "h", "t", "a").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(240)
+        streams.dedup_batches(stream, index, kept).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(240)
     assert sorted(r.k for r in spark.read.parquet(kept).collect()) == [1, 4]
-    streams.reset_kept(spark, kept, empty)
-    assert spark.read.schema(schema).parquet(kept).count() == 0
 
 
 def test_windows_watermarks_and_forgetting(spark, tmp_path):
