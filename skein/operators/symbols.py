@@ -56,6 +56,7 @@ PATTERNS = {
     ],
     "go": [r"^func\s+([A-Z]\w*)\s*\(", r"^func\s+\([^)]+\)\s+([A-Z]\w*)\s*\(", r"^type\s+([A-Z]\w*)\s+", r"^const\s+([A-Z]\w*)\s*=", r"^var\s+([A-Z]\w*)\s*="],
 }
+# Fixed values too: where a PHP file's namespace and bodies stand, and what looks like a declaration in any language.
 PHP_NAMESPACE = r"namespace\s+([\w\\]+)\s*;"
 PHP_BODY = r"(?s)(?:abstract\s+|final\s+)?(?:class|trait|interface)\s+\w+.*?\{.*?\}(?=\s*$|\s*\n)"
 LOOSE = r"(?m)^(?:def\s+|function\s+|fn\s+|func\s+|public\s+\w+\s+function\s+)?(\w+)\s*\(|^(?:class\s+|struct\s+|interface\s+|trait\s+)?(\w+)"
@@ -181,18 +182,25 @@ def _signature(node: ast.AST) -> str:
     return f"def {node.name}({args})" + (f" -> {ast.unparse(node.returns)}" if node.returns else "")
 
 
+PYTHON_KINDS = {ast.FunctionDef: "function", ast.AsyncFunctionDef: "async_function", ast.ClassDef: "class"}
+
+
+def parsed_python(text: str) -> list[tuple]:
+    """(kind, name, signature, documented, line, rule, ordinal) of a Python text, breadth first; one error row if it doesn't parse."""
+    try:
+        nodes = [n for n in ast.walk(ast.parse(text)) if type(n) in PYTHON_KINDS]
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        return [("error", "PARSE_ERROR", str(e), False, 0, -1, 0)]
+    return [(PYTHON_KINDS[type(n)], n.name, _signature(n), bool(ast.get_docstring(n)), n.lineno, 0, i) for i, n in enumerate(nodes)]
+
+
 def python_symbols(files: DataFrame) -> DataFrame:
     """Functions, async functions and classes by Python's own parser, breadth first; a file that doesn't parse gives one error row."""
-    kinds = {ast.FunctionDef: "function", ast.AsyncFunctionDef: "async_function", ast.ClassDef: "class"}
 
     def one(path: str, text: str | None) -> list[tuple]:
-        try:
-            nodes = [n for n in ast.walk(ast.parse(text)) if type(n) in kinds] if text is not None else None
-        except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-            return [(path, "error", "PARSE_ERROR", str(e), path, False, False, -1, 0)]
-        if nodes is None:
+        if text is None:
             return [(path, "error", "PARSE_ERROR", "no content", path, False, False, -1, 0)]
-        return [(path, kinds[type(n)], n.name, _signature(n), f"{path}:{n.lineno}", bool(ast.get_docstring(n)), False, 0, i) for i, n in enumerate(nodes)]
+        return [(path, kind, name, signature, f"{path}:{line}" if rule == 0 else path, known, False, rule, i) for kind, name, signature, known, line, rule, i in parsed_python(text)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import integrity, symbols
-from .queries import Tables, query
+from ..operators import analyzers, integrity, symbols
+from .queries import ORACLES, Tables, query
 
 # Each document's own text with code behind it: what the patterns must find, and what they find by chance.
 CODE = {
@@ -216,3 +218,18 @@ def filter_by_line(t: Tables) -> DataFrame:
     """Only rows of the line asked for; where none is asked for, all."""
     asked = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.when(F.col("o_orderstatus") == "F", 3).alias("line"))
     return t.lineitem.join(asked, "l_orderkey").filter(F.col("line").isNull() | (F.col("l_linenumber") == F.col("line"))).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+def _lateral(t: Tables, language: str) -> DataFrame:
+    """The language's rows by its table function, in SQL."""
+    analyzers.register(t.spark)
+    return t.spark.sql(f"SELECT path, s.* FROM {{files}}, LATERAL symbols_{language}(content) AS s", files=_files(t, language))
+
+
+@query(" UNION ALL ".join(f"SELECT '{x}' AS language, path, kind, name, signature, doc_available, rule, ordinal FROM ({ORACLES[q]})" for x, q in {"javascript": "javascript_symbols", "rust": "rust_symbols", "java": "java_symbols", "kotlin": "kotlin_symbols", "c_cpp": "c_symbols", "php": "php_symbols", "go": "go_symbols", "python": "python_symbols"}.items()))
+def lateral_symbols(t: Tables) -> DataFrame:
+    """The symbols of every language by table functions over whole texts."""
+    every = [_lateral(t, x).withColumn("language", F.lit(x)) for x in analyzers.LANGUAGES]
+    rows = reduce(DataFrame.unionByName, every)
+    broken = (F.col("language") == "python") & (F.col("kind") == "error") & (F.col("signature") != "no content")
+    return rows.withColumn("signature", F.when(broken, "broken").otherwise(F.col("signature")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from skein.functions import scalars as S
-from skein.operators import dedup, extract, folds, integrity, joins, matching, ranking, state, symbols
+from skein.operators import analyzers, dedup, extract, folds, integrity, joins, matching, ranking, state, symbols
 from skein.operators.dedup_index import DedupIndex
 from skein.plans import queries as library
 from skein.sources import answers, readers, sinks
@@ -265,6 +265,16 @@ def test_python_declarations(spark):
     assert sorted(r.path for r in symbols.symbols(df, "python").filter("kind = 'error'").collect()) == ["b", "c"]
 
 
+def test_table_functions_from_sql(spark):
+    analyzers.register(spark)
+    spark.createDataFrame([(1, "pub fn go(a: A) -> B {\n}"), (2, None), (3, "")], "id long, content string").createOrReplaceTempView("sources")
+    rows = spark.sql("SELECT id, s.* FROM sources, LATERAL symbols(content, 'rs') s ORDER BY id").collect()
+    assert [(r.id, r.kind, r.name, r.signature) for r in rows] == [(1, "function", "go", "pub fn go(a: A) -> B"), (2, "error", "PARSE_ERROR", "no content")]
+    with pytest.raises(Exception, match="must be a constant, one of"):
+        spark.sql("SELECT * FROM sources, LATERAL symbols(content, 'cobol')").collect()
+    assert [r.symbol for r in spark.sql("SELECT l.symbol FROM LATERAL loose_symbols('def run(x)\nclass Job\nreturn 1\ndef run(y)') l").collect()] == ["run", "Job"]
+
+
 def test_symbol_rows_in_full(spark):
     """Signatures, namespaces, documentation and rules that look beyond a match."""
     texts = {
