@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 # The marks of headings, annotations and links.
-HEADING, ANNOTATION, WIKI_LINK = r"(?m)^(#{1,6})[ \t]+(.+)$", r"[#/]{1,2}\s*@lat:\s*\[\[([^\]]+)\]\]", r"\[\[([^\]]+)\]\]"
+HEADING, ANNOTATION, WIKI_LINK = r"(?mdU)^(#{1,6})\s+(.+)$", r"[#/]{1,2}\s*@lat:\s*\[\[([^\]]+)\]\]", r"\[\[([^\]]+)\]\]"
 
 
 def matches(text: Column, pattern: str, group: int) -> Column:
@@ -21,18 +20,27 @@ def section_id(path: Column, chain: Column, short: bool = False) -> Column:
 
 
 def headings(files: DataFrame, path: str = "path", text: str = "content") -> DataFrame:
-    """path, pos, level, title and the chain of headings above and including each Markdown heading.
-
-    The chain is the stack of the last heading of each shallower level that no later heading of the
-    same or a shallower level has closed: windows per file, no Python."""
-    each = F.arrays_zip(matches(F.col(text), HEADING, 1).alias("marks"), matches(F.col(text), HEADING, 2).alias("titles"))
-    rows = files.select(path, F.posexplode(each).alias("pos", "h")).select(path, "pos", F.length("h.marks").alias("level"), F.trim(F.regexp_replace(F.trim("h.titles"), "^<!--.*?-->$", "")).alias("title")).filter("title != ''")
-    w = Window.partitionBy(path).orderBy("pos")
-    for d in range(1, 7):
-        at = F.last(F.when(F.col("level") == d, F.struct("pos", "title")), ignorenulls=True).over(w)
-        closed = F.max(F.when(F.col("level") <= d - 1, F.col("pos"))).over(w)
-        rows = rows.withColumn(f"_h{d}", F.when((F.col("level") >= d) & at.isNotNull() & (closed.isNull() | (at["pos"] > closed)), at["title"]))
-    return rows.select(path, "pos", "level", "title", F.array_compact(F.array(*[f"_h{d}" for d in range(1, 7)])).alias("chain"))
+    """One row per Markdown heading: path, pos (among all headings), offset (its first character in the text, from 0), level,
+    title, the chain of headings above and including it, section_id and short_id. Placeholders (``<!-- ... -->``) are no headings.
+
+    One fold over a file's headings carries the stack of open headings and the place up to which the text is read; a
+    heading's place is the next one at the beginning of a line. A null text has none."""
+    kind = "array<struct<level:int,title:string>>"
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    found = F.arrays_zip(*(matches(F.col("text"), HEADING, g).alias(f"g{g}") for g in range(3)))
+    lines = F.concat(F.lit("\n"), F.col("text"))
+
+    def step(acc: Column, h: Column) -> Column:
+        level, title = F.length(h["g1"]), strip(F.regexp_replace(strip(h["g2"]), "^<!--.*?-->$", ""))
+        at = F.position(F.concat(F.lit("\n"), h["g0"]), lines, acc["read"])
+        stack = F.when(title == "", acc["stack"]).otherwise(F.array_append(F.filter(acc["stack"], lambda x: x["level"] < level), F.struct(level.alias("level"), title.alias("title"))))
+        row = F.struct(F.size(acc["out"]).alias("pos"), (at - 1).alias("offset"), level.alias("level"), title.alias("title"), F.transform(stack, lambda x: x["title"]).alias("chain"))
+        return F.struct((at + F.length(h["g0"])).alias("read"), stack.alias("stack"), F.array_append(acc["out"], row).alias("out"))
+
+    first = F.struct(F.lit(1).alias("read"), F.array().cast(kind).alias("stack"), F.array().cast("array<struct<pos:int,offset:int,level:int,title:string,chain:array<string>>>").alias("out"))
+    rows = files.select(F.col(path).alias("path"), F.col(text).cast("string").alias("text")).select("path", F.explode(F.aggregate(found, first, step)["out"]).alias("h")).filter("h.title != ''")
+    chain = F.col("h.chain")
+    return rows.select(F.col("path").alias(path), "h.pos", "h.offset", "h.level", "h.title", chain.alias("chain"), section_id(F.col("path"), chain).alias("section_id"), section_id(F.col("path"), chain, short=True).alias("short_id"))
 
 
 def line_annotations(files: DataFrame, path: str = "path", text: str = "content") -> DataFrame:

@@ -43,15 +43,16 @@ def severity(found: DataFrame, group: list[str], strict: bool = False) -> DataFr
 
 
 def module_of_file(files: DataFrame, sources: DataFrame) -> DataFrame:
-    """Each file (path) with the first module, by ``seq``, one of whose paths (module, seq, source) is contained in it; else null.
-
-    A file's path is cut at ``/`` into its runs of parts, which the source paths join by equality; a source path stands for whole parts."""
-    n = F.size(F.split("path", "/"))
-    parts = F.split("path", "/")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.array_join(F.slice(parts, i, k), "/"))))
-    own = files.select("path").distinct().withColumn("source", F.explode(F.array_distinct(runs)))
-    best = own.join(sources, "source").groupBy("path").agg(F.min_by("module", "seq").alias("module"))
-    return files.join(best, "path", "left")
+    """Each file (path) with the first module, by ``seq``, one of whose paths (module, seq, source) is contained in it, anywhere
+    and in the same case; an empty source path is contained in every one; else null."""
+    from .joins import contains_join
+
+    first = F.min(F.struct("seq", "module"))
+    needles = sources.filter("source <> ''").groupBy("source").agg(first.alias("hit"))
+    hits = contains_join(needles, files.select(F.col("path").alias("at")).distinct(), "source", "at", case=True).groupBy("at").agg(F.min("hit").alias("hit"))
+    every = sources.filter("source = ''").agg(first.alias("every"))  # one row
+    joined = files.join(hits, F.col("path") == F.col("at"), "left").crossJoin(F.broadcast(every))
+    return joined.select(*files.columns, F.least("hit", "every")["module"].alias("module"))
 
 
 def bare_section(section_id: Column) -> Column:

@@ -705,17 +705,19 @@ def text_quality_flags(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH h AS (SELECT page_id, '# ' || regexp_extract(html, '<title>([^<]*)</title>', 1) || chr(10) || '### Deep' || chr(10) || 'text' || chr(10) || '## ' || regexp_extract(html, '<h1>([^<]*)</h1>', 1) || chr(10) || '<!-- x -->' || chr(10) || '# End' || chr(10) AS c FROM pages),
-m AS (SELECT page_id, unnest(list_zip(regexp_extract_all(c, '(?m)^(#{1,6})[ \\t]+(.+)$', 1), regexp_extract_all(c, '(?m)^(#{1,6})[ \\t]+(.+)$', 2))) AS m, unnest(range(len(regexp_extract_all(c, '(?m)^(#{1,6})[ \\t]+(.+)$', 1)))) AS pos FROM h),
-r AS (SELECT page_id, pos, length(m[1]) AS level, trim(m[2]) AS title FROM m WHERE trim(m[2]) <> '')
-SELECT page_id::VARCHAR AS path, pos::INTEGER AS pos, level::INTEGER AS level, title, array_to_string((SELECT list(a.title ORDER BY a.pos) FROM r a WHERE a.page_id = r.page_id AND a.pos <= r.pos AND a.level <= r.level AND (a.pos = r.pos OR a.level < r.level) AND NOT EXISTS (SELECT 1 FROM r b WHERE b.page_id = r.page_id AND b.pos > a.pos AND b.pos <= r.pos AND b.level <= a.level)), ' > ') AS chain,
- 'docs/' || page_id::VARCHAR || '#' || array_to_string((SELECT list(a.title ORDER BY a.pos) FROM r a WHERE a.page_id = r.page_id AND a.pos <= r.pos AND a.level <= r.level AND (a.pos = r.pos OR a.level < r.level) AND NOT EXISTS (SELECT 1 FROM r b WHERE b.page_id = r.page_id AND b.pos > a.pos AND b.pos <= r.pos AND b.level <= a.level)), '#') AS section_id FROM r""")
+WITH h AS (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) || ' ## no heading' || chr(10) || '# ' || regexp_extract(html, '<title>([^<]*)</title>', 1) || chr(10) || '### Deep' || chr(10) || 'é ### Deep' || chr(10) || '## ' || regexp_extract(html, '<h1>([^<]*)</h1>', 1) || chr(10) || '# <!-- x -->' || chr(10) || '#### Low ' || chr(10) || '# End' || chr(10) AS c FROM pages),
+l AS (SELECT page_id, unnest(string_split(c, chr(10))) AS l, unnest(range(len(string_split(c, chr(10))))) AS n FROM h),
+o AS (SELECT *, coalesce(sum(length(l) + 1) OVER (PARTITION BY page_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM l),
+m AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS pos, length(regexp_extract(l, '^(#{1,6})[ ]+(.+)$', 1)) AS level, trim(regexp_extract(l, '^(#{1,6})[ ]+(.+)$', 2)) AS title FROM o WHERE regexp_matches(l, '^(#{1,6})[ ]+(.+)$')),
+r AS (SELECT * FROM m WHERE NOT regexp_full_match(title, '<!--.*?-->')),
+k AS (SELECT r.*, array_to_string((SELECT list(a.title ORDER BY a.pos) FROM r a WHERE a.page_id = r.page_id AND a.pos <= r.pos AND a.level <= r.level AND (a.pos = r.pos OR a.level < r.level) AND NOT EXISTS (SELECT 1 FROM r b WHERE b.page_id = r.page_id AND b.pos > a.pos AND b.pos <= r.pos AND b.level <= a.level)), '#') AS chain FROM r)
+SELECT 'docs/' || page_id::VARCHAR || '.md' AS path, pos::INTEGER AS pos, place::INTEGER AS "offset", level::INTEGER AS level, title, chain, 'docs/' || page_id::VARCHAR || '#' || chain AS section_id, page_id::VARCHAR || '#' || chain AS short_id FROM k""")
 def heading_chain(t: Tables) -> DataFrame:
-    """Headings of Markdown made of each page's title and heading."""
+    """Headings of Markdown made of each page's title and heading, a placeholder and lines that look like headings among them."""
     first = lambda tag: F.regexp_extract("html", f"<{tag}>([^<]*)</{tag}>", 1)
-    text = F.concat(F.lit("# "), first("title"), F.lit("\n### Deep\ntext\n## "), first("h1"), F.lit("\n<!-- x -->\n# End\n"))
-    h = extract.headings(t.pages.select(F.col("page_id").cast("string").alias("path"), text.alias("content")))
-    return h.select("path", "pos", "level", "title", F.array_join("chain", " > ").alias("chain"), extract.section_id(F.concat(F.lit("docs/"), "path", F.lit(".md")), F.col("chain")).alias("section_id"))
+    text = F.concat(first("h1"), F.lit(" ## no heading\n# "), first("title"), F.lit("\n### Deep\né ### Deep\n## "), first("h1"), F.lit("\n# <!-- x -->\n#### Low \n# End\n"))
+    h = extract.headings(t.pages.select(F.concat(F.lit("docs/"), F.col("page_id").cast("string"), F.lit(".md")).alias("path"), text.alias("content")))
+    return h.withColumn("chain", F.array_join("chain", "#"))
 
 
 @query("""
@@ -765,6 +767,49 @@ def change_log(t: Tables) -> DataFrame:
     return state.change_log(*_snapshots(t), "path", "fp")
 
 
+_MANIFEST = """
+e AS (SELECT user_id AS u, event_id, ts, 'src/' || CASE WHEN user_id % 9 = 4 THEN 'late' ELSE 'm' END || (user_id % 40)::VARCHAR || '/' || lpad(user_id::VARCHAR, 5, '0') || '.py' AS path FROM events),
+was AS (SELECT path, sha256(max(event_id)::VARCHAR) AS fp FROM e WHERE ts < TIMESTAMP '2024-01-03' AND u % 9 <> 4 GROUP BY 1), now AS (SELECT path, sha256(max(event_id)::VARCHAR) AS fp, max(event_id) AS mtime FROM e WHERE (ts < TIMESTAMP '2024-01-03' AND u % 7 <> 0 OR ts < TIMESTAMP '2024-01-04' AND u % 5 = 0) AND u % 40 <> 17 GROUP BY 1),
+src AS (SELECT split_part(path, '/', 2) AS module, path, row_number() OVER (PARTITION BY split_part(path, '/', 2) ORDER BY path) - 1 AS pos, fp FROM was),
+mods AS (SELECT module, sha256(string_agg(fp, '' ORDER BY pos)) AS hash, 0::BIGINT AS mtime, CASE WHEN length(module) = 2 THEN 'in_review' END AS doc_status FROM src GROUP BY 1),
+j AS (SELECT src.*, now.fp AS cur, now.mtime AS m FROM src LEFT JOIN now USING (path)),
+g AS (SELECT module, count(*) AS n, count(cur) AS k, sha256(coalesce(string_agg(cur, '' ORDER BY pos), '')) AS h, max(m) AS m FROM j GROUP BY 1),
+new AS (SELECT split_part(path, '/', 2) AS module, path, fp, mtime, row_number() OVER (PARTITION BY split_part(path, '/', 2) ORDER BY path) AS nth FROM now ANTI JOIN src USING (path)),
+add AS (SELECT module, count(*) AS n, sha256(string_agg(fp, '' ORDER BY path)) AS hash, max(mtime) AS mtime, string_agg(path, ', ' ORDER BY path) FILTER (nth <= 3) AS names FROM new GROUP BY 1)"""
+
+
+@query(f"""WITH {_MANIFEST}
+SELECT mods.module, CASE WHEN k = 0 OR h = hash THEN hash ELSE h END AS hash, CASE WHEN k = 0 OR h = hash THEN mods.mtime ELSE g.m END AS mtime, CASE WHEN k = 0 THEN 'needs_delete' WHEN h <> hash OR k < n THEN 'needs_update' ELSE coalesce(doc_status, 'up_to_date') END AS doc_status, CASE WHEN k = 0 THEN n ELSE k END AS n_files FROM mods JOIN g USING (module)
+UNION ALL SELECT module, hash, mtime, 'needs_create', n FROM add ANTI JOIN mods USING (module)""")
+def manifest_update(t: Tables) -> DataFrame:
+    """The manifest of one slice of events brought up to another; modules that aren't known are inferred from the files' paths."""
+    modules, sources, _ = state.update_manifest(*_manifest(t))
+    n = sources.groupBy("module").agg(F.count(F.lit(1)).alias("n_files"))
+    return modules.join(n, "module", "left").select("module", "hash", "mtime", "doc_status", F.coalesce("n_files", F.lit(0)).alias("n_files"))
+
+
+@query(f"""WITH {_MANIFEST}
+SELECT module, 'file_missing' AS type, 'Source file no longer exists: ' || path AS detail FROM j WHERE cur IS NULL UNION ALL SELECT module, 'needs_delete', 'All source files removed' FROM g WHERE k = 0
+UNION ALL SELECT module, 'file_changed', 'Hash changed: ' || hash[:12] || '... → ' || h[:12] || '...' FROM mods JOIN g USING (module) WHERE k > 0 AND h <> hash
+UNION ALL SELECT module, 'needs_create', 'New module detected (' || n::VARCHAR || ' file(s)): ' || names || CASE WHEN n > 3 THEN '...' ELSE '' END FROM add""")
+def manifest_changes(t: Tables) -> DataFrame:
+    return state.update_manifest(*_manifest(t))[2]
+
+
+def _manifest(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(modules, sources) of an earlier slice and the files of a later one."""
+    u = F.col("user_id")
+    path = F.concat(F.lit("src/"), F.when(u % 9 == 4, "late").otherwise("m"), (u % 40).cast("string"), F.lit("/"), F.lpad(u.cast("string"), 5, "0"), F.lit(".py"))
+    e = t.events.select(u.alias("u"), path.alias("path"), "event_id", "ts")
+    day = lambda d: F.col("ts") < F.lit(f"2024-01-0{d}").cast("timestamp_ntz")
+    files = lambda c: e.filter(c).groupBy("path").agg(F.max("event_id").alias("mtime")).withColumn("fingerprint", F.sha2(F.col("mtime").cast("string"), 256))
+    none = files(F.lit(False))
+    modules, sources, _ = state.update_manifest(*state.empty_manifest(t.spark), files(day(3) & (F.col("u") % 9 != 4)).unionByName(none))
+    modules = modules.withColumns({"mtime": F.lit(0).cast("long"), "doc_status": F.when(F.length("module") == 2, "in_review")})
+    now = files(((day(3) & (F.col("u") % 7 != 0)) | (day(4) & (F.col("u") % 5 == 0))) & (F.col("u") % 40 != 17))
+    return modules, sources, now
+
+
 @query("""
 WITH c AS (SELECT user_id, arg_max(event_id, ts) AS v, max(ts) AS e FROM events WHERE event_type = 'view' AND user_id % 3 <> 0 GROUP BY 1), f AS (SELECT user_id, max(event_id) AS v FROM events WHERE event_type = 'click' AND user_id % 2 = 0 GROUP BY 1), k AS (SELECT DISTINCT user_id FROM events)
 SELECT k.user_id, CASE WHEN c.e > TIMESTAMP '2024-01-29' THEN c.v ELSE coalesce(f.v, c.v) END AS event_id, CASE WHEN c.e > TIMESTAMP '2024-01-29' THEN 'fresh' WHEN f.v IS NOT NULL THEN 'fetched' WHEN c.v IS NOT NULL THEN 'stale' ELSE 'error' END AS origin

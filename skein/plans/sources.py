@@ -187,11 +187,11 @@ def _path(c: str) -> Column:
 
 @query("""
 WITH f AS (SELECT page_id, regexp_extract(url, '://([^?#]*)', 1) AS path FROM pages), s AS (SELECT page_id AS seq, 'm' || page_id::VARCHAR AS module, string_split(path, '/')[2] AS source FROM f WHERE page_id % 2 = 0 AND len(string_split(path, '/')) > 2),
-d AS (SELECT source, arg_min(module, seq) AS module, min(seq) AS seq FROM s WHERE source <> '' GROUP BY 1)
-SELECT page_id, path, (SELECT arg_min(module, seq) FROM d WHERE contains('/' || path || '/', '/' || source || '/')) AS module FROM f""")
+d AS (SELECT left(source, 3) AS source, arg_min(module, seq) AS module, min(seq) AS seq FROM s WHERE source <> '' GROUP BY 1)
+SELECT page_id, path, (SELECT arg_min(module, seq) FROM d WHERE contains(path, source)) AS module FROM f""")
 def module_of_file(t: Tables) -> DataFrame:
     files = t.pages.select("page_id", _path("url").alias("path"))
-    sources = files.filter((F.col("page_id") % 2 == 0) & (F.size(F.split("path", "/")) > 2)).select(F.col("page_id").alias("seq"), F.concat(F.lit("m"), "page_id").alias("module"), F.split("path", "/")[1].alias("source")).filter("source <> ''")
+    sources = files.filter((F.col("page_id") % 2 == 0) & (F.size(F.split("path", "/")) > 2)).select(F.col("page_id").alias("seq"), F.concat(F.lit("m"), "page_id").alias("module"), F.left(F.split("path", "/")[1], F.lit(3)).alias("source")).filter("source <> ''")
     return integrity.module_of_file(files, sources)
 
 

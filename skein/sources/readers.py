@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
+
+from ..operators.state import empty_manifest, update_manifest
 
 
 def json_or_default(texts: DataFrame, column: str, schema: str, default: Column) -> DataFrame:
@@ -46,3 +49,18 @@ def read_kv(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(path)
     last = rows.agg(F.max("version")).first()[0]
     return rows.filter(F.col("version") == last)
+
+
+def step_manifest(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
+    """Brings a manifest kept under ``path`` up to the files, as a new version beside the old ones, and gives its changes.
+    Versions stay, so a run that dies leaves the last whole one: the modules, which are written last, tell which it is."""
+    try:
+        number = spark.read.parquet(f"{path}/modules").agg(F.max("version")).first()[0]
+    except AnalysisException:  # nothing has been written yet
+        number = None
+    old = empty_manifest(spark) if number is None else tuple(spark.read.parquet(f"{path}/{part}").filter(F.col("version") == number).drop("version") for part in ("modules", "sources"))
+    made = dict(zip(("modules", "sources", "changes"), update_manifest(*old, files), strict=True))
+    version = 0 if number is None else number + 1
+    for part in ("changes", "sources", "modules"):
+        made[part].write.mode("overwrite").parquet(f"{path}/{part}/version={version}")
+    return spark.read.parquet(f"{path}/changes/version={version}")

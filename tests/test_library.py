@@ -5,6 +5,7 @@ import hashlib
 import math
 import os
 import random
+import re
 from decimal import Decimal
 
 import duckdb
@@ -242,6 +243,54 @@ def test_heading_chain_is_a_stack(spark):
     assert [r.chain for r in extract.headings(df).orderBy("pos").collect()] == [["A"], ["A", "B"], ["A", "C"], ["A", "C", "D"], ["E"], ["E", "F"]]
 
 
+def test_headings_equal_a_stack_in_python(spark):
+    rnd = random.Random(11)
+    bits = ["# A", "## A", "#  B b ", "### C", "####### x", "say # A", "# <!-- p -->", "#", "", "\u2028# D", "text", "# A # A", "#\tT\r", "🙂 é", "###### <!-- a --> b"]
+    texts = ["\n".join(rnd.choice(bits) for _ in range(rnd.randint(0, 12))) for _ in range(150)] + [None, "", "# end\n"]
+    want = []
+    for i, text in enumerate(texts):
+        stack = []
+        for m in re.finditer(r"^(#{1,6})\s+(.+)$", text or "", re.MULTILINE):
+            title = re.sub(r"^<!--.*?-->$", "", m[2].strip()).strip()
+            if title:
+                while stack and stack[-1][0] >= len(m[1]):
+                    stack.pop()
+                stack.append((len(m[1]), title))
+                chain = [x for _, x in stack]
+                want.append((f"d/f{i}.md", m.start(), len(m[1]), chain, f"d/f{i}#" + "#".join(chain), f"f{i}#" + "#".join(chain)))
+    df = spark.createDataFrame([(f"d/f{i}.md", x, 1) for i, x in enumerate(texts)], "path string, content string, pos int")
+    assert sorted(tuple(r) for r in extract.headings(df).select("path", "offset", "level", "chain", "section_id", "short_id").collect()) == sorted(want)
+
+
+def test_manifest_is_carried_on(spark, tmp_path):
+    def files(**prints):
+        return spark.createDataFrame([(p.replace("__", "/") + ".py", h, t) for p, (h, t) in prints.items()], "path string, fingerprint string, mtime long")
+
+    step = lambda f: sorted((r.module, r.type) for r in readers.step_manifest(spark, f"{tmp_path}/m", f).collect())
+    known = lambda: {r.module: (r.doc_status, r.mtime) for r in spark.read.parquet(f"{tmp_path}/m/modules").filter(f"version = {n}").collect()}
+    one = files(src__a__x=("1", 5), src__a__y=("2", 6), src__b__z=("3", 7), c__w=("4", 8))
+    n = 0
+    assert step(one) == [("a", "needs_create"), ("b", "needs_create"), ("c", "needs_create")] and known() == {"a": ("needs_create", 6), "b": ("needs_create", 7), "c": ("needs_create", 8)}
+    n = 1
+    assert step(one) == [] and {v[0] for v in known().values()} == {"needs_create"}  # statuses are kept
+    n = 2
+    two = files(src__a__x=("1", 5), src__b__z=("9", 70), src__b__v=("5", 1), src__d__q=("6", 2))
+    assert step(two) == [("a", "file_changed"), ("a", "file_missing"), ("b", "file_changed"), ("b", "needs_create"), ("c", "file_missing"), ("c", "needs_delete"), ("d", "needs_create")]
+    assert known() == {"a": ("needs_update", 5), "b": ("needs_update", 70), "c": ("needs_delete", 8), "d": ("needs_create", 2)}
+    sources = spark.read.parquet(f"{tmp_path}/m/sources").filter("version = 2")
+    assert sorted((r.module, r.pos, r.path) for r in sources.collect()) == [("a", 0, "src/a/x.py"), ("b", 0, "src/b/z.py"), ("c", 0, "c/w.py"), ("d", 0, "src/d/q.py")]
+    n = 3
+    assert step(files()) == sorted([(m, "file_missing") for m in "abcd"] + [(m, "needs_delete") for m in "abcd"])
+
+
+def test_module_of_file_is_plain_containment(spark):
+    files = spark.createDataFrame([(p,) for p in ("src/core/a.py", "lib/xcore.py", "README", "b/ab/c")], "path string")
+    sources = [("m2", 2, "core"), ("m1", 1, "src/core"), ("m3", 3, "README"), ("m4", 4, "Core"), ("m5", 5, "b/c")]
+    for more, rest in (([], None), ([("m0", 9, "")], "m0")):
+        got = {r.path: r.module for r in integrity.module_of_file(files, spark.createDataFrame(sources + more, "module string, seq int, source string")).collect()}
+        assert got == {"src/core/a.py": "m1", "lib/xcore.py": "m2", "README": "m3", "b/ab/c": "m5"} | {k: rest for k in got if rest and k == "none"}
+
+
 @pytest.mark.parametrize("language, text, want", [
     ("rust", "pub fn run(x: i32) -> u8 {}\npub struct Job;\npub enum E {", [("function", "run"), ("struct", "Job"), ("enum", "E")]),
     ("javascript", "export class A extends B {}\nconst go = (x) => x\nfunction add(a) {}\ntype T = 1", [("function", "add"), ("arrow_function", "go"), ("class", "A"), ("type", "T")]),
