@@ -13,6 +13,7 @@ from ..functions import scalars as S
 from ..operators import dedup, extract, folds, joins, matching, ranking, state
 from ..operators.dedup_index import DedupIndex
 from ..sources import answers, readers
+from ..streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -833,16 +834,31 @@ def cache_stats(t: Tables) -> DataFrame:
 _STATES = {"signup": "queued", "view": "in_progress", "click": "retrying", "purchase": "succeeded", "error": "failed"}
 
 
-@query(f"""
+_MOVES = f"""
 WITH a(was, now) AS (VALUES {_values([(k, v) for k, vs in C.TRANSITIONS.items() for v in vs])}),
 s AS (SELECT user_id, event_id, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _STATES.items())} END AS status FROM events),
 l AS (SELECT *, coalesce(lag(status) OVER w, 'pending') AS was, sum((status = 'retrying')::INTEGER) OVER w::BIGINT AS attempts FROM s WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
-SELECT user_id, event_id, status, l.was, l.was = status OR a.now IS NOT NULL AS legal, attempts FROM l LEFT JOIN a ON a.was = l.was AND a.now = status""")
+SELECT user_id, event_id, status, l.was, l.was = status OR a.now IS NOT NULL AS legal, attempts FROM l LEFT JOIN a ON a.was = l.was AND a.now = status"""
+
+
+@query(_MOVES)
 def transition_check(t: Tables) -> DataFrame:
     status = F.element_at(F.create_map(*[F.lit(x) for kv in _STATES.items() for x in kv]), F.col("event_type"))
     return state.check_transitions(t.events.select("user_id", "event_id", status.alias("status")), "user_id", ["event_id"], "status")
 
 
+@query(_MOVES)
+def transition_stream(t: Tables) -> DataFrame:
+    """The same rows by a stream with keyed state: events go to a folder, and the stream's rows to another."""
+    status = F.element_at(F.create_map(*[F.lit(x) for kv in _STATES.items() for x in kv]), F.col("event_type"))
+    folder = answers.folder_for(t.spark, "steps")
+    t.events.select("user_id", "event_id", status.alias("status")).write.parquet(f"{folder}/in")
+    steps = stateful.step_stream(t.spark.readStream.schema("user_id long, event_id long, status string").parquet(f"{folder}/in"), "user_id", "status", "event_id", strict=False)
+    with stateful.with_state_store(t.spark):
+        steps.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out").select(F.col("key").alias("user_id"), F.col("seq").alias("event_id"), "status", "was", "legal", "attempts")
+
+
 @query("SELECT page_id, list_sort(list_distinct([lower(x) FOR x IN regexp_extract_all(url, '\\.([a-z]+)', 1) IF x IN ('com', 'net', 'org', 'html')])) AS census FROM pages")
 def ext_language_census(t: Tables) -> DataFrame:
     found = F.filter(extract.matches(F.col("url"), r"\.([a-z]+)", 1), lambda x: x.isin("com", "net", "org", "html"))

@@ -1,16 +1,11 @@
-"""Structured Streaming counterparts: dedup across batches, state moves, late data."""
+"""Structured Streaming counterparts: dedup across batches, late data. Keyed state is in ``stateful``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.constants import TRANSITIONS
 from ..operators.dedup_index import DedupIndex
 
 
@@ -26,35 +21,6 @@ def windowed_counts(stream: DataFrame, event_time: str, group: str, width: str =
     return stream.withWatermark(event_time, delay).groupBy(F.window(event_time, width), group).agg(F.count(F.lit(1)).alias("n"))
 
 
-def transition_stream(stream: DataFrame, key: str, status: str, allowed: dict[str, list[str]] = TRANSITIONS, first: str = "pending", forget_after_ms: int | None = None) -> DataFrame:
-    """Each row with its key's former state, whether the move is allowed, and the retries so far.
-
-    State is one status and one count per key, forgotten where a key has had no row for ``forget_after_ms`` (a later row then begins anew);
-    without it, state is kept for ever. Rows of a batch are taken in their ``seq`` order."""
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = ["key", "seq", "was", "status", "legal", "attempts"]
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([], columns=columns)
-            return
-        was, attempts = state.get if state.exists else (first, 0)
-        rows = pd.concat(list(frames)).sort_values("seq")
-        out = []
-        for seq, now in zip(rows["seq"], rows[status], strict=True):
-            attempts += now == "retrying"
-            out.append((k[0], int(seq), was, now, now == was or now in allowed.get(was, []), attempts))
-            was = now
-        state.update((was, int(attempts)))
-        if forget_after_ms is not None:
-            state.setTimeoutDuration(forget_after_ms)
-        yield pd.DataFrame(out, columns=columns)
-
-    kind = stream.schema[key].dataType.simpleString()
-    timeout = GroupStateTimeout.NoTimeout if forget_after_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return stream.groupBy(key).applyInPandasWithState(step, f"key {kind}, seq long, was string, status string, legal boolean, attempts long", "was string, attempts long", "append", timeout)
-
-
 def dedup_batches(stream: DataFrame, index: DedupIndex, kept_path: str) -> DataStreamWriter:
     """A writer that sends each batch through all dedup layers, fuzzy ones too, against what the layers of ``index`` remember of
     earlier batches, and writes the survivors to a folder of the batch, which replaces them if the batch is run again."""

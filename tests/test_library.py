@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import time
 from decimal import Decimal
 
 import duckdb
@@ -18,7 +19,7 @@ from skein.operators import analyzers, dedup, extract, folds, integrity, joins,
 from skein.operators.dedup_index import DedupIndex
 from skein.plans import queries as library
 from skein.sources import answers, readers, sinks
-from skein.streaming import streams
+from skein.streaming import stateful, streams
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -518,15 +519,70 @@ def test_streams(spark, tmp_path):
     stream = lambda: spark.readStream.schema("k string, seq long, s string").parquet(source)
 
     def finish(df, name):
-        q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{out}/{name}").trigger(availableNow=True).start()
-        q.awaitTermination(120)
+        with stateful.with_state_store(spark):
+            q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{out}/{name}").trigger(availableNow=True).start()
+            q.awaitTermination(120)
         return spark.table(name).collect()
 
     assert len(finish(streams.dedup_stream(stream(), ["k", "seq"]), "distinct_rows")) == 3
-    got = finish(streams.transition_stream(streams.dedup_stream(stream(), ["k", "seq"]), "k", "s"), "moves")
+    got = finish(stateful.step_stream(streams.dedup_stream(stream(), ["k", "seq"]), "k", "s", strict=False), "moves")
     assert sorted((r.key, r.status, r.legal, r.attempts) for r in got) == [("a", "queued", True, 0), ("a", "retrying", False, 1), ("b", "queued", True, 0)]
 
 
+def run_stream(spark, df, path, until=None):
+    """One restart: what has come since the last one goes to a folder. A query over processing time runs on until it is
+    stopped: ``until`` says how many rows to wait for."""
+    count = lambda: spark.read.schema(df.schema).parquet(f"{path}/out").count() if os.path.isdir(f"{path}/out/_spark_metadata") else 0
+    with stateful.with_state_store(spark):
+        writer = df.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/c").outputMode("append")
+        if until is None:
+            writer.trigger(availableNow=True).start().awaitTermination(120)
+        else:
+            query, began = writer.trigger(processingTime="1 second").start(), time.time()
+            while count() < until and time.time() < began + 60:
+                time.sleep(0.5)
+            query.stop()
+    return spark.read.parquet(f"{path}/out").collect()
+
+
+def test_steps_as_state_with_restarts(spark, tmp_path):
+    schema = "k string, seq long, s string"
+    initial = spark.createDataFrame([("old", "failed", 2)], "key string, status string, attempts long")
+    batches = [[("a", 1, "queued"), ("a", 2, "succeeded"), ("a", 3, "in_progress"), ("old", 1, "retrying")], [("a", 4, "failed"), ("a", 5, "retrying"), ("a", 6, "failed"), ("b", 1, "pending"), ("b", 2, None), ("old", 2, "failed")]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        got = run_stream(spark, stateful.step_stream(stream, "k", "s", initial=initial.groupBy("key")), tmp_path)
+    rows = {(r.key, r.seq): (r.was, r.status, r.legal, r.attempts, r.entered, r.terminal, r.can_retry) for r in got}
+    assert rows == {
+        ("a", 1): ("pending", "queued", True, 0, 1, False, False), ("a", 2): ("queued", "queued", False, 0, 1, False, False), ("a", 3): ("queued", "in_progress", True, 0, 1, False, False),
+        ("a", 4): ("in_progress", "failed", True, 0, 1, True, True), ("a", 5): ("failed", "retrying", True, 1, 1, False, False), ("a", 6): ("retrying", "failed", True, 1, 2, True, True),
+        ("b", 1): ("pending", "pending", True, 0, 0, False, False), ("b", 2): ("pending", "pending", False, 0, 0, False, False),
+        ("old", 1): ("failed", "retrying", True, 3, 1, False, False), ("old", 2): ("retrying", "failed", True, 3, 1, True, False),
+    }
+
+
+def test_cache_as_state_goes_stale(spark, tmp_path):
+    schema, total = "k string, seq long, f string", 0
+
+    def step(*rows, ttl_ms=3_600_000, notices=0):
+        nonlocal total
+        total += len(rows) + notices
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        initial = spark.createDataFrame([("kept", "before")], "key string, data string").groupBy("key")
+        got = run_stream(spark, stateful.cache_stream(stream, "k", "f", ttl_ms=ttl_ms, notices=True, initial=initial), tmp_path, total)
+        return {(r.key, r.seq): (r.data, r.origin) for r in got}
+
+    step(("a", 1, "x"), ("a", 2, "y"), ("b", 1, None), ("kept", 1, None))
+    got = step(("a", 3, None), ("b", 2, "z"), ("kept", 2, "new"), ("c", 1, "q"))
+    assert got == {("a", 1): ("x", "fetched"), ("a", 2): ("x", "fresh"), ("a", 3): ("x", "fresh"), ("b", 1): (None, "error"), ("b", 2): ("z", "fetched"), ("kept", 1): ("before", "stale"), ("kept", 2): ("new", "fetched"), ("c", 1): ("q", "fetched")}
+    # An answer that lives for a moment: its timer says so, and a later request gets it stale.
+    got = step(("d", 1, "v"), ttl_ms=1500, notices=1)
+    assert got["d", 1] == ("v", "fetched") and got["d", -1] == ("v", "expired")
+    assert step(("d", 2, None), ("a", 4, None), ttl_ms=1500)["d", 2] == ("v", "stale")
+
+
 def test_dedup_layers_across_batches(spark, tmp_path):
     """Batch by batch against what was kept, fuzzy layers too; after a reset all begins anew."""
     schema = "k long, h string, t string, a string"
@@ -553,4 +609,3 @@ def test_windows_watermarks_and_forgetting(spark, tmp_path):
     counts = finish(streams.windowed_counts(stream(), "t", "k"), "window_counts", "complete")
     assert sorted((r.k, str(r.window.start)[11:], r.n) for r in counts) == [("a", "00:00:00", 3), ("b", "05:00:00", 1)]
     assert len(finish(streams.dedup_stream(stream(), ["k", "t"], "t"), "dedup_marked")) == 3
-    assert len(finish(streams.transition_stream(stream(), "k", "s", forget_after_ms=1000), "forgetful")) == 4
