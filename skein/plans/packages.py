@@ -430,6 +430,19 @@ def search_report(t: Tables) -> DataFrame:
     return sinks.search_report(rows, "p_brand", "position")
 
 
+@query("""WITH g AS (SELECT l_suppkey, '<gpx version="1.1"><trk><trkseg>' || string_agg(printf('<trkpt lat="%.8f" lon="%.8f">', l_quantity / 8.0::DOUBLE, l_suppkey / 16.0::DOUBLE) || CASE WHEN l_linenumber <> 3 THEN printf('<ele>%.1f</ele>', l_linenumber / 2.0::DOUBLE) ELSE '' END || '</trkpt>', '' ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) || '</trkseg></trk></gpx>' AS gpx FROM lineitem WHERE l_suppkey % 7 <> 0 GROUP BY 1)
+SELECT 'track_' || l_suppkey::VARCHAR || '_a.gpx' AS name, length(gpx)::BIGINT AS chars, sha256(gpx) AS digest FROM g""")
+def track_files(t: Tables) -> DataFrame:
+    """A GPX file for each supplier's lines, written by the data source and read again; tracks without places are no files."""
+    folder = answers.folder_for(t.spark, "tracks")
+    seq = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    points = t.lineitem.select("l_suppkey", seq.alias("seq"), F.concat(F.lit("track "), "l_suppkey", F.lit("/a")).alias("title"), F.when(F.col("l_suppkey") % 7 != 0, F.col("l_quantity") / 8).alias("lat"), (F.col("l_suppkey") / 16).alias("lon"), F.when(F.col("l_linenumber") != 3, F.col("l_linenumber") / 2).alias("ele"))
+    sinks.write_tracks(points, folder, "l_suppkey", "title", "seq", "lat", "lon", "ele")
+    files = t.spark.read.format("binaryFile").load(folder)
+    text = F.col("content").cast("string")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.length(text).cast("long").alias("chars"), F.sha2("content", 256).alias("digest"))
+
+
 @query("""SELECT o_custkey, '| ' || o_custkey::VARCHAR || ' | ' || coalesce((max(o_totalprice) FILTER (o_orderstatus = 'F'))::INTEGER::VARCHAR, '-') || ' | ' || coalesce((max(o_totalprice) FILTER (o_orderstatus = 'O'))::INTEGER::VARCHAR, '-') || ' |' AS line FROM orders GROUP BY 1""")
 def matrix_report(t: Tables) -> DataFrame:
     best = t.orders.groupBy("o_custkey", "o_orderstatus").agg(F.bround(F.max("o_totalprice"), 0).cast("int").alias("price"))

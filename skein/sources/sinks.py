@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.packages import safe_name
+from ..operators.extract import gpx
+from .files import write_files
+
 
 def write_json(rows: DataFrame, path: str, per: list[str] | None = None) -> None:
     """One JSON document per row and line; with ``per``, in a folder for each value of these columns."""
@@ -58,6 +62,13 @@ def matrix_report(rows: DataFrame, key: str, column: str, value: Column, columns
     return grid.select(key, F.concat(F.lit("| "), F.col(key).cast("string"), *[F.concat(F.lit(" | "), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("-"))) for c in columns], F.lit(" |")).alias("line"))
 
 
-def write_skeleton(spark: SparkSession, rows: DataFrame, path: str, force: bool = False) -> None:
-    """Writes a skeleton or a manifest where there is none; with ``force``, over what there is."""
-    rows.write.mode("overwrite" if force else "ignore").json(path)
+def write_skeleton(rows: DataFrame, path: str, force: bool = False) -> None:
+    """Writes the files (name, content) of a skeleton or a manifest that aren't there yet; with ``force``, all of them."""
+    write_files(rows, path, force=force)
+
+
+def write_tracks(points: DataFrame, folder: str, track: str, title: str, seq: str, lat: str, lon: str, ele: str, force: bool = False) -> None:
+    """A GPX file for each track that has points, under its title made safe; tracks that share a title get one file."""
+    made = gpx(points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()), track, seq, lat, lon, ele)
+    names = points.groupBy(track).agg(F.min(title).alias("title"))
+    write_files(made.join(names, track).select(F.concat(safe_name("title"), F.lit(".gpx")).alias("name"), F.col("gpx").alias("content")), folder, force=force)

@@ -385,11 +385,6 @@ def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long")
     sinks.write_json(rows, f"{tmp_path}/j", ["k"])
     assert sorted(tuple(r) for r in spark.read.json(f"{tmp_path}/j").select("k", "v").collect()) == [("a", 1), ("b", 2)]
-    sinks.write_skeleton(spark, rows, f"{tmp_path}/s")
-    sinks.write_skeleton(spark, rows.limit(0), f"{tmp_path}/s")
-    assert spark.read.json(f"{tmp_path}/s").count() == 2
-    sinks.write_skeleton(spark, rows.limit(1), f"{tmp_path}/s", force=True)
-    assert spark.read.json(f"{tmp_path}/s").count() == 1
     cache = spark.createDataFrame([("a", "x", 50.0, 10.0), ("b", "y", 500.0, 10.0), ("c", "z", 9e9, 0.0)], "key string, data string, expires double, created_at double")
     new = sinks.cache_set(cache, spark.createDataFrame([("b", "n"), ("b", "m"), ("d", "q")], "key string, data string"), 100.0, 60)
     assert sorted((r.key, r.data, r.expires) for r in new.collect()) == [("a", "x", 50.0), ("b", "n", 160.0), ("c", "z", 9e9), ("d", "q", 160.0)]
@@ -399,6 +394,24 @@ def test_sinks(spark, tmp_path):
     assert readers.read_kv(spark, f"{tmp_path}/kv").count() == 1
 
 
+def test_files_are_written_one_by_one(spark, tmp_path):
+    folder = tmp_path / "docs"
+    found = lambda: {str(f.relative_to(folder)): f.read_text() for f in folder.rglob("*") if f.is_file()}
+    files = lambda *rows: spark.createDataFrame(list(rows), "name string, content string").repartition(3)
+    sinks.write_skeleton(files(("index.md", "# A"), ("modules/b.md", None), ("modules/c d.md", "é"), ("modules/b.md", "z")), str(folder))
+    assert found() == {"index.md": "# A", "modules/b.md": "", "modules/c d.md": "é"}
+    sinks.write_skeleton(files(("index.md", "other"), ("new.md", "n")), f"file://{folder}")
+    assert found() == {"index.md": "# A", "modules/b.md": "", "modules/c d.md": "é", "new.md": "n"}
+    sinks.write_skeleton(files(("index.md", "other")), str(folder), force=True)
+    sinks.write_skeleton(files(("index.md", "other")).limit(0), str(folder))
+    before = found()
+    assert before["index.md"] == "other" and not (folder / "_temporary").exists()
+    for bad in ("../out.md", "/etc/x", "a//b", "", None, "_temporary/x"):
+        with pytest.raises(Exception, match="no name of a file"):
+            sinks.write_skeleton(files(*[(f"f{i}.md", "x") for i in range(20)], (bad, "x")), str(folder), force=True)
+    assert found() == before and not (folder / "_temporary").exists()
+
+
 def test_markdown_walk(spark, tmp_path):
     for name in ("docs/a.md", "docs/archive/b.md", "docs/c.txt"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
