@@ -138,10 +138,40 @@ LANGUAGE_ALIASES = {
     "go": "go", "golang": "go", "golang.org": "go", "pkg.go.dev": "go",
 }
 
-# Licenses of the score table; those whose code others may share in full; sources that other targets share by half.
-FULL_LICENSES = ["MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "BSD-3-Clause", "BSD-2-Clause", "CC0-1.0", "Unlicense", ""]
-SHARING_LICENSES = ["GPL-3.0", "GPL-2.0", "LGPL-3.0", "CC0-1.0", "Unlicense"]
-WEAK_SOURCES = ["GPL-3.0", "GPL-2.0", ""]
+# How well a source's license (the row) goes with a target's (the column); the empty name is a missing license.
+LICENSES = ["MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "BSD-3-Clause", "BSD-2-Clause", "CC0-1.0", "Unlicense", ""]
+LICENSE_SCORES = {
+    "MIT": [1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0],
+    "Apache-2.0": [1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0],
+    "GPL-3.0": [0.5, 0.5, 1.0, 1.0, 1.0, 0.5, 0.5, 1.0, 1.0, 0.5],
+    "GPL-2.0": [0.5, 0.5, 1.0, 1.0, 1.0, 0.5, 0.5, 1.0, 1.0, 0.5],
+    "LGPL-3.0": [1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0],
+    "BSD-3-Clause": [1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0],
+    "BSD-2-Clause": [1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0],
+    "CC0-1.0": [1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0],
+    "Unlicense": [1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0],
+    "": [0.5, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5, 1.0],
+}
+
+# Names of airports in lower case and their codes.
+AIRPORTS = {
+    "深圳": "SZX", "sz": "SZX", "shenzhen": "SZX",
+    "上海": "SHA", "上海虹桥": "SHA", "虹桥": "SHA", "shanghai": "SHA", "shanghai hongqiao": "SHA", "上海浦东": "PVG", "浦东": "PVG", "pudong": "PVG", "pvg": "PVG",
+    "北京": "PEK", "北京首都": "PEK", "首都": "PEK", "beijing": "PEK", "北京大兴": "PKX", "大兴": "PKX", "daxing": "PKX",
+    "广州": "CAN", "guangzhou": "CAN", "gz": "CAN",
+    "成都": "CTU", "成都双流": "CTU", "成都天府": "TFU", "天府": "TFU", "chengdu": "CTU",
+    "杭州": "HGH", "hangzhou": "HGH", "武汉": "WUH", "wuhan": "WUH", "重庆": "CKG", "chongqing": "CKG", "南京": "NKG", "nanjing": "NKG", "厦门": "XMN", "xiamen": "XMN",
+    "三亚": "SYX", "sanya": "SYX", "昆明": "KMG", "kunming": "KMG", "西安": "XIY", "xian": "XIY", "香港": "HKG", "hongkong": "HKG", "hong kong": "HKG",
+}
+
+# Codes of airlines and their names.
+AIRLINES = {
+    "ZH": "深圳航空", "CA": "中国国航", "MU": "东方航空", "CZ": "南方航空", "HU": "海南航空", "3U": "四川航空", "MF": "厦门航空", "SC": "山东航空", "FM": "上海航空", "GS": "天津航空",
+    "8L": "祥鹏航空", "KY": "昆明航空", "JD": "首都航空", "GJ": "长龙航空", "BK": "奥凯航空", "EU": "成都航空", "NS": "河北航空", "QW": "青岛航空", "9C": "春秋航空", "AQ": "九元航空",
+    "DZ": "东海航空", "JR": "幸福航空", "Y8": "金鹏航空", "GT": "桂林航空", "HO": "吉祥航空", "TV": "西藏航空", "UQ": "乌鲁木齐航空", "PN": "西部航空", "LT": "龙江航空",
+    "CX": "国泰航空", "KA": "国泰港龙", "SQ": "新加坡航空", "NH": "全日空", "JL": "日本航空", "KE": "大韩航空", "OZ": "韩亚航空", "EK": "阿联酋航空", "EY": "阿提哈德航空",
+    "QR": "卡塔尔航空", "TK": "土耳其航空", "AF": "法国航空", "LH": "汉莎航空", "BA": "英国航空", "AA": "美国航空", "DL": "达美航空", "UA": "美联航", "AC": "加拿大航空", "QF": "澳洲航空",
+}
 
 # Fixed values: (ecosystem, confidence, marker files, the file named if present, the file named otherwise).
 ECOSYSTEM_MARKERS = [

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import ECOSYSTEM_MARKERS, EXTENSIONS, FULL_LICENSES, LANGUAGE_ALIASES, P0_CATEGORIES, P0_KEYWORDS, P1_CATEGORIES, P1_KEYWORDS, SHARING_LICENSES, WEAK_SOURCES
+from .constants import AIRLINES, ECOSYSTEM_MARKERS, EXTENSIONS, LANGUAGE_ALIASES, LICENSE_SCORES, LICENSES, P0_CATEGORIES, P0_KEYWORDS, P1_CATEGORIES, P1_KEYWORDS
 from .scalars import _steps, version_count_score
 
 #: What a number is multiplied by before it is cut to an integer, and other scores of the registries.
@@ -67,12 +67,16 @@ def https_url(url: Column) -> Column:
 
 def license_score(source: Column, target: Column) -> Column:
     """How well two licenses go together; 0.3 where one isn't known to the table."""
-    known = target.isin(*FULL_LICENSES)
-    full = source.isin(*[x for x in FULL_LICENSES if x not in WEAK_SOURCES])
-    weak = F.when(target.isin(*SHARING_LICENSES), 1.0).otherwise(0.5)
-    return F.when(~known | ~source.isin(*FULL_LICENSES), 0.3).when(full, 1.0).when(source == "", F.when(target == "", 1.0).otherwise(0.5)).otherwise(weak)
+    table = F.create_map(*[F.lit(x) for s, row in LICENSE_SCORES.items() for t, score in zip(LICENSES, row, strict=True) for x in (f"{s}>{t}", score)])
+    return F.coalesce(F.try_element_at(table, F.concat(source, F.lit(">"), target)), F.lit(0.3))
 
 
+def airline_name(code: Column) -> Column:
+    """The airline of a code in any case; one that isn't listed is its own name."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in AIRLINES.items() for x in pair]), F.upper(code)), code)
+
+
+#: The sentences below, and the words of efforts and risks, are fixed values.
 def explain_license(source: Column, target: Column, source_category: Column, target_category: Column, mode: Column) -> Column:
     """One sentence on what the reuse mode of two licenses means."""
     say = F.format_string

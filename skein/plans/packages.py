@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -236,6 +236,31 @@ def train_rows(t: Tables) -> DataFrame:
     return R.trains(of(trains), "l_orderkey", "body").join(p, ["l_orderkey", "train_no"], "left").select("l_orderkey", "position", "train_no", "from_station", F.col("seats")["second"].alias("second"), F.col("seats")["flag"].alias("seat"), F.col("prices")["second"].alias("price"))
 
 
+@query("""
+WITH r AS (SELECT o_custkey AS query, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INTEGER AS position, o_orderkey, o_orderstatus FROM orders WHERE o_custkey % 8 <> 0)
+SELECT query, position, 'S' || o_orderkey::VARCHAR AS name, 'C' || (o_orderkey % 100)::VARCHAR AS code, lower(o_orderstatus) AS pinyin, o_orderstatus AS py_short, CASE WHEN o_orderstatus <> 'P' THEN 'city' ELSE '' END AS city FROM r WHERE position < 15""")
+def station_rows(t: Tables) -> DataFrame:
+    """A station search for each customer; those that failed give none."""
+    k, s = F.col("o_orderkey"), F.col("o_orderstatus")
+    item = F.struct(F.concat(F.lit("S"), k).alias("name"), F.concat(F.lit("C"), k % 100).alias("code"), F.lower(s).alias("pinyin"), s.alias("py_short"), F.when(s != "P", "city").alias("city"))
+    g = _snapshots(t.orders.withColumn("query", F.struct("o_custkey", (F.col("o_custkey") % 8 != 0).alias("ok"))), "query", "o_orderkey", "stations", item, success=F.col("query.ok"))
+    return R.stations(g.select(F.col("query.o_custkey").alias("query"), "body"), "query", "body")
+
+
+@query("""
+WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS nth FROM lineitem)
+SELECT l_orderkey AS train, (nth - 1)::INTEGER AS position, lpad(nth::VARCHAR, 2, '0') AS station_no, 'S' || l_suppkey::VARCHAR AS station_name, CASE WHEN l_linenumber > 1 THEN '08:0' || l_linenumber::VARCHAR ELSE '----' END AS arrive_time, '09:0' || l_linenumber::VARCHAR AS start_time, CASE WHEN l_returnflag = 'A' THEN '3min' ELSE '' END AS stopover_time
+FROM l JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P'""")
+def train_stop_rows(t: Tables) -> DataFrame:
+    """The stops of each train whose answer succeeded."""
+    lines = t.lineitem.withColumn("s", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")).join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderstatus") != "P").alias("ok")), "l_orderkey")
+    lines = lines.withColumns({"key": F.struct("l_orderkey", "ok"), "nth": F.row_number().over(Window.partitionBy("l_orderkey").orderBy("s"))})
+    n = F.col("l_linenumber")
+    stop = F.struct(F.lpad(F.col("nth").cast("string"), 2, "0").alias("station_no"), F.concat(F.lit("S"), "l_suppkey").alias("station_name"), F.when(n > 1, F.concat(F.lit("08:0"), n)).alias("arrive_time"), F.concat(F.lit("09:0"), n).alias("start_time"), F.when(F.col("l_returnflag") == "A", "3min").alias("stopover_time"))
+    g = _snapshots(lines, "key", "s", "stations", stop, success=F.col("key.ok"))
+    return R.train_stops(g.select(F.col("key.l_orderkey").alias("train"), "body"), "train", "body")
+
+
 @query("""
 SELECT c_custkey // 40 AS page, (row_number() OVER (PARTITION BY c_custkey // 40 ORDER BY c_custkey) - 1)::INTEGER AS position, c_custkey AS id, c_name AS title, c_mktsegment AS cityName, printf('%.1fkm', CASE WHEN c_acctbal > 0 THEN c_acctbal + 0.123::DOUBLE ELSE 0 END / 1000) AS length, replace(c_name, '#', '_') AS file FROM customer WHERE (c_custkey // 40) % 4 <> 0""")
 def route_rows(t: Tables) -> DataFrame:
@@ -256,7 +281,7 @@ def route_point_rows(t: Tables) -> DataFrame:
 
 # Scores, licenses and plans.
 
-_LICENSES = [*C.FULL_LICENSES, "Custom", "MPL-2.0", "AGPL-3.0"]
+_LICENSES = [*C.LICENSES, "Custom", "MPL-2.0", "AGPL-3.0"]
 
 
 def _pick(values: list[str], number: Column) -> Column:
@@ -510,6 +535,19 @@ def flight_rows(t: Tables) -> DataFrame:
     return f.select("o_custkey", "position", "price", "type", F.col("airlines")[0].alias("airline"), "emission", first["from_code"].alias("from_code"), P.clock(first["departs"]).alias("departs"))
 
 
+_AIRPORTS, _AIRLINES = list(C.AIRPORTS), [*C.AIRLINES, "xx"]
+
+
+@query(f"""
+WITH a(name, code) AS (VALUES {", ".join(map(str, C.AIRPORTS.items()))}), l(k, airline) AS (VALUES {", ".join(map(str, C.AIRLINES.items()))}),
+n AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'Ab' || o_custkey::VARCHAR WHEN o_orderstatus = 'F' THEN 'pvg' ELSE [{_in(_AIRPORTS)}][(o_orderkey % {len(_AIRPORTS)})::INTEGER + 1] END AS asked, [{_in(_AIRLINES)}][(o_custkey % {len(_AIRLINES)})::INTEGER + 1] AS flown FROM orders)
+SELECT o_orderkey, asked, CASE WHEN regexp_full_match(asked, '[A-Za-z]{{3}}') THEN upper(asked) ELSE coalesce(code, upper(asked)) END AS airport, coalesce(airline, flown) AS airline FROM n LEFT JOIN a ON name = lower(asked) LEFT JOIN l ON k = upper(flown)""")
+def airport_codes(t: Tables) -> DataFrame:
+    s = F.col("o_orderstatus")
+    asked = F.when(s == "P", F.concat(F.lit("Ab"), F.col("o_custkey"))).when(s == "F", "pvg").otherwise(_pick(_AIRPORTS, F.col("o_orderkey")))
+    return t.orders.select("o_orderkey", asked.alias("asked"), S.resolve_code(asked, C.AIRPORTS).alias("airport"), P.airline_name(_pick(_AIRLINES, F.col("o_custkey"))).alias("airline"))
+
+
 @query("""
 WITH seg AS (SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1)::INTEGER AS position, 'G' || (l_partkey % 5)::VARCHAR AS code, (l_suppkey % 7)::VARCHAR AS from_station, l_returnflag AS to_station FROM lineitem),
 p AS (SELECT 'G' || (p_partkey % 5)::VARCHAR AS code, (p_size % 7)::VARCHAR AS from_station, 'A' AS to_station, arg_max(p_retailprice, p_partkey) AS price FROM part GROUP BY ALL)

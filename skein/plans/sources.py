@@ -28,9 +28,10 @@ def _sql(text: str) -> str:
 
 
 def _files(t: Tables, language: str) -> DataFrame:
-    """Python files hold code alone: prose doesn't parse."""
+    """Each document's whole text with code behind it; in Python files the text is a comment, as prose doesn't parse."""
     code = F.element_at(F.array(*map(F.lit, CODE[language])), (F.col("doc_id") % 3 + 1).cast("int"))
-    text = code if language == "python" else F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), code)
+    comment = F.concat(F.lit("# "), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x1F]", " "), F.lit("\n"), code)
+    text = comment if language == "python" else F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), code)
     return t.documents.select(F.col("doc_id").cast("string").alias("path"), F.when(F.col("doc_id") % 11 != 5, text).alias("content"))
 
 
@@ -122,7 +123,7 @@ _PY = [("0", "function", "add", "def add(a: int, b) -> int", "1", "true", 0), ("
 
 
 @query(f"""WITH f AS (SELECT doc_id, doc_id::VARCHAR AS path, doc_id % 11 <> 5 AS has FROM documents), v(k, kind, name, signature, line, doc, ordinal) AS (VALUES {", ".join(map(str, _PY))})
-SELECT path, kind, name, signature, path || ':' || line AS source, doc = 'true' AS doc_available, false AS probed, 0 AS rule, ordinal FROM f JOIN v ON (doc_id % 3)::VARCHAR = k WHERE has
+SELECT path, kind, name, signature, path || ':' || (line::INTEGER + 1)::VARCHAR AS source, doc = 'true' AS doc_available, false AS probed, 0 AS rule, ordinal FROM f JOIN v ON (doc_id % 3)::VARCHAR = k WHERE has
 UNION ALL SELECT path, 'error', 'PARSE_ERROR', CASE WHEN has THEN 'broken' ELSE 'no content' END, path, false, false, -1, 0 FROM f WHERE NOT has OR doc_id % 3 = 2""")
 def python_symbols(t: Tables) -> DataFrame:
     out = symbols.symbols(_files(t, "python"), "python")  # the parser's message differs between versions
@@ -136,18 +137,6 @@ def loose_symbols(t: Tables) -> DataFrame:
     return symbols.loose_symbols(_files(t, "rust").withColumn("content", F.regexp_replace("content", r"[^\x00-\x7f]", "#"))).filter(F.col("symbol").rlike("^[A-Za-z0-9_]+$"))
 
 
-@query(f"""WITH f AS (SELECT (doc_id % 40)::VARCHAR AS package, doc_id, CASE doc_id % 3 WHEN 0 THEN ['run:function', 'Job:struct'] WHEN 1 THEN ['go:function', 'Kind:enum', 'Show:trait'] ELSE [] END AS x FROM documents WHERE doc_id % 11 <> 5),
-s AS (SELECT package, split_part(y, ':', 1) || CASE WHEN split_part(y, ':', 2) = 'function' THEN (doc_id % 19)::VARCHAR ELSE '' END AS name, split_part(y, ':', 2) AS kind, doc_id FROM (SELECT package, doc_id, unnest(x) AS y FROM f)),
-r AS (SELECT *, row_number() OVER (PARTITION BY package ORDER BY doc_id, name) AS n FROM s), k AS (SELECT DISTINCT package, name, dense_rank() OVER (PARTITION BY package ORDER BY name) AS n FROM s WHERE kind = 'function')
-SELECT package, count(*) AS n_symbols, (SELECT string_agg(name, ',' ORDER BY n) FROM r q WHERE q.package = r.package AND n <= 30) AS exports, (SELECT coalesce(string_agg(name, ',' ORDER BY name), '') FROM k WHERE k.package = r.package AND n <= 15) AS keywords, CASE WHEN count(*) > 10 THEN 'medium' ELSE 'low' END AS complexity FROM r GROUP BY package""")
-def package_audit(t: Tables) -> DataFrame:
-    code = F.element_at(F.array(*map(F.lit, CODE["rust"])), (F.col("doc_id") % 3 + 1).cast("int"))
-    files = t.documents.filter("doc_id % 11 <> 5").select(F.col("doc_id").cast("string").alias("path"), code.alias("content"))
-    s = symbols.symbols(files, "rust").withColumn("doc_id", F.col("path").cast("long"))
-    s = s.select((F.col("doc_id") % 40).cast("string").alias("package"), "doc_id", "kind", F.when(F.col("kind") == "function", F.concat("name", F.col("doc_id") % 19)).otherwise(F.col("name")).alias("name"))
-    return symbols.audit(s, "package", ["doc_id", "name"]).withColumns({"exports": F.array_join("exports", ","), "keywords": F.array_join("keywords", ",")})
-
-
 _TABLES = """
 sections AS (SELECT p_partkey::VARCHAR AS section_id, 'docs/' || p_brand || '.md' AS doc_path FROM part), annotations AS (SELECT 'src/' || l_orderkey::VARCHAR AS path, l_linenumber AS line, (l_partkey + l_suppkey % 3 * 1000)::VARCHAR AS section_id FROM lineitem WHERE l_quantity > 40),
 links AS (SELECT 'docs/' || p_brand || '.md' AS doc_path, CASE p_size % 5 WHEN 0 THEN 'http://x' WHEN 1 THEN 'src/a' WHEN 2 THEN 'modules/' || (p_size % 7)::VARCHAR WHEN 3 THEN 'schema/x' ELSE p_brand END AS target FROM part),
@@ -233,3 +222,15 @@ def lateral_symbols(t: Tables) -> DataFrame:
     rows = reduce(DataFrame.unionByName, every)
     broken = (F.col("language") == "python") & (F.col("kind") == "error") & (F.col("signature") != "no content")
     return rows.withColumn("signature", F.when(broken, "broken").otherwise(F.col("signature")))
+
+
+@query(f"""WITH s AS (SELECT l.language || ':' || coalesce(source, '') AS package, l.* EXCLUDE (language), doc_id FROM (SELECT * FROM ({ORACLES["lateral_symbols"]})) l JOIN documents ON doc_id::VARCHAR = path WHERE kind <> 'error'),
+r AS (SELECT *, row_number() OVER (PARTITION BY package ORDER BY doc_id, rule, ordinal, name) AS n FROM s), k AS (SELECT DISTINCT package, name, dense_rank() OVER (PARTITION BY package ORDER BY name) AS n FROM s WHERE kind = 'function'),
+w AS (SELECT package, string_agg(name, ',' ORDER BY n) AS keywords FROM k WHERE n <= 15 GROUP BY package), g AS (SELECT package, count(*) AS n_symbols, string_agg(name, ',' ORDER BY n) FILTER (n <= 30) AS exports, CASE WHEN count(*) > 10 THEN 'medium' ELSE 'low' END AS complexity FROM r GROUP BY package)
+SELECT package, n_symbols, exports, coalesce(keywords, '') AS keywords, complexity FROM g LEFT JOIN w USING (package)""")
+def package_audit(t: Tables) -> DataFrame:
+    """An audit of each source's files in every language, over whole texts."""
+    source = t.documents.select(F.col("doc_id").cast("string").alias("path"), "doc_id", F.coalesce("source", F.lit("")).alias("of"))
+    every = [symbols.symbols(_files(t, x), x).filter("kind <> 'error'").select("path", "kind", "name", "rule", "ordinal", F.lit(x).alias("language")) for x in analyzers.LANGUAGES]
+    rows = reduce(DataFrame.unionByName, every).join(source, "path").withColumn("package", F.concat_ws(":", "language", "of"))
+    return symbols.audit(rows, "package", ["doc_id", "rule", "ordinal", "name"]).withColumns({"exports": F.array_join("exports", ","), "keywords": F.array_join("keywords", ",")})

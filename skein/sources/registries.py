@@ -180,6 +180,22 @@ def trains(snapshots: DataFrame, key: str, body: str) -> DataFrame:
     return parsed.select(key, F.posexplode("a.trains").alias("position", "t")).select(key, "position", "t.*")
 
 
+def stations(snapshots: DataFrame, key: str, body: str, limit: int = 15) -> DataFrame:
+    """The stations that a search found: name, code, pinyin, its short form and the city, which may be empty. Searches that failed give none."""
+    schema = "success boolean, stations array<struct<name string, code string, pinyin string, py_short string, city string>>"
+    parsed = snapshots.select(F.col(key), F.from_json(F.col(body), schema).alias("a")).filter("a.success")
+    rows = parsed.select(key, F.posexplode(F.slice("a.stations", 1, limit)).alias("position", "s"))
+    return rows.select(key, "position", "s.name", "s.code", "s.pinyin", "s.py_short", _text(F.col("s.city")).alias("city"))
+
+
+def train_stops(snapshots: DataFrame, key: str, body: str) -> DataFrame:
+    """The stops of a train in order; a time that isn't known is ``----``, a stay that isn't known empty. Answers that failed give none."""
+    schema = "success boolean, stations array<struct<station_no string, station_name string, arrive_time string, start_time string, stopover_time string>>"
+    parsed = snapshots.select(F.col(key), F.from_json(F.col(body), schema).alias("a")).filter("a.success")
+    time = lambda c: F.coalesce(F.col(c), F.lit("----"))
+    return parsed.select(key, F.posexplode("a.stations").alias("position", "s")).select(key, "position", "s.station_no", "s.station_name", time("s.arrive_time").alias("arrive_time"), time("s.start_time").alias("start_time"), _text(F.col("s.stopover_time")).alias("stopover_time"))
+
+
 def train_prices(snapshots: DataFrame, key: str, body: str) -> DataFrame:
     """One row per train code of an answer that succeeded: its prices; of repeated codes the last."""
     parsed = snapshots.select(F.col(key), F.from_json(F.col(body), "success boolean, data array<struct<train_code string, prices map<string, string>>>").alias("a")).filter("a.success")
