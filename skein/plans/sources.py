@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import analyzers, integrity, symbols
+from ..sources import answers, readers, sinks
 from .queries import ORACLES, Tables, query
 
 # Each document's own text with code behind it: what the patterns must find, and what they find by chance.
@@ -234,3 +235,32 @@ def package_audit(t: Tables) -> DataFrame:
     every = [symbols.symbols(_files(t, x), x).filter("kind <> 'error'").select("path", "kind", "name", "rule", "ordinal", F.lit(x).alias("language")) for x in analyzers.LANGUAGES]
     rows = reduce(DataFrame.unionByName, every).join(source, "path").withColumn("package", F.concat_ws(":", "language", "of"))
     return symbols.audit(rows, "package", ["doc_id", "rule", "ordinal", "name"]).withColumns({"exports": F.array_join("exports", ","), "keywords": F.array_join("keywords", ",")})
+
+
+def _tree(t: Tables) -> str:
+    """A folder of source files and documents, one for each supplier and kind, written file by file."""
+    folder, k = answers.folder_for(t.spark, "tree"), F.col("s_suppkey")
+    place = F.concat(F.when(k % 5 == 0, "node_modules/").when(k % 5 == 1, "docs/").otherwise("src/"), F.lit("n"), F.col("s_nationkey").cast("string"), F.lit("/f"), k.cast("string"))
+    files = t.supplier.select(F.explode(F.array(*(F.struct(F.concat(place, F.lit(end)).alias("name"), F.concat(F.lit(head), "s_name").alias("content")) for end, head in ((".py", "x = "), (".md", "# "), (".txt", ""))))).alias("f")).select("f.*")
+    sinks.write_skeleton(files, folder)
+    return folder
+
+
+_TREE = "SELECT CASE s_suppkey % 5 WHEN 0 THEN 'node_modules/' WHEN 1 THEN 'docs/' ELSE 'src/' END || 'n' || s_nationkey::VARCHAR || '/f' || s_suppkey::VARCHAR || {end} AS path, {head} || s_name AS content, length({head} || s_name)::BIGINT AS length FROM supplier WHERE {keep}"
+
+
+def _below(files: DataFrame, folder: str) -> DataFrame:
+    return files.select(F.element_at(F.split("path", folder.rsplit("/", 1)[1] + "/"), -1).alias("path"), "content", "length")
+
+
+@query(_TREE.format(end="'.py'", head="'x = '", keep="s_suppkey % 5 <> 0"))
+def source_walk(t: Tables) -> DataFrame:
+    """Source files by their suffix, without those below skipped folders."""
+    folder = _tree(t)
+    return _below(readers.source_files(t.spark, folder, [".py"], ["node_modules"]), folder)
+
+
+@query(_TREE.format(end="'.md'", head="'# '", keep="s_suppkey % 5 = 1"))
+def markdown_walk(t: Tables) -> DataFrame:
+    folder = _tree(t)
+    return _below(readers.source_files(t.spark, folder, [".md"], ["node_modules", "src"]), folder)

@@ -14,6 +14,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from skein.functions import capabilities
+from skein.functions import constants as C
 from skein.functions import scalars as S
 from skein.operators import analyzers, dedup, extract, folds, integrity, joins, matching, ranking, state, symbols
 from skein.operators.dedup_index import DedupIndex
@@ -515,6 +517,28 @@ def test_json_default_and_source_files(spark, tmp_path):
     assert len(got.select(readers.fingerprint(F.col("content"), F.col("length"), F.col("mtime")).alias("f")).first().f) == 64
 
 
+def test_capabilities_align(spark):
+    table = capabilities.starter(spark)
+    pairs = table.select(F.struct("*").alias("a")).crossJoin(table.select(F.struct("*").alias("b")))
+    rows = capabilities.alignment(pairs, "a", "b").collect()
+    assert table.count() == 15 and len(rows) == 225
+
+    def shape(x, y):
+        keys = x.keys() | y.keys()
+        return 1.0 if not keys else 0.3 if not x or not y else sum(1 if x.get(k) == y.get(k) else 0.3 if k not in x or k not in y else 0 for k in keys) / len(keys)
+
+    for r in rows:
+        a, b = r.a, r.b
+        io = len(set(a.io_patterns) & set(b.io_patterns)) / max(len(set(a.io_patterns) | set(b.io_patterns)), 1)
+        fmt = len(set(a.formats_out) & set(b.formats_in)) / len(set(a.formats_out))
+        err = len(set(a.errors) & set(b.errors)) / max(len(a.errors), len(b.errors), 1)
+        run = 1.0 - 0.5 * (a.runtime["async"] and not b.runtime["async"]) - 0.2 * (a.runtime["threadsafe"] != b.runtime["threadsafe"])
+        row = C.LICENSE_SCORES.get(a.license)
+        lic = row[C.LICENSES.index(b.license)] if row and b.license in C.LICENSES else 0.3
+        assert r.overall == pytest.approx(0.25 * io + 0.25 * fmt + 0.15 * err + 0.15 * shape(a.shape, b.shape) + 0.1 * run + 0.1 * lic)
+        assert ("error" in r.misfits) == (err < 0.3 and bool(a.errors or b.errors)) and ("io" in r.misfits) == (io < 0.5) and ("license" in r.misfits) == (lic < 0.5)
+
+
 def test_license_rules(spark):
     df = spark.createDataFrame([("MIT", "GPL-3.0"), ("GPL-3.0", "MIT"), ("", "MIT"), ("Odd", "MIT"), ("MIT", "")], "a string, b string")
     assert [r.m for r in df.select(matching.reuse_mode(F.col("a"), F.col("b")).alias("m")).collect()] == ["copy", "reference_only", "reference_only", "avoid", "reference_only"]
