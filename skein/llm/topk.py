@@ -2,11 +2,11 @@
 
 Each task holds a block of vectors and, for each component, that component's list of rows sorted by
 value. For a query all lists are read side by side, a step at a time, from the end that the sign of
-the query's component prefers. What has been read gives every vector an upper score bound: a
-component not read yet counts as the last value read from its list. After each step the best placed
-vectors get their final scores; the k-th best final score so far, in this block or an earlier one,
-is a lower bound of what qualifies. Reading stops when few vectors, or none, can still reach it, and
-only those get their final scores."""
+the query's component prefers. What has been read gives every vector two score bounds: a component
+not read yet counts at most as the last value read from its list, and at least as the list's last
+one. The k-th best lower bound, or the k-th best final score of earlier blocks if that is higher, is
+what an outsider has to reach. Reading stops when few vectors, or none besides the k best, still
+can; only then are final scores resolved, for those vectors alone."""
 
 from __future__ import annotations
 
@@ -20,8 +20,8 @@ from pyspark.sql.window import Window
 
 from .shared import materialise
 
-#: The shares of the lists up to which the steps read.
-DEPTHS = (0.3, 0.45, 0.55, 0.65, 0.75, 0.85, 0.95, 1.0)
+#: The shares of the lists up to which the steps read, and for how many times k vectors final scores are resolved.
+DEPTHS, RESOLVED = (0.3, 0.45, 0.6, 0.7, 0.8, 0.88, 0.94, 0.98, 1.0), 4
 #: Integers from here on aren't exact as floats; scores are kept within the range of long.
 EXACT, LONG = float(2**53), 2**63
 
@@ -60,19 +60,22 @@ class Lists:
         self.read = np.zeros((self.n, self.d), bool)
 
     def search(self, q: np.ndarray, k: int, floor: int | None, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Rows that may be among the query's k best, their final scores, and the share of the lists read.
+        """Rows that may be among the query's k best, their final scores, and the share of the lists read sequentially.
 
         ``floor``: a score that k vectors of earlier blocks have reached; ``skip``: rows that are no candidates."""
         n, used = self.n, np.flatnonzero(q)  # a component of 0 adds nothing
-        alive, done = np.flatnonzero(~skip), np.zeros(n, bool)
-        if _large(self.x, q) or not len(used):  # bounds wouldn't be exact; or all scores are 0
-            return alive, _scores(self.x[alive], q), 1.0
+        alive, at = np.flatnonzero(~skip), 0
         up, down = used[q[used] > 0], used[q[used] < 0]
         columns, weight = np.concatenate([up, down]), np.concatenate([q[up], q[down]])
-        self.read[:] = False
-        known, at, rows, scores = np.zeros(n), 0, [], []
-        if floor is not None and weight @ np.concatenate([self.values[-1, up], self.values[0, down]]) < floor:
+        if not len(columns):  # all scores are 0
+            return alive, np.zeros(len(alive), np.int64), 0.0
+        first, worst = weight * np.concatenate([self.values[-1, up], self.values[0, down]]), weight * np.concatenate([self.values[0, up], self.values[-1, down]])
+        # What sums of floats may be off by; integers below 2**53 are exact.
+        slack = 4 * self.d * 2.0**-52 * np.maximum(np.abs(first), np.abs(worst)).sum() if _large(self.x, q) else 0.0
+        if floor is not None and first.sum() + slack < floor:
             return alive[:0], np.zeros(0, np.int64), 0.0
+        self.read[:] = False
+        known = np.zeros(n)
         for depth in DEPTHS:
             to = max(at + 1, int(n * depth)) if at < n else n
             new = np.concatenate([self.order[n - to : n - at, up], self.order[at:to, down]], axis=1)
@@ -81,29 +84,16 @@ class Lists:
             self.read.ravel()[(new * self.d + columns).ravel()] = True
             at = to
             last = weight * np.concatenate([self.values[n - at, up], self.values[at - 1, down]])
-            upper = known[alive] + last.sum() - self.read[np.ix_(alive, columns)] @ last
+            read = self.read[np.ix_(alive, columns)]
+            upper, lower = known[alive] + last.sum() - read @ last, known[alive] + worst.sum() - read @ worst
+            if len(alive) >= k:  # scores are kept within the range of long, and so is what is asked of them
+                reached = min(float(np.partition(lower, len(lower) - k)[len(lower) - k]) - slack, float(LONG - 1024))
+                floor = reached if floor is None else max(floor, reached)
             if floor is not None:
-                able = upper >= floor
-                alive, upper = alive[able], upper[able]
-            if at == n:
-                break
-            # The best placed get their final scores, which may raise the floor.
-            best = alive[np.argpartition(upper, len(alive) - 2 * k)[len(alive) - 2 * k :]] if len(alive) > 2 * k else alive
-            best = best[~done[best]]
-            if len(best):
-                done[best] = True
-                rows.append(best)
-                scores.append(_scores(self.x[best], q))
-                top = np.concatenate(scores)
-                if len(top) >= k:
-                    reached = int(np.partition(top, len(top) - k)[len(top) - k])
-                    floor = reached if floor is None else max(floor, reached)
-                    alive = alive[upper >= floor]
-            if len(alive) <= 4 * k:
+                alive = alive[upper + slack >= floor]
+            if at == n or len(alive) <= RESOLVED * k:
                 break
-        rest = alive[~done[alive]]
-        rows, scores = np.concatenate([*rows, rest]), np.concatenate([*scores, _scores(self.x[rest], q)])
-        return rows, scores, at / n
+        return alive, _scores(self.x[alive], q), at / n
 
 
 def scaled(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -121,7 +111,8 @@ def top_k(vectors: DataFrame, k: int = 10, is_query: F.Column | None = None, id_
     is no candidate; of repeated query ids the least vector asks. Fewer candidates give fewer rows; ties go to
     the smaller id. Vectors of other lengths count as padded with zeros. Queries are taken in blocks
     of about ``queries_at_once``, each sent to all tasks; every block is held against all rows.
-    Scores beyond the range of long count as its end. Empty tables give no rows."""
+    Scores beyond the range of long count as its end. Null vectors and those with null or non-finite components take no
+    part; other columns are not read. Empty tables give no rows."""
     spark = vectors.sparkSession
     rows = scaled(vectors, id_col, vector_col, scale)
     asked = rows.filter(F.col("vec_id") % 100 == 0 if is_query is None else is_query).groupBy("vec_id").agg(F.min("v").alias("v"))

@@ -523,6 +523,21 @@ def test_few_vectors_get_final_scores_on_embeddings(spark):
         assert len(rows) < 0.05 * len(x) and depth < 1 and sorted(got)[-10:] == sorted(np.delete(x @ x[i], i))[-10:]
 
 
+def test_final_scores_are_resolved_after_reading(monkeypatch):
+    rnd = np.random.default_rng(5)
+    x = np.floor(rnd.normal(size=(800, 6)) * 100)
+    asked, real = [], topk._scores
+    monkeypatch.setattr(topk, "_scores", lambda rows, q: asked.append(len(rows)) or real(rows, q))
+    for scale in (1, 2.0**40):
+        lists = topk.Lists(x * scale)
+        for q in np.floor(rnd.normal(size=(15, 6)) * 100):
+            asked.clear()
+            rows, got, depth = lists.search(q, 5, None, np.zeros(800, bool))
+            want = np.sort(x @ q)[-5:]
+            assert len(asked) == 1 and asked[0] == len(rows) <= 40 and 0 < depth <= 1
+            assert np.array_equal(np.sort(x[rows] @ q)[-5:], want)
+
+
 def test_topk_of_large_values_and_repeated_rows(spark):
     rows = [(i, [float(2**60 + i % 3), -(2.0**59)]) for i in range(0, 60, 10)] + [(10, [1.0, 1.0]), (20, [2.0**300, 0.0])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 3, F.col("vec_id") == 0, scale=1).collect()
