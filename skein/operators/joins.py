@@ -35,7 +35,7 @@ def lookup_default(rows: DataFrame, rules: DataFrame, keys: list[str], defaults:
 
 
 def contains_join(needles: DataFrame, haystacks: DataFrame, needle: str, text: str, gram: int = 3, case: bool = False, parts: int = 16) -> DataFrame:
-    """Pairs in which the text contains the needle; with ``case``, in the same case. The tables share no column names.
+    """Pairs in which the text contains the needle; with ``case``, in the same case. Both tables' columns, whatever their names.
 
     Not a nested loop: each distinct needle is keyed by the rarest of its character sequences of length ``gram``, counted
     over the texts, and joined with the texts that hold that sequence; only those pairs are compared. Needles that begin
@@ -58,7 +58,7 @@ def contains_join(needles: DataFrame, haystacks: DataFrame, needle: str, text: s
     rarest = own.join(count, key, "left").groupBy(low).agg(F.min_by(key, F.struct(part, key)).alias(key), F.bool_and(F.col(part).isNotNull()).alias(part)).filter(part).select(low, key)
     dealt = n.join(rarest, low).withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     exploded = t.withColumn(part, F.pmod(F.xxhash64(*haystacks.columns), F.lit(parts)).cast("int")).withColumn(key, F.explode(held))
-    return dealt.join(exploded, [key, part]).filter(F.contains(low_text, low)).select(*needles.columns, *haystacks.columns)
+    return dealt.join(exploded, [key, part]).filter(F.contains(low_text, low)).drop(key, part, low, low_text)
 
 
 def exact_else_partial(queries: DataFrame, index: DataFrame, wanted: str, name: str, seq: str) -> DataFrame:
