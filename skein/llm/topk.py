@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from .shared import materialise
 
 #: The shares of the lists up to which the steps read, and for how many times k vectors final scores are resolved.
-DEPTHS, RESOLVED = (0.3, 0.45, 0.6, 0.7, 0.8, 0.88, 0.94, 0.98, 1.0), 4
+DEPTHS, RESOLVED = (0.55, 0.75, 0.95, 1.0), 8
 #: Integers from here on aren't exact as floats; scores are kept within the range of long.
 EXACT, LONG = float(2**53), 2**63
 
