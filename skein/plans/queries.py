@@ -239,7 +239,7 @@ hit AS (SELECT k, requirement, arg_min(st, pos) AS st FROM gaps, reqs WHERE cont
 SELECT n.k AS s_nationkey, requirement, CASE lower(trim(coalesce(st, ''))) WHEN 'yes' THEN 'supported' WHEN 'partially' THEN 'partial' ELSE 'missing' END AS status
 FROM (SELECT DISTINCT k FROM gaps) n CROSS JOIN reqs LEFT JOIN hit USING (k, requirement)""")
 def coverage_theta_first(t: Tables) -> DataFrame:
-    pairs = t.lineitem.join(t.supplier.withColumnRenamed("s_suppkey", "l_suppkey"), "l_suppkey").select("s_nationkey", "l_partkey").distinct()
+    pairs = t.lineitem.join(t.supplier.withColumnRenamed("s_suppkey", "l_suppkey"), "l_suppkey").select("s_nationkey", "l_partkey")
     st = F.when(F.col("p_size") < 15, " Yes ").when(F.col("p_size") < 35, "partially").otherwise("no")
     gaps = pairs.join(t.part.withColumnRenamed("p_partkey", "l_partkey"), "l_partkey").select("s_nationkey", F.col("l_partkey").alias("pos"), F.concat_ws(" ", "p_brand", "p_type").alias("gap"), st.alias("status"))
     wanted = t.spark.createDataFrame([(r,) for r in _REQS], "requirement string")
