@@ -331,7 +331,7 @@ def tier_decisions(t: Tables) -> DataFrame:
 @query("""
 WITH o AS (SELECT o_orderkey, CASE o_custkey % 6 WHEN 0 THEN 'import' WHEN 1 THEN 'subprocess_json' WHEN 2 THEN 'pyo3' WHEN 3 THEN 'ffi_cffi' WHEN 4 THEN 'other' END AS mode, CASE WHEN o_custkey % 4 = 0 THEN 'why' ELSE '' END AS why, CASE WHEN o_custkey % 5 <> 0 THEN (o_custkey % 10) / 10::DOUBLE END AS al, CASE WHEN o_custkey % 5 <> 0 THEN o_custkey % 6 END AS warn,
   CASE WHEN o_custkey % 7 <> 0 THEN 'python' END AS src, CASE WHEN o_custkey % 3 = 0 THEN 'python' ELSE 'rust' END AS dst, o_orderstatus = 'F' AS files, CASE WHEN o_orderstatus = 'P' THEN 'out' ELSE '' END AS dir FROM orders),
-m AS (SELECT l_orderkey, avg(c) AS mean, count(*) AS n, count(*) FILTER (c >= 0.5) / count(*)::DOUBLE AS high, bool_or(c < 0.5) AS low FROM (SELECT l_orderkey, round(l_quantity / 53, 4) AS c FROM lineitem WHERE l_linenumber < 7) GROUP BY 1),
+m AS (SELECT l_orderkey, avg(c) AS mean, count(*) AS n, count(*) FILTER (c >= 0.5) / count(*)::DOUBLE AS high, bool_or(c < 0.5) AS low FROM (SELECT l_orderkey, round(l_quantity / 53, 4) AS c FROM lineitem) GROUP BY 1),
 j AS (SELECT o.*, coalesce(n, 0) AS n, mean, high, low FROM o LEFT JOIN m ON l_orderkey = o_orderkey)
 SELECT o_orderkey,
  round(least(CASE WHEN mode IS NOT NULL THEN 0.25 + CASE WHEN why <> '' THEN 0.15 ELSE 0 END ELSE 0 END + CASE WHEN al IS NOT NULL THEN 0.2 + CASE WHEN al > 0.5 THEN 0.1 ELSE 0 END ELSE 0 END + CASE WHEN n = 0 THEN 0 WHEN round(mean, 9) > 0.7 THEN 0.2 ELSE 0.1 END + CASE WHEN dir <> '' THEN 0.1 ELSE 0 END, 1)::DOUBLE, 3) AS architecture,
@@ -342,7 +342,7 @@ SELECT o_orderkey,
 def plan_scores(t: Tables) -> DataFrame:
     c = F.col("o_custkey")
     modes = F.when(c % 6 == 0, "import").when(c % 6 == 1, "subprocess_json").when(c % 6 == 2, "pyo3").when(c % 6 == 3, "ffi_cffi").when(c % 6 == 4, "other")
-    lines = t.lineitem.filter("l_linenumber < 7").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.round(F.col("l_quantity") / 53, 4)).alias("conf"))
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.round(F.col("l_quantity") / 53, 4)).alias("conf"))
     j = t.orders.join(lines, "o_orderkey", "left").withColumn("conf", F.coalesce("conf", F.array().cast("array<double>"))).withColumn("mode", modes)
     why, al, warn = F.when((c % 4 == 0) & F.col("mode").isNotNull(), "why").otherwise(""), F.when(c % 5 != 0, (c % 10) / 10), F.when(c % 5 != 0, c % 6)
     src, dst = F.when(c % 7 != 0, "python"), F.when(c % 3 == 0, "python").otherwise("rust")
@@ -485,15 +485,23 @@ def doi_dedup(t: Tables) -> DataFrame:
     return dedup.first_per_key(t.documents.select("doc_id", doi.alias("doi")), F.col("doi"), "doc_id")
 
 
-_PARAMS = [["path", "mode"], ["file_path", "open_mode", "x"], ["pathname", "modes"], ["url", "time_out"], ["timeout", "URL"], [], ["a", "a", "b"]]
-
-
-@query()
+@query("""
+WITH RECURSIVE w AS (SELECT p_partkey AS k, list_distinct_in_order AS a FROM (SELECT p_partkey, [split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), 'my_' || split_part(p_name, ' ', 2), lower(p_type), split_part(p_name, ' ', 1)] AS l, list_filter(l, lambda x, i: NOT list_contains(l[1:i - 1], x)) AS list_distinct_in_order FROM part)),
+p AS (SELECT w.k, w.a, coalesce((SELECT b.a FROM w b WHERE b.k = w.k + 7), []) AS b FROM w),
+r(k, i, rest, free, found, missing) AS (
+  SELECT k, 1, list_filter(a, lambda x: NOT list_contains(b, x)), list_filter(b, lambda x: NOT list_contains(a, x)), list_transform(list_filter(a, lambda x: list_contains(b, x)), lambda x: {'src_name': x, 'dst_name': x, 'transform': 'identity'}), [x for x in [{'src_name': '', 'dst_name': '', 'transform': ''}] if false] FROM p
+  UNION ALL SELECT k, i + 1, rest, CASE WHEN best IS NULL THEN free ELSE list_filter(free, lambda x: x <> best.d) END,
+    CASE WHEN best IS NULL THEN found ELSE list_append(found, {'src_name': s, 'dst_name': best.d, 'transform': CASE WHEN best.c <= -1 THEN 'identity' ELSE 'rename' END}) END, CASE WHEN best IS NULL THEN list_append(missing, {'src_name': s, 'dst_name': '#MISSING', 'transform': 'unwrap'}) ELSE missing END
+  FROM (SELECT *, list_sort(list_filter(list_transform(free, lambda d, n: {'c': -(CASE WHEN replace(d, '_', '') = x THEN 1.0::DOUBLE WHEN contains(x, replace(d, '_', '')) OR contains(replace(d, '_', ''), x) THEN 0.85::DOUBLE ELSE 1 - levenshtein(x, replace(d, '_', '')) / greatest(length(x), length(replace(d, '_', '')))::DOUBLE END), 'n': n, 'd': d}), lambda y: -y.c > 0.6::DOUBLE))[1] AS best
+    FROM (SELECT *, rest[i] AS s, replace(rest[i], '_', '') AS x FROM r WHERE i <= len(rest))))
+SELECT k AS p_partkey, to_json(list_concat(found, missing))::VARCHAR AS params FROM r WHERE i > len(rest)""")
 def param_matches(t: Tables) -> DataFrame:
-    """Greedy matching inside arrays has no plain SQL; a test holds it against loops."""
-    lists = F.array(*[F.array(*map(F.lit, x)).cast("array<string>") for x in _PARAMS])
-    at = lambda c: F.element_at(lists, (c % len(_PARAMS) + 1).cast("int"))
-    return t.part.select("p_partkey", F.to_json(matching.match_params(at(F.col("p_partkey")), at(F.floor(F.col("p_partkey") / len(_PARAMS))))).alias("params"))
+    """The words of each part's name and type, as parameter names, given to those of the seventh part after it."""
+    word = lambda n: F.split_part("p_name", F.lit(" "), F.lit(n))
+    names = t.part.select("p_partkey", F.array(word(1), word(2), F.concat(F.lit("my_"), word(2)), F.lower("p_type"), word(1)).alias("src"))
+    other = names.select((F.col("p_partkey") - 7).alias("p_partkey"), F.col("src").alias("dst"))
+    none = F.array().cast("array<string>")
+    return names.join(other, "p_partkey", "left").select("p_partkey", F.to_json(matching.match_params(F.col("src"), F.coalesce("dst", none))).alias("params"))
 
 
 _URLS = ["https://github.com/acme/tool", "https://github.com/org/repo.git", "git@github.com:user/project.git", "/path/to/my-repo/", "acme/too.l", "https://x.org/%%", " http://x.org/a.b "]

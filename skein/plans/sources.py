@@ -131,11 +131,14 @@ def python_symbols(t: Tables) -> DataFrame:
     return out.withColumn("signature", F.when((F.col("kind") == "error") & (F.col("signature") != "no content"), "broken").otherwise(F.col("signature")))
 
 
-@query(f"""WITH {_files_sql("rust")}, m AS (SELECT path, unnest(list_zip(regexp_extract_all(c, '{symbols.LOOSE}', 1), regexp_extract_all(c, '{symbols.LOOSE}', 2))) AS m FROM f WHERE c IS NOT NULL)
-SELECT DISTINCT path, symbol FROM (SELECT path, coalesce(nullif(m[1], ''), m[2]) AS symbol FROM m) WHERE symbol <> '' AND symbol NOT IN ('if', 'for', 'while', 'return', 'import') AND regexp_full_match(symbol, '[A-Za-z0-9_]+')""")
+# The SQL engine's word characters are ASCII: there the pattern names those of all scripts.
+_LOOSE = symbols.LOOSE.replace(r"\w", r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]")
+
+
+@query(f"""WITH {_files_sql("rust")}, m AS (SELECT path, unnest(list_zip(regexp_extract_all(c, '{_LOOSE}', 1), regexp_extract_all(c, '{_LOOSE}', 2))) AS m FROM f WHERE c IS NOT NULL)
+SELECT DISTINCT path, symbol FROM (SELECT path, coalesce(nullif(m[1], ''), m[2]) AS symbol FROM m) WHERE symbol <> '' AND symbol NOT IN ('if', 'for', 'while', 'return', 'import')""")
 def loose_symbols(t: Tables) -> DataFrame:
-    # The SQL engine's word characters are ASCII; names with others are left to the tests.
-    return symbols.loose_symbols(_files(t, "rust").withColumn("content", F.regexp_replace("content", r"[^\x00-\x7f]", "#"))).filter(F.col("symbol").rlike("^[A-Za-z0-9_]+$"))
+    return symbols.loose_symbols(_files(t, "rust"))
 
 
 _TABLES = """
