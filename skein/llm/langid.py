@@ -80,9 +80,8 @@ class Model:
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """Each row's probability of each language from the loss-weighted distances."""
-        margin = x @ self.weights + self.bias
-        loss = np.log1p(np.exp(-np.clip(margin[:, None, :] * self.code[None], -30, 30)))
-        far = -(loss * self.trust[None]).sum(axis=2)
+        margin = np.clip(x @ self.weights + self.bias, -30, 30)
+        far = -(np.log1p(np.exp(-margin)) @ (self.trust * (self.code > 0)).T + np.log1p(np.exp(margin)) @ (self.trust * (self.code < 0)).T)
         p = np.exp(far - far.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
@@ -106,28 +105,30 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], steps: int = 150, deca
     return Model(langs, code, w, b, (trust / trust.sum(axis=1, keepdims=True) * code.shape[1]).astype(np.float32))
 
 
-def fit(labelled: DataFrame, max_docs: int = 4000, max_languages: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+def fit(labelled: DataFrame, max_docs: int = 4000, max_languages: int | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int = 16) -> Model | None:
     """Learns from rows of (id, text, language) whose language and text aren't null.
 
-    ``max_docs`` bounds the sample, spread evenly over the languages (about, and at most twice that
-    in all): rows enter by a hash of their id and text. Their whole texts are read. Of more than ``max_languages``
-    languages the commonest are learnt. No rows: None."""
+    ``max_docs`` bounds the sample, spread evenly over the languages (about; at least one row of each is looked
+    for): rows enter by a hash of their id and text, equal ones once. Their whole texts are read, in ``parts`` tasks.
+    All languages are learnt, or, where ``max_languages`` is given, so many of the commonest. No rows: None."""
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    commonest = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang")
+    counts = {r.lang: r.n for r in (commonest.limit(max_languages) if max_languages else commonest).collect()}  # a row per language, as the model has
     if not counts:
         return None
     langs = sorted(counts)
     per = max(1, max_docs // len(langs))
-    draw = (F.pmod(F.xxhash64("doc_id", F.length("text"), F.lit("draw")), F.lit(1 << 30)) / F.lit(1 << 30)).alias("u")
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("draw")), F.lit(1 << 30)) / F.lit(1 << 30)
     chance = F.create_map(*[F.lit(v) for x in langs for v in (x, min(1.0, per / counts[x]))])
-    sample = rows.filter(draw < chance[F.col("lang")]).select("text", "lang").limit(2 * max_docs)
+    drawn = rows.filter(draw < chance[F.col("lang")]).groupBy("lang", F.xxhash64("doc_id", "text").alias("h")).agg(F.min("text").alias("text"))
+    sample = drawn.select("text", "lang").repartition(parts)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, x in features(b.column("text")):
                 yield pa.RecordBatch.from_arrays([pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary()), b.column("lang").slice(i, j - i)], ["x", "lang"])
 
-    got = sample.mapInArrow(vectors, "x binary, lang string").toArrow()  # at most 2 * max_docs rows of fixed size
+    got = sample.mapInArrow(vectors, "x binary, lang string").toArrow()  # about max_docs rows of fixed size
     if not got.num_rows:
         return None
     x = np.stack([np.frombuffer(r, np.float16) for r in got.column("x").to_pylist()]).astype(np.float32)

@@ -9,6 +9,7 @@ import hashlib
 import io
 import itertools
 import lzma
+import math
 import random
 import re
 import string
@@ -236,6 +237,57 @@ def test_language_id_on_the_tables(spark):
     assert langid.fit(docs.filter("lang is not null"), max_languages=1).langs == [docs.groupBy("lang").count().filter("lang is not null").orderBy(F.desc("count")).first().lang]
 
 
+def plain_language(model, text):
+    """(language, score, lead) by loops over n-grams, bits and languages."""
+    raw = [b if 97 <= b < 123 or b >= 128 else 0 for b in text.lower().encode()]
+    shares = {}
+    for i, b in enumerate(raw):
+        one, two = raw[i - 1] if i else 0, raw[i - 2] if i > 1 else 0
+        if b or one:
+            for code in (b, one * 257 + b, (two * 257 + one) * 257 + b + 77):
+                at = (code * 2654435761 % 2**32) >> 19
+                shares[at] = shares.get(at, 0) + 1
+    total = sum(shares.values())
+    far = []
+    for word, trust in zip(model.code, model.trust, strict=True):
+        loss = 0.0
+        for bit in range(len(word)):
+            margin = float(model.bias[bit]) + sum((n / total) ** 0.5 * float(model.weights[at, bit]) for at, n in shares.items())
+            loss += float(trust[bit]) * math.log1p(math.exp(-margin * float(word[bit])))
+        far.append(loss)
+    p = [math.exp(min(far) - x) for x in far]
+    ranked = sorted((x / sum(p) for x in p), reverse=True)
+    return model.langs[far.index(min(far))], ranked[0], ranked[0] - ranked[1]
+
+
+def test_language_decoding_equals_loops(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    sure = 0
+    for r in langid.predict(docs, model).filter("lang_pred != 'und'").collect():
+        lang, score, lead = plain_language(model, texts[r.doc_id])
+        assert abs(score - r.score) < 1e-3
+        if lead > 1e-3:
+            assert lang == r.lang_pred
+        if abs(lead - 0.2) > 1e-3:
+            assert r.ambiguous == (lead < 0.2)
+            sure += 1
+    assert sure > 100
+
+
+def test_language_id_learns_rare_languages_and_repeated_rows(spark):
+    """Each of 40 languages is learnt, the rarest from one row; a row that repeats without end counts once."""
+    word = lambda i: "".join(chr(97 + (i * k + i // 26) % 26) for k in (3, 5, 7, 11))
+    rows = [(i * 100 + n, f"{word(i)} {word(i)[::-1]} " * 9, f"l{i:02}") for i in range(40) for n in range(1 if i == 39 else 4)]
+    rows += [(7, "same text", "l00")] * 3000 + [(None, "null id", "l01")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, max_docs=10**6)
+    assert model.langs == [f"l{i:02}" for i in range(40)] and len(model.code) == 40
+    got = langid.predict(df.filter("doc_id >= 100").dropDuplicates(["doc_id"]), model).collect()
+    assert np.mean([r.lang_pred == f"l{r.doc_id // 100:02}" for r in got]) > 0.95
+
+
 def toxic_rows(seed, n):
     rnd = random.Random(seed)
     plain = [f"word{i}" for i in range(200)]
