@@ -474,6 +474,29 @@ def matrix_report(t: Tables) -> DataFrame:
     return sinks.matrix_report(best, "o_custkey", "o_orderstatus", F.col("price"), ["F", "O"])
 
 
+@query("""
+WITH c AS (SELECT o_custkey AS k, o_orderpriority AS requirement, o_orderstatus AS slug, CASE WHEN max(o_totalprice) > 200000 THEN 'supported' WHEN max(o_totalprice) > 100000 THEN 'partial' ELSE 'missing' END AS status, count(*) AS n FROM orders WHERE o_custkey % 10 <> 3 GROUP BY ALL),
+g AS (SELECT o_custkey AS k, o_orderstatus AS slug, count(*) AS n FROM orders GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, slug) AS rank FROM g),
+s AS (SELECT DISTINCT k, slug FROM c), h AS (SELECT k, string_agg(' | **' || slug || '**', '' ORDER BY slug) AS head, count(*)::INTEGER AS wide FROM s GROUP BY k),
+m AS (SELECT k, requirement, string_agg(' | ' || CASE status WHEN 'supported' THEN '✅' WHEN 'partial' THEN '⚠️' ELSE '❌' END, '' ORDER BY slug) AS marks, count(*) FILTER (status = 'supported') AS full_, count(*) FILTER (status = 'partial') AS part_ FROM (SELECT DISTINCT q.k, q.requirement, s.slug FROM c q JOIN s USING (k)) LEFT JOIN c USING (k, requirement, slug) GROUP BY ALL),
+l AS (SELECT k, string_agg('| ' || requirement || marks || ' |', chr(10) ORDER BY requirement) AS matrix, string_agg('- ' || requirement || ': ' || full_::VARCHAR || ' supported, ' || part_::VARCHAR || ' partial', chr(10) ORDER BY requirement) AS overview FROM m GROUP BY k),
+d AS (SELECT k, string_agg('| ' || rank::VARCHAR || ' | ' || slug || ' | ' || (n / 4.0::DOUBLE)::VARCHAR || ' | ' || n::VARCHAR || ' | ' || (n * 2)::VARCHAR || ' |', chr(10) ORDER BY rank) AS ranks,
+  string_agg('### ' || slug || chr(10) || '- **Language**: ' || lower(slug) || chr(10) || '- **Summary**: status ' || slug || chr(10) || '- **Confidence**: ' || n::VARCHAR || chr(10) || '- **Evidence items**: ' || (n * 2)::VARCHAR || chr(10) || '- **Core modules**: ' || rank::VARCHAR || chr(10) || '- **Key types**: ' || n::VARCHAR || chr(10) || '- **Platform APIs**: 0' || chr(10) || '- **Known gaps**: none' || chr(10), chr(10) ORDER BY rank) AS details FROM r GROUP BY k)
+SELECT k AS o_custkey, '# Comparison Matrix: ' || k::VARCHAR || chr(10) || chr(10) || CASE WHEN head IS NULL THEN '*No comparison data available.*' || chr(10) ELSE
+ '## Requirements Coverage Matrix' || chr(10) || chr(10) || '| Requirement' || head || ' |' || chr(10) || '|' || repeat('---|', wide + 1) || chr(10) || matrix || chr(10) || chr(10) || '## Ranking' || chr(10) || chr(10) || '| Rank | Repo | Score | Confidence | Evidence |' || chr(10) || '|------|------|-------|------------|----------|' || chr(10)
+ || ranks || chr(10) || chr(10) || '## Repo Details' || chr(10) || chr(10) || details || chr(10) || '## Coverage Overview' || chr(10) || chr(10) || overview END AS report FROM d LEFT JOIN h USING (k) LEFT JOIN l USING (k)""")
+def comparison_report(t: Tables) -> DataFrame:
+    """Each customer as a project: priorities are requirements, order states repositories; some customers have no cells."""
+    kept = t.orders.filter("o_custkey % 10 <> 3").groupBy("o_custkey", F.col("o_orderpriority").alias("requirement"), F.col("o_orderstatus").alias("slug")).agg(F.max("o_totalprice").alias("p"))
+    status = F.when(F.col("p") > 200000, "supported").when(F.col("p") > 100000, "partial").otherwise("missing")
+    cells = kept.select("o_custkey", "requirement", F.ascii(F.col("requirement")).alias("r_seq"), "slug", F.ascii("slug").alias("s_seq"), status.alias("status"))
+    order = Window.partitionBy("o_custkey").orderBy(F.desc("n"), "slug")
+    repos = t.orders.groupBy("o_custkey", F.col("o_orderstatus").alias("slug")).agg(F.count(F.lit(1)).alias("n")).withColumn("rank", F.row_number().over(order))
+    n = F.col("n")
+    repos = repos.select("o_custkey", "rank", "slug", (n / 4).alias("score"), n.alias("confidence"), (n * 2).alias("evidence_count"), F.lower("slug").alias("language"), F.concat(F.lit("status "), "slug").alias("summary"), F.col("rank").alias("core_modules"), n.alias("key_types"), F.lit(0).alias("platform_apis"), F.lit("none").alias("known_gaps"))
+    return sinks.comparison_report(cells, repos, "o_custkey")
+
+
 @query("""SELECT o_custkey, '[' || string_agg('{"o_orderkey":' || o_orderkey::VARCHAR || ',"o_orderstatus":"' || o_orderstatus || '"}', ',' ORDER BY o_orderkey) || ']' AS document FROM orders GROUP BY 1""")
 def json_documents(t: Tables) -> DataFrame:
     return sinks.document("o_custkey", t.orders, ["o_orderkey", "o_orderstatus"], "o_orderkey")

@@ -62,6 +62,44 @@ def matrix_report(rows: DataFrame, key: str, column: str, value: Column, columns
     return grid.select(key, F.concat(F.lit("| "), F.col(key).cast("string"), *[F.concat(F.lit(" | "), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("-"))) for c in columns], F.lit(" |")).alias("line"))
 
 
+# Marks of a status, and the counts that a repository's details show.
+STATUS_ICONS = {"supported": "✅", "partial": "⚠️", "missing": "❌"}
+DETAILS = {"Language": "language", "Summary": "summary", "Confidence": "confidence", "Evidence items": "evidence_count", "Core modules": "core_modules", "Key types": "key_types", "Platform APIs": "platform_apis", "Known gaps": "known_gaps"}
+
+
+def comparison_report(cells: DataFrame, repos: DataFrame, key: str) -> DataFrame:
+    """(key, report): a project's comparison as one Markdown text: coverage matrix, ranking, details and an overview of each requirement.
+
+    ``cells``: key, requirement, r_seq, slug, s_seq, status, one row a cell; cells that aren't there, or have another status, count
+    as missing. ``repos``: key, rank, slug, score and the columns of ``DETAILS``, none of them null. Projects without cells say that there are no data.
+    Every line is a row until the end, so only a project's finished text is one value; a matrix row holds a mark for each of its repositories."""
+    text = lambda c: F.col(c).cast("string")
+    line = lambda section, at, value: F.struct(F.lit(section).alias("section"), F.lit(at).cast("long").alias("at") if isinstance(at, int) else F.col(at).cast("long").alias("at"), value.alias("line"))
+    joined = lambda parts: F.concat(F.lit("| "), F.array_join(parts, " | "), F.lit(" |"))
+    fixed = lambda section, *lines: [line(section, n, F.lit(x)) for n, x in enumerate(lines)]
+    slugs = cells.groupBy(key, "slug").agg(F.min("s_seq").alias("s")).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "slug"))), lambda x: x["slug"]).alias("_slugs"))  # a project's repositories
+    by_row = cells.groupBy(key, "requirement").agg(F.min("r_seq").alias("at"), F.map_from_entries(F.collect_list(F.struct("slug", "status"))).alias("_of"))
+    count = lambda status: F.size(F.filter(F.map_values("_of"), lambda x: x == status)).cast("string")
+    icons = F.create_map(*[F.lit(x) for pair in STATUS_ICONS.items() for x in pair])
+    mark = lambda s: F.coalesce(F.try_element_at(icons, F.try_element_at(F.col("_of"), s)), F.lit(STATUS_ICONS["missing"]))
+    row = joined(F.concat(F.array("requirement"), F.transform("_slugs", mark)))
+    seen = F.concat(F.lit("- "), F.col("requirement"), F.lit(": "), count("supported"), F.lit(" supported, "), count("partial"), F.lit(" partial"))
+    head = [F.array_join(F.concat(F.array(F.lit("| Requirement")), F.transform("_slugs", lambda s: F.concat(F.lit("**"), s, F.lit("**")))), " | "), F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.size("_slugs") + 1))]
+    top = [*fixed(1, "## Requirements Coverage Matrix", ""), line(2, 0, F.concat(head[0], F.lit(" |"))), line(2, 1, head[1])]
+    rest = [*fixed(4, "", "## Ranking", "", "| Rank | Repo | Score | Confidence | Evidence |", "|------|------|-------|------------|----------|"), *fixed(6, "", "## Repo Details", ""), *fixed(8, "## Coverage Overview", "")]
+    details = F.concat(F.lit("### "), F.col("slug"), F.lit("\n"), F.concat_ws("\n", *[F.concat(F.lit(f"- **{name}**: "), text(c)) for name, c in DETAILS.items()]), F.lit("\n"))
+    # Projects without cells are known from their repositories.
+    known = repos.select(key).union(cells.select(key)).distinct().join(slugs, key, "left")
+    title = line(0, 0, F.concat(F.lit("# Comparison Matrix: "), text(key), F.lit("\n")))
+    parts = [
+        known.select(key, F.inline(F.when(F.col("_slugs").isNull(), F.array(title, line(1, 0, F.lit("*No comparison data available.*\n")))).otherwise(F.array(title, *top, *rest)))),
+        by_row.join(slugs, key).select(key, F.inline(F.array(line(3, "at", row), line(9, "at", seen)))),
+        repos.join(slugs.select(key), key, "left_semi").select(key, F.inline(F.array(line(5, "rank", joined(F.array(*map(text, ("rank", "slug", "score", "confidence", "evidence_count"))))), line(7, "rank", details)))),
+    ]
+    lines = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return lines.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "at", "line"))), lambda x: x["line"]), "\n").alias("report"))
+
+
 def write_skeleton(rows: DataFrame, path: str, force: bool = False) -> None:
     """Writes the files (name, content) of a skeleton or a manifest that aren't there yet; with ``force``, all of them."""
     write_files(rows, path, force=force)

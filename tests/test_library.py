@@ -383,6 +383,19 @@ def test_positions_number_all_rows(spark):
     assert ranking.positions(df.limit(0), [F.asc("a")]).count() == 0
 
 
+def test_comparison_report(spark):
+    """Missing cells and unknown states count as missing; a project without cells says so; empty tables give no report."""
+    cells = spark.createDataFrame([("p", "fast", 1, "b/x", 1, "supported"), ("p", "fast", 1, "a/y", 2, "odd"), ("p", "small", 0, "a/y", 2, "partial"), ("q", "one", 0, "c", 0, None)], "project string, requirement string, r_seq int, slug string, s_seq int, status string")
+    repo = lambda project, rank, slug: (project, rank, slug, 0.5, 0.9, 3, "go", "short", 1, 2, 0, "none")
+    repos = spark.createDataFrame([repo("p", 2, "a/y"), repo("p", 1, "b/x"), repo("r", 1, "d")], "project string, rank int, slug string, score double, confidence double, evidence_count int, language string, summary string, core_modules int, key_types int, platform_apis int, known_gaps string")
+    got = {r.project: r.report for r in sinks.comparison_report(cells, repos, "project").collect()}
+    assert set(got) == {"p", "q", "r"} and got["r"] == "# Comparison Matrix: r\n\n*No comparison data available.*\n"
+    assert "| Requirement | **b/x** | **a/y** |\n|---|---|---|\n| small | ❌ | ⚠️ |\n| fast | ✅ | ❌ |\n\n## Ranking" in got["p"]
+    assert "| 1 | b/x | 0.5 | 0.9 | 3 |\n| 2 | a/y | 0.5 | 0.9 | 3 |\n\n## Repo Details\n\n### b/x\n- **Language**: go\n- **Summary**: short\n" in got["p"]
+    assert got["p"].endswith("- small: 0 supported, 1 partial\n- fast: 1 supported, 0 partial") and "| one | ❌ |" in got["q"]
+    assert sinks.comparison_report(cells.limit(0), repos.limit(0), "project").count() == 0
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long")
     sinks.write_json(rows, f"{tmp_path}/j", ["k"])
