@@ -34,14 +34,21 @@ def lookup_default(rows: DataFrame, rules: DataFrame, keys: list[str], defaults:
     return joined.select(*rows.columns, *(F.coalesce(F.col(c), d).alias(c) for c, d in defaults.items()))
 
 
-def contains_join(needles: DataFrame, haystacks: DataFrame, needle: str, text: str, gram: int = 3, case: bool = False, parts: int = 16) -> DataFrame:
+#: Needles up to these numbers, of rows and of characters in all, are sent to all tasks.
+FEW, FEW_CHARS = 10_000, 1_000_000
+
+
+def contains_join(needles: DataFrame, haystacks: DataFrame, needle: str, text: str, gram: int = 3, case: bool = False, parts: int = 16, few: int = FEW) -> DataFrame:
     """Pairs in which the text contains the needle; with ``case``, in the same case. Both tables' columns, whatever their names.
 
     Not a nested loop: each distinct needle is keyed by the rarest of its character sequences of length ``gram``, counted
     over the texts, and joined with the texts that hold that sequence; only those pairs are compared. Needles that begin
     alike so have different keys, and one with a sequence that no text has joins nothing. Texts of a key are dealt to
     ``parts`` tasks, so that a sequence that most texts hold is no single task. Null and empty needles match nothing;
-    needles shorter than ``gram`` are keyed by themselves."""
+    needles shorter than ``gram`` are keyed by themselves.
+
+    The sequences of texts are many times the texts, which Spark's estimates don't see: they are never broadcast. Up to
+    ``few`` needles (and 1,000,000 characters) are sent to where the texts are; more are sorted and merged with them."""
     same = (lambda c: F.col(c)) if case else F.lower
     key, part, low, low_text = (fresh(n, needles, haystacks) for n in ("key", "part", "low", "low_text"))
 
@@ -50,15 +57,22 @@ def contains_join(needles: DataFrame, haystacks: DataFrame, needle: str, text: s
         return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(F.col(c), i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
     n = needles.filter(F.length(needle) > 0).withColumn(low, same(needle))
+    asked = n.select(low).limit(few + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(low)), F.lit(0)).alias("chars")).first()
+    small = asked.n <= few and asked.chars <= FEW_CHARS
+    way = "broadcast" if small else "merge"
     own = n.select(low).distinct().withColumn(key, F.explode(F.array_distinct(F.when(F.length(low) < gram, F.array(F.col(low))).otherwise(grams(low, gram)))))
-    t = haystacks.filter(F.length(text) > 0).withColumn(low_text, same(text))
+    # A small file is read in few tasks, however many sequences its texts have.
+    t = haystacks.filter(F.length(text) > 0).repartition(int(haystacks.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumn(low_text, same(text))
     held = F.array_distinct(F.concat(*(grams(low_text, size) for size in range(1, gram + 1))))
-    count = t.select(F.explode(held).alias(key)).join(own.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias(part))
+    counted = t.select(F.explode(held).alias(key))
+    if small:
+        counted = counted.join(own.select(key).distinct().hint(way), key, "left_semi")
+    count = counted.groupBy(key).agg(F.count(F.lit(1)).alias(part))
     # A needle has a match only if all its sequences have been counted; then the rarest is its key.
-    rarest = own.join(count, key, "left").groupBy(low).agg(F.min_by(key, F.struct(part, key)).alias(key), F.bool_and(F.col(part).isNotNull()).alias(part)).filter(part).select(low, key)
-    dealt = n.join(rarest, low).withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    rarest = own.join(count.hint(way), key, "left").groupBy(low).agg(F.min_by(key, F.struct(part, key)).alias(key), F.bool_and(F.col(part).isNotNull()).alias(part)).filter(part).select(low, key)
+    dealt = n.join(rarest.hint(way), low).withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     exploded = t.withColumn(part, F.pmod(F.xxhash64(*haystacks.columns), F.lit(parts)).cast("int")).withColumn(key, F.explode(held))
-    return dealt.join(exploded, [key, part]).filter(F.contains(low_text, low)).drop(key, part, low, low_text)
+    return dealt.hint(way).join(exploded, [key, part]).filter(F.contains(low_text, low)).drop(key, part, low, low_text)
 
 
 def exact_else_partial(queries: DataFrame, index: DataFrame, wanted: str, name: str, seq: str) -> DataFrame:

@@ -209,6 +209,20 @@ def test_contains_join_keys_needles_by_their_rarest_sequence(spark):
     assert sum(sizes) >= 400 and sizes[-1] <= 4 * sizes[len(sizes) // 2]
 
 
+def test_contains_join_never_broadcasts_the_sequences_of_texts(spark, tmp_path):
+    spark.range(3000).select("id", F.concat(F.lit("name "), F.col("id").cast("string")).alias("t")).write.parquet(f"{tmp_path}/texts")
+    rows = spark.read.parquet(f"{tmp_path}/texts")
+    asked = rows.filter("id < 40").select(F.substring("t", 6, 9).alias("n")).distinct()
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    few, many = joins.contains_join(asked, rows, "n", "t"), joins.contains_join(asked, rows, "n", "t", few=0)
+    assert "Inner, BuildLeft" in plan(few) and "Inner, BuildRight" not in plan(few).split("BuildLeft")[0]  # the needles are sent
+    assert "Broadcast" not in plan(many)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and few.count() == sum(str(n) in str(i) for n in range(40) for i in range(3000))
+
+
 def test_coverage_takes_first_gaps_of_either_direction(spark):
     rnd = random.Random(7)
     words = ["cache", "Cache layer", "a cache layer for all", "", None, "queue", "QUEUE", "zz", "é"]
