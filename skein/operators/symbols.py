@@ -7,6 +7,7 @@ All languages but Python are read by patterns inside the JVM."""
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -66,8 +67,39 @@ UNICODE = "(?U)"  # word characters and white space of all scripts
 Rule = Callable[[list[Column], Column], tuple]
 
 
+def alternatives(pattern: str) -> tuple[list[str], str]:
+    """What a pattern may begin with, and what follows: optional words before a word (or one of several) written out as alternatives,
+    in the order in which the pattern tries them. Without optional words there are no alternatives."""
+    options, rest = [], pattern
+    while m := re.match(r"\(\?:([^()]*)\)\?", rest):
+        options.append(m[1].split("|"))
+        rest = rest[m.end() :]
+    if not options:
+        return [], pattern
+    m = re.match(r"\(\?:([^()]*)\)(?![?*+])|[a-z]+(?=\\s\+)", rest)
+    head = m[0].removeprefix("(?:").removesuffix(")").split("|")
+    later = [f"(?:{'|'.join(x)})" for x in (*options[1:], head)]
+    out = [x + "".join(f"{y}?" for y in later[i:-1]) + later[-1] for i, o in enumerate(options) for x in o]
+    return out + head, rest[m.end() :]
+
+
+def guarded(pattern: str) -> str:
+    """The same pattern, which looks first at one character where it would try several words."""
+    starts = alternatives(pattern)[0]
+    return f"(?=[{''.join(sorted({x[0] for x in starts}))}]){pattern}" if starts else pattern
+
+
 def _all(text: Column, pattern: str, groups: int) -> Column:
-    return F.arrays_zip(*[F.regexp_extract_all(text, F.lit(UNICODE + pattern), F.lit(g)).alias(f"g{g}") for g in range(groups + 1)])
+    """All matches and their groups. A text is read once: a pattern that looks at nothing beyond its match finds the same groups in that alone."""
+    return F.transform(F.regexp_extract_all(text, F.lit(UNICODE + guarded(pattern)), F.lit(0)), lambda m: F.struct(m.alias("g0"), *(F.regexp_extract(m, UNICODE + pattern, g).alias(f"g{g}") for g in range(1, groups + 1))))
+
+
+def _with_line(text: Column, pattern: str) -> Column:
+    """All matches: as group 1 what stands on the line from the match on, up to 80 characters, as group 2 the pattern's own group."""
+    plain = pattern.replace(r"(\w+)", r"\w+")
+    both = F.regexp_extract_all(text, F.lit(rf"{UNICODE}(?=({guarded(plain)}))(?=([^\n]{{0,80}})){plain}"), F.lit(1))
+    line = F.regexp_extract_all(text, F.lit(rf"{UNICODE}(?={guarded(plain)})(?=([^\n]{{0,80}})){plain}"), F.lit(1))
+    return F.zip_with(both, line, lambda m, x: F.struct(m.alias("g0"), x.alias("g1"), F.regexp_extract(m, UNICODE + pattern, 1).alias("g2")))
 
 
 def _named(kind: str, before: str, after: str = "") -> Rule:
@@ -140,10 +172,10 @@ def symbols(files: DataFrame, language: str, path: str = "path", text: str = "co
         return go_symbols(files)
     found = []
     for n, (pattern, (groups, rule)) in enumerate(zip(PATTERNS[language], RULES[language], strict=True)):
-        # A look-ahead keeps what follows a function's start on its line; functions of PHP are looked for outside of bodies.
-        pattern = rf"(?=([^\n]{{0,80}})){pattern}" if language == "javascript" and n == 0 else pattern
-        own = F.regexp_replace("content", UNICODE + PHP_BODY, "") if language == "php" and n == 3 else F.col("content")
-        found.append(F.transform(_all(own, pattern, groups), _applied(rule, groups, n)))
+        # What follows a function's start on its line is its signature; functions of PHP are looked for outside of bodies.
+        own = F.regexp_replace("content", UNICODE + guarded(PHP_BODY), "") if language == "php" and n == 3 else F.col("content")
+        matches = _with_line(own, pattern) if language == "javascript" and n == 0 else _all(own, pattern, groups)
+        found.append(F.transform(matches, _applied(rule, groups, n)))
     rows = files.select("path", F.explode(F.flatten(F.array(*found))).alias("s")).filter("s.counts")
     rows = rows.select("path", "s.kind", "s.name", "s.signature", F.col("path").alias("source"), "s.doc_available", F.lit(False).alias("probed"), "s.rule", "s.ordinal")
     return rows.unionByName(_error(files))

@@ -223,6 +223,13 @@ def test_contains_join_never_broadcasts_the_sequences_of_texts(spark, tmp_path):
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and few.count() == sum(str(n) in str(i) for n in range(40) for i in range(3000))
 
 
+def test_symbols_read_a_text_once_for_each_pattern(spark):
+    df = spark.createDataFrame([("a", "export default async function go(x) { return 1 }\n  async function\n* b(")], "path string, content string")
+    rows = symbols.symbols(df, "javascript")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= len(symbols.PATTERNS["javascript"]) + 1
+    assert [(r.name, r.signature) for r in rows.collect()] == [("go", "export default async function go(x) { return 1 }"), ("b", "async function")]
+
+
 def test_coverage_takes_first_gaps_of_either_direction(spark):
     rnd = random.Random(7)
     words = ["cache", "Cache layer", "a cache layer for all", "", None, "queue", "QUEUE", "zz", "é"]
