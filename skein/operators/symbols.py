@@ -250,8 +250,10 @@ def loose_symbols(files: DataFrame, path: str = "path", text: str = "content") -
 def audit(rows: DataFrame, package: str, order: list[str], exports: int = 30, keywords: int = 15) -> DataFrame:
     """One row per package: how many symbols were found, the first ``exports`` of them in order, the first ``keywords`` distinct function
     names in the alphabet's order, and a complexity. The lists' limits are part of an audit; ranks are taken before they are collected."""
-    from ..operators.ranking import top_per_group
+    from ..operators.ranking import checkpointed, top_per_group
 
+    # Texts are read once, not for each of the three results.
+    rows = checkpointed(rows.select(*dict.fromkeys([package, "kind", "name", *order])))
     n = rows.groupBy(package).agg(F.count(F.lit(1)).alias("n_symbols"))
     first = top_per_group(rows, [package], [F.asc(c) for c in order], exports).groupBy(package).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("exports"))
     words = top_per_group(rows.filter("kind = 'function'").select(package, "name").distinct(), [package], [F.asc("name")], keywords).groupBy(package).agg(F.array_sort(F.collect_list("name")).alias("keywords"))

@@ -230,6 +230,19 @@ def test_symbols_read_a_text_once_for_each_pattern(spark):
     assert [(r.name, r.signature) for r in rows.collect()] == [("go", "export default async function go(x) { return 1 }"), ("b", "async function")]
 
 
+def test_audit_reads_its_rows_once(spark):
+    rows = spark.createDataFrame([("p", "function", f"f{i:02}", i) for i in range(12)], "package string, kind string, name string, n long")
+    read = spark.sparkContext.accumulator(0)
+
+    def run(frames):
+        for f in frames:
+            read.add(len(f))
+            yield f
+
+    got = symbols.audit(rows.mapInPandas(run, rows.schema), "package", ["n"]).collect()
+    assert read.value == 12 and [(r.n_symbols, len(r.exports), len(r.keywords), r.complexity) for r in got] == [(12, 12, 12, "medium")]
+
+
 def test_coverage_takes_first_gaps_of_either_direction(spark):
     rnd = random.Random(7)
     words = ["cache", "Cache layer", "a cache layer for all", "", None, "queue", "QUEUE", "zz", "é"]
