@@ -243,6 +243,18 @@ def test_audit_reads_its_rows_once(spark):
     assert read.value == 12 and [(r.n_symbols, len(r.exports), len(r.keywords), r.complexity) for r in got] == [(12, 12, 12, "medium")]
 
 
+def test_analyzers_patterns_equal_those_stated():
+    rnd = random.Random(8)
+    words = sorted({w for ps in symbols.PATTERNS.values() for p in ps for w in re.findall(r"[a-z@]{2,}", p)}) + ["x", "Y1", "(", ")", "{", "}", "=", ":", ";", ",", "\n", "<T>", "/**"]
+    for _ in range(60):
+        text = "".join(rnd.choice(words) + rnd.choice(["", " ", " ", "\n", "  "]) for _ in range(80))
+        for language, patterns in symbols.PATTERNS.items():
+            for p, fast in zip(patterns, analyzers.FAST[language], strict=True):
+                assert [(m.span(), m.groups()) for m in re.finditer(p, text)] == [(m.span(), m.groups()) for m in re.finditer(fast, text)]
+        assert re.sub(symbols.PHP_BODY, "", text) == re.sub(analyzers.FAST_BODY, "", text)
+    assert all(not p.startswith("(?:") or fast.count("|") for p, fast in zip(symbols.PATTERNS["javascript"], analyzers.FAST["javascript"], strict=True))
+
+
 def test_coverage_takes_first_gaps_of_either_direction(spark):
     rnd = random.Random(7)
     words = ["cache", "Cache layer", "a cache layer for all", "", None, "queue", "QUEUE", "zz", "é"]
