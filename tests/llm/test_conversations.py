@@ -245,3 +245,15 @@ def test_packed_counts_equal_boolean_sums(n):
         for subset in range(8):
             left = (part == p) & ~np.any([fails[j] for j in range(3) if subset >> j & 1] or [np.zeros(n, bool)], axis=0)
             assert counts[i, subset].tolist() == [left.sum(), (left & labels[0]).sum(), (left & labels[1]).sum()]
+
+
+def test_turns_that_look_far_back_are_rendered_after_all_others():
+    def numbered(turns):
+        return "".join(f"{i} of {turns[0][0]}: {t};" for i, (_, t) in enumerate(turns))
+
+    turns = [("user" if i else "first", f"t{i}") for i in range(30)]
+    out = ""
+    for piece, begin, end, rewritten, _ in chat_format.locate(numbered, turns, context=4):
+        out = out[: len(out) - rewritten] + piece
+        assert rewritten == 0 and piece[begin:end].startswith("t")
+    assert out == numbered(turns)
