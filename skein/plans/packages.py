@@ -87,11 +87,10 @@ def maven_rows(t: Tables) -> DataFrame:
     return R.maven(_maven_answers(t), "p_brand", "body", NOW_MS)
 
 
-@query(f"""WITH {_MAVEN}, c AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nth, count(*) OVER (PARTITION BY p_brand) AS n FROM f),
-p AS (SELECT *, (row_number() OVER (PARTITION BY p_brand ORDER BY kt DESC, p_partkey) - 1)::INTEGER AS position FROM c WHERE nth <= 15)
-SELECT p_brand, position, {_MAVEN_ROW}, round(CASE WHEN kt THEN least(s + 0.2::DOUBLE, 1.0::DOUBLE) ELSE s END, 4) AS score, n > least(n, 5) AS has_more FROM p WHERE position < 5""")
+@query(f"""WITH {_MAVEN}, p AS (SELECT *, (row_number() OVER (PARTITION BY p_brand ORDER BY kt DESC, p_partkey) - 1)::INTEGER AS position FROM f)
+SELECT p_brand, position, {_MAVEN_ROW}, round(CASE WHEN kt THEN least(s + 0.2::DOUBLE, 1.0::DOUBLE) ELSE s END, 4) AS score, false AS has_more FROM p""")
 def kotlin_rows(t: Tables) -> DataFrame:
-    return R.maven(_maven_answers(t), "p_brand", "body", NOW_MS, kotlin_first=True, limit=5)
+    return R.maven(_maven_answers(t), "p_brand", "body", NOW_MS, kotlin_first=True, limit=None)
 
 
 def _vcpkg_answers(t: Tables) -> DataFrame:

@@ -64,9 +64,9 @@ def crates(snapshots: DataFrame, key: str, body: str) -> DataFrame:
     return _rows(snapshots, key, body, schema, "crates", make, "total", "meta.total")
 
 
-def maven(snapshots: DataFrame, key: str, body: str, now_ms: int, kotlin_first: bool = False, limit: int = 20) -> DataFrame:
+def maven(snapshots: DataFrame, key: str, body: str, now_ms: int, kotlin_first: bool = False, limit: int | None = 20) -> DataFrame:
     """``kotlin_first``: of the first max(3 limit, 15) artifacts those that look like Kotlin come first, in their order, and score
-    0.2 more; ``limit`` rows stay."""
+    0.2 more; ``limit`` rows stay. Without a ``limit`` that holds for all artifacts, and all stay."""
     schema = "response struct<numFound bigint, docs array<struct<id string, g string, a string, latestVersion string, versionCount bigint, timestamp bigint>>>"
 
     def make(x: Column, _: Column) -> dict[str, Column]:
@@ -81,9 +81,10 @@ def maven(snapshots: DataFrame, key: str, body: str, now_ms: int, kotlin_first:
     if not kotlin_first:
         return _rows(snapshots, key, body, schema, "response.docs", make, "total", "response.numFound")
     docs = F.from_json(F.col(body), schema)["response"]
-    fetched = F.slice(docs["docs"], 1, max(3 * limit, 15))
+    fetched = docs["docs"] if limit is None else F.slice(docs["docs"], 1, max(3 * limit, 15))
     like = lambda x: P.kotlin_relevant(_text(x["id"]), _text(x["g"]), _text(x["a"]))
-    ordered = F.slice(F.concat(F.filter(fetched, like), F.filter(fetched, lambda x: ~like(x))), 1, limit)
+    ordered = F.concat(F.filter(fetched, like), F.filter(fetched, lambda x: ~like(x)))
+    ordered = ordered if limit is None else F.slice(ordered, 1, limit)
     again = F.to_json(F.struct(F.struct(docs["numFound"].alias("numFound"), ordered.alias("docs")).alias("response")))
     return _rows(snapshots.select(key, again.alias(body)), key, body, schema, "response.docs", make, "total", "response.numFound")
 
