@@ -255,6 +255,16 @@ def test_analyzers_patterns_equal_those_stated():
     assert all(not p.startswith("(?:") or fast.count("|") for p, fast in zip(symbols.PATTERNS["javascript"], analyzers.FAST["javascript"], strict=True))
 
 
+def test_kotlin_and_param_queries_take_every_part(spark, tmp_path):
+    parts = [(i, "b", f"n{i % 2} x", "KT" if i > 30 else "t", 3, 1.0) for i in range(40)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_name string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    rows = library.QUERIES["kotlin_rows"](spark, str(tmp_path)).collect()
+    assert len(rows) == 40 and sorted(r.position for r in rows) == list(range(40)) and not any(r.has_more for r in rows)
+    params = library.QUERIES["param_matches"](spark, str(tmp_path))
+    assert "Aggregate" in params._jdf.queryExecution().optimizedPlan().toString()  # equal pairs are matched once
+    assert params.count() == 40
+
+
 def test_coverage_takes_first_gaps_of_either_direction(spark):
     rnd = random.Random(7)
     words = ["cache", "Cache layer", "a cache layer for all", "", None, "queue", "QUEUE", "zz", "é"]
