@@ -598,7 +598,7 @@ SELECT b AS p_brand, p.src, src_name, p.dst, dst_name, similarity FROM g JOIN p
 def greedy_match(t: Tables) -> DataFrame:
     parts = t.part.select("p_brand", "p_partkey", "p_name", "p_type")
     src, dst = parts.filter("p_partkey % 2 = 0"), parts.filter("p_partkey % 2 = 1")
-    return matching.greedy_match(matching.similarity_pairs(src, dst, ["p_brand"], "p_name", "p_partkey"), ["p_brand"], "src", "dst", "similarity")
+    return matching.greedy_by_name(src, dst, "p_brand", "p_name", "p_partkey")
 
 
 @query("""

@@ -281,6 +281,16 @@ def test_coverage_takes_first_gaps_of_either_direction(spark):
         assert {(r.repo, r.requirement): r.status for r in got.collect()} == want
 
 
+def test_greedy_by_name_equals_all_pairs(spark):
+    rnd = random.Random(9)
+    names = ["ring", "rings", "big ring", "bolt", "bold", "b_olt", "zzz", "", None]
+    rows = spark.createDataFrame([(i, rnd.choice(["a", "b", None]), rnd.choice(names)) for i in range(240)], "k long, g string, n string")
+    src, dst = rows.filter("k % 2 = 0"), rows.filter("k % 2 = 1")
+    pairs = matching.greedy_match(matching.similarity_pairs(src, dst, ["g"], "n", "k"), ["g"], "src", "dst", "similarity")
+    got = matching.greedy_by_name(src, dst, "g", "n", "k")
+    assert got.columns == pairs.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.collect())) and pairs.count() > 40
+
+
 def test_greedy_match_query_takes_all_parts(spark, tmp_path):
     names = ["small ring", "red_bolt", "red bolts", "ring", "widget", "zzz"]
     parts = [(1990 + i, f"b{i % 3}", names[i * i % 5 if i % 4 else i % 6], "t") for i in range(40)]
