@@ -18,11 +18,12 @@ from .queries import ORACLES, Tables, _any, _in, query
 AS_OF, NOW_MS = "2024-02-01", 1706745600000  # the same instant
 
 
-def _snapshots(rows: DataFrame, key: str, seq: str, items: str, item: Column, **more: Column) -> DataFrame:
+def _snapshots(rows: DataFrame, key: str | list[str], seq: str, items: str, item: Column, **more: Column) -> DataFrame:
     """One JSON answer per key, as a registry gives it: the table's rows in order under ``items``."""
-    g = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.to_json(item).alias("x")))).alias("a"), F.count(F.lit(1)).alias("n"))
+    keys = [key] if isinstance(key, str) else key
+    g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.to_json(item).alias("x")))).alias("a"), F.count(F.lit(1)).alias("n"))
     rest = F.concat(F.lit(","), F.regexp_replace(F.to_json(F.struct(*(c.alias(n) for n, c in more.items()))), r"^\{|\}$", "")) if more else F.lit("")
-    return g.select(key, F.concat(F.lit(f'{{"{items}":['), F.array_join(F.transform("a", lambda y: y["x"]), ","), F.lit("]"), rest, F.lit("}")).alias("body"))
+    return g.select(*keys, F.concat(F.lit(f'{{"{items}":['), F.array_join(F.transform("a", lambda y: y["x"]), ","), F.lit("]"), rest, F.lit("}")).alias("body"))
 
 
 #: A registry answers one request with some tens of rows: a brand's parts are asked for in pages of 1000 keys.
@@ -224,15 +225,15 @@ WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linen
 ok AS (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')
 SELECT l.l_orderkey, (nth - 1)::INTEGER AS position, 'G' || (l_partkey % 5)::VARCHAR AS train_no, l_suppkey::VARCHAR AS from_station, (l_quantity::INTEGER)::VARCHAR AS second, l.l_returnflag AS seat, p.price FROM l JOIN ok ON o_orderkey = l.l_orderkey LEFT JOIN p ON p.l_orderkey = l.l_orderkey AND p.code = l_partkey % 5""")
 def train_rows(t: Tables) -> DataFrame:
-    lines = t.lineitem.withColumn("s", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")).join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderstatus") != "P").alias("ok")), "l_orderkey").withColumn("key", F.struct("l_orderkey", "ok"))
+    lines = t.lineitem.withColumn("s", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")).join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderstatus") != "P").alias("ok")), "l_orderkey")
+    key = ["l_orderkey", "ok"]  # as columns: the join has dealt rows by the first
     code = F.concat(F.lit("G"), (F.col("l_partkey") % 5).cast("string"))
     seats = F.create_map(F.lit("second"), F.col("l_quantity").cast("int").cast("string"), F.lit("flag"), F.col("l_returnflag"))
-    ok = F.col("key.ok")
-    trains = _snapshots(lines, "key", "s", "trains", F.struct(code.alias("train_no"), F.col("l_suppkey").cast("string").alias("from_station"), seats.alias("seats")), success=ok)
-    prices = _snapshots(lines, "key", "s", "data", F.struct(code.alias("train_code"), F.create_map(F.lit("second"), F.col("l_extendedprice").cast("string")).alias("prices")), success=ok)
-    of = lambda df: df.select(F.col("key.l_orderkey").alias("l_orderkey"), "body")
-    p = R.train_prices(of(prices), "l_orderkey", "body").withColumnRenamed("train_code", "train_no")
-    return R.trains(of(trains), "l_orderkey", "body").join(p, ["l_orderkey", "train_no"], "left").select("l_orderkey", "position", "train_no", "from_station", F.col("seats")["second"].alias("second"), F.col("seats")["flag"].alias("seat"), F.col("prices")["second"].alias("price"))
+    ok = F.col("ok")
+    trains = _snapshots(lines, key, "s", "trains", F.struct(code.alias("train_no"), F.col("l_suppkey").cast("string").alias("from_station"), seats.alias("seats")), success=ok)
+    prices = _snapshots(lines, key, "s", "data", F.struct(code.alias("train_code"), F.create_map(F.lit("second"), F.col("l_extendedprice").cast("string")).alias("prices")), success=ok)
+    p = R.train_prices(prices, "l_orderkey", "body").withColumnRenamed("train_code", "train_no")
+    return R.trains(trains, "l_orderkey", "body").join(p, ["l_orderkey", "train_no"], "left").select("l_orderkey", "position", "train_no", "from_station", F.col("seats")["second"].alias("second"), F.col("seats")["flag"].alias("seat"), F.col("prices")["second"].alias("price"))
 
 
 @query("""
@@ -253,11 +254,11 @@ FROM l JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P'""")
 def train_stop_rows(t: Tables) -> DataFrame:
     """The stops of each train whose answer succeeded."""
     lines = t.lineitem.withColumn("s", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")).join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderstatus") != "P").alias("ok")), "l_orderkey")
-    lines = lines.withColumns({"key": F.struct("l_orderkey", "ok"), "nth": F.row_number().over(Window.partitionBy("l_orderkey").orderBy("s"))})
+    lines = lines.withColumns({"nth": F.row_number().over(Window.partitionBy("l_orderkey").orderBy("s"))})
     n = F.col("l_linenumber")
     stop = F.struct(F.lpad(F.col("nth").cast("string"), 2, "0").alias("station_no"), F.concat(F.lit("S"), "l_suppkey").alias("station_name"), F.when(n > 1, F.concat(F.lit("08:0"), n)).alias("arrive_time"), F.concat(F.lit("09:0"), n).alias("start_time"), F.when(F.col("l_returnflag") == "A", "3min").alias("stopover_time"))
-    g = _snapshots(lines, "key", "s", "stations", stop, success=F.col("key.ok"))
-    return R.train_stops(g.select(F.col("key.l_orderkey").alias("train"), "body"), "train", "body")
+    g = _snapshots(lines, ["l_orderkey", "ok"], "s", "stations", stop, success=F.col("ok"))
+    return R.train_stops(g.select(F.col("l_orderkey").alias("train"), "body"), "train", "body")
 
 
 @query("""

@@ -291,6 +291,15 @@ def test_greedy_by_name_equals_all_pairs(spark):
     assert got.columns == pairs.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.collect())) and pairs.count() > 40
 
 
+def test_train_queries_deal_lines_by_order_alone(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [library.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString() for name in ("train_rows", "train_stop_rows")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not any(re.search(r"hashpartitioning\((key|ok|l_orderkey#\d+L, ok)", plan) for plan in plans)
+
+
 def test_greedy_match_query_takes_all_parts(spark, tmp_path):
     names = ["small ring", "red_bolt", "red bolts", "ring", "widget", "zzz"]
     parts = [(1990 + i, f"b{i % 3}", names[i * i % 5 if i % 4 else i % 6], "t") for i in range(40)]
