@@ -8,9 +8,11 @@ import random
 import re
 import time
 from decimal import Decimal
+from types import SimpleNamespace
 
 import duckdb
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -687,6 +689,53 @@ def test_steps_as_state_with_restarts(spark, tmp_path):
     }
 
 
+class StateCalls:
+    """A key's state by name, as a processor's handle gives it, with the number of calls that would be messages to Spark."""
+
+    def __init__(self):
+        self.values, self.maps, self.calls = {}, {}, 0
+
+    def _variable(self, store, name):
+        def call(f):
+            def counted(*args):
+                self.calls += 1
+                return f(*args)
+
+            return counted
+
+        entries = lambda: store.setdefault(name, {})
+        return SimpleNamespace(
+            exists=call(lambda: name in store), get=call(lambda: store[name]), update=call(lambda value: store.update({name: value})),
+            containsKey=call(lambda k: k in entries()), getValue=call(lambda k: entries()[k]), updateValue=call(lambda k, v: entries().update({k: v})), iterator=call(lambda: iter(list(entries().items()))),
+        )
+
+    def getValueState(self, name, schema, ttl_ms):
+        return self._variable(self.values, name)
+
+    def getMapState(self, name, keys, schema, ttl_ms):
+        return self._variable(self.maps, name)
+
+
+def test_steps_reach_for_state_by_key_not_by_row():
+    """The messages to Spark that a key costs don't grow with its rows, and two batches end as one does."""
+    asked = [*C.TRANSITIONS, None]
+    rows = [Row(key="a", seq=n, asked=asked[n * n % 7 % len(asked)]) for n in range(500)]
+    for strict in (True, False):
+        ends = []
+        for cut in (0, 200):
+            handle, processor, got = StateCalls(), stateful.Steps(C.TRANSITIONS, "pending", 3, strict, None), []
+            processor.init(handle)
+            for batch in (rows[:cut], rows[cut:]):
+                if batch:
+                    handle.calls = 0
+                    got += processor.handleInputRows(("a",), reversed(batch), None)
+                    assert handle.calls <= 4 + 2 * len(asked)
+            assert [r.seq for r in got] == list(range(500))
+            assert {r.status: r.entered for r in got} == {k: v for (k,), (v,) in handle.maps["entered"].items()}
+            ends.append((got, handle.values, handle.maps))
+        assert ends[0] == ends[1]
+
+
 def test_cache_as_state_goes_stale(spark, tmp_path):
     schema, total = "k string, seq long, f string", 0
 
