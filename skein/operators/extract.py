@@ -71,7 +71,9 @@ def text_flags(text: Column) -> list[Column]:
 
 def gpx(points: DataFrame, track: str, seq: str, lat: str, lon: str, ele: str) -> DataFrame:
     """One GPX track per key: its points in order, elevation where known."""
-    one = F.concat(F.format_string('<trkpt lat="%.8f" lon="%.8f">', F.col(lat), F.col(lon)), F.when(F.col(ele).isNotNull(), F.format_string("<ele>%.1f</ele>", F.col(ele))).otherwise(""), F.lit("</trkpt>"))
-    g = points.groupBy(track).agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), one.alias("p")))).alias("a"))
-    return g.select(track, F.concat(F.lit('<gpx version="1.1"><trk><trkseg>'), F.array_join(F.transform("a", lambda x: x["p"]), ""), F.lit("</trkseg></trk></gpx>")).alias("gpx"))
+    place = '<trkpt lat="%.8f" lon="%.8f">'
+    one = F.when(F.col(ele).isNotNull(), F.format_string(place + "<ele>%.1f</ele></trkpt>", F.col(lat), F.col(lon), F.col(ele))).otherwise(F.format_string(place + "</trkpt>", F.col(lat), F.col(lon)))
+    g = points.groupBy(track).agg(F.collect_list(F.struct(F.col(seq).alias("s"), one.alias("p"))).alias("a"))
+    # sort_array compares the structs itself; array_sort evaluates a lambda at each comparison.
+    return g.select(track, F.concat(F.lit('<gpx version="1.1"><trk><trkseg>'), F.array_join(F.sort_array("a")["p"], ""), F.lit("</trkseg></trk></gpx>")).alias("gpx"))
 

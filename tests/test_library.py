@@ -7,7 +7,7 @@ import os
 import random
 import re
 import time
-from decimal import Decimal
+from decimal import ROUND_HALF_UP, Decimal
 from types import SimpleNamespace
 
 import duckdb
@@ -689,6 +689,20 @@ def test_steps_as_state_with_restarts(spark, tmp_path):
     }
 
 
+def test_gpx_orders_points_without_a_lambda(spark):
+    """Points by sequence, nulls first, equal ones by their text; a comparison is never an expression of its own."""
+    rows = [(1, (n % 7 if n % 5 else None, n % 3), n / 8, -n / 16, None if n % 4 == 0 else n / 2) for n in range(200)] + [(2, (1, 1), None, 0.5, 1.0), (2, (1, 0), float("nan"), None, None)]
+    points = spark.createDataFrame(rows, "k long, s struct<a long, b long>, lat double, lon double, ele double").repartition(7)
+    tracks = extract.gpx(points, "k", "s", "lat", "lon", "ele")
+    number = lambda x, n: "null" if x is None else "NaN" if math.isnan(x) else f"{Decimal(x).quantize(Decimal(1).scaleb(-n), ROUND_HALF_UP):f}"
+    want = collections.defaultdict(list)
+    for k, s, lat, lon, ele in rows:
+        text = f'<trkpt lat="{number(lat, 8)}" lon="{number(lon, 8)}">' + ("" if ele is None else f"<ele>{number(ele, 1)}</ele>") + "</trkpt>"
+        want[k].append(([(x is not None, x or 0) for x in s], text))
+    assert {r.k: r.gpx for r in tracks.collect()} == {k: '<gpx version="1.1"><trk><trkseg>' + "".join(t for _, t in sorted(v)) + "</trkseg></trk></gpx>" for k, v in want.items()}
+    assert "lambda" not in tracks._jdf.queryExecution().optimizedPlan().toString()
+
+
 class StateCalls:
     """A key's state by name, as a processor's handle gives it, with the number of calls that would be messages to Spark."""
 
